@@ -34,7 +34,9 @@ COVER = 16
 RESIDUES = (0, 1, 2, 5, 8)
 #: Windows that one block sorts at a time (more only if one anchor has more).
 BLOCK_WINDOWS = 1 << 19
-_TILE = 1 << 17
+_TILE = 1 << 14
+_LOW = np.uint64((1 << 15) - 1)
+_COUNT = np.arange(1 << 15, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WIRE = "key int, kind int, chunk int, blob binary"
 _WIRE_ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
@@ -61,22 +63,19 @@ def _tables(n: int):
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A mixed 64-bit rolling hash of each k bytes."""
+    """A mixed 64-bit rolling hash of each k bytes, for a tile of data."""
     n = data.size - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    power, inverse, letters = _tables(_TILE + k)
-    for a in range(0, n, _TILE):
-        b = min(n, a + _TILE)
-        sums = np.zeros(b - a + k, np.uint64)
-        np.cumsum(letters[data[a : b + k - 1]] * power[: b - a + k - 1], out=sums[1:])
-        h = (sums[k:] - sums[:-k]) * inverse[: b - a]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        out[a:b] = h
-    return out
+    power, inverse, letters = _tables(_TILE + 256)
+    sums = np.zeros(n + k, np.uint64)
+    np.cumsum(letters[data] * power[: data.size], out=sums[1:])
+    h = sums[k:] - sums[:-k]
+    h *= inverse[:n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -93,37 +92,41 @@ class Anchors:
 
     def __init__(self, chunk: Chunk, length: int, k: int):
         data, offsets = chunk.data, chunk.offsets
-        h = gram_hashes(data, k)
         w = length - k + 1
         n = data.size - length + 1
-        if n <= 0:
+        starts, ends = offsets[:-1], offsets[1:] - length + 1
+        some = ends > starts
+        if n <= 0 or not some.any():
             self.start = self.end = self.at = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        place = np.empty(n, np.int64)
+        # tile by tile: where the anchor changes, where it is, and its hash
+        edges, places, hashes = [], [], []
+        before = -1
         for a in range(0, n, _TILE):
             b = min(n, a + _TILE)
-            part = h[a : b + w - 1]
-            low = _sliding_min((part & ~np.uint64((1 << 18) - 1)) | np.arange(part.size, dtype=np.uint64), w)
-            place[a:b] = (low & np.uint64((1 << 18) - 1)).astype(np.int64) + a
+            h = gram_hashes(data[a : b + length - 1], k)
+            low = (_sliding_min((h & ~_LOW) | _COUNT[: h.size], w) & _LOW).astype(np.int32)
+            edge = np.flatnonzero(low[1:] != low[:-1]) + 1
+            if low[0] + a != before:
+                edge = np.concatenate([[0], edge])
+            before = int(low[-1]) + a
+            edges.append(edge + a)
+            places.append(low[edge] + np.int64(a))
+            hashes.append(h[low[edge]])
+        edge, place, hashes = np.concatenate(edges), np.concatenate(places), np.concatenate(hashes)
         # windows that cross the end of a document are none
-        valid = np.zeros(n + 1, np.int8)
-        starts, ends = offsets[:-1], offsets[1:] - length + 1
-        some = ends > starts
-        valid[starts[some]] += 1
-        valid[ends[some]] -= 1
-        ok = np.cumsum(valid[:-1]) > 0
-        edge = np.empty(n, bool)
-        edge[0] = True
-        edge[1:] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])
-        edge[starts[some]] = True
-        first = np.flatnonzero(edge)
+        ends_of_texts = np.unique(np.concatenate([starts[some], ends[some]]))
+        at = np.searchsorted(edge, ends_of_texts)
+        fresh = (at == edge.size) | (edge[at.clip(0, edge.size - 1)] != ends_of_texts)
+        first = np.insert(edge, at[fresh], ends_of_texts[fresh])
+        own = np.insert(np.ones(edge.size, np.int64), at[fresh], 0)
+        run = np.cumsum(own) - 1
         last = np.append(first[1:], n)
-        keep = ok[first]
-        self.start, self.end = first[keep], last[keep]
-        self.at = place[self.start]
-        self.hash = h[self.at]
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        doc = np.repeat(np.arange(starts.size), np.diff(np.append(np.searchsorted(first, starts), first.size)))
+        keep = (first < ends[doc]) & (first < n)
+        self.start, self.end, self.doc, run = first[keep], last[keep], doc[keep], run[keep]
+        self.at, self.hash = place[run], hashes[run]
 
 
 def _shift_table() -> np.ndarray:
