@@ -90,7 +90,7 @@ class Packer:
     def add(self, key, tokens: int, loss: int) -> None:
         self.keys[self.n], self.start[self.n], self.need[self.n] = key, 0, (tokens, 1, loss)
         self.n += 1
-        if self.n > self.pool:
+        while self.n > self.pool:
             self._place()
 
     def finish(self) -> None:
@@ -175,6 +175,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity
         if packer.out:
             yield from rows_out().to_batches()
 
-    stored = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    stored = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     rows = rows.coalesce(max(1, min(-(-stored // partition_bytes), 1 << 20)))
     return rows.mapInArrow(run, _DDL)
