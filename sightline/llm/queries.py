@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sightline.llm.bpe_automaton import encode_decode
 from sightline.llm.common import table
 from sightline.llm.exact_dedup import exact_dedup
+from sightline.llm.katz import katz_scores
 from sightline.llm.language_id import language_id
 from sightline.llm.packing import pack_documents
 from sightline.llm.sharding import shard
+from sightline.llm.simhash import near_duplicates
 from sightline.llm.suffix_dedup import removed_spans
 from sightline.llm.token_counts import count_tokens
 from sightline.llm.topk_search import top_k_of_every
@@ -40,15 +42,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_of_every(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_automaton, op4_language_id, op5_sharding, op6_packing, op8_exact_dedup, op10_topk_search)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_automaton, op4_language_id, op5_sharding, op6_packing, op7_katz, op8_exact_dedup, op9_simhash, op10_topk_search)
+}
 
 ORACLE_SQL = {
     "op10_topk_search": """
