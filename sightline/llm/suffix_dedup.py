@@ -213,8 +213,8 @@ def equal_windows(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarr
     return classes
 
 
-def _segment_blob(hashes, shift, length, ids, multi, data) -> bytes:
-    return pack(small(hashes), small(shift), small(length), small(ids), np.packbits(multi), data)
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
 
 
 def _match_blocks(parts: list[list[np.ndarray]], length: int):
@@ -224,7 +224,7 @@ def _match_blocks(parts: list[list[np.ndarray]], length: int):
     sizes = np.concatenate([p[2].astype(np.int64) for p in parts])
     ids = np.concatenate([p[3].astype(np.uint64).astype(np.int64) for p in parts])
     multi = np.concatenate([np.unpackbits(p[4], count=p[0].size).astype(bool) for p in parts])
-    data = np.concatenate([p[5] for p in parts])
+    data = np.concatenate([np.frombuffer(pa.decompress(p[5].tobytes(), int(p[2].sum(dtype=np.int64)), "zstd", asbytes=True), np.uint8) for p in parts])
     begin = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     order = np.argsort(hashes, kind="stable")
@@ -265,7 +265,7 @@ def _match_blocks(parts: list[list[np.ndarray]], length: int):
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int = 24, carry: list[str] | None = None, keep_bytes: bool = False, whole_points: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int = 18, carry: list[str] | None = None, keep_bytes: bool = False, whole_points: bool = False, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; `kept` (binary) with keep_bytes; the columns
     `carry` in a struct `rest`.  With whole_points a code point goes only if all its bytes do."""
     rows, n, total = chunked(docs, text, carry, chunk_bytes)
@@ -319,14 +319,14 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         runs = runs[np.argsort(which[runs], kind="stable")]
         start, end = anchors.start[runs], anchors.end[runs] + length - 1
         flat = chunk.data.tobytes()
-        number: dict = {}
-        seg = np.fromiter((number.setdefault((w, flat[a:b]), len(number)) for w, a, b in zip(which[runs].tolist(), start.tolist(), end.tolist())), np.int64, runs.size)
+        number: dict = {}  # of each distinct segment; its bytes determine its anchor
+        seg = np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist())), np.int64, runs.size)
         ids = chunk.ids[anchors.doc[runs]]
         low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
         np.minimum.at(low, seg, ids)
         np.maximum.at(high, seg, ids)
-        mine = np.fromiter((w for w, _ in number), np.int64, len(number))
-        texts = [t for _, t in number]
+        mine = which[runs][np.unique(seg, return_index=True)[1]]
+        texts = list(number)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         keys, kinds, blobs = [], [], []
         if len(number):
@@ -336,7 +336,8 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
                     keys.append(owner)
                     kinds.append(SEGMENTS)
                     base = np.array([x], np.int64)
-                    blobs.append(pack(small(prints[mine[x:y]]), base, small(size[x:y]), small(low[x:y]), np.packbits(low[x:y] < high[x:y]), b"".join(texts[x:y])))
+                    packed = _squeezed(b"".join(texts[x:y]))
+                    blobs.append(pack(small(prints[mine[x:y]]), base, small(size[x:y]), small(low[x:y]), np.packbits(low[x:y] < high[x:y]), packed))
             keys.append(key[0].as_py())
             kinds.append(PLACES)
             blobs.append(pack(small(seg), small(start), small(anchors.doc[runs])))
