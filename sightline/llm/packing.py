@@ -12,6 +12,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import batch_of, one_array
+from sightline.llm.token_counts import byte_letters
 
 CAPACITY = 4096
 #: Segments and loss-bearing tokens that one sequence may hold.
@@ -30,37 +32,59 @@ MAX_LOSS = 4096
 POOL = 512
 PARTITION_BYTES = 6 << 20
 #: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 END_ID = 2
+_LETTER_OF = {b: c for c, b in byte_letters().items()}
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int64())]
 )
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
 
 
-class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space: words between ASCII white space are encoded once each.
+#: Words of these code points are split here: each has one lower-case form, is composed already, and is a letter, an ASCII digit or a sign.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+#: What the vocabulary's own splitting pattern does to such words in lower case (a fixed value of the vocabulary).
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
-    That is exact for tokenizers whose normaliser and pre-splitter never join what white space parts."""
+
+class WordIds(dict):
+    """Ids, as little-endian unsigned 32-bit integers, of the words of texts by a tokenizer that drops white space.
+
+    Texts are cut at ASCII white space and each word is encoded once.  That is exact because neither the normaliser nor the splitting
+    pattern joins what white space parts.  Plain words are split here, and the library's merges are applied to each piece, which
+    is kept; other words, and those that may hold an added token, go through the whole library."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and not ("<" in text and any(a in text for a in self.added)):
+            pieces = self.pieces
+            got = b"".join([pieces.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
+        else:
+            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
+        return got
+
+    def _piece(self, piece: str) -> bytes:
+        letters = "".join(map(_LETTER_OF.__getitem__, piece.encode()))
+        got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
+        return got
 
     def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in set(words) if w not in self.memo]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Packer:
