@@ -12,6 +12,11 @@ def _d(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what stands in a lambda is otherwise evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def positions(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
@@ -26,12 +31,12 @@ def at(arr: Column, position: Column) -> Column:
 
 def resample(arr: Column, n: int) -> Column:
     """n values at even positions from the first to the last element."""
-    return F.transform(positions(n), lambda i: at(arr, i * (F.size(arr) - 1) / F.lit(float(max(1, n - 1)))))
+    return let(arr, lambda a: F.transform(positions(n), lambda i: at(a, i * (F.size(a) - 1) / F.lit(float(max(1, n - 1))))))
 
 
 def resample_span(arr: Column, n: int) -> Column:
     """n values at i * (len - 1) / n: the last element is never reached."""
-    return F.transform(positions(n), lambda i: at(arr, i * (F.size(arr) - 1) / F.lit(float(n))))
+    return let(arr, lambda a: F.transform(positions(n), lambda i: at(a, i * (F.size(a) - 1) / F.lit(float(n)))))
 
 
 def depth_channel(depths: Column, n: int) -> Column:
@@ -48,15 +53,20 @@ def measured(size: Column, start: Column, end: Column) -> Column:
 def gradient_channel(depths: Column, start: Column, end: Column, n: int) -> Column:
     """Signed square root of the central difference inside the measured interval, one-sided at its ends, zero outside; resampled."""
     inside = measured(F.size(depths), start, end)
-    low, high = F.array_min(inside), F.array_max(inside)
-    clip = lambda i: F.greatest(F.get(depths, i), F.lit(0.0))
+    clipped = F.transform(depths, lambda x: F.greatest(x, F.lit(0.0)))
+    parts = F.struct(clipped.alias("d"), F.array_min(inside).alias("low"), F.array_max(inside).alias("high"))
+
+    def channel(p):
+        d, low, high = p["d"], p["low"], p["high"]
+
+        def slope(i):
+            left, right = F.greatest(i - 1, low), F.least(i + 1, high)
+            g = F.when((i < low) | (i > high) | (left >= right), F.lit(0.0)).otherwise((F.get(d, right) - F.get(d, left)) / F.greatest(right - left, F.lit(1)))
+            return F.coalesce(F.signum(g) * F.sqrt(F.abs(g)), F.lit(0.0))
 
-    def slope(i):
-        left, right = F.greatest(i - 1, low), F.least(i + 1, high)
-        g = F.when((i < low) | (i > high) | (left >= right), F.lit(0.0)).otherwise((clip(right) - clip(left)) / F.greatest(right - left, F.lit(1)))
-        return F.signum(g) * F.sqrt(F.abs(g))
+        return F.transform(F.sequence(F.lit(0), F.size(d) - 1), slope)
 
-    return resample(F.transform(F.sequence(F.lit(0), F.size(depths) - 1), lambda i: F.coalesce(slope(i), F.lit(0.0))), n)
+    return resample(let(parts, channel), n)
 
 
 def stretch(arr: Column, factor) -> Column:

@@ -14,7 +14,7 @@ CROPS_SQL = """crops AS (
     CASE WHEN l_linenumber % 2 = 1 THEN 'left' ELSE 'right' END AS side
   FROM lineitem GROUP BY 1, 2),
 photos AS (
-  SELECT concat(sighting, '-', line) AS photo, c.*, o_custkey AS cust, c_name AS name, o_orderdate::DATE AS date
+  SELECT concat(sighting, '-', line) AS photo, c.*, o_custkey AS cust, c_name AS name, o_orderdate::DATE::VARCHAR AS date
   FROM crops c JOIN orders ON o_orderkey = sighting JOIN customer ON c_custkey = o_custkey)"""
 
 #: One pair for each sighting with both sides: its first left and its first right photo.
@@ -32,7 +32,7 @@ BOXES_SQL = (
     + """,
 boxes AS (
   SELECT photo, sighting, line, side, score, (part % 90)::DOUBLE + 0.25 AS x1, (supp % 70)::DOUBLE - 5.5 AS y1,
-    (part % 90)::DOUBLE + 0.25 + qty * 1.5 AS x2, (supp % 70)::DOUBLE - 5.5 + (1 + price::BIGINT % 60)::DOUBLE AS y2
+    (part % 90)::DOUBLE + 0.25 + qty * 1.5 AS x2, (supp % 70)::DOUBLE - 5.5 + (1 + floor(price)::BIGINT % 60)::DOUBLE AS y2
   FROM photos)"""
 )
 
@@ -67,7 +67,7 @@ def crops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def photos(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sighting"), F.col("o_custkey").alias("cust"), F.to_date("o_orderdate").alias("date"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sighting"), F.col("o_custkey").alias("cust"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("name"))
     return crops(spark, sf).join(orders, "sighting").join(names, "cust").withColumn("photo", F.concat_ws("-", F.col("sighting"), F.col("line")))
 
@@ -79,7 +79,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     x, y = (F.col("part") % 90).cast("double") + 0.25, (F.col("supp") % 70).cast("double") - 5.5
-    return photos(spark, sf).select("photo", "sighting", "line", "side", "score", x.alias("x1"), y.alias("y1"), (x + F.col("qty") * 1.5).alias("x2"), (y + (1 + F.col("price").cast("decimal(18,0)").cast("long") % 60).cast("double")).alias("y2"))
+    return photos(spark, sf).select("photo", "sighting", "line", "side", "score", x.alias("x1"), y.alias("y1"), (x + F.col("qty") * 1.5).alias("x2"), (y + (1 + F.floor("price").cast("long") % 60).cast("double")).alias("y2"))
 
 
 def ears(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,7 +73,7 @@ def vector_ranks(spark, sf) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query(f"WITH {_RANKS} SELECT count(*) AS n_queries, {_METRICS}, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM ranks")
