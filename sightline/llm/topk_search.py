@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from sightline.llm.common import batch_of, one_array
 
 #: Rows of a candidate block and of a query block.
-CANDIDATES = 4096
-QUERIES = 2048
+CANDIDATES = 8192
+QUERIES = 1024
 #: Shares of a query's largest possible impact at which the bound is tried.
-LEVELS = (0.35, 0.2, 0.1, 0.0)
+LEVELS = (0.4, 0.0)
 #: If the bound leaves at most so many rows, they are scored exactly.
 RESCORE = 512
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("part", pa.int32())])
@@ -61,8 +61,9 @@ class ImpactIndex:
         self.ids, self.rows = ids[order], rows[order]
         self.dims = self.rows.shape[1]
         columns = self.rows.T
-        self.postings = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.postings = np.argsort(columns, axis=1, kind="stable")
         self.sorted = np.take_along_axis(columns, self.postings, axis=1)
+        self.values = self.sorted.astype(np.float64)
         self.exact = self.rows.astype(np.float64)  # integers below 2**53: products and sums are exact
 
     def _slice(self, d: int, q: int, above: int, upto: int | None) -> tuple[int, int]:
@@ -85,25 +86,27 @@ class ImpactIndex:
         if k <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         used = np.flatnonzero(query)
-        top = max((max(int(query[d]) * int(self.sorted[d, 0]), int(query[d]) * int(self.sorted[d, -1])) for d in used), default=0)
-        gathered, seen = np.zeros(n), np.zeros(n, np.int64)
+        largest = np.maximum(query * self.sorted[: query.size, 0], query * self.sorted[: query.size, -1])  # impact of each dimension
+        top = int(largest[used].max()) if used.size else 0
+        gathered, unseen = np.zeros(n), np.full(n, float(used.size))
         keep = None
         upto = None
         q = query[: self.dims].astype(np.float64)
         for level in LEVELS:
             above = int(level * top)
             places, impacts = [], []
-            for d in used.tolist():
+            for d in used[largest[used] > above].tolist():
                 a, b = self._slice(d, int(query[d]), above, upto)
                 if b > a:
                     places.append(self.postings[d, a:b])
-                    impacts.append(self.sorted[d, a:b] * query[d])
+                    impacts.append(self.values[d, a:b] * q[d])
             if places:
-                places, impacts = np.concatenate(places), np.concatenate(impacts)
-                gathered += np.bincount(places, impacts, n)
-                seen += np.bincount(places, minlength=n)
+                places = np.concatenate(places)
+                gathered += np.bincount(places, np.concatenate(impacts), n)
+                if above:
+                    unseen -= np.bincount(places, minlength=n)
             upto = above
-            bound = gathered + (used.size - seen) * float(above)
+            bound = gathered + unseen * float(above)
             bound[own] = -np.inf
             # the k rows that have gathered most, exactly: their least score is a proven threshold
             tried = np.argpartition(np.where(np.isneginf(bound), -np.inf, gathered), n - k)[n - k :]
@@ -111,7 +114,8 @@ class ImpactIndex:
             keep = np.flatnonzero(bound >= least)
             if keep.size <= max(RESCORE, k):
                 break
-        score = self.exact[keep, : q.size] @ q
+        rows = self.exact[:, : q.size]
+        score = (rows @ q)[keep] if keep.size > n // 16 else rows[keep] @ q  # a gather costs more than a few products
         if score.size > 4 * k:
             least = np.partition(score, score.size - k)[score.size - k]
             keep, score = keep[score >= least], score[score >= least]
