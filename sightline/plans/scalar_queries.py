@@ -11,13 +11,16 @@ from sightline.plans.registry import query, table
 from sightline.plans.retrieval_queries import rounded
 
 B = inputs.BOXES_SQL
-X = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+
+
+def sides():
+    return [F.col(c) for c in ("x1", "y1", "x2", "y2")]
 
 
 @query(f"WITH {B} SELECT photo, x1 - (x2 - x1) / 2 AS a, y1 - (y2 - y1) / 2 AS b, x1 + (x2 - x1) / 2 AS c, y1 + (y2 - y1) / 2 AS d FROM boxes")
 def p1_centre_to_corners(spark, sf):
-    b = inputs.boxes(spark, sf)
-    c = sc.corners(X[0], X[1], X[2] - X[0], X[3] - X[1])
+    b, corner = inputs.boxes(spark, sf), sides()
+    c = sc.corners(corner[0], corner[1], corner[2] - corner[0], corner[3] - corner[1])
     return b.select("photo", *[x.alias(n) for x, n in zip(c, "abcd")])
 
 
@@ -26,14 +29,14 @@ def p1_centre_to_corners(spark, sf):
 SELECT photo, x1, y1, x2, y2 FROM c WHERE x2 > x1 AND y2 > y1 AND ox2 > ox1 AND oy2 > oy1"""
 )
 def p2_clipped_boxes(spark, sf):
-    return inputs.boxes(spark, sf).select("photo", sc.clip_box(*X, 100, 80).alias("box")).filter(F.col("box").isNotNull()).select("photo", "box.*")
+    return inputs.boxes(spark, sf).select("photo", sc.clip_box(*sides(), 100, 80).alias("box")).filter(F.col("box").isNotNull()).select("photo", "box.*")
 
 
 @query(
     f"""WITH {B} SELECT photo, round(x1 - (x2 - x1) * 0.15, 6) AS px1, round(y2 + (y2 - y1) * 0.15, 6) AS py2, x1 - trunc((x2 - x1) * 0.1)::INT AS wx1, y2 + trunc((y2 - y1) * 0.1)::INT AS wy2 FROM boxes"""
 )
 def p3_padded_boxes(spark, sf):
-    p, w = sc.pad_box(*X, 0.15), sc.pad_box_whole(*X, 0.1)
+    p, w = sc.pad_box(*sides(), 0.15), sc.pad_box_whole(*sides(), 0.1)
     return rounded(inputs.boxes(spark, sf).select("photo", p[0].alias("px1"), p[3].alias("py2"), w[0].alias("wx1"), w[3].alias("wy2")))
 
 
@@ -44,9 +47,9 @@ _IOU = """a AS (SELECT a.photo AS a, b.photo AS b, a.sighting, greatest(0.0, lea
 
 @query(f"WITH {B}, {_IOU} SELECT a, b, round(aa, 6) AS area, round(inter, 6) AS inter, round(CASE WHEN aa + ab - inter > 0 THEN inter / (aa + ab - inter) ELSE 0 END, 9) AS iou FROM a")
 def p4_box_overlaps(spark, sf):
-    b = inputs.boxes(spark, sf)
-    left = b.select("sighting", F.col("line").alias("la"), F.col("photo").alias("a"), *[x.alias(f"a{i}") for i, x in enumerate(X)])
-    right = b.select("sighting", F.col("line").alias("lb"), F.col("photo").alias("b"), *[x.alias(f"b{i}") for i, x in enumerate(X)])
+    b, corner = inputs.boxes(spark, sf), sides()
+    left = b.select("sighting", F.col("line").alias("la"), F.col("photo").alias("a"), *[x.alias(f"a{i}") for i, x in enumerate(corner)])
+    right = b.select("sighting", F.col("line").alias("lb"), F.col("photo").alias("b"), *[x.alias(f"b{i}") for i, x in enumerate(corner)])
     p, q = [F.col(f"a{i}") for i in range(4)], [F.col(f"b{i}") for i in range(4)]
     both = left.join(right, "sighting").filter("la < lb")
     return rounded(both.select("a", "b", sc.area(*p).alias("area"), sc.intersection(p, q).alias("inter"), sc.iou(p, q).alias("iou")), 9)
@@ -55,8 +58,8 @@ def p4_box_overlaps(spark, sf):
 @query(f"WITH {B} SELECT photo, x1 + score * 10 AS x1, y1 + line AS y1, x2 + score * 10 AS x2, y2 + line AS y2, [x1 + score * 10, x2 + score * 10] AS kx FROM boxes")
 def p5_translated_boxes(spark, sf):
     dx, dy = F.col("score") * 10, F.col("line")
-    b = inputs.boxes(spark, sf)
-    return b.select("photo", (X[0] + dx).alias("x1"), (X[1] + dy).alias("y1"), (X[2] + dx).alias("x2"), (X[3] + dy).alias("y2"), F.transform(F.array(X[0], X[2]), lambda k: k + dx).alias("kx"))
+    b, corner = inputs.boxes(spark, sf), sides()
+    return b.select("photo", (corner[0] + dx).alias("x1"), (corner[1] + dy).alias("y1"), (corner[2] + dx).alias("x2"), (corner[3] + dy).alias("y2"), F.transform(F.array(corner[0], corner[2]), lambda k: k + dx).alias("kx"))
 
 
 _CODE = """codes AS (SELECT c_custkey AS id, concat(' ', c_custkey % 10, CASE WHEN c_custkey % 3 = 0 THEN 'M' WHEN c_custkey % 3 = 1 THEN 'F' ELSE '?' END, c_custkey % 9,
