@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 #: Stands for a null doc_id inside the operators: larger than every other one.
 NULL_ID = np.iinfo(np.int64).max
+#: What workers keep between tasks (models, words); a worker that turns to chunks of documents lets go of it.
+CACHES: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,8 @@ class Chunk:
     """The documents of a chunk in an order that does not depend on how Spark delivered them: by doc_id, then text."""
 
     def __init__(self, rows: pa.Table):
+        for cache in CACHES:
+            cache.clear()
         ids = one_array(rows.column("doc_id"))
         self.ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         order = np.argsort(self.ids, kind="stable")
@@ -140,6 +144,35 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64)
 
 
+def counts_packed(c: np.ndarray) -> bytes:
+    """Mostly small counts: bytes, and the large ones apart."""
+    big = np.flatnonzero(c >= 255)
+    return pack(np.minimum(c, 255).astype(np.uint8), small(big), small(c[big]))
+
+
+def counts_unpacked(blob) -> np.ndarray:
+    low, at, big = unpack(blob)
+    out = low.astype(np.int64)
+    out[at.astype(np.int64)] = big.astype(np.int64)
+    return out
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """Integers, byte plane by byte plane, compressed."""
+    a = small(a)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(a.size, a.dtype.itemsize).T).tobytes() if a.size else b""
+    return pack(np.array([a.dtype.itemsize, a.size], np.int64), pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def expanded(blob) -> np.ndarray:
+    head, data = unpack(blob)
+    width, n = int(head[0]), int(head[1])
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data.tobytes(), width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64)
+
+
 def golomb_encode(values: np.ndarray) -> bytes:
     """Sorted unsigned integers as Golomb-Rice coded differences: all quotients in unary, then all remainders."""
     v = np.asarray(values, np.uint64)
