@@ -7,8 +7,10 @@ document with a smaller doc_id; the bytes that repeats cover are removed.
    have equal anchors at equal places, so windows whose anchor occurs in one document alone repeat nothing.  Chunks send the
    owners Golomb-coded anchor fingerprints and get bitmaps of the shared ones, as exact_dedup does.
 2. Buckets.  Runs of windows with one shared anchor form a segment, sent once for each distinct segment and chunk (with its
-   smallest doc_id) to the bucket of that anchor.  All windows that can be equal meet in one bucket, and a passage that
-   very many documents hold comes once from each chunk.
+   smallest doc_id) to the bucket of that anchor.  All windows that can be equal meet in one bucket.  An anchor with very many
+   runs would overload its bucket, as of a line that very many documents hold the windows that cross its ends all differ: of such
+   hot anchors the windows are exchanged once more by fingerprints of their own, and only shared ones go, one for each distinct
+   window and chunk, to the buckets of these fingerprints.
 3. Sorting.  A bucket is cut into blocks by anchor.  In a block, suffixes are sorted by their first COVER bytes.  Ties are
    resolved by the ranks of cover samples: positions whose remainder modulo COVER lies in a difference cover were ranked
    before, and for any two suffixes some shift below COVER makes both of them samples.  Tied groups are
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import CHUNK_BYTES, Chunk, batch_of, chunked, golomb_decode, golomb_encode, one_array, owner_of, pack, small, unpack
+from sightline.llm.common import CHUNK_BYTES, Chunk, batch_of, chunked, counts_packed, counts_unpacked, expanded, golomb_decode, golomb_encode, one_array, owner_of, pack, small, squeezed, unpack
 
 #: Period of the difference cover, and residues among which every difference modulo COVER occurs.
 COVER = 16
@@ -40,8 +42,12 @@ _COUNT = np.arange(1 << 15, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WIRE = "key int, kind int, chunk int, blob binary"
 _WIRE_ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
-_ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("owner", pa.int32()), ("bits", pa.binary())])
+_ANSWER = "chunk int, kind int, owner int, bits binary"
+_ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("owner", pa.int32()), ("bits", pa.binary())])
 SEGMENTS, PLACES, MATCHES = 0, 1, 2
+ANCHORS, WINDOWS = 0, 1
+#: An anchor is hot with more runs than this many for each chunk, within these bounds.
+HOT_RUNS_PER_CHUNK, HOT_RUNS = 16, (256, 20_000)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -129,6 +135,31 @@ class Anchors:
         self.at, self.hash = place[run], hashes[run]
 
 
+class HotWindows:
+    """The windows of a chunk's hot runs: position, document, and the distinct windows (hash, first position) they belong to."""
+
+    def __init__(self, chunk: Chunk, anchors: Anchors, runs: np.ndarray, length: int):
+        count = anchors.end[runs] - anchors.start[runs]
+        self.at = np.repeat(anchors.start[runs] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        self.doc = np.repeat(anchors.doc[runs], count)
+        order = np.argsort(self.at, kind="stable")
+        self.at, self.doc = self.at[order], self.doc[order]
+        data = chunk.data
+        h = np.empty(self.at.size, np.uint64)
+        edges = np.searchsorted(self.at, np.arange(0, data.size + _TILE, _TILE))
+        for tile, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                base = tile * _TILE
+                h[a:b] = gram_hashes(data[base : base + _TILE + length - 1], length)[self.at[a:b] - base]
+        self.hash, first, self.window = np.unique(h, return_index=True, return_inverse=True)
+        self.first = self.at[first]
+        view = np.lib.stride_tricks.sliding_window_view(data, length) if data.size >= length else None
+        for a in range(0, self.at.size, 1 << 18):  # equal hashes must mean equal bytes
+            part = slice(a, a + (1 << 18))
+            if not np.array_equal(view[self.at[part]], view[self.first[self.window[part]]]):
+                raise RuntimeError("two windows of a chunk share a 64-bit hash")
+
+
 def _shift_table() -> np.ndarray:
     """For two residues the smallest shift that takes both into the cover."""
     table = np.full((COVER, COVER), -1, np.int64)
@@ -265,11 +296,12 @@ def _match_blocks(parts: list[list[np.ndarray]], length: int):
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int = 18, carry: list[str] | None = None, keep_bytes: bool = False, whole_points: bool = False, chunk_bytes: int = CHUNK_BYTES // 2) -> DataFrame:
+def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int = 18, carry: list[str] | None = None, keep_bytes: bool = False, whole_points: bool = False, chunk_bytes: int = CHUNK_BYTES // 4, hot_runs: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; `kept` (binary) with keep_bytes; the columns
     `carry` in a struct `rest`.  With whole_points a code point goes only if all its bytes do."""
     rows, n, total = chunked(docs, text, carry, chunk_bytes)
     bits = min(64, max(24, total.bit_length() + 10))
+    hot = hot_runs if hot_runs is not None else min(max(HOT_RUNS_PER_CHUNK * n, HOT_RUNS[0]), HOT_RUNS[1])
 
     def prints_of(anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
         """The distinct fingerprints in order, and for each run the index of its own."""
@@ -280,68 +312,113 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         edges = np.flatnonzero(np.diff(whose, prepend=-1))
         return [(int(whose[a]), int(a), int(b)) for a, b in zip(edges, [*edges[1:], len(prints)])]
 
+    def several(ids: np.ndarray, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest doc_id of each kind, and whether it has more than one."""
+        low, high = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        np.minimum.at(low, which, ids)
+        np.maximum.at(high, which, ids)
+        return low, low < high
+
     def send(key, table):
         chunk = Chunk(table)
         anchors = Anchors(chunk, length, k)
         prints, which = prints_of(anchors)
-        ids = chunk.ids[anchors.doc]
-        low, high = np.full(prints.size, np.iinfo(np.int64).max), np.full(prints.size, np.iinfo(np.int64).min)
-        np.minimum.at(low, which, ids)
-        np.maximum.at(high, which, ids)
-        owners, blobs = [], []
-        for owner, a, b in edges_of(prints):
-            owners.append(owner)
-            blobs.append(pack(golomb_encode(prints[a:b]), np.packbits(low[a:b] < high[a:b])))
-        return batch_of(_WIRE_ARROW, owners, [0] * len(owners), [key[0].as_py()] * len(owners), blobs)
+        _, multi = several(chunk.ids[anchors.doc], which, prints.size)
+        runs = np.bincount(which, minlength=prints.size)
+        edges = edges_of(prints)
+        blobs = [pack(golomb_encode(prints[a:b]), np.packbits(multi[a:b]), counts_packed(runs[a:b])) for _, a, b in edges]
+        return batch_of(_WIRE_ARROW, [o for o, _, _ in edges], [ANCHORS] * len(edges), [key[0].as_py()] * len(edges), blobs)
 
     def answer(key, table):
-        prints, several = [], []
+        prints, multi, runs = [], [], []
         for blob in one_array(table.column("blob")):
-            p, m = unpack(blob.as_buffer())
+            p, m, r = unpack(blob.as_buffer())
             prints.append(golomb_decode(p))
-            several.append(np.unpackbits(m, count=prints[-1].size).astype(bool))
+            multi.append(np.unpackbits(m, count=prints[-1].size).astype(bool))
+            runs.append(counts_unpacked(r.tobytes()))
         _, back, counts = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
         shared = counts > 1
-        shared[back[np.concatenate(several)]] = True
-        shared = shared[back]
+        shared[back[np.concatenate(multi)]] = True
+        many = np.bincount(back, np.concatenate(runs), shared.size) > hot
+        shared, many = shared[back], many[back]
         edges = np.cumsum([0, *(p.size for p in prints)])
-        return batch_of(_ANSWER_ARROW, table.column("chunk"), [key[0].as_py()] * len(prints), [np.packbits(shared[a:b]).tobytes() for a, b in zip(edges, edges[1:])])
+        blobs = [pack(np.packbits(shared[a:b]), np.packbits(many[a:b])) for a, b in zip(edges, edges[1:])]
+        return batch_of(_ANSWER_ARROW, table.column("chunk"), table.column("kind"), [key[0].as_py()] * len(prints), blobs)
+
+    def flags(prints: np.ndarray, answers, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each fingerprint is shared, and whether it is hot."""
+        kinds = answers.column("kind").to_pylist()
+        got = {o: b for k, o, b in zip(kinds, answers.column("owner").to_pylist(), one_array(answers.column("bits"))) if k == kind}
+        shared, many = np.zeros(prints.size, bool), np.zeros(prints.size, bool)
+        for owner, a, b in edges_of(prints):
+            x, y = unpack(got[owner].as_buffer())
+            shared[a:b], many[a:b] = np.unpackbits(x, count=b - a), np.unpackbits(y, count=b - a)
+        return shared, many
+
+    def send_windows(key, table, answers):
+        chunk = Chunk(table)
+        anchors = Anchors(chunk, length, k)
+        prints, which = prints_of(anchors)
+        shared, many = flags(prints, answers, ANCHORS)
+        edges, blobs = [], []
+        runs = np.flatnonzero((shared & many)[which])
+        if runs.size:
+            windows = HotWindows(chunk, anchors, runs, length)
+            kinds, of = np.unique(windows.hash >> np.uint64(64 - bits), return_inverse=True)
+            _, multi = several(chunk.ids[windows.doc], of[windows.window], kinds.size)
+            edges = edges_of(kinds)
+            blobs = [pack(golomb_encode(kinds[a:b]), np.packbits(multi[a:b]), counts_packed(np.zeros(b - a, np.int64))) for _, a, b in edges]
+        return batch_of(_WIRE_ARROW, [o for o, _, _ in edges], [WINDOWS] * len(edges), [key[0].as_py()] * len(edges), blobs)
 
     def segments(key, table, answers):
         chunk = Chunk(table)
         anchors = Anchors(chunk, length, k)
         prints, which = prints_of(anchors)
-        bitmap = dict(zip(answers.column("owner").to_pylist(), one_array(answers.column("bits"))))
-        shared = np.zeros(prints.size, bool)
-        for owner, a, b in edges_of(prints):
-            shared[a:b] = np.unpackbits(np.frombuffer(bitmap[owner].as_buffer(), np.uint8), count=b - a)
-        runs = np.flatnonzero(shared[which])
-        runs = runs[np.argsort(which[runs], kind="stable")]
-        start, end = anchors.start[runs], anchors.end[runs] + length - 1
+        shared, many = flags(prints, answers, ANCHORS)
+        me = key[0].as_py()
         flat = chunk.data.tobytes()
-        number: dict = {}  # of each distinct segment; its bytes determine its anchor
-        seg = np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist())), np.int64, runs.size)
-        ids = chunk.ids[anchors.doc[runs]]
-        low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
-        np.minimum.at(low, seg, ids)
-        np.maximum.at(high, seg, ids)
-        mine = which[runs][np.unique(seg, return_index=True)[1]]
-        texts = list(number)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
         keys, kinds, blobs = [], [], []
-        if len(number):
+        base = 0  # number of the chunk's segments so far
+
+        def put(of: np.ndarray, prints: np.ndarray, texts: list[bytes], low: np.ndarray, multi: np.ndarray) -> None:
+            """Segments, ordered by the fingerprint that `of` points to."""
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
             for owner, a, b in edges_of(prints):
-                x, y = np.searchsorted(mine, [a, b])
+                x, y = np.searchsorted(of, [a, b])
                 if y > x:
                     keys.append(owner)
                     kinds.append(SEGMENTS)
-                    base = np.array([x], np.int64)
-                    packed = _squeezed(b"".join(texts[x:y]))
-                    blobs.append(pack(small(prints[mine[x:y]]), base, small(size[x:y]), small(low[x:y]), np.packbits(low[x:y] < high[x:y]), packed))
-            keys.append(key[0].as_py())
+                    blobs.append(pack(small(prints[of[x:y]]), np.array([base + x], np.int64), small(size[x:y]), small(low[x:y]), np.packbits(multi[x:y]), _squeezed(b"".join(texts[x:y]))))
+
+        runs = np.flatnonzero((shared & ~many)[which])
+        runs = runs[np.argsort(which[runs], kind="stable")]
+        places = []
+        if runs.size:
+            start, end = anchors.start[runs], anchors.end[runs] + length - 1
+            number: dict = {}  # of each distinct segment; its bytes determine its anchor
+            seg = np.fromiter((number.setdefault(flat[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist())), np.int64, runs.size)
+            low, multi = several(chunk.ids[anchors.doc[runs]], seg, len(number))
+            put(which[runs][np.unique(seg, return_index=True)[1]], prints, list(number), low, multi)
+            base = len(number)
+            places.append((seg, start, anchors.doc[runs]))
+        runs = np.flatnonzero((shared & many)[which])
+        if runs.size:
+            windows = HotWindows(chunk, anchors, runs, length)
+            kinds_of, of = np.unique(windows.hash >> np.uint64(64 - bits), return_inverse=True)
+            keep = flags(kinds_of, answers, WINDOWS)[0][of]  # of the distinct windows, which are in the order of their hashes
+            low, multi = several(chunk.ids[windows.doc], windows.window, windows.hash.size)
+            mine = np.flatnonzero(keep)
+            put(of[mine], kinds_of, [flat[a : a + length] for a in windows.first[mine].tolist()], low[mine], multi[mine])
+            number = np.cumsum(keep) - 1 + base
+            at = np.flatnonzero(keep[windows.window])
+            seg, start, doc = number[windows.window[at]], windows.at[at], windows.doc[at]
+            if at.size:
+                places.append((seg, start, doc))
+        if places:
+            keys.append(me)
             kinds.append(PLACES)
-            blobs.append(pack(small(seg), small(start), small(anchors.doc[runs])))
-        return batch_of(_WIRE_ARROW, keys, kinds, [key[0].as_py()] * len(keys), blobs)
+            blobs.append(pack(*[squeezed(np.concatenate(x)) for x in zip(*places)]))
+        return batch_of(_WIRE_ARROW, keys, kinds, [me] * len(keys), blobs)
 
     def sort_bucket(key, table):
         kinds = table.column("kind").to_numpy()
@@ -383,11 +460,11 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         edge = np.zeros(size + 1, np.int32)
         places, runs = None, []
         for kind, blob in zip(matches.column("kind").to_pylist(), one_array(matches.column("blob"))):
-            parts = [x.astype(np.uint64).astype(np.int64) for x in unpack(blob.as_buffer())]
+            parts = unpack(blob.as_buffer())
             if kind == PLACES:
-                places = parts
+                places = [expanded(x.tobytes()) for x in parts]
             else:
-                runs.append(parts)
+                runs.append([x.astype(np.uint64).astype(np.int64) for x in parts])
         if places and runs:
             seg, first, count, least = (np.concatenate(x) for x in zip(*runs))
             order = np.argsort(seg, kind="stable")
@@ -429,7 +506,9 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
     if carry:
         ddl += ", rest " + rows.schema["rest"].dataType.simpleString()
     sent = rows.groupBy("chunk").applyInArrow(send, _WIRE)
-    answers = sent.groupBy("key").applyInArrow(answer, "chunk int, owner int, bits binary")
+    answers = sent.groupBy("key").applyInArrow(answer, _ANSWER)
+    windows = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_windows, _WIRE)
+    answers = answers.union(windows.groupBy("key").applyInArrow(answer, _ANSWER))
     parts = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(segments, _WIRE)
     matches = parts.groupBy("key").applyInArrow(sort_bucket, _WIRE)
     return rows.groupBy("chunk").cogroup(matches.groupBy("key")).applyInArrow(cut, ddl)

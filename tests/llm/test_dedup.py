@@ -58,10 +58,10 @@ def brute_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 12, 1 << 23])
-def test_suffix_dedup_against_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes, hot_runs", [(1 << 12, None), (1 << 23, None), (1 << 12, 0), (1 << 13, 4)])
+def test_suffix_dedup_against_brute_force(spark, chunk_bytes, hot_runs):
     texts = sample_texts()
-    got = removed_spans(table(spark, texts), chunk_bytes=chunk_bytes).collect()
+    got = removed_spans(table(spark, texts), chunk_bytes=chunk_bytes, hot_runs=hot_runs).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(list(enumerate(texts)), 50)
 
 
