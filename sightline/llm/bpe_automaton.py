@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batch_of, one_array
+from sightline.llm.common import CACHES, batch_of, one_array
 from sightline.llm.token_counts import byte_letters
 
 #: The published splitting pattern of byte-level vocabularies (a fixed value).
@@ -170,6 +170,7 @@ class ByteLevelCodec:
 
 
 _WORKER: dict = {}
+CACHES.append(_WORKER)
 
 
 def _codec(spec) -> ByteLevelCodec:

@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built.  A text is parsed greedily into the longest phrases that occur
-in that text; the language that needs the fewest phrases for each code point wins.  Words are parsed one by one, each with the blank
-before it, so that a word's phrase counts can be kept and summed up.
+in that text; the language that needs the fewest phrases for each code point wins.  Words (runs of letters in lower case) are parsed
+one by one, each with a blank before it, so that a word's phrase counts can be kept and summed up.
 
 The labelled text of a language is a bounded sample, SAMPLE_CHARS code points of documents in the order of a hash of doc_id; it
 is chosen in two steps, so that no language's documents meet in one task, and it is the only thing that reaches the driver.
@@ -15,21 +15,19 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batch_of, crc_bucket, one_array
+from sightline.llm.common import CACHES, crc_bucket
 
 #: Bound of what is learned: code points of text for each language, code points of one document, languages.
-SAMPLE_CHARS = 120_000
+SAMPLE_CHARS = 60_000
 DOCUMENT_CHARS = 2_000
 MAX_LANGUAGES = 200
 #: A text is rejected if even the best language needs more phrases than this for each code point.
 REJECT_RATE = 0.55
-MEMO_WORDS = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
+MEMO_WORDS = 200_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class SuffixAutomaton:
@@ -77,34 +75,39 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-class CrossParser:
-    """Phrase counts of texts against labelled text of each language."""
+class CrossParser(dict):
+    """Phrase counts of words against labelled text of each language, kept by word: one whole number with WIDTH bits for each language,
+    so that a text's counts are the sum of its words' numbers."""
+
+    WIDTH = 48
 
     def __init__(self, samples: list[tuple[str, str]]):
+        super().__init__()
         self.languages = [lang for lang, _ in samples]
         self.automata = [SuffixAutomaton(text) for _, text in samples]
-        self.memo: dict[str, np.ndarray] = {}
 
-    def _word(self, word: str) -> np.ndarray:
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        got = self.memo[word] = np.array([a.phrases(" " + word) for a in self.automata], np.int64)
-        return got
+    def __missing__(self, word: str) -> int:
+        value = 0
+        for i, a in enumerate(self.automata):
+            value |= a.phrases(" " + word) << (self.WIDTH * i)
+        self[word] = value
+        return value
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, and phrases of the best language for each code point."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not _LETTERS.search(text):
             return "und", 0.0, 1.0
-        memo, new = self.memo, self._word
-        words = text.lower().split()
-        total = np.zeros(len(self.languages), np.int64)
-        for i in range(0, len(words), 65536):
-            total += np.add.reduce([memo[w] if w in memo else new(w) for w in words[i : i + 65536]])
-        order = np.lexsort((np.arange(total.size), total))
-        best = total[order[0]]
-        second = total[order[1]] if total.size > 1 else best * 2
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        words = _LETTERS.findall(text.lower())
+        total = sum(map(self.__getitem__, words))
+        mask = (1 << self.WIDTH) - 1
+        counts = [total >> (self.WIDTH * i) & mask for i in range(len(self.languages))]
+        order = sorted(range(len(counts)), key=counts.__getitem__)  # stable: ties go to the first language
+        best = counts[order[0]]
+        second = counts[order[1]] if len(counts) > 1 else best * 2
         size = sum(map(len, words)) + len(words)
-        return self.languages[order[0]], float(1.0 - best / second), float(best / size)
+        return self.languages[order[0]], 1.0 - best / second, best / size
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", label: str = "lang", chars: int = SAMPLE_CHARS, per_document: int = DOCUMENT_CHARS) -> list[tuple[str, str]]:
@@ -124,10 +127,11 @@ def labelled_samples(docs: DataFrame, text: str = "text", label: str = "lang", c
     out: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["label"], r["at"], r["doc_id"] or 0, r["text"])):
         out.setdefault(r["label"], []).append(r["text"])
-    return [(lang, " ".join(" ".join(texts).lower().split())[:chars]) for lang, texts in sorted(out.items())]
+    return [(lang, " ".join(_LETTERS.findall(" ".join(texts).lower()))[:chars]) for lang, texts in sorted(out.items())]
 
 
 _WORKER: dict = {}
+CACHES.append(_WORKER)
 
 
 def _parser(samples) -> CrossParser:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batch_of, one_array
+from sightline.llm.common import CACHES, batch_of, one_array
 from sightline.llm.token_counts import byte_letters
 
 CAPACITY = 4096
@@ -32,7 +32,7 @@ MAX_LOSS = 4096
 POOL = 512
 PARTITION_BYTES = 6 << 20
 #: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 END_ID = 2
 _LETTER_OF = {b: c for c, b in byte_letters().items()}
 _OUT = pa.schema(
@@ -155,6 +155,7 @@ class Packer:
 
 
 _WORKER: dict = {}
+CACHES.append(_WORKER)
 
 
 def _word_ids(spec: str) -> WordIds:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batch_of, one_array
+from sightline.llm.common import CACHES, batch_of, one_array
 
 MEMO_WORDS = 600_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]|[\x00-\x08\x0e-\x1f\x7f]+")
@@ -120,6 +120,7 @@ class _Memo(dict):
 
 
 _WORKER: dict = {}
+CACHES.append(_WORKER)
 
 
 def _memo(pieces) -> _Memo:
