@@ -132,7 +132,10 @@ class Anchors:
         doc = np.repeat(np.arange(starts.size), np.diff(np.append(np.searchsorted(first, starts), first.size)))
         keep = (first < ends[doc]) & (first < n)
         self.start, self.end, self.doc, run = first[keep], last[keep], doc[keep], run[keep]
-        self.at, self.hash = place[run], hashes[run]
+        # anchors are least hashes, so these crowd at the low end: mixed again, they spread evenly over the owners
+        mixed = hashes[run] * np.uint64(0x9FB21C651E98DF25)
+        mixed ^= mixed >> np.uint64(35)
+        self.at, self.hash = place[run], mixed * np.uint64(0xD6E8FEB86659FD93)
 
 
 class HotWindows:
