@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import fresh_path, table
+from sightline.llm.common import NULL_ID, fresh_path, table
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.language_id import keep_identified
+from sightline.llm.near_texts import near_texts
 from sightline.llm.packing import pack_documents
-from sightline.llm.simhash import near_duplicates
 from sightline.llm.suffix_dedup import removed_spans
 
 
@@ -23,6 +23,17 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi")
 
 
+#: Names one row, whatever its doc_id.
+_ROW = "_row"
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a distinct number _row for each row, written so that it stays."""
+    path = fresh_path(spark, "pipeline-rows")
+    docs.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without a letter, or that no language explains, go."""
     return keep_identified(docs)
@@ -34,10 +45,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component; a text without words has no near copy."""
-    found = near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("keep_id"))
-    return _keep(docs, first)
+    """The document with the smallest doc_id of each component of texts whose five-word shingles have a similarity of 0.8 or more; of one
+    doc_id the row that was written first.  A text without words has no near copy."""
+    rows = _numbered(spark, docs)
+    found = near_texts(rows.select(F.col(_ROW).alias("row"), "text"))
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _ROW)
+    placed = rows.select(_ROW, order.alias("order")).join(found.withColumnRenamed("node", _ROW), _ROW)
+    first = placed.groupBy("root").agg(F.min("order").alias("least"))
+    copies = placed.join(first, "root").filter(F.col("order") != F.col("least")).select(_ROW)
+    return rows.join(copies, _ROW, "left_anti").drop(_ROW)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from sightline.llm import near_texts
 from tests.llm.helpers import sample_texts, table
 
 
@@ -28,3 +31,42 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
         for p in range(len(raw) - 49):
             assert seen.setdefault(raw[p : p + 50], i) == i
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_stage_links_by_verified_similarity(spark, tmp_path):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(30):  # copies with few or many changed words: similarities on both sides of 0.8, some only through others
+        base = [word() for _ in range(r.randrange(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            base = [word() if r.random() < r.choice((0.004, 0.015, 0.05)) else w for w in base]
+            texts.append(" ".join(base))
+    texts += ["", None, "two words", "TWO  words", "three small words"]
+    sets = [five_words(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+    want = {i for i, v in enumerate(root) if v == i}
+    assert 40 < len(want) < len(texts) - 40
+    got = dict(corpus_pipeline.STAGES)["near"](spark, table(spark, texts), str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in got) == sorted(want)
+
+
+def test_blocks_of_a_large_component_give_the_same_links(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(f"x{i}" if j == i else w for j, w in enumerate(base)) for i in range(90)] + ["quite another text of seven words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    monkeypatch.setattr(near_texts, "BLOCK", 7)
+    found = near_texts.near_texts(rows).collect()
+    assert {(x.node, x.root) for x in found} == {(i, 0) for i in range(90)}
