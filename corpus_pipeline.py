@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import NULL_ID, fresh_path, table
+from sightline.llm.common import fresh_path, table
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.language_id import keep_identified
 from sightline.llm.near_texts import near_texts
@@ -18,50 +18,58 @@ from sightline.llm.packing import pack_documents
 from sightline.llm.suffix_dedup import removed_spans
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (column keep_id)."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi")
-
-
 #: Names one row, whatever its doc_id.
 _ROW = "_row"
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a distinct number _row for each row, written so that it stays."""
+    """docs with a number _row, distinct for each row and in the order of doc_id, null last: doc_id itself where that is distinct.
+
+    Rows that share a doc_id are in the order of a hash of the text; the rows are then written, so that their numbers stay."""
+    key = F.col("doc_id").cast("long")
+    if not docs.groupBy(key.alias("id")).count().filter(F.col("id").isNull() | (F.col("count") > 1)).limit(1).count():
+        return docs.withColumn(_ROW, key)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [key.asc_nulls_last(), F.xxhash64("text")]
     path = fresh_path(spark, "pipeline-rows")
-    docs.withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
+    docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without a letter, or that no language explains, go."""
+    """Documents in a language that the labelled ones teach; those without a letter, or that no language explains, go.
+
+    Where no language is taught, all that have a letter stay."""
     return keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep(docs, exact_dedup(docs).filter("kept").select("keep_id"))
+    """One row of each group of equal texts, whatever their doc_ids."""
+    rows = _numbered(spark, docs)
+    kept = exact_dedup(rows.select(F.col(_ROW).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").select(*_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of texts whose five-word shingles have a similarity of 0.8 or more; of one
-    doc_id the row that was written first.  A text without words has no near copy."""
+    """The row with the smallest doc_id of each component of texts whose five-word shingles have a similarity of 0.8 or more.  A text
+    without words has no near copy."""
     rows = _numbered(spark, docs)
     found = near_texts(rows.select(F.col(_ROW).alias("row"), "text"))
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _ROW)
-    placed = rows.select(_ROW, order.alias("order")).join(found.withColumnRenamed("node", _ROW), _ROW)
-    first = placed.groupBy("root").agg(F.min("order").alias("least"))
-    copies = placed.join(first, "root").filter(F.col("order") != F.col("least")).select(_ROW)
-    return rows.join(copies, _ROW, "left_anti").drop(_ROW)
+    copies = found.filter("node <> root").select(F.col("node").alias(_ROW))
+    return rows.join(copies, _ROW, "left_anti").select(*_columns(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller doc_id holds; documents of which nothing is left go."""
+    """Texts without the passages that a row before it in the order of doc_id holds; documents of which nothing is left go."""
+    rows = _numbered(spark, docs).withColumnRenamed("doc_id", "_id").withColumnRenamed(_ROW, "doc_id")
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = removed_spans(docs, carry=rest, keep_bytes=True, whole_points=True)
+    cut = removed_spans(rows, carry=["_id", *rest], keep_bytes=True, whole_points=True)
     text = F.col("kept").cast("string")
-    values = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    values = {"doc_id": F.col("rest._id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
     return cut.filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).select(*[values[c].alias(c) for c in docs.columns])
 
 

@@ -170,7 +170,16 @@ def language_id(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, text: str = "text", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """The documents of docs in a known language, with docs' own columns: those with no letter, and those that no language explains, go."""
+    """The documents of docs in a known language, with docs' own columns: those with no letter, and those that no language explains, go.
+
+    Where nothing was learned, every document with a letter stays."""
     samples = labelled_samples(docs.filter(~held_out()), text)
+    if not samples:
+
+        @F.pandas_udf("boolean")
+        def has_letter(values):
+            return values.map(lambda v: v is not None and bool(_LETTERS.search(v))).astype(bool)
+
+        return docs.filter(has_letter(F.col(text)))
     found = identify(docs, samples, text)
     return found.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.phrase_rate") <= reject_rate)).select(*[F.col(f"`{c}`") for c in docs.columns])

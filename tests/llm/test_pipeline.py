@@ -70,3 +70,52 @@ def test_blocks_of_a_large_component_give_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(near_texts, "BLOCK", 7)
     found = near_texts.near_texts(rows).collect()
     assert {(x.node, x.root) for x in found} == {(i, 0) for i in range(90)}
+
+
+def brute_rows(rows):
+    """What the stages before packing leave of (doc_id, text), one row for each that stays."""
+    order = lambda r: (r[0] is None, r[0] or 0)
+    groups = {}
+    for doc_id, text in rows:
+        if any(c.isalpha() for c in text or ""):
+            groups.setdefault("".join(text.split()), []).append((doc_id, text))
+    kept = sorted((min(g, key=lambda r: (-len(r[1]), order(r))) for g in groups.values()), key=order)
+    sets, root = [five_words(t) for _, t in kept], list(range(len(kept)))
+    for b in range(len(kept)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+    return [r for i, r in enumerate(kept) if root[i] == i]
+
+
+def awkward_rows():
+    """Repeated rows, null doc_ids with copies of others and near copies among them, and one doc_id for several texts."""
+    r = random.Random(11)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    base = [sentence(60) for _ in range(14)]
+    near = " ".join(["changed", *base[5].split()[1:]])
+    return (
+        [(i, t) for i, t in enumerate(base[:8])]
+        + [(3, base[3]), (3, base[3]), (4, base[8]), (4, base[9])]
+        + [(None, t) for t in (base[0], base[10], base[10], base[11], near, None, "1 2 3")]
+        + [(20, base[12]), (None, base[12])]
+    )
+
+
+def test_run_keeps_one_row_of_each_group_with_repeated_and_null_ids(spark, tmp_path):
+    rows = awkward_rows()
+    for name, langs in (("taught", ["en"] * len(rows)), ("untaught", [None] * len(rows))):
+        sf = str(tmp_path / name)
+        table(spark, [t for _, t in rows], [i for i, _ in rows], langs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+        want = brute_rows(rows)
+        got = corpus_pipeline.run(spark, sf).filter("start = 0").select("doc_id").collect()
+        assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in want)
+
+
+def test_passages_of_rows_that_share_an_id_are_cut(spark, tmp_path):
+    shared = "a passage of more than fifty bytes that stands in both of these rows"
+    for ids in ([None, None], [7, 7]):
+        docs = table(spark, [f"first text {shared} its end", f"another one {shared} and so on"], ids=ids)
+        got = dict(corpus_pipeline.STAGES)["passages"](spark, docs, str(tmp_path)).collect()
+        assert [x.doc_id for x in got] == ids and sum(shared in x.text for x in got) == 1
