@@ -50,7 +50,7 @@ def v19_bad_runs(spark, sf):
 
 @query("SELECT event_id, i FROM events, (SELECT unnest(range(12))::INT AS i) WHERE event_id < 200000 AND i * 180.0::DOUBLE / 11 > value AND i * 180.0::DOUBLE / 11 < value + 40")
 def v22_measured_bins(spark, sf):
-    e = table(spark, sf, "events").filter("event_id < 200000")
+    e = table(spark, sf, "events")
     return e.select("event_id", F.explode(se.measured(F.lit(12), F.col("value"), F.col("value") + 40)).alias("i"))
 
 

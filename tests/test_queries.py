@@ -67,3 +67,11 @@ def test_results_do_not_depend_on_partitions(spark):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_measured_bins_of_every_event(spark, tmp_path):
+    events = [(5, 20.0), (199_999, 0.0), (200_000, 20.0), (3_000_000, 150.0)]
+    spark.createDataFrame(events, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["v22_measured_bins"](spark, str(tmp_path)).collect()
+    want = {(e, i) for e, v in events for i in range(12) if v < i * 180 / 11 < v + 40}
+    assert {(r.event_id, r.i) for r in got} == want and {e for e, _ in want} == {e for e, _ in events}
