@@ -144,3 +144,29 @@ def test_packer_holds_all_limits():
         assert sum(n for _, _, n in parts) <= 100 and len(parts) <= 4
         # tokens without loss come first in an example
         assert sum(max(0, s + n - max(s, items[k][1] - items[k][2])) for k, s, n in parts) <= 60
+
+
+def loss_by_sequence(examples, max_loss):
+    """Tokens and loss-bearing tokens of each sequence; of (tokens, loss) the last ones bear loss."""
+    packer = Packer(max_loss=max_loss, pool=32)
+    for i, (tokens, loss) in enumerate(examples):
+        packer.add(i, tokens, loss)
+    packer.finish()
+    out = {}
+    for i, start, length, sequence, _, _ in packer.out:
+        tokens, loss = examples[i]
+        paid = max(0, start + length - max(start, tokens - loss))
+        a, b = out.get(sequence, (0, 0))
+        out[sequence] = (a + length, b + paid)
+    assert sum(a for a, _ in out.values()) == sum(a for a, _ in examples) and sum(b for _, b in out.values()) == sum(b for _, b in examples)
+    return list(out.values())
+
+
+def test_loss_limit_binds_on_instruction_data_and_not_on_documents():
+    r = random.Random(6)
+    prompts = [(p + a, a) for p, a in ((r.randrange(20, 300), r.randrange(100, 400)) for _ in range(300))]
+    held, free = loss_by_sequence(prompts, 1500), loss_by_sequence(prompts, 4096)
+    assert max(b for _, b in held) <= 1500 < max(b for _, b in free) and len(held) > len(free)
+    assert sum(b == 1500 and a < 4096 for a, b in held) > 0
+    documents = [(n, n - 1) for n in (r.randrange(2, 9000) for _ in range(300))]
+    assert all(b <= a <= 4096 for a, b in loss_by_sequence(documents, 4096))
