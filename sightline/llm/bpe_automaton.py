@@ -9,7 +9,9 @@ references to the row copied and the moment of the copy, and an arc is looked up
 Encoding walks a pre-split word and keeps the state reached after each byte: exactly one token ends there that the state before it has an arc for.
 Decoding follows the same arcs and emits their labels, the bytes of the tokens.
 
-Defined results.  A null text is empty.  The strings of added tokens in a text become their ids.  Rows that repeat a doc_id are encoded each on its own.
+Defined results.  A null text is empty.  The strings of added tokens in a text become their ids.  Rows that repeat a doc_id, or have none, are encoded
+each on its own.  An empty table gives no rows.  A text of any length is encoded whole, piece by piece.  Only doc_id and the text column
+are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import CACHES, batch_of, one_array
+from sightline.llm.common import batch_of, one_array, worker_model
 from sightline.llm.token_counts import byte_letters
 
 #: The published splitting pattern of byte-level vocabularies (a fixed value).
@@ -169,25 +171,21 @@ class ByteLevelCodec:
         return n, ",".join(ids), b"".join(raw)
 
 
-_WORKER: dict = {}
-CACHES.append(_WORKER)
-
-
-def _codec(spec) -> ByteLevelCodec:
-    key = (len(spec[0]), len(spec[1]), hash(tuple(spec[1][-200:])), tuple(spec[2].items()))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = ByteLevelCodec(*spec)
-    return _WORKER[key]
+def _sent(spark, vocabulary: str):
+    """What a worker calls for the codec of a vocabulary file, which is read on the driver and sent along."""
+    spec = read_vocabulary(vocabulary)
+    name = hashlib.sha256(repr(spec).encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(spec)
+    return lambda: worker_model(f"codec {name}", lambda: ByteLevelCodec(*sent.value))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text.  vocabulary: path of a vocabulary file, read on the driver and sent along."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    codec_of = _sent(docs.sparkSession, vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
-        codec = _codec(sent.value)
+        codec = codec_of()
         for batch in batches:
             count, ids, raw = [], [], []
             for value in one_array(batch.column(1)):
@@ -202,12 +200,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """doc_id and ids (array<int>)."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    codec_of = _sent(docs.sparkSession, vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        codec = _codec(sent.value)
+        codec = codec_of()
         for batch in batches:
             ids = [[int(x) for x in codec.round_trip(v.as_py())[1].split(",") if x] for v in one_array(batch.column(1))]
             yield from batch_of(schema, batch.column(0), ids).to_batches()
@@ -217,11 +215,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and text of rows of ids."""
-    sent = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    codec_of = _sent(encoded.sparkSession, vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        codec = _codec(sent.value)
+        codec = codec_of()
         names = {i: t.encode() for t, i in codec.added.items()}
         label = codec.automaton.label | names
         for batch in batches:

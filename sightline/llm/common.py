@@ -1,14 +1,18 @@
 """What the corpus operators share: chunks of documents, packed arrays and the shared folder.
 
-Several operators exchange data between *chunks* (bounded groups of documents, dealt by a hash of doc_id) and
-*owners* (ranges of a key).  A chunk packs all that it has for one owner into one binary row, so that a shuffle moves a few
-large rows, and a key that very many documents share reaches its owner once for each chunk, not once for each document.
+Several operators exchange data between *chunks* (bounded groups of documents, dealt by a hash of the row) and
+*owners* (ranges of a key).  A chunk packs all that it has for one owner into one blob, and a task merges the blobs of its chunks
+into one row for each owner, so that a shuffle moves a few large rows, as many as tasks times owners, and a key that very many
+documents share reaches its owner once for each chunk, not once for each document.  Owners are much larger than chunks, so
+that their number grows with the input far more slowly.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one chunk aims at.
 CHUNK_BYTES = 8 << 20
+#: Bytes of text behind one owner of a key range, and the owners that small inputs get, so that they work side by side.
+OWNER_BYTES, LEAST_OWNERS = 64 << 20, 64
+#: Packed rows that a task gathers before it merges those for one owner.
+MERGE_BYTES = 16 << 20
+#: The largest groups that a join takes out of its shuffle.
+HOT_GROUPS = 1024
 #: Stands for a null doc_id inside the operators: larger than every other one.
 NULL_ID = np.iinfo(np.int64).max
-#: What workers keep between tasks (models, words); a worker that turns to chunks of documents lets go of it.
-CACHES: list[dict] = []
+#: What a worker keeps between tasks: one model at a time, and none when it turns to chunks of documents.
+_MODEL: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; set here only if the session names none (tests, one machine)."""
+    """The folder that the driver and all executors see.  Where the session names none, one is made on a local master and refused on any other."""
     set_one = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not set_one and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(set_one or tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return set_one or current
@@ -46,6 +58,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def worker_model(key: str, build: Callable):
+    """The model that a worker keeps, built when it has another one.  key: names all that the model depends on."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
+def forget_model() -> None:
+    _MODEL.clear()
+
+
 def crc_bucket(column, modulus: int):
     """crc32 of the column's text form, modulo."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
@@ -54,11 +78,12 @@ def crc_bucket(column, modulus: int):
 def chunked(docs: DataFrame, text: str = "text", carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
     """(chunk int, doc_id long, text binary, and `carry` as struct `rest`), the number of chunks and the bytes of text.
 
-    A null text counts as empty.  The total is one cheap aggregate over the table."""
+    A null text counts as empty.  The total is one cheap aggregate over the table.  Chunks hash doc_id and text, so that rows that share a
+    doc_id, or have none, are spread."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     n = max(1, -(-int(total) // chunk_bytes))
     cols = [
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col(text).cast("binary")), F.lit(n)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"),
     ]
@@ -67,6 +92,63 @@ def chunked(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     return docs.select(*cols), n, int(total)
 
 
+def owners_for(total: int, chunks: int, owner_bytes: int = OWNER_BYTES) -> int:
+    """Number of owners for `total` bytes of text in `chunks` chunks."""
+    return max(1, -(-total // owner_bytes), min(chunks, LEAST_OWNERS))
+
+
+def merged(wire: DataFrame, key: str = "key") -> DataFrame:
+    """Rows key, parts: each task's rows with one key as a list, in the order of the rows (more than one list only beyond MERGE_BYTES)."""
+    rest = [c for c in wire.columns if c != key]
+
+    def flush(batches):
+        rows = pa.Table.from_batches(batches)
+        keys = rows.column(key).to_numpy()
+        order = np.argsort(keys, kind="stable")
+        rows, keys = rows.take(pa.array(order)), keys[order]
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        parts = pa.StructArray.from_arrays([one_array(rows.column(c)) for c in rest], rest)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, keys.size), pa.int32()), parts)
+        return pa.RecordBatch.from_arrays([pa.array(keys[edge], pa.int64()), lists], ["key", "parts"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > MERGE_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in wire.schema if f.name != key)
+    return wire.mapInArrow(run, f"key long, parts array<struct<{fields}>>")
+
+
+def parts_of(table: pa.Table) -> Callable[[str], pa.Array]:
+    """The columns of the merged rows of a group."""
+    flat = one_array(table.column("parts")).flatten()
+    return lambda name: flat.field(name)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread) -> DataFrame:
+    """rows with the columns of groups (one row for each key at most; null where there is none).
+
+    The HOT_GROUPS largest groups by the column `size` are broadcast, and their rows are dealt out by `spread` (a column that differs from row to row):
+    no key of those that meet in one task holds more than a HOT_GROUPS-th part of the rows."""
+    names = [c for c in groups.columns if c != key]
+    value = F.struct(*names)
+    hot = groups.orderBy(F.col(size).desc(), key).limit(HOT_GROUPS).select(F.col(key).alias("_hot_key"), value.alias("_hot"))
+    cold = groups.select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), value.alias("_cold"))
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    found = found.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
+    found = found.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    both = F.coalesce("_hot", "_cold")
+    return found.select(*rows.columns, *[both[c].alias(c) for c in names])
+
+
 def one_array(column) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
@@ -91,8 +173,7 @@ class Chunk:
     """The documents of a chunk in an order that does not depend on how Spark delivered them: by doc_id, then text."""
 
     def __init__(self, rows: pa.Table):
-        for cache in CACHES:
-            cache.clear()
+        forget_model()
         ids = one_array(rows.column("doc_id"))
         self.ids = ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         order = np.argsort(self.ids, kind="stable")

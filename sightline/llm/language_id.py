@@ -7,27 +7,42 @@ one by one, each with a blank before it, so that a word's phrase counts can be k
 The labelled text of a language is a bounded sample, SAMPLE_CHARS code points of documents in the order of a hash of doc_id; it
 is chosen in two steps, so that no language's documents meet in one task, and it is the only thing that reaches the driver.
 
-Defined results.  A text that is null or has no letter is `und` with score 0.  Ties go to the language that sorts first.  With no labelled
-text at all every text is `und`.  Documents with a null lang are not learned from; those with a null doc_id are not held out.
+Defined results.  A text that is null or has no letter (Unicode's categories L) is `und` with score 0.  Ties go to the language that sorts first.
+With no labelled text at all every text is `und`.  Documents with a null lang are not learned from; those with a null doc_id are
+not held out.  Rows that repeat a doc_id are predicted each on its own.  An empty table gives no rows.  A text of any length is parsed
+whole.  Columns of the caller keep their names and values, whatever these are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import CACHES, crc_bucket
+from sightline.llm.common import crc_bucket, worker_model
 
-#: Bound of what is learned: code points of text for each language, code points of one document, languages.
+#: Bound of what is learned: code points of text for each language, of one document, and of all languages together, which
+#: share this last one evenly if they are many.
 SAMPLE_CHARS = 60_000
 DOCUMENT_CHARS = 2_000
-MAX_LANGUAGES = 200
+ALL_CHARS = 6_000_000
 #: A text is rejected if even the best language needs more phrases than this for each code point.
 REJECT_RATE = 0.55
 MEMO_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that are no digits: letter_runs() parts these
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters (Unicode's categories L) of a text in lower case."""
+    out = []
+    for word in _WORDS.findall(text.lower()):
+        if word.isalpha():
+            out.append(word)
+        else:
+            out.extend("".join(c if c.isalpha() else " " for c in word).split())
+    return out
 
 
 class SuffixAutomaton:
@@ -87,35 +102,39 @@ class CrossParser(dict):
         self.automata = [SuffixAutomaton(text) for _, text in samples]
 
     def __missing__(self, word: str) -> int:
+        """Phrases by language and, above them, the code points parsed: none for what holds no letter."""
         value = 0
-        for i, a in enumerate(self.automata):
-            value |= a.phrases(" " + word) << (self.WIDTH * i)
+        for run in [word] if word.isalpha() else letter_runs(word):
+            for i, a in enumerate(self.automata):
+                value += a.phrases(" " + run) << (self.WIDTH * i)
+            value += len(run) + 1 << (self.WIDTH * len(self.automata))
         self[word] = value
         return value
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, and phrases of the best language for each code point."""
-        if text is None or not self.languages or not _LETTERS.search(text):
+        if text is None or not self.languages:
             return "und", 0.0, 1.0
         if len(self) > MEMO_WORDS:
             self.clear()
-        words = _LETTERS.findall(text.lower())
-        total = sum(map(self.__getitem__, words))
+        total = sum(map(self.__getitem__, _WORDS.findall(text.lower())))
         mask = (1 << self.WIDTH) - 1
-        counts = [total >> (self.WIDTH * i) & mask for i in range(len(self.languages))]
+        *counts, size = [total >> (self.WIDTH * i) & mask for i in range(len(self.languages) + 1)]
+        if not size:
+            return "und", 0.0, 1.0
         order = sorted(range(len(counts)), key=counts.__getitem__)  # stable: ties go to the first language
         best = counts[order[0]]
         second = counts[order[1]] if len(counts) > 1 else best * 2
-        size = sum(map(len, words)) + len(words)
         return self.languages[order[0]], 1.0 - best / second, best / size
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", label: str = "lang", chars: int = SAMPLE_CHARS, per_document: int = DOCUMENT_CHARS) -> list[tuple[str, str]]:
     """(language, sample) in the order of languages.  docs: the rows that may be learned from."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = {r["label"]: (r["n"], r["chars"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(per_document))).alias("chars")).orderBy("label").limit(MAX_LANGUAGES).collect()}
+    counts = {r["label"]: (r["n"], r["chars"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(per_document))).alias("chars")).collect()}
     if not counts:
         return []
+    chars = min(chars, max(1, ALL_CHARS // len(counts)))
     # a share of the hash range that holds about four times what is needed, then the first of those in order
     share = {lang: min(1.0, 4.0 * chars / total + 64.0 / n) for lang, (n, total) in counts.items()}
     limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
@@ -127,35 +146,24 @@ def labelled_samples(docs: DataFrame, text: str = "text", label: str = "lang", c
     out: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["label"], r["at"], r["doc_id"] or 0, r["text"])):
         out.setdefault(r["label"], []).append(r["text"])
-    return [(lang, " ".join(_LETTERS.findall(" ".join(texts).lower()))[:chars]) for lang, texts in sorted(out.items())]
-
-
-_WORKER: dict = {}
-CACHES.append(_WORKER)
-
-
-def _parser(samples) -> CrossParser:
-    key = hash(tuple(samples))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = CrossParser(samples)
-    return _WORKER[key]
+    return [(lang, " ".join(letter_runs(" ".join(texts)))[:chars]) for lang, texts in sorted(out.items())]
 
 
-def identify(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and phrase_rate.  Every whole text is parsed."""
-    sent = docs.sparkSession.sparkContext.broadcast(samples)  # at most MAX_LANGUAGES * SAMPLE_CHARS code points
+def identify(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text", name: str = "found") -> DataFrame:
+    """docs with the struct `name` of lang_pred, score and phrase_rate.  Every whole text is parsed."""
+    key = hashlib.sha256(repr(samples).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(samples)  # at most ALL_CHARS code points
     fields = "lang_pred string, score double, phrase_rate double"
 
     @F.pandas_udf(fields)
     def parse(values):
         import pandas as pd
 
-        parser = _parser(sent.value)
+        parser = worker_model(f"samples {key}", lambda: CrossParser(sent.value))
         got = [parser.predict(v) for v in values]
         return pd.DataFrame(got, columns=["lang_pred", "score", "phrase_rate"])
 
-    return docs.withColumn("_found", parse(F.col(text)))
+    return docs.withColumn(name, parse(F.col(f"`{text}`")))
 
 
 def held_out(modulus: int = 4, remainder: int = 2):
@@ -166,7 +174,7 @@ def language_id(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, phrase_rate; learned from the documents that are not held out."""
     samples = labelled_samples(docs.filter(~held_out()), text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text).alias("text"))
-    return identify(rows, samples).select("doc_id", "held_out", "_found.lang_pred", "_found.score", "_found.phrase_rate")
+    return identify(rows, samples).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.phrase_rate")
 
 
 def keep_identified(docs: DataFrame, text: str = "text", reject_rate: float = REJECT_RATE) -> DataFrame:
@@ -178,8 +186,11 @@ def keep_identified(docs: DataFrame, text: str = "text", reject_rate: float = RE
 
         @F.pandas_udf("boolean")
         def has_letter(values):
-            return values.map(lambda v: v is not None and bool(_LETTERS.search(v))).astype(bool)
+            return values.map(lambda v: v is not None and any(map(str.isalpha, v))).astype(bool)
 
         return docs.filter(has_letter(F.col(text)))
-    found = identify(docs, samples, text)
-    return found.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.phrase_rate") <= reject_rate)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "found"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    found = identify(docs, samples, text, name)
+    return found.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.phrase_rate") <= reject_rate)).select(*[F.col(f"`{c}`") for c in docs.columns])

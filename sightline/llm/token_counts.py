@@ -7,11 +7,14 @@ node for what is left, read as a continuation.
 
 Words are what white space and ASCII punctuation part (a punctuation mark is a word).  A word that cannot be spelled out is one unknown token.
 
-Defined results.  A null text is empty and has no tokens.  Rows that repeat a doc_id are counted each on its own.
+Defined results.  A null text is empty and has no tokens.  Rows that repeat a doc_id, or have none, are counted each on its own.  An
+empty table gives no rows.  A text of any length is counted whole, word by word.  Of pieces that match at a place the longest is taken, so that
+there are no ties.  Only doc_id and the text column are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import CACHES, batch_of, one_array
+from sightline.llm.common import batch_of, one_array, worker_model
 
 MEMO_WORDS = 600_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]|[\x00-\x08\x0e-\x1f\x7f]+")
@@ -119,25 +122,15 @@ class _Memo(dict):
         return n
 
 
-_WORKER: dict = {}
-CACHES.append(_WORKER)
-
-
-def _memo(pieces) -> _Memo:
-    key = hash((len(pieces[0]), len(pieces[1]), *pieces[0][:50], *pieces[1][:50], *pieces[0][-50:], *pieces[1][-50:]))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = _Memo(LongestMatch(*pieces))
-    return _WORKER[key]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown.  vocabulary: path of a vocabulary file, read on the driver; its pieces are sent along."""
-    sent = docs.sparkSession.sparkContext.broadcast(word_pieces(vocabulary))
+    pieces = word_pieces(vocabulary)
+    name = hashlib.sha256(repr(pieces).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
     def run(batches):
-        memo = _memo(sent.value)
+        memo = worker_model(f"pieces {name}", lambda: _Memo(LongestMatch(*sent.value)))
         for batch in batches:
             words_of, tokens, unknown = [], [], []
             for value in one_array(batch.column(1)):
