@@ -8,17 +8,18 @@ document with a smaller doc_id; the bytes that repeats cover are removed.
    owners Golomb-coded anchor fingerprints and get bitmaps of the shared ones, as exact_dedup does.
 2. Buckets.  Runs of windows with one shared anchor form a segment, sent once for each distinct segment and chunk (with its
    smallest doc_id) to the bucket of that anchor.  All windows that can be equal meet in one bucket.  An anchor with very many
-   runs would overload its bucket, as of a line that very many documents hold the windows that cross its ends all differ: of such
+   runs would overload its bucket, since of a line that very many documents hold the windows that cross its ends all differ: of such
    hot anchors the windows are exchanged once more by fingerprints of their own, and only shared ones go, one for each distinct
    window and chunk, to the buckets of these fingerprints.
-3. Sorting.  A bucket is cut into blocks by anchor.  In a block, suffixes are sorted by their first COVER bytes.  Ties are
+3. Sorting.  Equal segments of several chunks are sorted once.  A bucket is cut into blocks by anchor.  In a block, suffixes are sorted by their first COVER bytes.  Ties are
    resolved by the ranks of cover samples: positions whose remainder modulo COVER lies in a difference cover were ranked
    before, and for any two suffixes some shift below COVER makes both of them samples.  Tied groups are
    split three ways around a pivot until each holds equal windows only.  Memory is bounded by the block.
 4. Runs of equal windows give the smallest doc_id, answers go back to the chunks, and these cover and cut the texts.
 
 Defined results.  A null text is empty.  A null doc_id is larger than any other; rows with the same doc_id do not repeat each
-other.  Texts shorter than `length` stay whole.  An empty table gives no rows.
+other.  Texts shorter than `length` stay whole.  An empty table gives no rows.  A text of any length is sorted in bounded blocks; it is one
+value, up to the 2 GB of a Spark row.  Of equal windows in several documents the smallest doc_id alone keeps its bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import CHUNK_BYTES, Chunk, batch_of, chunked, counts_packed, counts_unpacked, expanded, golomb_decode, golomb_encode, one_array, owner_of, pack, small, squeezed, unpack
+from sightline.llm.common import (
+    CHUNK_BYTES,
+    Chunk,
+    batch_of,
+    chunked,
+    counts_packed,
+    counts_unpacked,
+    expanded,
+    golomb_decode,
+    golomb_encode,
+    merged,
+    one_array,
+    owner_of,
+    owners_for,
+    pack,
+    parts_of,
+    small,
+    squeezed,
+    unpack,
+)
 
 #: Period of the difference cover, and residues among which every difference modulo COVER occurs.
 COVER = 16
@@ -156,11 +176,33 @@ class HotWindows:
                 h[a:b] = gram_hashes(data[base : base + _TILE + length - 1], length)[self.at[a:b] - base]
         self.hash, first, self.window = np.unique(h, return_index=True, return_inverse=True)
         self.first = self.at[first]
+        self._split(data, length)
+
+    def _split(self, data: np.ndarray, length: int) -> None:
+        """Windows with one hash and different bytes become windows of their own, next to each other in the order of hashes."""
         view = np.lib.stride_tricks.sliding_window_view(data, length) if data.size >= length else None
-        for a in range(0, self.at.size, 1 << 18):  # equal hashes must mean equal bytes
+        differ = [np.zeros(0, np.int64)]
+        for a in range(0, self.at.size, 1 << 18):
             part = slice(a, a + (1 << 18))
-            if not np.array_equal(view[self.at[part]], view[self.first[self.window[part]]]):
-                raise RuntimeError("two windows of a chunk share a 64-bit hash")
+            differ.append(a + np.flatnonzero((view[self.at[part]] != view[self.first[self.window[part]]]).any(axis=1)))
+        differ = np.concatenate(differ)
+        if not differ.size:
+            return
+        number: dict = {}
+        hashes, first = [self.hash], [self.first]
+        for i in differ.tolist():
+            at = int(self.at[i])
+            key = (int(self.window[i]), data[at : at + length].tobytes())
+            if key not in number:
+                number[key] = self.hash.size + len(number)
+                hashes.append(self.hash[key[0] : key[0] + 1])
+                first.append(np.array([at]))
+            self.window[i] = number[key]
+        self.hash, self.first = np.concatenate(hashes), np.concatenate(first)
+        order = np.argsort(self.hash, kind="stable")
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        self.hash, self.first, self.window = self.hash[order], self.first[order], place[self.window]
 
 
 def _shift_table() -> np.ndarray:
@@ -178,14 +220,27 @@ def _words(buffer: np.ndarray) -> np.ndarray:
 
 
 def _dense(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order by several keys, and whether each differs from the one before."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(order.size, bool)
-    if order.size:
-        new[0] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    """Sorted order by several keys, and whether each differs from the one before.  Later keys are looked at only where earlier ones tie."""
+    order = np.argsort(keys[0])
+    new = np.ones(order.size, bool)
+    first = keys[0][order]
+    new[1:] = first[1:] != first[:-1]
+    for k in keys[1:]:
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        if not at.size:
+            break
+        own = order[at]
+        values = k[own]
+        by_value = np.argsort(values)
+        values = values[by_value]
+        rank = np.empty(at.size, np.int64)
+        rank[by_value] = np.cumsum(np.append(False, values[1:] != values[:-1]))
+        rank |= np.cumsum(new[at]) << 32
+        by_rank = np.argsort(rank)
+        order[at], rank = own[by_rank], rank[by_rank]
+        new[at[1:]] = rank[1:] != rank[:-1]
     return order, new
 
 
@@ -258,7 +313,24 @@ def _match_blocks(parts: list[list[np.ndarray]], length: int):
     sizes = np.concatenate([p[2].astype(np.int64) for p in parts])
     ids = np.concatenate([p[3].astype(np.uint64).astype(np.int64) for p in parts])
     multi = np.concatenate([np.unpackbits(p[4], count=p[0].size).astype(bool) for p in parts])
-    data = np.concatenate([np.frombuffer(pa.decompress(p[5].tobytes(), int(p[2].sum(dtype=np.int64)), "zstd", asbytes=True), np.uint8) for p in parts])
+    # segments with equal bytes are one, with the smallest doc_id and more than one document if these differ
+    number: dict[bytes, int] = {}
+    same = []
+    for p in parts:
+        flat = pa.decompress(p[5].tobytes(), int(p[2].sum(dtype=np.int64)), "zstd", asbytes=True)
+        ends = np.cumsum(p[2], dtype=np.int64).tolist()
+        same.extend([number.setdefault(flat[a:b], len(number)) for a, b in zip([0, *ends], ends)])
+    same = np.array(same, np.int64)
+    data = np.frombuffer(b"".join(number), np.uint8)
+    low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(low, same, ids)
+    np.maximum.at(high, same, ids)
+    several = low < high
+    several[same[multi]] = True
+    one = np.empty(len(number), np.int64)
+    one[same] = np.arange(same.size)
+    hashes, sizes, ids, multi = hashes[one], sizes[one], low, several
+    del number
     begin = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     order = np.argsort(hashes, kind="stable")
@@ -296,7 +368,14 @@ def _match_blocks(parts: list[list[np.ndarray]], length: int):
         found.append((own[seg[at[head]]], inside[at[head]], np.diff(np.append(head, at.size)), least[at[head]]))
     if not found:
         return [np.zeros(0, np.int64)] * 4
-    return [np.concatenate(x) for x in zip(*found)]
+    seg, first, count, least = (np.concatenate(x) for x in zip(*found))
+    # back to all segments: each gets the runs of the one that stands for it
+    order = np.argsort(seg, kind="stable")
+    seg, first, count, least = seg[order], first[order], count[order], least[order]
+    lo, hi = np.searchsorted(seg, same, "left"), np.searchsorted(seg, same, "right")
+    each = hi - lo
+    take = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    return [np.repeat(np.arange(same.size), each), first[take], count[take], least[take]]
 
 
 def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int = 18, carry: list[str] | None = None, keep_bytes: bool = False, whole_points: bool = False, chunk_bytes: int = CHUNK_BYTES // 4, hot_runs: int | None = None) -> DataFrame:
@@ -304,6 +383,7 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
     `carry` in a struct `rest`.  With whole_points a code point goes only if all its bytes do."""
     rows, n, total = chunked(docs, text, carry, chunk_bytes)
     bits = min(64, max(24, total.bit_length() + 10))
+    owned = owners_for(total, n)
     hot = hot_runs if hot_runs is not None else min(max(HOT_RUNS_PER_CHUNK * n, HOT_RUNS[0]), HOT_RUNS[1])
 
     def prints_of(anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +391,7 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         return np.unique(anchors.hash >> np.uint64(64 - bits), return_inverse=True)
 
     def edges_of(prints: np.ndarray):
-        whose = owner_of(prints, bits, n)
+        whose = owner_of(prints, bits, owned)
         edges = np.flatnonzero(np.diff(whose, prepend=-1))
         return [(int(whose[a]), int(a), int(b)) for a, b in zip(edges, [*edges[1:], len(prints)])]
 
@@ -334,7 +414,8 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
 
     def answer(key, table):
         prints, multi, runs = [], [], []
-        for blob in one_array(table.column("blob")):
+        column = parts_of(table)
+        for blob in column("blob"):
             p, m, r = unpack(blob.as_buffer())
             prints.append(golomb_decode(p))
             multi.append(np.unpackbits(m, count=prints[-1].size).astype(bool))
@@ -346,7 +427,7 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         shared, many = shared[back], many[back]
         edges = np.cumsum([0, *(p.size for p in prints)])
         blobs = [pack(np.packbits(shared[a:b]), np.packbits(many[a:b])) for a, b in zip(edges, edges[1:])]
-        return batch_of(_ANSWER_ARROW, table.column("chunk"), table.column("kind"), [key[0].as_py()] * len(prints), blobs)
+        return batch_of(_ANSWER_ARROW, column("chunk"), column("kind"), [key[0].as_py()] * len(prints), blobs)
 
     def flags(prints: np.ndarray, answers, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each fingerprint is shared, and whether it is hot."""
@@ -359,6 +440,8 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         return shared, many
 
     def send_windows(key, table, answers):
+        if not any(unpack(b.as_buffer())[1].any() for b in one_array(answers.column("bits"))):  # nothing is hot here
+            return batch_of(_WIRE_ARROW, *[[]] * len(_WIRE_ARROW))
         chunk = Chunk(table)
         anchors = Anchors(chunk, length, k)
         prints, which = prints_of(anchors)
@@ -424,9 +507,8 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         return batch_of(_WIRE_ARROW, keys, kinds, [me] * len(keys), blobs)
 
     def sort_bucket(key, table):
-        kinds = table.column("kind").to_numpy()
-        chunks = table.column("chunk").to_numpy()
-        blobs = one_array(table.column("blob"))
+        column = parts_of(table)
+        kinds, chunks, blobs = column("kind").to_numpy(), column("chunk").to_numpy(), column("blob")
         keys, out_kinds, out = [], [], []
         parts, owners = [], []
         for i, kind in enumerate(kinds.tolist()):
@@ -508,10 +590,10 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
 
     if carry:
         ddl += ", rest " + rows.schema["rest"].dataType.simpleString()
-    sent = rows.groupBy("chunk").applyInArrow(send, _WIRE)
+    sent = merged(rows.groupBy("chunk").applyInArrow(send, _WIRE))
     answers = sent.groupBy("key").applyInArrow(answer, _ANSWER)
-    windows = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_windows, _WIRE)
+    windows = merged(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_windows, _WIRE))
     answers = answers.union(windows.groupBy("key").applyInArrow(answer, _ANSWER))
-    parts = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(segments, _WIRE)
+    parts = merged(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(segments, _WIRE))
     matches = parts.groupBy("key").applyInArrow(sort_bucket, _WIRE)
     return rows.groupBy("chunk").cogroup(matches.groupBy("key")).applyInArrow(cut, ddl)

@@ -2,9 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.llm.common import golomb_decode, golomb_encode, pack, unpack
+from sightline.llm import common
+from sightline.llm.common import chunked, golomb_decode, golomb_encode, pack, unpack
 from sightline.llm.exact_dedup import WHITE, exact_dedup
 from sightline.llm.simhash import Forest, components, links, near_duplicates, trie_pairs
 from sightline.llm.suffix_dedup import COVER, RESIDUES, equal_windows, removed_spans
@@ -39,6 +42,31 @@ def test_exact_dedup_of_nothing_and_null_ids(spark):
     assert {(r.doc_id is None, r.keep_id, r.group_size) for r in rows} == {(False, 4, 2), (True, None, 1), (True, 4, 2)}
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    texts = ["x y", "xy", "xy ", "x y", None, "", "z"]
+    rows = exact_dedup(table(spark, texts, ids=[1, 1, 1, 1, None, None, None])).collect()
+    assert sorted((r.text_sha256, r.group_size) for r in rows if r.kept) == sorted((hashlib.sha256(t).hexdigest(), n) for t, n in ((b"xy", 4), (b"", 2), (b"z", 1)))
+
+
+def test_exact_dedup_of_many_chunks_and_one_long_text(spark, monkeypatch):
+    import sightline.llm.exact_dedup as module
+
+    monkeypatch.setattr(module, "chunked", lambda docs, text: chunked(docs, text, chunk_bytes=1 << 9))
+    texts = sample_texts() + ["w " * 300_000]  # one text is much longer than a chunk
+    rows = exact_dedup(table(spark, texts)).collect()
+    groups = {(t or "").encode().translate(None, WHITE) for t in texts}
+    assert len(rows) == len(texts) and sum(r.kept for r in rows) == len(groups)
+
+
+def test_groups_larger_than_the_rest_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_GROUPS", 1)
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b" if i % 2 else "c") for i in range(30)], "row long, k string")
+    groups = spark.createDataFrame([("a", 20, 1), ("b", 5, None)], "k string, n long, v int")
+    got = common.join_groups(rows, groups, "k", "n", F.col("row")).collect()
+    assert sorted((r.row, r.n, r.v) for r in got if r.n) == [(i, 20, 1) if i % 3 else (i, 5, None) for i in range(30) if i % 3 or i % 2]
+    assert len(got) == 30
+
+
 def brute_removed(rows, length):
     first = {}
     rows = [(float("inf") if i is None else i, (t or "").encode()) for i, t in rows]
@@ -58,13 +86,31 @@ def brute_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk_bytes, hot_runs", [(1 << 12, None), (1 << 23, None), (1 << 12, 0), (1 << 13, 4)])
+@pytest.mark.parametrize("chunk_bytes, hot_runs", [(1 << 9, 2), (1 << 12, None), (1 << 23, None), (1 << 12, 0), (1 << 13, 4)])
 def test_suffix_dedup_against_brute_force(spark, chunk_bytes, hot_runs):
     texts = sample_texts()
     got = removed_spans(table(spark, texts), chunk_bytes=chunk_bytes, hot_runs=hot_runs).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(list(enumerate(texts)), 50)
 
 
+def test_windows_that_share_a_hash_stay_apart(monkeypatch):
+    import sightline.llm.suffix_dedup as module
+    from sightline.llm.common import Chunk
+
+    r = np.random.default_rng(2)
+    texts = [r.integers(97, 100, 90).astype(np.uint8).tobytes() for _ in range(6)]
+    texts += texts[:2]
+    chunk = Chunk(pa.table({"doc_id": pa.array(range(8), pa.int64()), "text": pa.array(texts, pa.binary())}))
+    anchors = module.Anchors(chunk, 50, 18)
+    monkeypatch.setattr(module, "gram_hashes", lambda data, k: data[: max(0, data.size - k + 1)].astype(np.uint64) % np.uint64(2))
+    windows = module.HotWindows(chunk, anchors, np.arange(anchors.hash.size), 50)
+    flat = chunk.data.tobytes()
+    names = [flat[a : a + 50] for a in windows.at.tolist()]
+    assert len(set(zip(names, windows.window.tolist()))) == len(set(names)) == windows.hash.size
+    assert all(flat[f : f + 50] == name for name, f in zip(names, windows.first[windows.window].tolist()))
+    assert (np.diff(windows.hash.astype(np.int64)) >= 0).all()
+
+
 def test_suffix_dedup_edge_cases(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(120))
     rows = [(3, text), (None, text), (3, text), (9, text[:49]), (9, "é" * 40 + text[10:70])]
