@@ -12,6 +12,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import CACHES, batch_of, one_array
+from sightline.llm.common import batch_of, one_array, worker_model
 from sightline.llm.token_counts import byte_letters
 
 CAPACITY = 4096
@@ -63,20 +64,27 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        last = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        self.four = [i.to_bytes(4, "little") for i in range(last + 1)]
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not ("<" in text and any(a in text for a in self.added)):
-            pieces = self.pieces
+        pieces = self.pieces
+        if text.isascii() and text.isalpha():
+            text = text.lower()
+            got = pieces.get(text) or self._piece(text)
+        elif _PLAIN.fullmatch(text) and not ("<" in text and any(a in text for a in self.added)):
             got = b"".join([pieces.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
         else:
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            got = b"".join([self.four[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         self[word] = got
         return got
 
     def _piece(self, piece: str) -> bytes:
-        letters = "".join(map(_LETTER_OF.__getitem__, piece.encode()))
-        got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
+        letters = piece if piece.isascii() else "".join(map(_LETTER_OF.__getitem__, piece.encode()))  # printable ASCII stands for itself
+        four = self.four
+        got = self.pieces[piece] = b"".join([four[t.id] for t in self.tokenize(letters)])
         return got
 
     def encode(self, text: bytes) -> bytes:
@@ -154,30 +162,20 @@ class Packer:
             self._close()
 
 
-_WORKER: dict = {}
-CACHES.append(_WORKER)
-
-
-def _word_ids(spec: str) -> WordIds:
-    key = hash(spec)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = WordIds(spec)
-    return _WORKER[key]
-
-
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """One row for each piece of a document.  tokenizer: path of a tokenizers file, read on the driver and sent along.
 
     All tokens of a document but its first bear loss, as the first one has nothing to be predicted from.  Small input partitions are merged until
     each has about partition_bytes of (stored) input, which bounds the padding."""
     with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    name = hashlib.sha256(content.encode()).hexdigest()
+    spec = docs.sparkSession.sparkContext.broadcast(content)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = _word_ids(spec.value)
+        words = worker_model(f"word ids {name}", lambda: WordIds(spec.value))
         packer = Packer(capacity, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 36
 
