@@ -54,9 +54,9 @@ contour AS (
 
 #: Quality measures of documents that may be in the reference set.
 QUALITY_SQL = """measures AS (
-  SELECT d.doc_id, coalesce(l.quality, 0) AS in_reference, ln(1 + d.n_chars) / 12 AS detail, (d.n_chars % 97) / 97.0::DOUBLE AS dark,
-    (d.n_chars % 31) / 31.0::DOUBLE AS bright, 0.4 + (d.doc_id % 60) / 100.0::DOUBLE AS fill, (d.doc_id % 11) / 10.0::DOUBLE AS root,
-    0.5 + (d.doc_id % 13) / 20.0::DOUBLE AS aspect
+  SELECT d.doc_id, coalesce(l.quality, 0) AS in_reference, ln(1 + d.n_chars) / 1.8 AS detail, (d.n_chars % 97) / 400.0::DOUBLE AS dark,
+    (d.n_chars % 31) / 200.0::DOUBLE AS bright, 0.5 + (d.doc_id % 20) / 100.0::DOUBLE AS fill, 0.25 + (d.doc_id % 11) / 50.0::DOUBLE AS root,
+    0.9 + (d.doc_id % 13) / 12.0::DOUBLE AS aspect
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
@@ -102,6 +102,6 @@ def measures(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     n, i = F.col("n_chars"), F.col("doc_id")
     return d.select(
-        "doc_id", F.coalesce("quality", F.lit(0)).alias("in_reference"), (F.log(1 + n) / 12).alias("detail"), ((n % 97) / 97.0).alias("dark"), ((n % 31) / 31.0).alias("bright"),
-        (0.4 + (i % 60) / 100.0).alias("fill"), ((i % 11) / 10.0).alias("root"), (0.5 + (i % 13) / 20.0).alias("aspect"),
+        "doc_id", F.coalesce("quality", F.lit(0)).alias("in_reference"), (F.log(1 + n) / 1.8).alias("detail"), ((n % 97) / 400.0).alias("dark"), ((n % 31) / 200.0).alias("bright"),
+        (0.5 + (i % 20) / 100.0).alias("fill"), (0.25 + (i % 11) / 50.0).alias("root"), (0.9 + (i % 13) / 12.0).alias("aspect"),
     )

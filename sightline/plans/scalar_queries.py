@@ -62,21 +62,28 @@ def p5_translated_boxes(spark, sf):
     return b.select("photo", (corner[0] + dx).alias("x1"), (corner[1] + dy).alias("y1"), (corner[2] + dx).alias("x2"), (corner[3] + dy).alias("y2"), F.transform(F.array(corner[0], corner[2]), lambda k: k + dx).alias("kx"))
 
 
-_CODE = """codes AS (SELECT c_custkey AS id, concat(' ', c_custkey % 10, CASE WHEN c_custkey % 3 = 0 THEN 'M' WHEN c_custkey % 3 = 1 THEN 'F' ELSE '?' END, c_custkey % 9,
-  CASE WHEN c_custkey % 5 = 0 THEN '?1' ELSE concat(c_custkey % 2, (c_custkey // 2) % 2) END, 'X', c_nationkey % 3, (c_custkey // 7) % 2, 'S', lpad((c_custkey % 8)::VARCHAR, 3, '0'), '__ ') AS code FROM customer),
+_CODE = """codes AS (SELECT c_custkey AS id, concat(' ', c_custkey % 10, CASE WHEN c_custkey % 3 = 0 THEN 'B' WHEN c_custkey % 3 = 1 THEN 'C' ELSE '?' END,
+  CASE WHEN c_custkey % 6 = 0 THEN '__' ELSE lpad((c_custkey * 7 % 100)::VARCHAR, 2, '0') END, CASE WHEN c_custkey % 9 = 0 THEN '_' ELSE 'T' END,
+  substr('01?1101', (1 + c_custkey % 7)::INT, 1), substr('110?1', (1 + c_nationkey % 5)::INT, 1), 'E', c_nationkey,
+  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE concat('X', c_nationkey % 3, substr('01_', (1 + c_custkey // 7 % 3)::INT, 1), 'S', lpad((c_custkey % 12)::VARCHAR, 3, '0'), '__ ') END) AS code FROM customer),
 body AS (SELECT id, regexp_replace(trim(code), '^\\d', '') AS b FROM codes),
-parsed AS (SELECT id, CASE WHEN b[1] IN ('M', 'F') THEN b[1] END AS sex, try_cast(b[2] AS INT) AS decade,
-  CASE WHEN regexp_full_match(b[3:4], '[01]{2}') THEN b[3]::INT END AS left_tusk, CASE WHEN regexp_full_match(b[3:4], '[01]{2}') THEN b[4]::INT END AS right_tusk,
-  concat(regexp_extract(b, 'X(.)(.)S(...)(_*)$', 1), regexp_extract(b, 'X(.)(.)S(...)(_*)$', 2)) AS extreme, regexp_extract(b, 'X(.)(.)S(...)(_*)$', 3) AS special FROM body)"""
+slots AS (SELECT *, regexp_extract(b, 'X(.)(.)S(...)(_*)$', 1) AS xl, regexp_extract(b, 'X(.)(.)S(...)(_*)$', 2) AS xr, regexp_extract(b, 'X(.)(.)S(...)(_*)$', 3) AS s3 FROM body),
+parsed AS (SELECT id, CASE WHEN b[1] IN ('B', 'C') THEN b[1] END AS sex, CASE WHEN regexp_full_match(b[2:3], '[0-9]{2}') THEN b[2:3]::INT END AS decade,
+  CASE WHEN b[4] = 'T' AND regexp_full_match(b[5:6], '[01]{2}') THEN b[5]::INT END AS left_tusk, CASE WHEN b[4] = 'T' AND regexp_full_match(b[5:6], '[01]{2}') THEN b[6]::INT END AS right_tusk,
+  regexp_matches(b, 'X(.)(.)S(...)(_*)$') AS has_tail, CASE WHEN xl IN ('0', '1') THEN xl::INT END AS extreme_left, CASE WHEN xr IN ('0', '1') THEN xr::INT END AS extreme_right,
+  CASE WHEN s3[1] IN ('0', '1') THEN s3[1]::INT END AS special_left, CASE WHEN s3[2] IN ('0', '1') THEN s3[2]::INT END AS special_mid, CASE WHEN s3[3] IN ('0', '1') THEN s3[3]::INT END AS special_right FROM slots)"""
 
 
 def codes(spark, sf):
-    k = F.col("c_custkey")
+    """id and a packed code made of the customer's columns: unknown, missing and odd parts occur."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda letters, i: F.substring(F.lit(letters), (1 + i).cast("int"), F.lit(1))
+    tail = F.concat(F.lit("X"), n % 3, pick("01_", F.expr("(c_custkey div 7) % 3")), F.lit("S"), F.lpad((k % 12).cast("string"), 3, "0"), F.lit("__ "))
     text = F.concat(
-        F.lit(" "), k % 10, F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("?"), k % 9, F.when(k % 5 == 0, F.lit("?1")).otherwise(F.concat(k % 2, F.expr("(c_custkey div 2) % 2"))),
-        F.lit("X"), F.col("c_nationkey") % 3, F.expr("(c_custkey div 7) % 2"), F.lit("S"), F.lpad((k % 8).cast("string"), 3, "0"), F.lit("__ "),
+        F.lit(" "), k % 10, F.when(k % 3 == 0, "B").when(k % 3 == 1, "C").otherwise("?"), F.when(k % 6 == 0, "__").otherwise(F.lpad((k * 7 % 100).cast("string"), 2, "0")), F.when(k % 9 == 0, "_").otherwise("T"),
+        pick("01?1101", k % 7), pick("110?1", n % 5), F.lit("E"), n, F.when(k % 13 == 0, "").otherwise(tail),
     )
-    return table(spark, sf, "customer").select(k.alias("id"), sc.parse_code(text).alias("code"))
+    return table(spark, sf, "customer").select(k.alias("id"), text.alias("text"), sc.parse_code(text).alias("code"))
 
 
 @query(f"WITH {_CODE} SELECT * FROM parsed")
@@ -84,16 +91,14 @@ def p6_parsed_codes(spark, sf):
     return codes(spark, sf).select("id", "code.*")
 
 
-@query(
-    f"""WITH {_CODE} SELECT id, regexp_matches(concat(coalesce(extreme, ''), coalesce(special, '')), '[1-9]') OR coalesce(left_tusk, 1) = 0 OR coalesce(right_tusk, 1) = 0 AS explicit FROM parsed"""
-)
+@query(f"WITH {_CODE} SELECT id, (length(b) >= 6 AND b[4] = 'T' AND (b[5] = '0' OR b[6] = '0')) OR xl = '1' OR xr = '1' OR contains(s3, '1') AS explicit FROM slots")
 def p7_explicit_features(spark, sf):
-    return codes(spark, sf).select("id", sc.explicit_feature(F.col("code")).alias("explicit"))
+    return codes(spark, sf).select("id", sc.explicit_feature(F.col("text")).alias("explicit"))
 
 
 @query(
     f"""WITH {_CODE}, y AS (SELECT o_custkey AS id, min(date_part('year', o_orderdate))::INT AS year FROM orders GROUP BY 1)
-SELECT p.id, year, greatest(0, year - (CASE WHEN 2000 + decade * 10 <= year THEN 2000 + decade * 10 ELSE 1900 + decade * 10 END + 5)) AS age FROM parsed p JOIN y ON y.id = p.id"""
+SELECT p.id, year, CASE WHEN decade IS NOT NULL THEN greatest(0, year - (CASE WHEN 2000 + decade <= year THEN 2000 + decade ELSE 1900 + decade END + 5)) END AS age FROM parsed p JOIN y ON y.id = p.id"""
 )
 def p9_ages(spark, sf):
     years = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(sc.year_of(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("year"))
@@ -102,14 +107,17 @@ def p9_ages(spark, sf):
 
 @query(
     f"""WITH {_CODE}, y AS (SELECT o_custkey AS id, min(date_part('year', o_orderdate))::INT AS year FROM orders GROUP BY 1)
-SELECT p.id FROM parsed p LEFT JOIN y ON y.id = p.id WHERE coalesce(sex IN ('M') , false) AND coalesce(year BETWEEN 1996 AND 1999, false) AND coalesce(special[1] = '0' AND special[3] IN ('1', '3'), false)"""
+SELECT p.id FROM parsed p LEFT JOIN y ON y.id = p.id WHERE coalesce(sex = 'B', false) AND coalesce(year BETWEEN 1992 AND 1999, false) AND coalesce((left_tusk = 1 AND right_tusk = 1) OR (left_tusk = 0 AND right_tusk = 0), false)
+  AND coalesce(special_left = 0 AND special_mid = 0, false)"""
 )
 def v21_facet_filter(spark, sf):
     from sightline.operators.curation import facet_filter
 
     years = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(sc.year_of(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("year"))
     joined = codes(spark, sf).join(years, "id", "left").select("id", "code.*", "year")
-    keep = facet_filter({"sex": F.col("sex").isin("M"), "year": F.col("year").between(1996, 1999), "special": (F.substring("special", 1, 1) == "0") & F.substring("special", 3, 1).isin("1", "3")})
+    left, right = F.col("left_tusk"), F.col("right_tusk")
+    tusks = ((left == 1) & (right == 1)) | ((left == 0) & (right == 0))
+    keep = facet_filter({"sex": F.col("sex") == "B", "year": F.col("year").between(1992, 1999), "tusks": tusks, "special": (F.col("special_left") == 0) & (F.col("special_mid") == 0), "extreme": None})
     return joined.filter(keep).select("id")
 
 
@@ -131,10 +139,11 @@ _Q = (
     inputs.QUALITY_SQL
     + """,
 parts AS (
-  SELECT *, sqrt(fill * root) AS flatness, CASE WHEN aspect <= 0.5 OR aspect >= 1.1 THEN 0.0 WHEN aspect < 0.7 THEN (aspect - 0.5) / (0.7 - 0.5) WHEN aspect > 0.9 THEN (1.1 - aspect) / (1.1 - 0.9) ELSE 1.0 END AS shape,
-    least(greatest((detail - 0.3) / (0.8 - 0.3), 0), 1) AS sharp, 1 - least(greatest((greatest(dark, bright) - 0.2) / (0.9 - 0.2), 0), 1) AS exposure FROM measures),
+  SELECT *, sqrt(least(greatest((fill - 0.52) / (0.66 - 0.52), 0), 1) * least(greatest((root - 0.28) / (0.43 - 0.28), 0), 1)) AS flatness,
+    CASE WHEN aspect <= 1.0 OR aspect >= 1.85 THEN 0.0 WHEN aspect < 1.18 THEN (aspect - 1.0) / (1.18 - 1.0) WHEN aspect > 1.45 THEN (1.85 - aspect) / (1.85 - 1.45) ELSE 1.0 END AS shape,
+    least(greatest((detail - 3.5) / (5.2 - 3.5), 0), 1) AS sharp, 1 - least(greatest((dark + bright - 0.08) / (0.35 - 0.08), 0), 1) AS exposure FROM measures),
 quality AS (
-  SELECT *, exp((ln(greatest(flatness, 1e-6)) * 2 + ln(greatest(shape, 1e-6)) * 1 + ln(greatest(sharp, 1e-6)) * 2 + ln(greatest(exposure, 1e-6)) * 1) / 6) AS overall FROM parts)"""
+  SELECT *, exp(0.35 * ln(greatest(flatness, 1e-6)) + 0.25 * ln(greatest(shape, 1e-6)) + 0.25 * ln(greatest(sharp, 1e-6)) + 0.15 * ln(greatest(exposure, 1e-6))) AS overall FROM parts)"""
 )
 
 
@@ -180,55 +189,96 @@ def l6_lowest_scores(spark, sf):
     return lowest(quality(spark, sf), ["sharp", "overall"], "doc_id", 8)
 
 
+_IMAGE = "SELECT p_partkey AS id, p_size * 6000.0::DOUBLE AS area, 400 + p_partkey % 17 * 120.0::DOUBLE AS perimeter, p_partkey % 23 * 1.0::DOUBLE AS x1, 3 + p_partkey % 41 * 1.0::DOUBLE AS y1, 250 + p_size * 9.0::DOUBLE AS w, 300 + p_partkey % 300 * 1.0::DOUBLE AS h FROM part"
+
+
+def shapes(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf, "part").select(
+        k.alias("id"), (size * 6000.0).alias("area"), (400 + k % 17 * 120.0).alias("perimeter"), (k % 23 * 1.0).alias("x1"), (3 + k % 41 * 1.0).alias("y1"), (250 + size * 9.0).alias("w"), (300 + k % 300 * 1.0).alias("h")
+    )
+
+
 @query(
-    """SELECT doc_id, CASE WHEN n_chars % 50 = 0 THEN 'edge' WHEN n_chars < 400 THEN 'area' WHEN n_chars % 7 / 2.0 > 2.5 THEN 'aspect' WHEN n_chars % 11 / 10.0 < 0.3 THEN 'circularity' END AS reason FROM documents"""
+    f"""WITH s AS ({_IMAGE}) SELECT id, CASE WHEN perimeter = 0 THEN 'degenerate' WHEN abs(x1 + w - 1600) < 5 OR abs(y1 + h - 620) < 5 OR x1 < 5 OR y1 < 5 THEN 'edge' WHEN area / (1600 * 620.0::DOUBLE) < 0.025 OR area < 50000 THEN 'area'
+  WHEN w / h < 0.5 OR w / h > 1.2 THEN 'aspect' WHEN 4 * pi() * area / (perimeter * perimeter) < 0.4 OR 4 * pi() * area / (perimeter * perimeter) > 0.9 THEN 'circularity' END AS reason FROM s"""
 )
 def p17_shape_reasons(spark, sf):
-    n = F.col("n_chars")
-    return table(spark, sf, "documents").select("doc_id", sc.shape_reason(n % 11 / 10.0, n % 7 / 2.0, n, n % 50 == 0, max_aspect=2.5, min_area=400).alias("reason"))
+    c = [F.col(x) for x in ("x1", "y1")]
+    reason = sc.shape_reason(F.col("area"), F.col("perimeter"), *c, c[0] + F.col("w"), c[1] + F.col("h"), F.lit(1600.0), F.lit(620.0))
+    return shapes(spark, sf).select("id", reason.alias("reason"))
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n_chars NOT BETWEEN 20 AND 5000 THEN 'area' WHEN n_chars % 9 / 2.0 > 3.5 THEN 'elongated' WHEN n_chars % 13 / 12.0 < 0.7 THEN 'ragged' WHEN n_chars % 11 / 10.0 < 0.35 THEN 'noncircular' WHEN n_chars % 17 / 16.0 < 0.1 THEN 'no_contrast' END AS reason FROM documents"""
+    f"""WITH s AS ({_IMAGE}) SELECT id, CASE WHEN area / 4e7::DOUBLE NOT BETWEEN 8e-5 AND 6e-3 THEN 'area' WHEN 1 + id % 19 / 6.0::DOUBLE > 3.2 THEN 'elongated' WHEN 0.7 + id % 13 / 40.0::DOUBLE < 0.8 THEN 'ragged'
+  WHEN 0.3 + id % 11 / 20.0::DOUBLE < 0.35 THEN 'noncircular' WHEN NOT (id % 7 >= 6.0 OR id % 25 >= 22.0 OR id % 10 >= 9.0) THEN 'no_contrast' END AS reason FROM s"""
 )
 def p18_blob_reasons(spark, sf):
-    n = F.col("n_chars")
-    return table(spark, sf, "documents").select("doc_id", sc.blob_reason(n, n % 9 / 2.0, n % 13 / 12.0, n % 11 / 10.0, n % 17 / 16.0).alias("reason"))
+    k = F.col("id")
+    reason = sc.blob_reason(F.col("area") / 4e7, 1 + k % 19 / 6.0, 0.7 + k % 13 / 40.0, 0.3 + k % 11 / 20.0, k % 7, k % 25, k % 10)
+    return shapes(spark, sf).select("id", reason.alias("reason"))
+
+
+_TIER = "CASE WHEN NOT isfinite(v) THEN 4 WHEN v >= 25 THEN 0 WHEN v >= 10 THEN 1 WHEN v >= 4 THEN 2 WHEN v >= 1 THEN 3 ELSE 4 END"
 
 
 @query(
-    f"""WITH {inputs.CROPS_SQL} SELECT photo, CASE WHEN score >= 9 THEN 0 WHEN score >= 7 THEN 1 WHEN score >= 4 THEN 2 ELSE 3 END AS tier,
-  max(CASE WHEN score >= 9 THEN 0 WHEN score >= 7 THEN 1 WHEN score >= 4 THEN 2 ELSE 3 END) OVER (PARTITION BY sighting) AS worst FROM photos"""
+    f"""WITH m AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE ELSE value / 3 END AS v FROM events),
+t AS (SELECT event_id, user_id, {_TIER} AS tier FROM m), w AS (SELECT user_id, max(tier) AS worst FROM t GROUP BY 1)
+SELECT event_id, ['excellent', 'great', 'good', 'acceptable', 'poor'][tier + 1] AS tier, ['excellent', 'great', 'good', 'acceptable', 'poor'][worst + 1] AS worst FROM t JOIN w ON w.user_id = t.user_id"""
 )
 def p28_tiers(spark, sf):
-    from pyspark.sql import Window
+    v = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).when(F.col("event_id") % 89 == 0, F.lit(float("inf"))).otherwise(F.col("value") / 3)
+    t = table(spark, sf, "events").select("event_id", "user_id", sc.tier(v, [25, 10, 4, 1]).alias("n"))
+    worst = t.groupBy("user_id").agg(F.max("n").alias("w"))
+    return t.join(worst, "user_id").select("event_id", sc.tier_name(F.col("n")).alias("tier"), sc.tier_name(F.col("w")).alias("worst"))
+
 
-    t = inputs.photos(spark, sf).withColumn("tier", sc.tier(F.col("score"), [9, 7, 4]))
-    return t.select("photo", "tier", F.max("tier").over(Window.partitionBy("sighting")).alias("worst"))
+_RECORD = """e AS (SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'unresolved' WHEN max(turn) >= 5 THEN 'confirm' END AS decision, CASE WHEN conv_id % 5 = 0 THEN 'failed' WHEN conv_id % 5 = 1 THEN 'analyzing' ELSE 'ready' END AS status,
+  count(*) FILTER (WHERE role = 'user') >= 2 AS approved, count(*) >= 4 AS matched FROM conversations GROUP BY 1)"""
 
 
 @query(
-    """WITH e AS (SELECT conv_id, bool_or(role = 'system') AS analysed, count(*) FILTER (WHERE role = 'user') >= 2 AS approved, count(*) >= 4 AS matched, max(turn) >= 5 AS decided FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN decided THEN 'decided' WHEN matched THEN 'matched' WHEN approved THEN 'approved' WHEN analysed THEN 'analysed' ELSE 'new' END AS status,
-  CASE WHEN decided THEN 'none' WHEN matched THEN 'decide' WHEN approved THEN 'match' WHEN analysed THEN 'approve' ELSE 'analyse' END AS action FROM e"""
+    f"""WITH {_RECORD} SELECT conv_id, CASE WHEN decision = 'unresolved' THEN 'Unresolved' WHEN decision IS NOT NULL THEN 'Decided' WHEN status = 'failed' THEN 'Failed' WHEN status = 'analyzing' THEN 'Analyzing'
+    WHEN NOT approved THEN 'Needs evidence review' WHEN NOT matched THEN 'Ready to match' ELSE 'Needs decision' END AS status,
+  CASE WHEN decision = 'unresolved' THEN 'Review saved' WHEN decision IS NOT NULL THEN 'View confirmation' WHEN status = 'failed' THEN 'Inspect error' WHEN status = 'analyzing' THEN 'Wait for analysis'
+    WHEN NOT approved THEN 'Approve left and right ears' WHEN NOT matched THEN 'Rank known-elephant catalog' ELSE 'Confirm identity decision' END AS action FROM e"""
 )
 def p21_workflow_status(spark, sf):
+    k = F.col("conv_id")
     e = table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.bool_or(F.col("role") == "system").alias("analysed"), (F.count_if(F.col("role") == "user") >= 2).alias("approved"), (F.count("*") >= 4).alias("matched"), (F.max("turn") >= 5).alias("decided")
+        F.when(k % 7 == 0, "unresolved").when(F.max("turn") >= 5, "confirm").alias("decision"), F.when(k % 5 == 0, "failed").when(k % 5 == 1, "analyzing").otherwise("ready").alias("status"),
+        (F.count_if(F.col("role") == "user") >= 2).alias("approved"), (F.count("*") >= 4).alias("matched"),
     )
-    status, action = sc.next_action(*[F.col(c) for c in ("analysed", "approved", "matched", "decided")])
+    status, action = sc.workflow_status(*[F.col(c) for c in ("decision", "status", "approved", "matched")])
     return e.select("conv_id", status.alias("status"), action.alias("action"))
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN ' Yes' WHEN role = 'system' THEN 'later' ELSE 'Different ' END AS a FROM conversations)
-SELECT conv_id, turn, coalesce(CASE lower(trim(a)) WHEN 'same' THEN 'accept' WHEN 'yes' THEN 'accept' WHEN 'ok' THEN 'accept' WHEN 'different' THEN 'reject' WHEN 'no' THEN 'reject' WHEN 'later' THEN 'skip' END, lower(trim(a))) AS action FROM t"""
+    """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'confirm' WHEN turn % 3 = 0 THEN 'enroll' WHEN turn % 3 = 1 THEN 'unresolved' ELSE 'new_known_elephant' END AS a FROM conversations)
+SELECT conv_id, turn, CASE a WHEN 'confirm' THEN 'existing_known_elephant' WHEN 'enroll' THEN 'new_known_elephant' ELSE a END AS action FROM t"""
 )
 def p22_action_aliases(spark, sf):
-    a = F.when(F.col("role") == "user", " Yes").when(F.col("role") == "system", "later").otherwise("Different ")
+    turn = F.col("turn") % 3
+    a = F.when(F.col("role") == "user", "confirm").when(turn == 0, "enroll").when(turn == 1, "unresolved").otherwise("new_known_elephant")
     return table(spark, sf, "conversations").select("conv_id", "turn", sc.normal_action(a).alias("action"))
 
 
+@query(
+    f"""WITH {B} SELECT photo, concat('profile:', line, ':', side, ':', photo) AS candidate, concat(photo, '__', side, '__', line) AS crop,
+  concat(photo, '__crop_', x1::INT, '_', y1::INT, '_', x2::INT, '_', y2::INT) AS landmark_key,
+  concat(photo, '__seg_sam__landmarks_pose__side_', side, '__crop_', x1::INT, '_', y1::INT, '_', x2::INT, '_', y2::INT) AS profile_key
+FROM (SELECT photo, line, side, floor(x1) AS x1, floor(y1) AS y1, ceil(x2) AS x2, ceil(y2) AS y2 FROM boxes)"""
+)
+def p24_p26_identifiers(spark, sf):
+    box = [F.floor("x1"), F.floor("y1"), F.ceil("x2"), F.ceil("y2")]
+    photo, side = F.col("photo"), F.col("side")
+    return inputs.boxes(spark, sf).select(
+        "photo", sc.candidate_id(F.col("line"), side, photo).alias("candidate"), sc.crop_id(photo, side, F.col("line")).alias("crop"),
+        sc.crop_key(photo, box).alias("landmark_key"), sc.profile_key(photo, F.lit("sam"), F.lit("pose"), side, box).alias("profile_key"),
+    )
+
+
 @query(
     """SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(split_part(url, '//', 2)), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'identity') AS name FROM pages"""
 )
