@@ -18,16 +18,17 @@ def facet_filter(facets: dict[str, Column | None]) -> Column:
 
 
 def quality_scores(measures: DataFrame) -> DataFrame:
-    """Adds flatness, shape, sharp, exposure and overall to measures (fill, root, aspect, detail, dark, bright)."""
+    """Adds flatness, shape, sharp, exposure and overall to measures: fill (share of the box), root (offset of the anchors in widths), aspect (height
+    by width), detail (logarithm of one and the variance of the Laplacian), dark and bright (shares of the pixels)."""
     m = measures.withColumns(
         {
-            "flatness": F.sqrt(F.col("fill") * F.col("root")),
-            "shape": sc.band(F.col("aspect"), 0.5, 0.7, 0.9, 1.1),
-            "sharp": sc.ramp(F.col("detail"), 0.3, 0.8),
-            "exposure": 1 - sc.ramp(F.greatest("dark", "bright"), 0.2, 0.9),
+            "flatness": F.sqrt(sc.ramp(F.col("fill"), 0.52, 0.66) * sc.ramp(F.col("root"), 0.28, 0.43)),
+            "shape": sc.band(F.col("aspect"), 1.0, 1.18, 1.45, 1.85),
+            "sharp": sc.ramp(F.col("detail"), 3.5, 5.2),
+            "exposure": 1 - sc.ramp(F.col("dark") + F.col("bright"), 0.08, 0.35),
         }
     )
-    return m.withColumn("overall", sc.geometric_mean([(F.col("flatness"), 2), (F.col("shape"), 1), (F.col("sharp"), 2), (F.col("exposure"), 1)]))
+    return m.withColumn("overall", sc.geometric_mean([(F.col("flatness"), 0.35), (F.col("shape"), 0.25), (F.col("sharp"), 0.25), (F.col("exposure"), 0.15)]))
 
 
 def threshold_sweep(scores: DataFrame, score: str, reference: str, cuts: list[float]) -> DataFrame:
