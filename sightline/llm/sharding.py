@@ -5,8 +5,10 @@ deals the slots out to shards: largest slots first, each to the shard with the f
 version that edits as few slots as needed.  The map has one row for each slot, so its size does not depend on the
 data; it is the only thing that passes through the driver.
 
-Defined results.  A null text weighs OVERHEAD bytes.  A null doc_id is hashed as such.  Records with equal doc_id share a slot.
-Copies of a text are placed independently of each other: the map balances bytes, law `bytes`.  An empty table gives no rows.
+Defined results.  A null text weighs OVERHEAD bytes.  A slot is a hash of doc_id and text, so that records that share a doc_id, or have none,
+are spread; only records equal in both share a slot.  Copies of a text are placed independently of each other: the map balances bytes, law
+`bytes`.  In a slot records are in the order of doc_id (null last), checksum and size.  A text of any length is one record.  An empty table gives
+no rows.  Only doc_id and the text column are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def with_slots(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> DataF
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(data) + OVERHEAD).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), data), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -80,14 +82,14 @@ def rebalance(totals: list[tuple[int, int, int]], owners: dict[int, int], shards
 
 
 def store_map(spark: SparkSession, path: str, version: int, totals: list[tuple[int, int, int]], owners: dict[int, int]) -> None:
-    """Adds a version to the map stored at path.  `first` is the place of a slot's first record in its shard."""
+    """Adds a version to the map stored at path; storing it again replaces it.  `first` is the place of a slot's first record in its shard."""
     filled: dict[int, int] = {}
     rows = []
     for slot, size, n in totals:
         shard = owners[slot]
         rows.append((version, slot, shard, size, n, filled.get(shard, 0)))
         filled[shard] = filled.get(shard, 0) + n
-    spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame(rows, _MAP).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
