@@ -6,8 +6,9 @@ product with the room left, both as shares of the limits.  If none fits, the lar
 A pool of bounded size waits, so memory does not grow with a partition, and partitions pack independently: nothing
 is shuffled, and only the last sequence of each partition is padded.
 
-Defined results.  A null text is empty and has the end id alone.  Rows that repeat a doc_id are packed each on its own.  An
-empty table gives no rows.
+Defined results.  A null text is empty and has the end id alone.  Rows that repeat a doc_id, or have none, are packed each on its own.  Of examples
+that fit equally well the one that waits in the first place is taken.  A text longer than a sequence is cut into pieces.  An empty table
+gives no rows.  Only the keys, the text and what says whether it bears loss are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,17 +30,14 @@ CAPACITY = 4096
 #: Segments and loss-bearing tokens that one sequence may hold.
 MAX_SEGMENTS = 512
 MAX_LOSS = 4096
-#: Examples that wait for the best place in a partition, and bytes of input behind one packing partition.
+#: Examples that wait for the best place in a partition, and bytes of text behind one packing partition.
 POOL = 512
-PARTITION_BYTES = 6 << 20
+PARTITION_BYTES = 10 << 20
 #: Distinct words whose ids a worker keeps.
 MEMO_WORDS = 500_000
 END_ID = 2
 _LETTER_OF = {b: c for c, b in byte_letters().items()}
-_OUT = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int64())]
-)
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
+_PIECES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment"]
 
 
 #: Words of these code points are split here: each has one lower-case form, is composed already, and is a letter, an ASCII digit or a sign.
@@ -162,17 +160,21 @@ class Packer:
             self._close()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """One row for each piece of a document.  tokenizer: path of a tokenizers file, read on the driver and sent along.
+def pack(rows: DataFrame, keys: list[str], text, bears_loss, tokenizer: str, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """One row for each piece of an example: its keys (as longs), start, length, ids_crc32, doc_tokens, sequence_id, offset, segment.
 
-    All tokens of a document but its first bear loss, as the first one has nothing to be predicted from.  Small input partitions are merged until
-    each has about partition_bytes of (stored) input, which bounds the padding."""
+    text, bears_loss: columns; all tokens but the first of an example that bears loss do so, as the first one has nothing to be predicted from.
+    tokenizer: path of a tokenizers file, read on the driver and sent along.  Input partitions are merged until each has about
+    partition_bytes of text, which bounds the padding: one sequence of each partition is padded."""
     with open(tokenizer, encoding="utf-8") as f:
         content = f.read()
     name = hashlib.sha256(content.encode()).hexdigest()
-    spec = docs.sparkSession.sparkContext.broadcast(content)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    spec = rows.sparkSession.sparkContext.broadcast(content)
+    data = F.coalesce(text.cast("binary"), F.lit(b""))
+    size = int(rows.agg(F.sum(F.octet_length(data)).alias("b")).first()["b"] or 0)
+    rows = rows.select(*[F.col(f"`{k}`").cast("long").alias(k) for k in keys], data.alias("_text"), F.coalesce(bears_loss, F.lit(False)).alias("_loss"))
     end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([(k, pa.int64()) for k in [*keys, *_PIECES]])
 
     def run(batches):
         words = worker_model(f"word ids {name}", lambda: WordIds(spec.value))
@@ -181,23 +183,32 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity
 
         def rows_out():
             got, packer.out = packer.out, []
-            if got:
-                key, start, length, sequence, offset, segment = zip(*got)
-                crc = [zlib.crc32(k[1][4 * s : 4 * (s + n)]) for k, s, n in zip(key, start, length)]
-                return batch_of(_OUT, [k[0] for k in key], start, length, crc, [len(k[1]) // 4 for k in key], np.array(sequence) + base, offset, segment)
-            return None
+            examples, start, length, sequence, offset, segment = zip(*got)
+            crc = [zlib.crc32(x[-1][4 * s : 4 * (s + n)]) for x, s, n in zip(examples, start, length)]
+            named = [[x[i] for x in examples] for i in range(len(keys))]
+            return batch_of(schema, *named, start, length, crc, [len(x[-1]) // 4 for x in examples], np.array(sequence) + base, offset, segment)
 
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), one_array(batch.column(1))):
+            named = [batch.column(i).to_pylist() for i in range(len(keys))]
+            for *key, value, loss in zip(*named, one_array(batch.column(len(keys))), batch.column(len(keys) + 1).to_pylist()):
                 ids = words.encode(value.as_py()) + end
                 n = len(ids) // 4
-                packer.add((doc_id, ids), n, n - 1)
+                packer.add((*key, ids), n, n - 1 if loss else 0)
                 if len(packer.out) >= 20_000:
                     yield from rows_out().to_batches()
         packer.finish()
         if packer.out:
             yield from rows_out().to_batches()
 
-    stored = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    rows = rows.coalesce(max(1, min(-(-stored // partition_bytes), 1 << 20)))
-    return rows.mapInArrow(run, _DDL)
+    rows = rows.coalesce(max(1, -(-size // partition_bytes)))
+    return rows.mapInArrow(run, ", ".join(f"`{k}` long" for k in [*keys, *_PIECES]))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", **limits) -> DataFrame:
+    """pack() of documents by doc_id; all of them bear loss."""
+    return pack(docs, ["doc_id"], F.col(f"`{text}`"), F.lit(True), tokenizer, **limits)
+
+
+def pack_turns(conversations: DataFrame, tokenizer: str, max_segments: int = 24, max_loss: int = 2560, **limits) -> DataFrame:
+    """pack() of the turns of conversations by conv_id and turn; only those of the assistant bear loss."""
+    return pack(conversations, ["conv_id", "turn"], F.col("text"), F.col("role") == "assistant", tokenizer, max_segments=max_segments, max_loss=max_loss, **limits)

@@ -10,7 +10,7 @@ from sightline.llm.common import table
 from sightline.llm.exact_dedup import exact_dedup
 from sightline.llm.katz import katz_scores
 from sightline.llm.language_id import language_id
-from sightline.llm.packing import pack_documents
+from sightline.llm.packing import pack_documents, pack_turns
 from sightline.llm.sharding import shard
 from sightline.llm.simhash import near_duplicates
 from sightline.llm.suffix_dedup import removed_spans
@@ -42,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of instruction data, where all three limits bind."""
+    return pack_turns(table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_automaton, op4_language_id, op5_sharding, op6_packing, op7_katz, op8_exact_dedup, op9_simhash, op10_topk_search)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_automaton, op4_language_id, op5_sharding, op6_packing, packed_turns, op7_katz, op8_exact_dedup, op9_simhash, op10_topk_search)
 }
 
 ORACLE_SQL = {

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import WordPiece
 
 from sightline.llm.bpe_automaton import ByteLevelCodec, TokenAutomaton, decode, encode, encode_decode, read_vocabulary
-from sightline.llm.packing import Packer, WordIds, pack_documents
+from sightline.llm.packing import Packer, WordIds, pack_documents, pack_turns
 from sightline.llm.token_counts import _WORD, LongestMatch, byte_letters, count_tokens, word_pieces
 from tests.llm.helpers import sample_texts, table
 
@@ -123,6 +123,35 @@ def test_packing_covers_every_id_once(spark):
     assert pack_documents(table(spark, []).limit(0), WORDS).count() == 0
 
 
+def test_packing_of_turns_holds_three_limits_with_little_padding(spark):
+    r = random.Random(3)
+    turns = [(c, t, "assistant" if t % 2 else "user", " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.randrange(1, 160)))) for c in range(250) for t in range(4)]
+    turns += [(None, 0, "user", None), (7, None, None, "word " * 9000), (7, 1, "assistant", "again"), (7, 1, "assistant", "again")]
+    docs = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(2)
+    rows = pack_turns(docs, WORDS, max_segments=24, max_loss=1800).collect()
+    loss = {(c, t): role == "assistant" for c, t, role, _ in turns}
+    used = {}
+    for x in rows:
+        tokens, segments, paid = used.get(x.sequence_id, (0, 0, 0))
+        bears = x.length - (x.start == 0) if loss[(x.conv_id, x.turn)] else 0
+        used[x.sequence_id] = (tokens + x.length, segments + 1, paid + bears)
+    assert all(a <= 4096 and b <= 24 and c <= 1800 for a, b, c in used.values())
+    full = sum(a == 4096 or b == 24 or c == 1800 for a, b, c in used.values())
+    assert full >= len(used) - 2 and {a == 4096 for a, _, _ in used.values()} == {True, False}
+    assert any(c == 1800 for _, _, c in used.values()) and any(b == 24 for _, b, _ in used.values())
+    assert len({(x.conv_id, x.turn) for x in rows}) == len({(c, t) for c, t, _, _ in turns})
+
+
+def test_documents_leave_little_padding(spark):
+    r = random.Random(1)
+    texts = ["word " * r.randrange(1, 2500) for _ in range(120)]
+    rows = pack_documents(table(spark, texts), WORDS).collect()
+    used = {}
+    for x in rows:
+        used[x.sequence_id] = used.get(x.sequence_id, 0) + x.length
+    assert sum(v < 4096 for v in used.values()) <= 1  # one partition
+
+
 def test_packer_holds_all_limits():
     r = random.Random(9)
     packer = Packer(capacity=100, max_segments=4, max_loss=60, pool=16)
