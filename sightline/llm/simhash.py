@@ -9,7 +9,9 @@
 4. Links are reduced to one tree for each connected part within a task, then joined into components by hooking and pointer jumping.
 
 Defined results.  A text without words, or null, has fingerprint 0 and links like any other.  Texts with fewer words than a shingle have
-one shingle of them all.  A null doc_id is larger than any other; a component of nulls alone has a null component_id.
+one shingle of them all.  A null doc_id is larger than any other; a component of nulls alone has a null component_id.  Rows that repeat a
+doc_id are linked each on its own.  A bit that is set in exactly half of the hashes is 0.  An empty table gives no rows.  A text of any
+length is read whole.  Only doc_id and the text column are read, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import NULL_ID, batch_of, checkpoint, one_array
+from sightline.llm.common import NULL_ID, batch_of, checkpoint, join_groups, one_array
 
 #: Widths of the blocks that a fingerprint is cut into, from its highest bits.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -171,17 +173,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (a, b): root is the smallest node that can be reached.
 
     Rounds of hooking (a root goes below the least root next to its part) and pointer jumping, each cut off by a
-    checkpoint; a logarithmic number of rounds is usual."""
+    checkpoint; a logarithmic number of rounds is usual.  Nodes with very many neighbours, and roots of very many nodes, are looked up
+    by broadcast, so that a large star is no task of its own."""
     both = checkpoint(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"))
-    parent = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"), F.lit(True).alias("moved")))
+    parent = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("p"), "n", F.lit(True).alias("moved")))
     while True:
-        near = both.join(parent.select(F.col("u").alias("v"), "p"), "v").groupBy("u").agg(F.min("p").alias("m"))
-        step = parent.select("u", "p").join(near, "u").select("u", "p", F.least("p", "m").alias("q"))
+        there = join_groups(both, parent.select(F.col("u").alias("v"), "p", "n"), "v", "n", F.col("u"))
+        near = there.groupBy("u").agg(F.min("p").alias("m"))
+        step = parent.select("u", "p", "n").join(near, "u").select("u", "n", "p", F.least("p", "m").alias("q"))
         hooks = step.groupBy("p").agg(F.min("q").alias("h")).select(F.col("p").alias("u"), "h")
-        hooked = step.join(hooks, "u", "left").select("u", F.col("p").alias("old"), F.least("q", F.coalesce("h", "q")).alias("p"))
+        hooked = step.join(hooks, "u", "left").select("u", "n", F.col("p").alias("old"), F.least("q", F.coalesce("h", "q")).alias("p"))
         hooked = checkpoint(hooked)
-        up = hooked.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = checkpoint(hooked.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("old")).alias("moved")))
+        sizes = hooked.groupBy(F.col("p").alias("u")).agg(F.count("*").alias("size"))
+        up = sizes.join(hooked, "u").select(F.col("u").alias("p"), F.col("p").alias("pp"), "size")
+        jumped = join_groups(hooked, up, "p", "size", F.col("u"))
+        parent = checkpoint(jumped.select("u", F.col("pp").alias("p"), "n", (F.col("pp") != F.col("old")).alias("moved")))
         if not parent.filter("moved").limit(1).count():
             return parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
 
@@ -189,10 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42, errors: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for each row of docs."""
     prints = checkpoint(fingerprints(docs, text, words, seed))
-    distinct = checkpoint(prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")))
+    distinct = checkpoint(prints.groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first"), F.count("*").alias("n")))
     found = components(links(distinct, errors))
-    placed = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    placed = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
-    component = placed.select("print", "root").join(least, "root").select("print", F.nullif("least", F.lit(NULL_ID)).alias("component_id"))
-    out = prints.join(component, "print")
+    component = placed.select("print", "n", "root").join(least, "root").select("print", "n", F.nullif("least", F.lit(NULL_ID)).alias("component_id"))
+    out = join_groups(prints, component, "print", "n", F.col("doc_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
