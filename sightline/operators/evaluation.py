@@ -1,10 +1,17 @@
-"""Retrieval quality: eligible queries, truth ranks, metrics, cluster bootstrap."""
+"""Retrieval quality: eligible queries, matchers, truth ranks, metrics, cluster bootstrap."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators import checks
+from sightline.operators.shared import dense_ids, materialise
+
 TOP = (1, 3, 5, 10, 15)
 
 
@@ -14,11 +21,14 @@ def eligible(pairs: DataFrame, name: str) -> DataFrame:
 
 
 def truth_ranks(scores: DataFrame, query: str, candidate: str, truth: str, score: str = "score") -> DataFrame:
-    """query, truth, rank: one more than the candidates with a strictly higher score.  Scores are evaluated once: the true one is
-    read by a window, not by a join."""
+    """query, truth, rank: one more than the candidates with a strictly higher score; ties do not lower a rank.  A query whose truth has no score,
+    or with a score that is null or not finite, fails the whole job.  Scores are evaluated once: the true one is read by a window, not by a join."""
     true = F.max(F.when(F.col(candidate) == F.col(truth), F.col(score))).over(Window.partitionBy(query))
     marked = scores.withColumn("_true", true)
-    return marked.groupBy(query, truth).agg((F.count_if(F.col(score) > F.col("_true")) + 1).alias("rank"))
+    finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    ranks = marked.groupBy(query, truth).agg((F.count_if(F.col(score) > F.col("_true")) + 1).alias("rank"), F.count_if(~finite | F.col("_true").isNull()).alias("_bad"))
+    failed = F.raise_error(F.concat(F.lit("no finite score for the truth and each candidate of query "), F.col(query).cast("string"))).cast("long")
+    return ranks.select(query, truth, F.when(F.col("_bad") > 0, failed).otherwise(F.col("rank")).alias("rank"))
 
 
 def metric_columns(rank: str = "rank", top: tuple[int, ...] = TOP) -> dict[str, Column]:
@@ -48,10 +58,69 @@ def bootstrap(ranks: DataFrame, group: str, samples: int = 100_000, seed: int =
     are drawn with replacement.  Groups are summed up first; samples are generated and summed in parallel."""
     value = 1.0 / F.col("rank") if value is None else value
     sums = ranks.groupBy(group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    numbered = sums.withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)  # one row for each group
-    spark = ranks.sparkSession
-    total = numbered.agg(F.count("*").alias("e"))
-    draws = spark.range(samples).withColumnRenamed("id", "sample").join(F.broadcast(total))
-    draws = draws.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("e").cast("int") - 1))).select("sample", draw(F.col("sample"), F.col("place"), seed, F.col("e")).alias("g"))
-    drawn = draws.join(numbered.select("g", "s", "n"), "g").groupBy("sample").agg((F.sum("s") / F.sum("n")).alias("micro"), F.avg(F.col("s") / F.col("n")).alias("macro"))
+    numbered = materialise(dense_ids(sums, [group], "g").select((F.col("g") - 1).alias("g"), "s", "n"))
+    total = numbered.count()
+    if not total:
+        raise ValueError("no group to draw from")
+    draws = ranks.sparkSession.range(samples).withColumnRenamed("id", "sample")
+    draws = draws.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).select("sample", draw(F.col("sample"), F.col("place"), seed, F.lit(total)).alias("g"))
+    # how often a sample has a group is summed up before the groups' sums are looked up
+    often = draws.groupBy("sample", "g").agg(F.count("*").alias("w")).join(numbered, "g")
+    drawn = often.groupBy("sample").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("micro"), (F.sum(F.col("w") * F.col("s") / F.col("n")) / F.sum("w")).alias("macro"))
     return drawn.agg(*[F.percentile(k, q).alias(f"{k}_{name}") for k in ("micro", "macro") for q, name in ((0.025, "low"), (0.975, "high"))])
+
+
+# ---- one evaluation of one matcher ---------------------------------------------------------------------------------------------
+
+#: A matcher scores queries (query and its evidence) against a catalog (candidate, sighting and its evidence): query, candidate, score.
+Matcher = Callable[[DataFrame, DataFrame], DataFrame]
+MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher(name: str) -> Callable[[Matcher], Matcher]:
+    """Registers a matcher by name."""
+
+    def register(f: Matcher) -> Matcher:
+        MATCHERS[name] = f
+        return f
+
+    return register
+
+
+def checked(match: Matcher, queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The scores of a matcher, written once; fails unless there is one finite score for each query and each candidate of the catalog."""
+    scores = materialise(match(queries, catalog).select("query", "candidate", "score"))
+    found = checks.score_contract(scores, queries.select("query"), catalog.select("candidate").distinct()).first()
+    twice = scores.groupBy("query", "candidate").count().filter("count > 1").limit(1).count()
+    if found["missing"] or found["unknown"] or found["not_finite"] or twice:
+        raise checks.IntegrityError(f"a matcher must return one finite score for each query and candidate: {found.asDict()}, repeated {twice}")
+    return scores
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """Scores (query, truth, candidate, score with names), ranks, and one row each of micro and macro metrics and of intervals."""
+
+    scores: DataFrame
+    ranks: DataFrame
+    micro: DataFrame
+    macro: DataFrame
+    intervals: DataFrame
+
+
+def evaluate(benchmark: DataFrame, match: Matcher | str, samples: int = 100_000, seed: int = 42) -> Evaluation:
+    """Leave-one-sighting-out retrieval of a benchmark (name, sighting, and evidence in any further columns) by a matcher or the name of one.
+
+    Queries are the sightings of names with more than one; all names are candidates.  The matcher sees keys of this run in place of names, and must
+    hold out the query's own sighting.  Fails without an eligible query."""
+    run = uuid.uuid4().hex
+    keyed = benchmark.withColumn("candidate", F.sha2(F.concat_ws("-", F.lit(run), F.col("name").cast("string")), 256))
+    queries = eligible(benchmark, "name").withColumnRenamed("sighting", "query")
+    if not queries.limit(1).count():
+        raise ValueError("the benchmark has no eligible query")
+    scores = checked(MATCHERS[match] if isinstance(match, str) else match, queries.drop("name"), keyed.drop("name"))
+    names = keyed.select("candidate", "name").distinct()
+    named = scores.join(names, "candidate").select("query", F.col("name").alias("candidate"), "score")
+    named = named.join(queries.select("query", F.col("name").alias("truth")), "query").select("query", "truth", "candidate", "score")
+    ranks = materialise(truth_ranks(named, "query", "candidate", "truth"))
+    return Evaluation(named, ranks, micro(ranks), macro(ranks, "truth"), bootstrap(ranks, "truth", samples, seed))

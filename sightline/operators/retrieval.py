@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.series import log_mean_exp
+from sightline.operators.shared import every_pair
 
 
 @dataclass(frozen=True)
@@ -142,10 +143,10 @@ def block_similarities(queries: DataFrame, catalog: DataFrame, settings: Compari
 
 
 def side_scores(similarities: DataFrame, keys: list[str], column: str = "similarity", tau: float = 0.05) -> DataFrame:
-    """score: log-mean-exp of the similarities of each group of keys, in two aggregates so that nothing overflows."""
-    top = similarities.groupBy(*keys).agg(F.max(column).alias("_top"))
-    joined = similarities.join(top, keys)
-    return joined.groupBy(*keys, "_top").agg(log_mean_exp(F.col(column), tau, F.col("_top")).alias("score")).drop("_top")
+    """score: log-mean-exp of the similarities of each group of keys.  The largest one, taken out so that nothing overflows, comes from a window over the same
+    keys, so that the similarities are computed and shuffled once."""
+    top = similarities.select(*keys, column).withColumn("_top", F.max(column).over(Window.partitionBy(*keys)))
+    return top.groupBy(*keys, "_top").agg(log_mean_exp(F.col(column), tau, F.col("_top")).alias("score")).drop("_top")
 
 
 def candidate_scores(sides: DataFrame, keys: list[str], required: int = 2) -> DataFrame:
@@ -174,7 +175,7 @@ def neighbour_votes(neighbours: DataFrame, query: str, candidate: str, distance:
 def vote_scores(votes: DataFrame, catalog: DataFrame, queries: DataFrame, query: str, candidate: str) -> DataFrame:
     """Negated sums of the votes; candidates of the catalog without votes score 0.  catalog and queries: distinct keys."""
     total = votes.groupBy(query, candidate).agg(F.sum("vote").alias("total"))
-    spread = queries.join(F.broadcast(catalog))  # the result itself has a row for each query and candidate
+    spread = every_pair(queries, catalog, F.col(query), F.col(candidate))  # the result itself has a row for each query and candidate
     return spread.join(total, [query, candidate], "left").select(query, candidate, (F.lit(0.0) - F.coalesce("total", F.lit(0.0)) + F.lit(0.0)).alias("score"))
 
 

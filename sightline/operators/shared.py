@@ -1,16 +1,23 @@
-"""Cutting lineage in the folder that all executors see."""
+"""What several operators need: cut lineage, numbers in order, exact quantiles, and joins of all pairs block by block."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Rows of a block of the right side of every_pair.
+BLOCK_ROWS = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a session without one (tests, one machine) gets a folder here."""
+    """spark.checkpoint.dir; where it is unset a local master gets a folder here, and any other is refused."""
     context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return (named or context.getCheckpointDir()).rstrip("/")
 
@@ -18,3 +25,49 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """df in range partitions by `order`, with the partition's number _p; fixed, because the ranges come from a sample."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def dense_ids(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Numbers from 1 in order: rows are ranged into partitions, numbered in each, and the partitions' sizes are added up.
+
+    order: names or columns; rows that are equal in all of them are numbered in any order."""
+    local = _ranged(df, order).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    sizes = local.groupBy("_p").agg(F.max("_r").alias("_n"))  # one row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")
+
+
+def exact_quantiles(rows: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """groups, one column for each quantile: linear interpolation between the two nearest ranks of the values that are not null.
+
+    Values are ranged over all partitions and ranked by the partitions' sizes, so that a few large groups are no few large tasks."""
+    order = [*groups, value]
+    local = _ranged(rows.filter(F.col(value).isNotNull()).select(*order), order).withColumn("_r", F.row_number().over(Window.partitionBy("_p", *groups).orderBy(value)))
+    sizes = materialise(local.groupBy(*groups, "_p").agg(F.max("_r").alias("_n")))  # a row for each partition that a group reaches
+    w = Window.partitionBy(*groups).orderBy("_p")
+    places = sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*groups)))
+    rank = F.col("_before") + F.col("_r") - 1
+    at = {name: F.lit(float(q)) * (F.col("_all") - 1) for name, q in quantiles.items()}
+    ranked = local.join(places, [*groups, "_p"])
+    wanted = F.lit(False)
+    for x in at.values():
+        wanted = wanted | (rank == F.floor(x)) | (rank == F.ceil(x))
+    pick = lambda place: F.max(F.when(rank == place, F.col(value)))
+    found = ranked.filter(wanted).groupBy(*groups).agg(*[c for name, x in at.items() for c in (pick(F.floor(x)).alias(f"{name}_a"), pick(F.ceil(x)).alias(f"{name}_b"), F.max(x - F.floor(x)).alias(f"{name}_f"))])
+    return found.select(*groups, *[(F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * F.col(f"{n}_f")).alias(n) for n in quantiles])
+
+
+def every_pair(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+    """All pairs of two tables, where the result itself is asked for: an equi-join of bounded blocks, with no side broadcast."""
+    n, m = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (left, right))
+    block = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+    spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = left.withColumn("_a", block(left_key, n)).withColumn("_b", spread(m))
+    b = right.withColumn("_b", block(right_key, m)).withColumn("_a", spread(n))
+    return a.join(b, ["_a", "_b"]).drop("_a", "_b")

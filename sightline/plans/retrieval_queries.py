@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions import series
 from sightline.operators import evaluation as ev
+from sightline.operators import matchers as ma  # noqa: F401 (registers the matchers)
 from sightline.operators import retrieval as rt
+from sightline.operators import vectors as ve
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 
@@ -28,44 +29,21 @@ ranks AS (SELECT query, truth, 1 + count(*) FILTER (WHERE score > t) AS rank FRO
 )
 
 
+def vectors(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("e"))
+
+
+def benchmark(spark, sf) -> DataFrame:
+    """name (the label), sighting (the vector's id) and e, its evidence."""
+    return vectors(spark, sf).select(F.col("label").alias("name"), F.col("id").alias("sighting"), "e")
+
+
 def vector_scores(spark, sf) -> DataFrame:
-    """query, truth, candidate, score: leave-one-out log-mean-exp of the cosine with the candidate's other vectors.
-
-    Vectors are dealt into blocks, and pairs of blocks are compared as matrices; each pair sends one row for each query and candidate."""
-    import numpy as np
-    import pyarrow as pa
-
-    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    n = max(1, -(-v.count() // 2048))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = v.select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("e").alias("q_e"), block.alias("qb"), spread.alias("q_rb"))
-    r = v.select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_label"), F.col("e").alias("r_e"), block.alias("rb"), spread.alias("r_qb"))
-    schema = pa.schema([("query", pa.int64()), ("truth", pa.int32()), ("candidate", pa.int32()), ("m", pa.float64()), ("s", pa.float64()), ("n", pa.int64())])
-
-    def compare(key, left, right):
-        qi, ri = left["q_id"].to_numpy(), right["r_id"].to_numpy()
-        if not len(qi) or not len(ri):
-            return schema.empty_table()
-        a = np.vstack(left["q_e"].combine_chunks().to_numpy(zero_copy_only=False))
-        b = np.vstack(right["r_e"].combine_chunks().to_numpy(zero_copy_only=False))
-        labels = right["r_label"].to_numpy()
-        sims = a @ b.T
-        sims[qi[:, None] == ri[None, :]] = -np.inf
-        out = []
-        for label in np.unique(labels):
-            part = sims[:, labels == label]
-            count = (part > -np.inf).sum(axis=1)
-            top = part.max(axis=1)
-            ok = count > 0
-            total = np.exp((part[ok] - top[ok, None]) / 0.05).sum(axis=1)
-            out.append((qi[ok], left["q_label"].to_numpy()[ok], np.full(ok.sum(), label), top[ok], total, count[ok]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-
-    parts = q.groupBy("qb", "q_rb").cogroup(r.groupBy("r_qb", "rb")).applyInArrow(compare, "query long, truth int, candidate int, m double, s double, n long")
-    best = F.max("m").over(Window.partitionBy("query", "candidate"))
-    merged = parts.withColumn("top", best).groupBy("query", "truth", "candidate", "top").agg(F.sum(F.col("s") * F.exp((F.col("m") - F.col("top")) / 0.05)).alias("s"), F.sum("n").alias("n"))
-    return merged.select("query", "truth", "candidate", (F.col("top") + 0.05 * (F.log("s") - F.log(F.col("n").cast("double")))).alias("score"))
+    """query, truth, candidate, score: leave-one-out log-mean-exp of the cosine with the candidate's other vectors."""
+    v = vectors(spark, sf)
+    scores = ve.candidate_scores(v, v.withColumnRenamed("label", "candidate"))
+    truth = v.select(F.col("id").alias("query"), F.col("label").alias("truth"))
+    return scores.join(truth, "query").select("query", "truth", F.col("candidate").cast("int").alias("candidate"), "score")
 
 
 def vector_ranks(spark, sf) -> DataFrame:
@@ -78,7 +56,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query(f"WITH {_RANKS} SELECT count(*) AS n_queries, {_METRICS}, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM ranks")
 def c3_leave_one_out_metrics(spark, sf):
-    return rounded(ev.micro(vector_ranks(spark, sf)))
+    return rounded(ev.evaluate(benchmark(spark, sf), "vectors", samples=1).micro)
 
 
 @query(f"WITH {_SCORES} SELECT query, truth, candidate, round(score, 6) AS score FROM scores")
@@ -107,13 +85,13 @@ def g9_macro_metrics(spark, sf):
 sums AS (SELECT row_number() OVER (ORDER BY truth) - 1 AS g, s, n FROM (SELECT truth, sum(1.0::DOUBLE / rank) AS s, count(*) AS n FROM ranks GROUP BY 1)),
 draws AS (
   SELECT sample, (('0x' || substr(md5(concat(sample, '-', place, '-42')), 1, 8))::BIGINT) % (SELECT count(*) FROM sums) AS g
-  FROM (SELECT unnest(range(1000)) AS sample) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM sums))) AS place)),
+  FROM (SELECT unnest(range(100000)) AS sample) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM sums))) AS place)),
 drawn AS (SELECT sample, sum(s) / sum(n) AS micro, avg(s / n) AS macro FROM draws JOIN sums USING (g) GROUP BY 1)
 SELECT round(quantile_cont(micro, 0.025), 6) AS micro_low, round(quantile_cont(micro, 0.975), 6) AS micro_high,
   round(quantile_cont(macro, 0.025), 6) AS macro_low, round(quantile_cont(macro, 0.975), 6) AS macro_high FROM drawn"""
 )
 def g10_cluster_bootstrap(spark, sf):
-    return rounded(ev.bootstrap(vector_ranks(spark, sf), "truth", samples=1000))
+    return rounded(ev.bootstrap(vector_ranks(spark, sf), "truth"))
 
 
 @query(f"WITH {_SCORES} SELECT query, candidate, rank() OVER (PARTITION BY query ORDER BY round(score, 9) DESC) AS rank FROM scores")
@@ -145,40 +123,14 @@ def v12_score_contract(spark, sf):
 
 
 _KNN = """v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings),
-d AS (SELECT q.vec_id AS query, r.vec_id AS other, r.label AS candidate, round(sqrt(greatest(0.0, 2 - 2 * list_dot_product(q.e, r.e))), 9) AS distance FROM v q JOIN v r ON q.vec_id <> r.vec_id),
+d AS (SELECT q.vec_id AS query, r.vec_id AS other, r.label AS candidate, round(sqrt(greatest(0.0, list_dot_product(q.e, q.e) + list_dot_product(r.e, r.e) - 2 * list_dot_product(q.e, r.e))), 9) AS distance FROM v q JOIN v r ON q.vec_id <> r.vec_id),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, other) AS nn FROM d) WHERE nn <= 3)"""
 
 
 def vector_neighbours(spark, sf, k: int = 3) -> DataFrame:
-    """query, other, candidate, distance, nn: exact k nearest neighbours by blocks of matrices."""
-    import numpy as np
-    import pyarrow as pa
-
-    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    n = max(1, -(-v.count() // 2048))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = v.select(F.col("vec_id").alias("q_id"), F.col("e").alias("q_e"), block.alias("qb"), spread.alias("q_rb"))
-    r = v.select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_label"), F.col("e").alias("r_e"), block.alias("rb"), spread.alias("r_qb"))
-    schema = pa.schema([("query", pa.int64()), ("other", pa.int64()), ("candidate", pa.int32()), ("distance", pa.float64())])
-
-    def compare(key, left, right):
-        qi, ri = left["q_id"].to_numpy(), right["r_id"].to_numpy()
-        if not len(qi) or not len(ri):
-            return schema.empty_table()
-        a = np.vstack(left["q_e"].combine_chunks().to_numpy(zero_copy_only=False))
-        b = np.vstack(right["r_e"].combine_chunks().to_numpy(zero_copy_only=False))
-        d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T))), 9)
-        d[qi[:, None] == ri[None, :]] = np.inf
-        order = np.argsort(ri, kind="stable")
-        first = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-        rows, got = np.repeat(np.arange(len(qi)), first.shape[1]), first.ravel()
-        ok = np.isfinite(d[rows, got])
-        rows, got = rows[ok], got[ok]
-        return pa.Table.from_arrays([pa.array(qi[rows]), pa.array(ri[got]), pa.array(right["r_label"].to_numpy()[got], pa.int32()), pa.array(d[rows, got])], schema=schema)
-
-    near = q.groupBy("qb", "q_rb").cogroup(r.groupBy("r_qb", "rb")).applyInArrow(compare, "query long, other long, candidate int, distance double")
-    return rt.nearest(near, "query", "distance", "other", k)
+    """query, other, candidate, distance, nn: exact k nearest neighbours."""
+    v = vectors(spark, sf)
+    return ve.nearest_vectors(v, k).join(v.select(F.col("id").alias("other"), F.col("label").alias("candidate")), "other")
 
 
 @query(f"WITH {_KNN} SELECT query, other, candidate, round(distance, 6) AS distance, nn FROM knn")
@@ -290,15 +242,14 @@ def g5_available_side_scores(spark, sf):
     return rounded(rt.available_side_scores(sims, "query", "candidate", "side", "similarity"))
 
 
-_PAIR_TABLE = """v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings WHERE label = 3),
-p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) + (a.vec_id % 7) * 0.01, 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
+_PAIR_TABLE = """v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) + (a.vec_id % 7) * 0.01, 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)"""
 
 
 def pair_table(spark, sf) -> DataFrame:
-    """i, j, score: all ordered pairs of the vectors of one label, with an asymmetric part."""
-    v = table(spark, sf, "embeddings").filter(F.col("label") == 3).select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
-    w = v.select(F.col("i").alias("j"), F.col("a").alias("b"))
-    return v.join(w, F.col("i") != F.col("j")).select("i", "j", F.round(series.dot(F.col("a"), F.col("b")) + (F.col("i") % 7) * 0.01, 9).alias("score"))
+    """i, j, score: all ordered pairs of the vectors of each label, with an asymmetric part."""
+    v = vectors(spark, sf)
+    return ve.pair_scores(v, v, ["label"]).select("i", "j", F.round(F.col("score") + (F.col("i") % 7) * 0.01, 9).alias("score"))
 
 
 @query(

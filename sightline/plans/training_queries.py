@@ -24,7 +24,7 @@ def predictions(spark, sf):
 
 @query(f"WITH {_PRED} SELECT dense_rank() OVER (ORDER BY file_name) AS image_id, file_name FROM (SELECT DISTINCT file_name FROM pred)")
 def d1_images(spark, sf):
-    return tr.annotation_tables(predictions(spark, sf))[0].select("image_id", "file_name")
+    return tr.image_table(predictions(spark, sf)).select("image_id", "file_name")
 
 
 @query(
@@ -32,13 +32,14 @@ def d1_images(spark, sf):
 SELECT annotation_id, image_id, class_id + 1 AS category_id, round(x - width / 2, 6) AS bx, round(height, 6) AS bh, round(width * height, 6) AS area FROM r"""
 )
 def d1_annotations(spark, sf):
-    a = tr.annotation_tables(predictions(spark, sf))[1]
+    p = predictions(spark, sf)
+    a = tr.annotation_table(p, tr.image_table(p))
     return rounded(a.select("annotation_id", "image_id", "category_id", F.get("bbox", F.lit(0)).alias("bx"), F.get("bbox", F.lit(3)).alias("bh"), "area"))
 
 
 @query(f"WITH {_PRED} SELECT class_id + 1 AS id, min(class_name) AS name FROM pred GROUP BY 1")
 def d1_categories(spark, sf):
-    return tr.annotation_tables(predictions(spark, sf))[2]
+    return tr.category_table(predictions(spark, sf))
 
 
 @query(

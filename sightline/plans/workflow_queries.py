@@ -10,10 +10,11 @@ from sightline.functions import series as se
 from sightline.operators import checks
 from sightline.operators import descriptors as de
 from sightline.operators import geometry as ge
+from sightline.operators import vectors as ve
 from sightline.operators import workflow as wf
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
-from sightline.plans.retrieval_queries import _PAIR_TABLE, pair_table, rounded
+from sightline.plans.retrieval_queries import _PAIR_TABLE, pair_table, rounded, vectors
 from sightline.plans.series_queries import _HIT, _RAYS, rays
 
 P, PAIRS, E, C, B = inputs.CROPS_SQL, inputs.PAIRS_SQL, inputs.EARS_SQL, inputs.CONTOUR_SQL, inputs.BOXES_SQL
@@ -115,16 +116,12 @@ def j4_pair_table(spark, sf):
     return pair_table(spark, sf)
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings WHERE label IN (3, 4)) SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id")
+@query("WITH v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id")
 def j5_extended_pairs(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"), "label")
-
-    def compare(x, y):
-        y = y.select(F.col("i").alias("j"), F.col("a").alias("b"))
-        return x.join(y, F.col("i") != F.col("j")).select("i", "j", F.round(se.dot(F.col("a"), F.col("b")), 6).alias("score"))
-
-    old, new = v.filter("label = 3").select("i", "a"), v.filter("label = 4").select("i", "a")
-    return wf.extend_pairs(compare(old, old), old, new, compare)
+    v = vectors(spark, sf)
+    compare = lambda a, b: ve.pair_scores(a, b, ["label"])
+    old, new = v.filter("id % 5 <> 0"), v.filter("id % 5 = 0")
+    return rounded(wf.extend_pairs(compare(old, old), old, new, compare))
 
 
 @query(f"WITH {P}, t AS (SELECT sighting AS query, photo FROM photos WHERE line <= 2) SELECT g.sighting AS query, g.photo FROM photos g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query = g.sighting AND t.photo = g.photo)")
