@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import scalar as sc
+from sightline.operators.shared import dense_ids, exact_quantiles
 
 
 def facet_filter(facets: dict[str, Column | None]) -> Column:
@@ -44,7 +45,7 @@ def threshold_sweep(scores: DataFrame, score: str, reference: str, cuts: list[fl
 
 def score_quantiles(scores: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     rows = scores.select(F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*")
-    return rows.groupBy("score").agg(*[F.percentile("v", q).alias(f"q{int(q * 100):02d}") for q in quantiles])
+    return exact_quantiles(rows, ["score"], "v", {f"q{int(q * 100):02d}": q for q in quantiles})
 
 
 def lowest(scores: DataFrame, columns: list[str], key: str, n: int) -> DataFrame:
@@ -83,21 +84,59 @@ def nth_best(rows: DataFrame, group: str, value: str, n: int, missing) -> DataFr
     return rows.withColumn("_n", F.row_number().over(w)).groupBy(group).agg(F.coalesce(F.max(F.when(F.col("_n") == n, F.col(value))), F.lit(missing)).alias(f"best{n}"))
 
 
-def review_queue(candidates: DataFrame) -> DataFrame:
-    """name, sighting, place: the whole queue as an order: better tiers first, then individuals by their fifth and third best sighting and number of
-    usable ones, then stronger sightings.  The place is counted within the tier, so no order over all rows is needed."""
-    tiers = sighting_tiers(candidates).join(sighting_strength(candidates), ["name", "sighting"])
-    keep = usable_individuals(tiers)
-    priority = nth_best(tiers, "name", "tier", 5, 0).join(nth_best(tiers, "name", "tier", 3, 0), "name").join(keep, "name")
-    w = Window.partitionBy("tier").orderBy(F.col("best5").desc(), F.col("best3").desc(), F.col("usable").desc(), "name", F.col("strength").desc(), "sighting")
-    return tiers.join(priority, "name").withColumn("place", F.row_number().over(w).cast("long")).select("tier", "place", "name", "sighting")
-
-
-def qualifying_individuals(candidates: DataFrame, quality: Column, least: int = 2, cut: float = 0.5) -> DataFrame:
-    """name, n: individuals with at least `least` sightings whose best left and best right quality are both above the cut."""
+def review_state(decisions: DataFrame) -> DataFrame:
+    """sighting, name, action: the newest decision (accept or reject) of each sighting; a skip takes a decision back."""
+    newest = decisions.groupBy("sighting").agg(F.max_by(F.struct("name", "action"), "seq").alias("r"))
+    return newest.select("sighting", "r.name", "r.action").filter(F.col("action").isin("accept", "reject"))
+
+
+def review_queue(candidates: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
+    """tier, place, name, sighting: the sightings still to be reviewed, in order.
+
+    candidates: name, sighting, side, photo, score; decisions: sighting, name, action, seq.  Individuals need `least` usable sightings, fewer than `cap`
+    accepted ones, and enough that are not rejected to reach the least.  Better tiers come first; in a tier, individuals by their fifth and then their third best
+    sighting (tier, then the better side's best score), by their number of sightings of this tier, by up to three accepted ones, and by name; of an
+    individual the stronger sighting first.  Rows are numbered in range partitions, and the few tiers' first numbers are taken off."""
+    better = candidates.filter(F.col("side").isin("left", "right")).groupBy("name", "sighting").agg(F.max("score").alias("stronger"))
+    tiers = sighting_tiers(candidates).join(sighting_strength(candidates), ["name", "sighting"]).join(better, ["name", "sighting"])
+    by_rank = Window.partitionBy("name").orderBy(F.col("tier").desc(), F.col("stronger").desc())
+    nth = lambda n, c: F.coalesce(F.max(F.when(F.col("_n") == n, F.col(c))), F.lit(-1))
+    own = tiers.withColumn("_n", F.row_number().over(by_rank)).groupBy("name")
+    people = own.agg(F.count("*").alias("usable"), nth(5, "tier").alias("t5"), nth(5, "stronger").alias("s5"), nth(3, "tier").alias("t3"), nth(3, "stronger").alias("s3")).filter(F.col("usable") >= least)
+    state = review_state(decisions)
+    done = state.groupBy("name").agg(F.count_if(F.col("action") == "accept").alias("accepted"), F.count_if(F.col("action") == "reject").alias("rejected"))
+    people = people.join(done, "name", "left").fillna(0, ["accepted", "rejected"])
+    people = people.filter((F.col("accepted") < cap) & (F.col("usable") - F.col("rejected") >= least))
+    here = tiers.groupBy("name", "tier").agg(F.count("*").alias("here"))
+    left = tiers.join(state.select("sighting"), "sighting", "left_anti").join(people, "name").join(here, ["name", "tier"])
+    down = lambda *names: [F.col(n).desc() for n in names]
+    order = [*down("tier", "t5", "s5", "t3", "s3", "here"), F.least("accepted", F.lit(3)).desc(), F.col("name"), F.col("strength").desc(), F.col("sighting")]
+    numbered = dense_ids(left.select("name", "sighting", "tier", "strength", "t5", "s5", "t3", "s3", "here", "accepted"), order, "_at")
+    first = numbered.groupBy("tier").agg(F.min("_at").alias("_first"))  # one row for each tier
+    return numbered.join(F.broadcast(first), "tier").select("tier", (F.col("_at") - F.col("_first") + 1).alias("place"), "name", "sighting")
+
+
+def next_sighting(queue: DataFrame, current: DataFrame) -> DataFrame:
+    """The one row of a queue that is reviewed next: of the best tier that has any, of the individual under review there (current: tier, name) if it still has
+    sightings, else of the first."""
+    marked = queue.join(current.select("tier", F.col("name").alias("_active")), "tier", "left")
+    return marked.orderBy(F.col("tier").desc(), F.coalesce(F.col("name") == F.col("_active"), F.lit(False)).desc(), "place").limit(1).drop("_active")
+
+
+def shown_order(items: DataFrame, key: str, names: list[str], seed: int | None = None) -> DataFrame:
+    """items with place, from 1: in the order of names, or shuffled by a hash of the key and a seed."""
+    order = [*names, key] if seed is None else [F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    return dense_ids(items, order, "place")
+
+
+def qualifying_individuals(candidates: DataFrame, quality: Column, picks: DataFrame, least: int = 5, cut: float = 0.5) -> DataFrame:
+    """name, n: individuals with at least `least` sightings (name, sighting, date) whose best left and best right quality are both above the cut, or whose date is
+    among their earlier picks (name, date)."""
     best = lambda side: F.max(F.when(F.col("side") == side, quality))
-    both = candidates.groupBy("name", "sighting").agg(best("left").alias("l"), best("right").alias("r")).filter((F.col("l") > cut) & (F.col("r") > cut))
-    return both.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    both = candidates.groupBy("name", "sighting", "date").agg(best("left").alias("l"), best("right").alias("r"))
+    earlier = picks.select("name", "date").distinct().withColumn("_kept", F.lit(True))
+    good = both.join(earlier, ["name", "date"], "left").filter(F.col("_kept").isNotNull() | ((F.col("l") > cut) & (F.col("r") > cut)))
+    return good.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def pick_summary(picks: DataFrame) -> DataFrame:
@@ -107,11 +146,15 @@ def pick_summary(picks: DataFrame) -> DataFrame:
     return out.withColumn("done", F.col("complete").between(3, 5) & (F.col("complete") == F.col("selected")))
 
 
-def catalog_summary(photos: DataFrame) -> DataFrame:
-    """name, n, n_left, n_right, dates (distinct, sorted), thumbnail (first photo in the order of date and photo)."""
+def catalog_summary(photos: DataFrame, thumbnail: Column | None = None) -> DataFrame:
+    """name, n, n_left, n_right, dates (distinct, sorted), thumbnail (the first that is not null in the order of date and photo).
+
+    photos: name, side, date, photo; thumbnail: by default the photo."""
+    shown = F.col("photo") if thumbnail is None else thumbnail
+    first = F.min_by(shown, F.when(shown.isNotNull(), F.struct("date", "photo")))
     return photos.groupBy("name").agg(
         F.count("*").alias("n"), F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"),
-        F.size(F.collect_set("date")).alias("n_dates"), F.min("date").alias("first_date"), F.min_by("photo", F.struct("date", "photo")).alias("thumbnail"),
+        F.sort_array(F.collect_set("date")).alias("dates"), first.alias("thumbnail"),
     )
 
 

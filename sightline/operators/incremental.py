@@ -33,36 +33,83 @@ def fold_decisions(log: DataFrame) -> DataFrame:
     return newest.select("sighting", "r.action", "r.seq", (F.col("accepts") - (F.col("r.action") == "accept").cast("long")).alias("superseded"))
 
 
+def fold_events(log: DataFrame, key: str, order: list[str], columns: list[str], start: Callable, step: Callable, rows: Callable, ddl: str) -> DataFrame:
+    """What is left of each key's events: state = step(state, *values of columns) in order, from start(), and then rows(key, state), tuples for ddl.
+
+    Events stream through a task in the order of key and `order`, and only one key's state is held, so that no key's events are gathered, however
+    many they are.  Events without a key are left out."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        at, state, fresh = None, None, True
+
+        for batch in batches:
+            out: list[tuple] = []
+            for who, *values in zip(*(batch.column(i).to_pylist() for i in range(len(columns) + 1))):
+                if fresh or who != at:
+                    out.extend([] if fresh else rows(at, state))
+                    at, state, fresh = who, start(), False
+                state = step(state, *values)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+        if not fresh and (out := rows(at, state)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = log.filter(F.col(key).isNotNull()).select(key, *columns, *[c for c in order if c not in columns and c != key])
+    return needed.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+
+
+def _ddl(log: DataFrame, **columns: str) -> str:
+    """A schema of columns with the types that those of the log have."""
+    return ", ".join(f"{name} {log.schema[source].dataType.simpleString()}" for name, source in columns.items())
+
+
 def fold_decisions_capped(log: DataFrame, cap: int = 10) -> DataFrame:
     """individual, sighting: acceptances in force when, in the order of seq, an individual takes at most `cap` at a time.
 
-    log: individual, sighting, seq, action.  One fold over each individual's events, as a Spark expression."""
-    events = log.groupBy("individual").agg(F.array_sort(F.collect_list(F.struct("seq", "sighting", "action"))).alias("events"))
-    empty = F.array().cast("array<bigint>")
+    log: individual, sighting, seq, action."""
 
-    def step(kept, e):
-        without = F.array_remove(kept, e["sighting"])
-        return F.when(e["action"] == "reject", without).when((e["action"] == "accept") & ~F.array_contains(kept, e["sighting"]) & (F.size(kept) < cap), F.array_append(kept, e["sighting"])).otherwise(kept)
+    def step(kept: list, sighting, action) -> list:
+        if action == "reject":
+            return [s for s in kept if s != sighting]
+        return [*kept, sighting] if action == "accept" and sighting not in kept and len(kept) < cap else kept
 
-    return events.select("individual", F.explode(F.aggregate("events", empty, step)).alias("sighting"))
+    return fold_events(log, "individual", ["seq", "sighting"], ["sighting", "action"], list, step, lambda who, kept: [(who, s) for s in kept], _ddl(log, individual="individual", sighting="sighting"))
 
 
 def toggled_flags(log: DataFrame) -> DataFrame:
-    """key, flagged: a flag event with the pair that is flagged takes the flag away, another one sets it; a pick or reject resolves it.
+    """key, flagged, resolution: the flag of each key, if there is one.
+
+    log: key, seq, action, pair.  Flagging the flagged pair while its flag is pending takes the flag away; any other flagging sets a pending flag.  A pick or
+    reject resolves a pending flag, which then stays with its resolution."""
+
+    def step(flag, action, pair):
+        if action == "flag":
+            return None if flag == (pair, None) else (pair, None)
+        return (flag[0], {"pick": "replaced", "reject": "rejected"}[action]) if flag and flag[1] is None and action in ("pick", "reject") else flag
 
-    log: key, seq, action, pair."""
-    events = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "pair"))).alias("events"))
-    none = F.lit(None).cast("string")
-    step = lambda flag, e: F.when(e["action"] != "flag", none).when(flag.eqNullSafe(e["pair"]), none).otherwise(e["pair"])
-    return events.select("key", F.aggregate("events", none, step).alias("flagged"))
+    rows = lambda key, flag: [(key, *flag)] if flag else []
+    return fold_events(log, "key", ["seq"], ["action", "pair"], lambda: None, step, rows, f"{_ddl(log, key='key', flagged='pair')}, resolution string")
 
 
 def lifecycle(log: DataFrame) -> DataFrame:
-    """key, analysed, approved, matched, decided: sequence numbers of the steps in force.  A new approval resets the match and the decision; the first decision after it stands."""
-    at = lambda action: F.max(F.when(F.col("action") == action, F.col("seq")))
-    base = log.join(log.groupBy("key").agg(at("approve").alias("approved")), "key")
-    after = F.col("seq") > F.coalesce("approved", F.lit(-1))
-    return base.groupBy("key", "approved").agg(at("analyse").alias("analysed"), F.max(F.when((F.col("action") == "match") & after, F.col("seq"))).alias("matched"), F.min(F.when((F.col("action") == "decide") & after, F.col("seq"))).alias("decided"))
+    """key, analysed, approved, matched, decided: sequence numbers of the steps in force.
+
+    An analysis clears the approval, the match and the decision before it; an approval clears the match and the decision.  Of matches the newest stands, of decisions
+    the first one after the approval, which alone can be made."""
+    at = lambda action, after: F.when((F.col("action") == action) & (F.col("seq") > after), F.col("seq"))
+    none = F.lit(-1).cast("long")
+    steps = log.groupBy("key").agg(F.max(at("analyse", none)).alias("analysed"))
+    base = log.join(steps, "key")
+    approved = base.groupBy("key", "analysed").agg(F.max(at("approve", F.coalesce("analysed", none))).alias("approved"))
+    base = log.join(approved, "key")
+    since = F.coalesce(F.greatest("analysed", "approved"), none)
+    return base.groupBy("key", "analysed", "approved").agg(F.max(at("match", since)).alias("matched"), F.min(at("decide", since)).alias("decided"))
 
 
 def restorable(snapshots: DataFrame, current: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.retrieval import logistic, strength, symmetrised_z, top_n
+from sightline.operators.shared import exact_quantiles
 
 
 def calibration_sample(pairs: DataFrame, query: str, label: str, key: list[str], per_positive: int = 5, seed: int = 42) -> DataFrame:
@@ -30,7 +31,7 @@ def fit_calibrator(sample: DataFrame, features: list[str], label: str):
 
 def impostor_cuts(pairs: DataFrame, label: str, score: str) -> DataFrame:
     """strong, moderate: the 99th and 90th percentile of the scores of different individuals."""
-    return pairs.filter(~F.col(label)).agg(F.percentile(score, 0.99).alias("strong"), F.percentile(score, 0.90).alias("moderate"))
+    return exact_quantiles(pairs.filter(~F.col(label)), [], score, {"strong": 0.99, "moderate": 0.90})
 
 
 def rank_with_evidence(pairs: DataFrame, owners: DataFrame, n: int = 12) -> DataFrame:
@@ -107,8 +108,89 @@ def curvature(contour: DataFrame, radius: float, key: str = "ear") -> DataFrame:
     turned = pts.join(ends, [key, "i"]).withColumn("t", F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")))
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     turned = turned.select(key, "i", "j", "n", (dx * F.cos("t") + dy * F.sin("t")).alias("u"), (dy * F.cos("t") - dx * F.sin("t")).alias("v"))
+    # the square around the point, clipped in x to the curve; the area under the curve is not clipped in y
     w = Window.partitionBy(key, "i").orderBy("j")
-    low = lambda c: F.greatest(F.lit(-radius), F.least(F.lit(radius), c)) + radius
-    step = turned.withColumn("du", F.lead("u").over(w) - F.col("u")).withColumn("h", (low(F.lead("v").over(w)) + low(F.col("v"))) / 2)
-    out = step.groupBy(key, "i").agg(F.sum(F.col("du") * F.col("h")).alias("area"), F.sum(F.abs("du")).alias("width"), F.first("n").alias("n"))
-    return out.select(key, "i", F.when((F.col("n") > 1) & (F.col("width") > 0), F.col("area") / (F.col("width") * 2 * radius)).otherwise(F.lit(0.5)).alias("c"))
+    step = turned.withColumn("du", F.lead("u").over(w) - F.col("u")).withColumn("h", (F.lead("v").over(w) + F.col("v")) / 2 + radius)
+    out = step.groupBy(key, "i").agg(F.sum(F.col("du") * F.col("h")).alias("area"), F.greatest(F.min("u"), F.lit(-radius)).alias("lo"), F.least(F.max("u"), F.lit(radius)).alias("hi"), F.first("n").alias("n"))
+    share = F.col("area") / ((F.col("hi") - F.col("lo")) * 2 * radius)
+    return out.select(key, "i", F.when((F.col("n") > 1) & (F.col("hi") > F.col("lo")), share).otherwise(F.lit(0.5)).alias("c"))
+
+
+def mirrored(contour: DataFrame, crops: DataFrame, width: float, key: str = "ear") -> DataFrame:
+    """key, i, x, y: outlines (key, i, x, y) in their crops (key, x0, y0, x1, side), right ones mirrored inside the crop, scaled to a width."""
+    c = contour.join(crops, key)
+    x = F.when(F.col("side") == "right", F.col("x0") + F.col("x1") - 1 - F.col("x")).otherwise(F.col("x"))
+    ratio = F.lit(float(width)) / (F.col("x1") - F.col("x0"))
+    return c.select(key, "i", ((x - F.col("x0") + 0.5) * ratio - 0.5).alias("x"), ((F.col("y") - F.col("y0") + 0.5) * ratio - 0.5).alias("y"))
+
+
+def gated_peaks(depths, gate: float):
+    """ARRAY<STRUCT<i, depth>> of an ARRAY<DOUBLE>: local maxima of at least `gate`, where smaller depths count as 0, that rise at least half the gate above the
+    higher of the lowest values between them and a higher value (or the end) on either side.  A flat top counts once, at its middle."""
+    core = F.transform(depths, lambda d: F.when(d < gate, F.lit(0.0)).otherwise(d))
+
+    def of(v):
+        n = F.size(v)
+        at = lambda i: F.get(v, i)
+        # from each place, the lowest value before something higher on the left and on the right
+        def low(i, ahead):
+            side = F.slice(v, i + 2, F.greatest(n - i - 1, F.lit(0))) if ahead else F.reverse(F.slice(v, F.lit(1), i))
+            step = lambda s, x: F.when(s["over"] | (x > at(i)), F.struct(F.lit(True).alias("over"), s["low"].alias("low"))).otherwise(F.struct(F.lit(False).alias("over"), F.least(s["low"], x).alias("low")))
+            return F.aggregate(side, F.struct(F.lit(False).alias("over"), at(i).alias("low")), step, lambda s: s["low"])
+
+        def top(i):
+            left = F.coalesce(at(i - 1), F.lit(float("inf")))
+            # the end of the flat part that begins here
+            ahead = F.slice(v, i + 2, F.greatest(n - i - 1, F.lit(0)))
+            flat = F.aggregate(ahead, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.when(s["on"] & (x == at(i)), F.struct(F.lit(True).alias("on"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(False).alias("on"), s["n"].alias("n"))), lambda s: s["n"])
+            right = F.coalesce(at(i + flat + 1), F.lit(float("inf")))
+            return F.when((i > 0) & (left < at(i)) & (right < at(i)), F.struct(F.floor(i + flat / 2).cast("int").alias("i"), at(i).alias("depth"), (at(i) - F.greatest(low(i, False), low(i, True))).alias("prominence")))
+
+        tops = F.transform(F.sequence(F.lit(0), n - 1), top)
+        return F.filter(tops, lambda t: t.isNotNull() & (t["depth"] >= gate) & (t["prominence"] >= gate / 2))
+
+    return F.transform(of(core), lambda t: F.struct(t["i"], t["depth"]))
+
+
+def landmark_rays(ears: DataFrame, angles: list[float]) -> DataFrame:
+    """ear, ray, ox, oy, dx, dy: rays from the middle of two landmarks (ear, side, ux, uy, lx, ly): 0 degrees towards the upper one, 180 towards the lower one,
+    90 towards the flap, which is on the other side for a right ear.  Ears whose landmarks are one point have none."""
+    ox, oy = (F.col("ux") + F.col("lx")) / 2, (F.col("uy") + F.col("ly")) / 2
+    base = ears.select("ear", "side", ox.alias("ox"), oy.alias("oy"), (F.col("ux") - ox).alias("vx"), (F.col("uy") - oy).alias("vy"))
+    base = base.withColumn("d", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).filter("d > 0")
+    flip = F.when(F.col("side") == "left", 1.0).otherwise(-1.0)
+    base = base.select("ear", "ox", "oy", (F.col("vx") / F.col("d")).alias("vx"), (F.col("vy") / F.col("d")).alias("vy"), flip.alias("f"))
+    rays = base.select("*", F.posexplode(F.array(*[F.lit(float(a)) for a in angles])).alias("ray", "a"))
+    c, s = F.cos(F.radians("a")), F.sin(F.radians("a")) * F.col("f")
+    return rays.select("ear", "ray", "ox", "oy", (c * F.col("vx") - s * F.col("vy")).alias("dx"), (c * F.col("vy") + s * F.col("vx")).alias("dy"))
+
+
+def crop_annotations(boxes: DataFrame, width: float, height: float, share: float = 0.15) -> DataFrame:
+    """id, cw, ch, category, bbox, area, keypoints: annotation rows relative to the padded crop of each box in an image of this size.
+
+    boxes: id, side, x1, y1, x2, y2 and the anchors lx, ly (lower), ux, uy (upper).  Crops are rounded to whole pixels (half to even); the box leaves one
+    pixel on each side of the crop; anchors are cut to whole pixels and visible."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    edge = lambda v: F.bround(v, 0).cast("int")
+    c = boxes.withColumns(
+        {
+            "cx1": edge(F.greatest(F.lit(0.0), F.col("x1") - w * share)), "cy1": edge(F.greatest(F.lit(0.0), F.col("y1") - h * share)),
+            "cx2": edge(F.least(F.lit(float(width)), F.col("x2") + w * share)), "cy2": edge(F.least(F.lit(float(height)), F.col("y2") + h * share)),
+        }
+    )
+    point = lambda x, y: [F.col(x).cast("int") - F.col("cx1"), F.col(y).cast("int") - F.col("cy1"), F.lit(2)]
+    cw, ch = F.col("cx2") - F.col("cx1"), F.col("cy2") - F.col("cy1")
+    return c.select(
+        "id", cw.alias("cw"), ch.alias("ch"), F.when(F.col("side") == "left", 1).otherwise(2).alias("category"), F.array(F.lit(1), F.lit(1), cw - 2, ch - 2).alias("bbox"), (w * h).alias("area"),
+        F.array(*point("lx", "ly"), *point("ux", "uy")).alias("keypoints"),
+    )
+
+
+def pose_labels(annotations: DataFrame) -> DataFrame:
+    """id, label, valid of annotation rows: class, centre box and key points as shares of the crop with six decimals, and whether class and box pass the check."""
+    part = lambda v: F.format_string("%.6f", v)
+    b, k, w, h = F.col("bbox"), F.col("keypoints"), F.col("cw"), F.col("ch")
+    box = [(b[0] + b[2] / 2) / w, (b[1] + b[3] / 2) / h, b[2] / w, b[3] / h]
+    points = [p for i in (0, 3) for p in (part(k[i] / w), part(k[i + 1] / h), k[i + 2].cast("string"))]
+    ok = (F.col("category") - 1 >= 0) & F.forall(F.array(*box), lambda v: v.between(0, 1))
+    return annotations.select("id", F.concat_ws(" ", (F.col("category") - 1).cast("string"), *map(part, box), *points).alias("label"), F.coalesce(ok, F.lit(False)).alias("valid"))

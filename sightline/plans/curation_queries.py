@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import curation as cu
 from sightline.operators import evaluation as ev
 from sightline.operators import training as tr
+from sightline.operators.shared import exact_quantiles
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 from sightline.plans.retrieval_queries import rounded
@@ -71,19 +72,47 @@ def w2_third_best(spark, sf):
     return cu.nth_best(inputs.photos(spark, sf), "name", "score", 3, -1)
 
 
-@query(
-    f"""WITH {P}, {_TIERS}, {_STRENGTH}, t AS (SELECT t.*, s.strength FROM tiers t JOIN strength s ON s.name = t.name AND s.sighting = t.sighting),
-n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier DESC) AS n FROM t),
-pr AS (SELECT name, coalesce(max(CASE WHEN n = 5 THEN tier END), 0) AS best5, coalesce(max(CASE WHEN n = 3 THEN tier END), 0) AS best3, count(*) AS usable FROM n GROUP BY 1 HAVING count(*) >= 3)
-SELECT tier, row_number() OVER (PARTITION BY tier ORDER BY best5 DESC, best3 DESC, usable DESC, t.name, strength DESC, sighting) AS place, t.name, sighting FROM t JOIN pr ON pr.name = t.name"""
-)
+_QUEUE = f"""{P}, {_TIERS}, {_STRENGTH}, dec AS (SELECT sighting, name, CASE sighting % 7 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' END AS action FROM photos GROUP BY 1, 2),
+t AS (SELECT t.*, s.strength, b.stronger FROM tiers t JOIN strength s ON s.name = t.name AND s.sighting = t.sighting JOIN (SELECT sighting, max(score) AS stronger FROM photos GROUP BY 1) b ON b.sighting = t.sighting),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier DESC, stronger DESC) AS n FROM t),
+pr AS (SELECT name, coalesce(max(CASE WHEN n = 5 THEN tier END), -1) AS t5, coalesce(max(CASE WHEN n = 5 THEN stronger END), -1) AS s5, coalesce(max(CASE WHEN n = 3 THEN tier END), -1) AS t3, coalesce(max(CASE WHEN n = 3 THEN stronger END), -1) AS s3, count(*) AS usable FROM n GROUP BY 1 HAVING count(*) >= 3),
+dn AS (SELECT name, count(*) FILTER (WHERE action = 'accept') AS accepted, count(*) FILTER (WHERE action = 'reject') AS rejected FROM dec GROUP BY 1),
+pe AS (SELECT pr.*, accepted FROM pr JOIN dn ON dn.name = pr.name WHERE accepted < 10 AND usable - rejected >= 3),
+q AS (SELECT t.tier, row_number() OVER (PARTITION BY t.tier ORDER BY t5 DESC, s5 DESC, t3 DESC, s3 DESC, here DESC, least(accepted, 3) DESC, t.name, strength DESC, t.sighting) AS place, t.name, t.sighting
+  FROM t JOIN pe ON pe.name = t.name JOIN (SELECT name, tier, count(*) AS here FROM t GROUP BY 1, 2) h ON h.name = t.name AND h.tier = t.tier JOIN dec ON dec.sighting = t.sighting WHERE dec.action IS NULL)"""
+
+
+def review(spark, sf):
+    """Crops and a log with two decisions for each sighting, of which the second one counts."""
+    p = inputs.photos(spark, sf)
+    each = p.select("sighting", "name").distinct().withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    last = F.when(F.col("sighting") % 7 == 0, "accept").when(F.col("sighting") % 7 == 1, "reject").otherwise("skip")
+    return p, each.withColumn("action", F.when(F.col("seq") == 1, "accept").otherwise(last))
+
+
+@query(f"WITH {_QUEUE} SELECT tier, place, name, sighting FROM q")
 def l5_review_queue(spark, sf):
-    return cu.review_queue(inputs.photos(spark, sf))
+    return cu.review_queue(*review(spark, sf))
 
 
-@query(f"WITH {P}, b AS (SELECT name, sighting, max(CASE WHEN side = 'left' THEN score / 10.0 END) AS l, max(CASE WHEN side = 'right' THEN score / 10.0 END) AS r FROM photos GROUP BY 1, 2) SELECT name, count(*) AS n FROM b WHERE l > 0.5 AND r > 0.5 GROUP BY 1 HAVING n >= 2")
+@query(f"WITH {_QUEUE}, cur AS (SELECT tier, max(name) AS active FROM q GROUP BY 1) SELECT q.tier, place, name, sighting FROM q JOIN cur ON cur.tier = q.tier ORDER BY q.tier DESC, (name = active) DESC, place LIMIT 1")
+def l4_next_sighting(spark, sf):
+    queue = cu.review_queue(*review(spark, sf))
+    return cu.next_sighting(queue, queue.groupBy("tier").agg(F.max("name").alias("name")))
+
+
+@query(f"WITH {P} SELECT photo, row_number() OVER (ORDER BY md5(concat(photo, '-7')), photo) AS shuffled FROM photos WHERE score >= 5")
+def l7_seeded_shuffle(spark, sf):
+    return cu.shown_order(inputs.photos(spark, sf).filter("score >= 5").select("photo"), "photo", ["photo"], seed=7).withColumnRenamed("place", "shuffled")
+
+
+@query(
+    f"""WITH {P}, b AS (SELECT name, sighting, date, max(CASE WHEN side = 'left' THEN score / 10.0 END) AS l, max(CASE WHEN side = 'right' THEN score / 10.0 END) AS r FROM photos GROUP BY 1, 2, 3), k AS (SELECT DISTINCT name, date FROM photos WHERE sighting % 3 = 0)
+SELECT b.name, count(*) AS n FROM b LEFT JOIN k ON k.name = b.name AND k.date = b.date WHERE k.name IS NOT NULL OR (l > 0.5 AND r > 0.5) GROUP BY 1 HAVING n >= 5"""
+)
 def g32_qualifying_individuals(spark, sf):
-    return cu.qualifying_individuals(inputs.photos(spark, sf), F.col("score") / 10)
+    p = inputs.photos(spark, sf)
+    return cu.qualifying_individuals(p, F.col("score") / 10, p.filter("sighting % 3 = 0").select("name", "date"))
 
 
 @query(f"WITH {P}, e AS (SELECT name, date, count(DISTINCT side) AS sides FROM photos GROUP BY 1, 2) SELECT name, count(*) AS selected, count(*) FILTER (WHERE sides = 2) AS complete, complete BETWEEN 3 AND 5 AND complete = selected AS done FROM e GROUP BY 1")
@@ -91,9 +120,10 @@ def g31_pick_summary(spark, sf):
     return cu.pick_summary(inputs.photos(spark, sf))
 
 
-@query(f"WITH {P} SELECT name, count(*) AS n, count(*) FILTER (WHERE side = 'left') AS n_left, count(*) FILTER (WHERE side = 'right') AS n_right, count(DISTINCT date)::INT AS n_dates, min(date) AS first_date, arg_min(photo, (date, photo)) AS thumbnail FROM photos GROUP BY 1")
+@query(f"WITH {P} SELECT name, count(*) AS n, count(*) FILTER (WHERE side = 'left') AS n_left, count(*) FILTER (WHERE side = 'right') AS n_right, string_agg(DISTINCT date, ',' ORDER BY date) AS dates, arg_min(photo, (date, photo)) FILTER (WHERE score >= 4) AS thumbnail FROM photos GROUP BY 1")
 def g20_catalog_summary(spark, sf):
-    return cu.catalog_summary(inputs.photos(spark, sf))
+    shown = F.when(F.col("score") >= 4, F.col("photo"))
+    return cu.catalog_summary(inputs.photos(spark, sf), shown).withColumn("dates", F.array_join("dates", ","))
 
 
 @query(f"WITH {P} SELECT count(*) AS photos, count(DISTINCT sighting) AS sightings, count(DISTINCT name) AS individuals FROM photos")
@@ -238,4 +268,6 @@ def g33_first_attributes(spark, sf):
 @query(f"WITH {inputs.EARS_SQL}, p AS (SELECT side, ear, max(d) AS peak FROM depths GROUP BY 1, 2) SELECT side, round(greatest(0.08, 1.1 * quantile_cont(peak, 0.95)), 6) AS robust, round(1.08 * max(peak), 6) AS whole FROM p GROUP BY 1")
 def g34_plot_limits(spark, sf):
     e = inputs.ears(spark, sf).select("side", F.array_max("depths").alias("peak"))
-    return rounded(e.groupBy("side").agg(F.greatest(F.lit(0.08), 1.1 * F.percentile("peak", 0.95)).alias("robust"), (1.08 * F.max("peak")).alias("whole")))
+    high = exact_quantiles(e, ["side"], "peak", {"q": 0.95})
+    whole = e.groupBy("side").agg((1.08 * F.max("peak")).alias("whole"))
+    return rounded(high.join(whole, "side").select("side", F.greatest(F.lit(0.08), 1.1 * F.col("q")).alias("robust"), "whole"))

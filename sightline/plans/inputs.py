@@ -42,7 +42,7 @@ EARS_SQL = """hours AS (
     CAST(date_part('hour', ts) AS INT) AS h, sum(value) AS v
   FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3, 4),
 keys AS (SELECT DISTINCT user_id, week, side, concat(user_id, '-', week, '-', side) AS ear FROM hours),
-depths AS (
+depths AS MATERIALIZED (
   SELECT k.ear, k.user_id, k.week, k.side, g.i, coalesce(h.v, 0.0) AS d
   FROM keys k CROSS JOIN (SELECT unnest(range(24))::INT AS i) g LEFT JOIN hours h ON h.user_id = k.user_id AND h.week = k.week AND h.side = k.side AND h.h = g.i)"""
 

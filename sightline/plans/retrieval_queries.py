@@ -9,6 +9,7 @@ from sightline.operators import evaluation as ev
 from sightline.operators import matchers as ma  # noqa: F401 (registers the matchers)
 from sightline.operators import retrieval as rt
 from sightline.operators import vectors as ve
+from sightline.operators.shared import exact_quantiles
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 
@@ -279,6 +280,6 @@ SELECT CASE WHEN score >= strong THEN 'strong' WHEN score >= moderate THEN 'mode
 )
 def p20_strength_labels(spark, sf):
     p = pair_table(spark, sf)
-    cuts = p.agg(F.percentile("score", 0.99).alias("strong"), F.percentile("score", 0.90).alias("moderate"))
+    cuts = exact_quantiles(p, [], "score", {"strong": 0.99, "moderate": 0.90})
     labelled = p.join(F.broadcast(cuts)).withColumn("strength", rt.strength(F.col("score"), F.col("strong"), F.col("moderate")))
     return rounded(labelled.groupBy("strength").agg(F.count("*").alias("n"), F.avg(rt.logistic(F.col("score"))).alias("confidence")))

@@ -6,8 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from sightline.functions import scalar as sc
 from sightline.functions import series as se
 from sightline.operators import geometry as ge
+from sightline.operators import workflow as wf
+from sightline.operators.shared import exact_quantiles
+from sightline.operators.training import anchors
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 from sightline.plans.retrieval_queries import rounded
@@ -140,8 +144,8 @@ def a25_best_lag_correlation(spark, sf):
 @query("SELECT event_type, round(1.4826 * median(abs(value - m)), 6) AS band FROM (SELECT *, median(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
 def a27_robust_band(spark, sf):
     e = table(spark, sf, "events").select("event_type", "value")
-    m = e.groupBy("event_type").agg(F.median("value").alias("m"))
-    return rounded(e.join(F.broadcast(m), "event_type").groupBy("event_type").agg((1.4826 * F.median(F.abs(F.col("value") - F.col("m")))).alias("band")))
+    off = e.join(exact_quantiles(e, ["event_type"], "value", {"m": 0.5}), "event_type").select("event_type", F.abs(F.col("value") - F.col("m")).alias("off"))
+    return rounded(exact_quantiles(off, ["event_type"], "off", {"m": 0.5}).select("event_type", (1.4826 * F.col("m")).alias("band")))
 
 
 _NEXT = "nx AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM contour WINDOW w AS (PARTITION BY ear ORDER BY i))"
@@ -257,11 +261,61 @@ def a31_mask_bounds(spark, sf):
     return ge.mask_bounds(runs(spark, sf))
 
 
-@query(f"WITH {C} SELECT ear, arg_min(i, (round(x + y, 9), i))::INT AS i_sum_low, arg_min(i, (-round(x + y, 9), i))::INT AS i_sum_high, arg_min(i, (round(x - y, 9), i))::INT AS i_difference_low, arg_min(i, (-round(x - y, 9), i))::INT AS i_difference_high FROM contour GROUP BY 1")
+_ANCHORS = """anch AS (SELECT ear, arg_min(i, (CASE WHEN ear % 2 = 1 THEN round(y - x, 9) ELSE round(x + y, 9) END, i))::INT AS upper, arg_min(i, (CASE WHEN ear % 2 = 1 THEN -round(x + y, 9) ELSE -round(y - x, 9) END, i))::INT AS lower FROM contour GROUP BY 1),
+points AS (SELECT a.ear, CASE WHEN a.ear % 2 = 1 THEN 'right' ELSE 'left' END AS side, u.x AS ux, u.y AS uy, l.x AS lx, l.y AS ly FROM anch a JOIN contour u ON u.ear = a.ear AND u.i = a.upper JOIN contour l ON l.ear = a.ear AND l.i = a.lower)"""
+
+
+def sided(spark, sf):
+    """The outlines with a declared side."""
+    return inputs.contour(spark, sf).withColumn("side", F.when(F.col("ear") % 2 == 1, "right").otherwise("left"))
+
+
+def anchor_points(spark, sf):
+    """ear, side, ux, uy, lx, ly."""
+    c = sided(spark, sf)
+    at = lambda name, x, y: c.select("ear", F.col("i").alias(name), F.col("x").alias(x), F.col("y").alias(y))
+    found = anchors(c).join(at("upper", "ux", "uy"), ["ear", "upper"]).join(at("lower", "lx", "ly"), ["ear", "lower"])
+    return found.select("ear", F.when(F.col("ear") % 2 == 1, "right").otherwise("left").alias("side"), "ux", "uy", "lx", "ly")
+
+
+@query(f"WITH {C}, {_ANCHORS} SELECT ear, upper, lower FROM anch")
 def d3_contour_anchors(spark, sf):
-    from sightline.operators.training import anchors
+    return anchors(sided(spark, sf))
+
+
+@query(
+    f"""WITH {C}, {_ANCHORS}, {_NEXT}, b AS (SELECT ear, abs(sum(x * ny - nx * y)) / 2 AS area, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM nx GROUP BY 1)
+SELECT b.ear, round(area / ((x2 - x1) * (y2 - y1)), 6) AS fill, round(abs((ux + lx) / 2 - (x1 + x2) / 2) / (x2 - x1), 6) AS root FROM b JOIN points p ON p.ear = b.ear"""
+)
+def p15_geometry_measures(spark, sf):
+    c = inputs.contour(spark, sf)
+    box = c.groupBy("ear").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    m = ge.polygon_areas(c).join(box, "ear").join(anchor_points(spark, sf), "ear")
+    corners = [F.col(x) for x in ("x1", "y1", "x2", "y2")]
+    return rounded(m.select("ear", sc.mask_fill(F.col("area"), *corners).alias("fill"), sc.root_offset(F.col("ux"), F.col("lx"), *corners).alias("root")))
 
-    return anchors(inputs.contour(spark, sf))
+
+@query(
+    f"""WITH {C}, {_ANCHORS}, v AS (SELECT ear, CASE WHEN side = 'left' THEN 1 ELSE -1 END AS f, (ux + lx) / 2 AS ox, (uy + ly) / 2 AS oy, (ux - lx) / 2 AS vx, (uy - ly) / 2 AS vy FROM points), k AS (SELECT unnest(range(13))::INT AS ray)
+SELECT ear, ray, round(ox, 6) AS ox, round(oy, 6) AS oy, round((cos(radians(ray * 15)) * vx - f * sin(radians(ray * 15)) * vy) / sqrt(vx * vx + vy * vy), 6) + 0.0 AS dx, round((cos(radians(ray * 15)) * vy + f * sin(radians(ray * 15)) * vx) / sqrt(vx * vx + vy * vy), 6) + 0.0 AS dy FROM v, k WHERE vx <> 0 OR vy <> 0"""
+)
+def p33_landmark_rays(spark, sf):
+    return rounded(wf.landmark_rays(anchor_points(spark, sf), [15.0 * i for i in range(13)]))
+
+
+@query(
+    f"""WITH {C} SELECT ear, i::INT AS i, round(((CASE WHEN ear % 2 = 1 THEN x0 + x1 - 1 - x ELSE x END) - x0 + 0.5) * 300 / (x1 - x0) - 0.5, 6) AS x, round((y - y0 + 0.5) * 300 / (x1 - x0) - 0.5, 6) AS y FROM contour, (SELECT -2.0::DOUBLE AS x0, -2.5::DOUBLE AS y0, 2.0::DOUBLE AS x1)"""
+)
+def a17_mirrored_outlines(spark, sf):
+    crops = sided(spark, sf).select("ear", "side").distinct().withColumns({"x0": F.lit(-2.0), "y0": F.lit(-2.5), "x1": F.lit(2.0)})
+    return rounded(wf.mirrored(inputs.contour(spark, sf), crops, 300))
+
+
+@query()
+def a26_gated_peaks(spark, sf):
+    e = inputs.ears(spark, sf)
+    peaks = wf.gated_peaks(F.col("depths"), 20.0)
+    return rounded(e.select("ear", F.explode(peaks).alias("p")).select("ear", ((F.col("p.i") + 0.5) / 24).alias("x"), F.col("p.depth").alias("depth")))
 
 
 @query(f"WITH {C}, {_NEXT}, a AS (SELECT ear, abs(sum(x * ny - nx * y)) / 2 AS area, max(x) - min(x) AS w, avg(x) AS mx, min(x) AS x0 FROM nx GROUP BY 1) SELECT ear, round(sqrt(2 * area / pi()), 6) AS radius, CASE WHEN mx < x0 + w / 2 THEN 'left' ELSE 'right' END AS side FROM a")

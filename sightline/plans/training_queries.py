@@ -58,7 +58,18 @@ def d6_group_split(spark, sf):
     return tr.group_split(inputs.pairs(spark, sf), "name")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {B}, n AS (SELECT *, row_number() OVER (PARTITION BY sighting ORDER BY score DESC, line) AS r FROM boxes),
+walk AS (
+  SELECT sighting, r, [{{'id': line, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.sighting, n.r, CASE WHEN len(kept) >= 5 OR len(list_filter(kept, lambda k:
+      greatest(0.0, least(k.x2, n.x2) - greatest(k.x1, n.x1)) * greatest(0.0, least(k.y2, n.y2) - greatest(k.y1, n.y1)) > 0.3 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (n.x2 - n.x1) * (n.y2 - n.y1)
+      - greatest(0.0, least(k.x2, n.x2) - greatest(k.x1, n.x1)) * greatest(0.0, least(k.y2, n.y2) - greatest(k.y1, n.y1))))) > 0 THEN kept
+    ELSE list_append(kept, {{'id': n.line, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}}) END
+  FROM walk JOIN n ON n.sighting = walk.sighting AND n.r = walk.r + 1)
+SELECT sighting, arg_max(list_transform(kept, lambda k: k.id), r) AS kept FROM walk GROUP BY 1"""
+)
 def d7_suppressed_boxes(spark, sf):
     b = inputs.boxes(spark, sf).withColumn("id", F.col("line"))
     return tr.suppressed(b, "sighting", 0.3, 5)
@@ -78,27 +89,50 @@ def t2_decision_fold(spark, sf):
     return inc.fold_decisions(decision_log(spark, sf))
 
 
-@query()
+_CUST_LOG = "log AS (SELECT o_custkey AS individual, o_orderkey // 8 AS sighting, o_orderkey AS seq, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 3 = 0 THEN 'reject' ELSE 'accept' END AS action FROM orders)"
+
+
+@query(
+    f"""WITH RECURSIVE {_CUST_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY seq, sighting) AS r FROM log),
+walk AS (
+  SELECT individual, r, CASE WHEN action = 'accept' THEN [sighting] ELSE []::BIGINT[] END AS kept FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.individual, n.r, CASE WHEN action = 'reject' THEN list_filter(kept, lambda k: k <> n.sighting) WHEN NOT list_contains(kept, n.sighting) AND len(kept) < 5 THEN list_append(kept, n.sighting) ELSE kept END
+  FROM walk JOIN n ON n.individual = walk.individual AND n.r = walk.r + 1)
+SELECT individual, unnest(kept) AS sighting FROM (SELECT individual, arg_max(kept, r) AS kept FROM walk GROUP BY 1)"""
+)
 def t2_capped_fold(spark, sf):
-    log = decision_log(spark, sf)
-    return inc.fold_decisions_capped(log.withColumn("seq", F.col("seq") * 1_000_000 + F.col("sighting")), 10)
+    k = F.col("o_orderkey")
+    action = F.when((F.col("o_orderstatus") == "P") | (k % 3 == 0), "reject").otherwise("accept")
+    log = table(spark, sf, "orders").select(F.col("o_custkey").alias("individual"), F.expr("o_orderkey div 8").alias("sighting"), k.alias("seq"), action.alias("action"))
+    return inc.fold_decisions_capped(log, 5)
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT conv_id AS key, turn, CASE WHEN turn % 5 = 3 THEN 'pick' WHEN turn % 7 = 5 THEN 'reject' ELSE 'flag' END AS action, concat('p', turn // 4) AS pair, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+walk AS (
+  SELECT key, r, CASE WHEN action = 'flag' THEN pair END AS flagged, NULL::VARCHAR AS resolution FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.key, n.r, CASE WHEN action <> 'flag' THEN flagged WHEN flagged = pair AND resolution IS NULL THEN NULL ELSE pair END,
+    CASE WHEN action = 'flag' THEN NULL WHEN flagged IS NOT NULL AND resolution IS NULL THEN CASE action WHEN 'pick' THEN 'replaced' ELSE 'rejected' END ELSE resolution END
+  FROM walk JOIN n ON n.key = walk.key AND n.r = walk.r + 1)
+SELECT key, flagged, resolution FROM (SELECT key, arg_max({'f': flagged, 's': resolution}, r) AS x FROM walk GROUP BY 1), (SELECT 1) WHERE x.f IS NOT NULL""".replace("SELECT key, flagged, resolution FROM (", "SELECT key, x.f AS flagged, x.s AS resolution FROM (")
+)
 def t3_toggled_flags(spark, sf):
-    c = table(spark, sf, "conversations")
-    action = F.when(F.col("role") == "user", "flag").when(F.col("role") == "system", "pick").otherwise("flag")
-    return inc.toggled_flags(c.select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), action.alias("action"), F.concat(F.lit("p"), F.expr("turn div 2")).alias("pair")))
+    c, turn = table(spark, sf, "conversations"), F.col("turn")
+    action = F.when(turn % 5 == 3, "pick").when(turn % 7 == 5, "reject").otherwise("flag")
+    return inc.toggled_flags(c.select(F.col("conv_id").alias("key"), turn.alias("seq"), action.alias("action"), F.concat(F.lit("p"), F.expr("turn div 4")).alias("pair")))
 
 
 @query(
-    """WITH log AS (SELECT conv_id AS key, turn AS seq, CASE turn % 4 WHEN 0 THEN 'analyse' WHEN 1 THEN 'approve' WHEN 2 THEN 'match' ELSE 'decide' END AS action FROM conversations),
-a AS (SELECT key, max(CASE WHEN action = 'approve' THEN seq END) AS approved FROM log GROUP BY 1)
-SELECT l.key, approved, max(CASE WHEN action = 'analyse' THEN seq END) AS analysed, max(CASE WHEN action = 'match' AND seq > coalesce(approved, -1) THEN seq END) AS matched, min(CASE WHEN action = 'decide' AND seq > coalesce(approved, -1) THEN seq END) AS decided
-FROM log l JOIN a ON a.key = l.key GROUP BY 1, 2"""
+    """WITH log AS (SELECT conv_id AS key, turn AS seq, CASE (turn * 3 + conv_id) % 5 WHEN 0 THEN 'analyse' WHEN 1 THEN 'approve' WHEN 2 THEN 'match' ELSE 'decide' END AS action FROM conversations),
+a AS (SELECT key, max(CASE WHEN action = 'analyse' THEN seq END) AS analysed FROM log GROUP BY 1),
+b AS (SELECT l.key, analysed, max(CASE WHEN action = 'approve' AND seq > coalesce(analysed, -1) THEN seq END) AS approved FROM log l JOIN a ON a.key = l.key GROUP BY 1, 2)
+SELECT l.key, analysed, approved, max(CASE WHEN action = 'match' AND seq > coalesce(greatest(analysed, approved), -1) THEN seq END) AS matched, min(CASE WHEN action = 'decide' AND seq > coalesce(greatest(analysed, approved), -1) THEN seq END) AS decided
+FROM log l JOIN b ON b.key = l.key GROUP BY 1, 2, 3"""
 )
 def t4_lifecycle(spark, sf):
-    step = F.col("turn") % 4
+    step = (F.col("turn") * 3 + F.col("conv_id")) % 5
     action = F.when(step == 0, "analyse").when(step == 1, "approve").when(step == 2, "match").otherwise("decide")
     return inc.lifecycle(table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), action.alias("action")))
 

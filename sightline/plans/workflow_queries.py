@@ -20,36 +20,86 @@ from sightline.plans.series_queries import _HIT, _RAYS, rays
 P, PAIRS, E, C, B = inputs.CROPS_SQL, inputs.PAIRS_SQL, inputs.EARS_SQL, inputs.CONTOUR_SQL, inputs.BOXES_SQL
 
 
-@query("SELECT l_orderkey AS sighting, count(DISTINCT l_suppkey) AS n_values FROM lineitem GROUP BY 1 HAVING n_values > 1")
+@query(
+    """WITH c AS (SELECT l_orderkey AS sighting, l_suppkey % 3 AS name, l_partkey AS photo FROM lineitem) SELECT 'sighting' AS key, sighting AS id, count(DISTINCT name) AS n_values FROM c GROUP BY 1, 2 HAVING n_values > 1
+UNION ALL SELECT 'photo', photo, count(DISTINCT sighting) AS n FROM c GROUP BY 1, 2 HAVING n > 1"""
+)
 def v7_candidate_dependencies(spark, sf):
-    return checks.dependency_violations(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sighting"), "l_suppkey"), ["sighting"], ["l_suppkey"])
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sighting"), (F.col("l_suppkey") % 3).alias("name"), F.col("l_partkey").alias("photo"))
+    found = [checks.dependency_violations(c, [key], [value]).select(F.lit(key).alias("key"), F.col(key).alias("id"), "n_values") for key, value in (("sighting", "name"), ("photo", "sighting"))]
+    return found[0].unionByName(found[1])
 
 
-@query("SELECT l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE (l.quality = 1) <> (d.n_chars > 500)")
+@query(f"WITH {P} SELECT photo FROM photos WHERE sighting % 11 = 0 OR line % 4 = 0")
 def v9_assessment_disagrees(spark, sf):
-    both = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return both.filter((F.col("quality") == 1) != (F.col("n_chars") > 500)).select("doc_id")
+    p = inputs.photos(spark, sf)
+    told = p.select("photo", F.when(F.col("sighting") % 11 == 0, -F.col("sighting") - 1).otherwise(F.col("sighting")).alias("sighting"), F.when(F.col("line") % 4 == 0, F.lit("another")).otherwise(F.col("name")).alias("name"))
+    return checks.assessment_mismatches(told, p)
 
 
-@query(f"WITH {P} SELECT sighting, count(DISTINCT score) AS n_values FROM photos GROUP BY 1 HAVING n_values <> 1")
+@query(
+    f"""WITH {E}, m AS (SELECT user_id, side, week, CASE WHEN user_id % 4 = 0 AND week = 1 THEN 23 ELSE 24 END AS n, CASE WHEN user_id % 6 = 0 AND week = 2 THEN 1 ELSE 2 END AS scales FROM keys)
+SELECT user_id, count(DISTINCT scales) AS n_scales, max(n) - min(n) AS spread FROM m GROUP BY 1 HAVING n_scales > 1 OR spread > 0"""
+)
 def v15_unequal_lengths(spark, sf):
-    return inputs.photos(spark, sf).groupBy("sighting").agg(F.count_distinct("score").alias("n_values")).filter("n_values <> 1")
+    e = inputs.ears(spark, sf)
+    d = F.when((F.col("user_id") % 4 == 0) & (F.col("week") == 1), F.slice("depths", 1, 23)).otherwise(F.col("depths"))
+    profiles = F.when((F.col("user_id") % 6 == 0) & (F.col("week") == 2), F.array(d)).otherwise(F.array(d, d))
+    return checks.unequal_lengths(e.select("user_id", "ear", profiles.alias("profiles")), "user_id")
 
 
-@query(f"WITH {C}, e AS (SELECT ear, arg_min(x, i) AS x0, arg_max(x, i) AS x1, count(*) AS n, bool_and(isfinite(x) AND isfinite(y)) AS ok FROM contour GROUP BY 1) SELECT ear FROM e WHERE NOT ok OR n < 2 OR x0 < 1 OR x1 < 0.9")
+@query(
+    f"""WITH {P}, a AS (SELECT sighting, name, max(CASE WHEN side = 'left' THEN photo END) AS l, max(CASE WHEN side = 'right' THEN photo END) AS r FROM photos GROUP BY 1, 2)
+SELECT sighting, CASE WHEN sighting % 13 = 0 THEN 'unknown crop' WHEN sighting % 11 = 0 OR l IS NULL OR r IS NULL THEN CASE WHEN l IS NULL OR r IS NULL THEN 'unknown crop' ELSE 'wrong side' END WHEN sighting % 7 = 0 THEN 'other sighting' ELSE 'other name' END AS reason
+FROM a WHERE sighting % 13 = 0 OR sighting % 11 = 0 OR l IS NULL OR r IS NULL OR sighting % 7 = 0 OR sighting % 5 = 0"""
+)
+def v11_inconsistent_pairs(spark, sf):
+    p, k = inputs.photos(spark, sf), F.col("sighting")
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("photo")))
+    a = p.groupBy("sighting", "name").agg(pick("left").alias("l"), pick("right").alias("r"))
+    swap = (k % 11 == 0) & F.col("l").isNotNull() & F.col("r").isNotNull()
+    accepted = a.select(
+        F.when(k % 7 == 0, -k - 1).otherwise(k).alias("sighting"), F.when(k % 5 == 0, "another").otherwise(F.col("name")).alias("name"),
+        F.when(k % 13 == 0, "none").when(swap, F.col("r")).otherwise(F.col("l")).alias("left_crop"), F.when(swap, F.col("l")).otherwise(F.col("r")).alias("right_crop"), k.alias("row"),
+    )
+    found = checks.inconsistent_pairs(accepted, p.select(F.col("photo").alias("crop"), "sighting", "side", "name"))
+    return found.select(F.when(F.col("sighting") < 0, -F.col("sighting") - 1).otherwise(F.col("sighting")).alias("sighting"), "reason")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 5 = 1 OR vec_id % 5 = 2 OR vec_id % 5 = 3")
+def v17_bad_landmarks(spark, sf):
+    k, e = F.col("vec_id") % 5, F.col("embedding").cast("array<double>")
+    point = lambda i: F.struct(e[i].alias("x"), F.when(k == 2, F.lit(float("nan"))).otherwise(e[i + 1]).alias("y"))
+    points = F.when(k == 4, F.lit(None)).when(k == 1, F.array(point(0))).otherwise(F.array(point(0), point(2)))
+    box = F.when(k == 3, F.array(F.lit(float("inf")), e[1], e[2], e[3])).otherwise(F.slice(e, 1, 4))
+    return table(spark, sf, "embeddings").filter(~checks.valid_landmarks(points, box)).select(F.col("vec_id").alias("id"))
+
+
+@query(f"WITH {B} SELECT photo, line FROM boxes WHERE line % 3 = 1")
+def v26_one_class(spark, sf):
+    name = F.when(F.col("line") % 3 == 0, "face").when(F.col("line") % 3 == 1, "ear").otherwise("tail")
+    return checks.of_class(inputs.boxes(spark, sf).withColumn("class_name", name)).select("photo", "line")
+
+
+@query("SELECT vec_id AS ear, CASE WHEN vec_id % 7 = 0 THEN 'not finite' WHEN vec_id % 5 = 0 THEN 'area' WHEN vec_id % 11 = 0 THEN 'start' ELSE 'end' END AS reason FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0")
 def v18_bad_contours(spark, sf):
-    finite = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
-    e = inputs.contour(spark, sf).groupBy("ear").agg(F.min_by("x", "i").alias("x0"), F.max_by("x", "i").alias("x1"), F.count("*").alias("n"), F.bool_and(finite).alias("ok"))
-    return e.filter(~F.col("ok") | (F.col("n") < 2) | (F.col("x0") < 1) | (F.col("x1") < 0.9)).select("ear")
+    c, k = inputs.contour(spark, sf), F.col("ear")
+    ends = c.groupBy("ear").agg(F.min_by(F.struct("x", "y"), "i").alias("a"), F.max_by(F.struct("x", "y"), "i").alias("b"))
+    a = ends.select("ear", F.when(k % 11 == 0, F.col("a.x") + 1).otherwise(F.col("a.x")).alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("lx"), F.when(k % 13 == 0, F.col("b.y") + 1).otherwise(F.col("b.y")).alias("ly"))
+    areas = ge.polygon_areas(c).select("ear", F.when(k % 5 == 0, 0.0).otherwise(F.col("area")).alias("area"))
+    broken = c.withColumn("x", F.when((k % 7 == 0) & (F.col("i") == 9), F.lit(float("nan"))).otherwise(F.col("x")))
+    return checks.bad_contours(broken, a, areas)
 
 
-@query(f"WITH {P} SELECT photo FROM photos WHERE qty - 3 <= 0 OR part % 900 + qty > 850")
+@query(f"WITH {P} SELECT sighting AS mask, min(CASE WHEN qty - 3 <= 0 THEN 'empty run' WHEN part % 900 - 5 < 0 OR part % 900 - 5 + qty - 3 > 850 THEN 'outside' END) AS reason FROM photos GROUP BY 1 HAVING reason IS NOT NULL")
 def v19_bad_runs(spark, sf):
-    start, length = F.col("part") % 900, F.col("qty")
-    return inputs.photos(spark, sf).filter((length - 3 <= 0) | (start + length > 850)).select("photo")
+    p = inputs.photos(spark, sf)
+    runs = p.select(F.col("sighting").alias("mask"), (F.col("part") % 900 - 5).alias("start"), (F.col("qty") - 3).alias("length"))
+    masks = p.select(F.col("sighting").alias("mask")).distinct().withColumns({"height": F.lit(34), "width": F.lit(25)})
+    return checks.bad_runs(runs, masks)
 
 
-@query("SELECT event_id, i FROM events, (SELECT unnest(range(12))::INT AS i) WHERE event_id < 200000 AND i * 180.0::DOUBLE / 11 > value AND i * 180.0::DOUBLE / 11 < value + 40")
+@query("SELECT event_id, i FROM events, (SELECT unnest(range(12))::INT AS i) WHERE i * 180.0::DOUBLE / 11 > value AND i * 180.0::DOUBLE / 11 < value + 40")
 def v22_measured_bins(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_id", F.explode(se.measured(F.lit(12), F.col("value"), F.col("value") + 40)).alias("i"))
@@ -57,46 +107,48 @@ def v22_measured_bins(spark, sf):
 
 @query(f"WITH {P} SELECT photo FROM photos WHERE score >= 5 AND line % 6 <> 0")
 def v24_displayable(spark, sf):
-    return inputs.photos(spark, sf).filter((F.col("score") >= 5) & (F.col("line") % 6 != 0)).select("photo")
+    return inputs.photos(spark, sf).filter(checks.displayable(F.col("score"), F.col("side"), F.col("line") % 6 != 0)).select("photo")
 
 
-@query(f"WITH {P} SELECT photo, score BETWEEN 7 AND 9 AS in_band, round_even(qty / 7.0::DOUBLE, 3) AS ratio, qty * line AS pixels FROM photos")
+@query(f"WITH {B} SELECT photo, (x2 - x1) / (y2 - y1) BETWEEN 0.7 AND 0.9 AS in_band, round_even((x2 - x1) / (y2 - y1), 3) AS ratio, (x2 - x1) * (y2 - y1) AS pixels FROM boxes")
 def p16_aspect_band(spark, sf):
-    return inputs.photos(spark, sf).select("photo", F.col("score").between(7, 9).alias("in_band"), F.bround(F.col("qty") / 7, 3).alias("ratio"), (F.col("qty") * F.col("line")).alias("pixels"))
+    return inputs.boxes(spark, sf).select("photo", sc.aspect_band(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("b")).select("photo", "b.*")
 
 
-@query(f"WITH {P} SELECT sighting, coalesce(min(CASE WHEN line % 3 = 0 THEN date END), '2030-01-01') AS date, concat('s', sighting, '-', count(*)) AS id FROM photos GROUP BY 1")
+@query(f"WITH {P} SELECT sighting, coalesce(arg_min(date, line) FILTER (WHERE line % 3 = 0 AND line <> 6), '2030-01-01') AS date FROM photos GROUP BY 1")
 def p23_sighting_dates(spark, sf):
-    p = inputs.photos(spark, sf).groupBy("sighting").agg(F.min(F.when(F.col("line") % 3 == 0, F.col("date"))).alias("d"), F.count("*").alias("n"))
-    return p.select("sighting", F.coalesce("d", F.lit("2030-01-01")).alias("date"), F.concat(F.lit("s"), "sighting", F.lit("-"), "n").alias("id"))
+    dates = F.transform(F.array_sort(F.collect_list(F.struct("line", "date"))), lambda p: F.when(p["line"] == 6, "").when(p["line"] % 3 == 0, p["date"]))
+    return inputs.photos(spark, sf).groupBy("sighting").agg(dates.alias("dates")).select("sighting", sc.sighting_date(F.col("dates"), F.lit("2030-01-01")).alias("date"))
 
 
-@query()
+@query(f"WITH {P} SELECT sighting, sha256(concat('[', string_agg(concat('{{\"line\":', line, ',\"part\":', part, ',\"score\":', score, '}}'), ',' ORDER BY line), ']')) AS fingerprint FROM crops GROUP BY 1")
 def p27_inventory_fingerprint(spark, sf):
     rows = F.array_sort(F.collect_list(F.struct("line", "part", "score")))
     return inputs.crops(spark, sf).groupBy("sighting").agg(F.sha2(F.to_json(rows), 256).alias("fingerprint"))
 
 
-@query(f"WITH {B} SELECT photo, round(least(x1 - 2, x1 + line), 3) AS gx1, round(greatest(y2 + 2, y1 - line), 3) AS gy2 FROM boxes")
+@query(
+    f"""WITH {B}, m AS (SELECT *, x1 - greatest(0.0, x1 - (x2 - x1) * 0.15) AS l, y1 - greatest(0.0, y1 - (y2 - y1) * 0.15) AS t, line * 9.0 - 4 AS ax, score * 8.0 AS ay, 2.5 AS bx, line * 14.0 AS by_ FROM boxes),
+g AS (SELECT photo, least(l, ax, bx) AS gx, least(t, ay, by_) AS gy, greatest(x2 - x1 + l, ax, bx) AS hx, greatest(y2 - y1 + t, ay, by_) AS hy FROM m)
+SELECT photo, round(gx, 3) AS x, round(gy, 3) AS y, round(hx - gx, 3) AS w, round(hy - gy, 3) AS h FROM g"""
+)
 def p30_grown_labels(spark, sf):
-    b = inputs.boxes(spark, sf)
-    return b.select("photo", F.round(F.least(F.col("x1") - 2, F.col("x1") + F.col("line")), 3).alias("gx1"), F.round(F.greatest(F.col("y2") + 2, F.col("y1") - F.col("line")), 3).alias("gy2"))
+    points = [(F.col("line") * 9.0 - 4, F.col("score") * 8.0), (F.lit(2.5), F.col("line") * 14.0)]
+    label = sc.grown_label([F.col(c) for c in ("x1", "y1", "x2", "y2")], points)
+    return inputs.boxes(spark, sf).select("photo", label.alias("g")).select("photo", "g.*")
 
 
-@query("SELECT k, b, round(exp(-pow(abs(b) / 240.0::DOUBLE / 0.16, 4)) * exp(-pow(abs(ln(pow(1.2::DOUBLE, k / 8.0))) / 0.32, 4)), 9) AS penalty, (SELECT count(*) FROM region) AS regions FROM (SELECT unnest(range(-8, 9)) AS k), (SELECT unnest(range(-24, 25)) AS b)")
+@query(f"WITH {B} SELECT photo, round(exp(-pow(abs(line - 3) * 9 / 240.0::DOUBLE / 0.16, 4)) * exp(-pow(abs(ln(0.7 + score / 20.0::DOUBLE)) / 0.32, 4)), 9) AS penalty, round(pow(0.7 + score / 20.0::DOUBLE, -0.5), 9) AS slope FROM boxes")
 def p34_alignment_penalties(spark, sf):
-    grid = spark.range(-8, 9).withColumnRenamed("id", "k").withColumn("b", F.explode(F.sequence(F.lit(-24).cast("long"), F.lit(24).cast("long"))))
-    t = F.pow(F.lit(1.2), F.col("k") / 8)
-    penalty = F.exp(-F.pow(F.abs("b") / 240 / 0.16, F.lit(4.0))) * F.exp(-F.pow(F.abs(F.log(t)) / 0.32, F.lit(4.0)))
-    n = table(spark, sf, "region").agg(F.count("*").alias("regions"))
-    return grid.select("k", "b", F.round(penalty, 9).alias("penalty")).join(F.broadcast(n))
+    t = 0.7 + F.col("score") / 20
+    return inputs.boxes(spark, sf).select("photo", F.round(sc.alignment_penalty((F.col("line") - 3) * 9, t, 240), 9).alias("penalty"), F.round(sc.gradient_factor(t), 9).alias("slope"))
 
 
 @query()
 def c8_descriptors(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ear"), F.col("embedding").cast("array<double>").alias("raw"))
     s = e.select("ear", se.smooth(F.transform("raw", lambda x: x + 0.5), 1.0).alias("sm"), F.transform("raw", lambda x: x + 0.5).alias("v"))
-    points = de.key_points(s.select("ear", F.posexplode("sm").alias("i", "v")), "ear", 64, most=6)
+    points = de.key_points(s.select("ear", F.posexplode("sm").alias("i", "v")), "ear", 64)
     return de.descriptors(points, s.select("ear", "v"), "ear", 32)
 
 
@@ -321,21 +373,35 @@ def c9_prepared_ears(spark, sf):
     return wf.prepare_ears(photos, det, marks).select("photo", "side", "detection", "stage")
 
 
-@query(f"WITH {B} SELECT photo, concat(line % 3, ' ', printf('%.6f', (x1 + 10) / 200), ' ', printf('%.6f', (y1 + 10) / 200)) AS label FROM boxes")
-def d5_pose_labels(spark, sf):
-    part = lambda c: F.format_string("%.6f", (F.col(c) + 10) / 200)
-    return inputs.boxes(spark, sf).select("photo", F.concat_ws(" ", (F.col("line") % 3).cast("string"), part("x1"), part("y1")).alias("label"))
+_ANN = B + """, c AS (SELECT *, round_even(greatest(0.0, x1 - (x2 - x1) * 0.15), 0)::INT AS cx1, round_even(greatest(0.0, y1 - (y2 - y1) * 0.15), 0)::INT AS cy1, round_even(least(160.0, x2 + (x2 - x1) * 0.15), 0)::INT AS cx2, round_even(least(120.0, y2 + (y2 - y1) * 0.15), 0)::INT AS cy2 FROM boxes),
+ann AS (SELECT photo AS id, cx2 - cx1 AS cw, cy2 - cy1 AS ch, CASE WHEN side = 'left' THEN 1 ELSE 2 END AS category, [1, 1, cx2 - cx1 - 2, cy2 - cy1 - 2] AS bbox, (x2 - x1) * (y2 - y1) AS area,
+  [trunc(x1)::INT - cx1, trunc(y2)::INT - cy1, 2, trunc(x2)::INT - cx1, trunc(y1)::INT - cy1, 2] AS keypoints FROM c)"""
 
 
-@query(f"WITH {B} SELECT photo, round(x1 - 5.5, 6) AS rx, round(y1 + 6, 6) AS ry, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h FROM boxes")
-def d4_crop_relative_boxes(spark, sf):
-    b = inputs.boxes(spark, sf)
-    return rounded(b.select("photo", (F.col("x1") - 5.5).alias("rx"), (F.col("y1") + 6).alias("ry"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")))
+def crop_rows(spark, sf):
+    """Boxes with their lower left and upper right corners as anchors."""
+    b = inputs.boxes(spark, sf).withColumns({"lx": F.col("x1"), "ly": F.col("y2"), "ux": F.col("x2"), "uy": F.col("y1")})
+    return wf.crop_annotations(b.withColumnRenamed("photo", "id"), 160, 120)
 
 
-@query(f"WITH {P} SELECT name, photo FROM photos WHERE sighting % 2 = 0 EXCEPT SELECT name, photo FROM photos WHERE score < 3")
-def u1_catalog_minus_query(spark, sf):
-    p = inputs.photos(spark, sf)
-    return p.filter("sighting % 2 = 0").join(p.filter("score < 3").select("photo"), "photo", "left_anti").select("name", "photo").distinct()
+@query(f"WITH {_ANN} SELECT * FROM ann")
+def d4_crop_annotations(spark, sf):
+    return crop_rows(spark, sf)
+
 
+@query(
+    f"""WITH {_ANN}, s AS (SELECT *, [(1 + bbox[3] / 2) / cw, (1 + bbox[4] / 2) / ch, bbox[3] / cw::DOUBLE, bbox[4] / ch::DOUBLE] AS b, [keypoints[1] / cw::DOUBLE, keypoints[2] / ch::DOUBLE, keypoints[4] / cw::DOUBLE, keypoints[5] / ch::DOUBLE] AS k FROM ann)
+SELECT id, concat_ws(' ', (category - 1)::VARCHAR, printf('%.6f', b[1]), printf('%.6f', b[2]), printf('%.6f', b[3]), printf('%.6f', b[4]), printf('%.6f', k[1]), printf('%.6f', k[2]), '2', printf('%.6f', k[3]), printf('%.6f', k[4]), '2') AS label,
+  len(list_filter(b, lambda v: v BETWEEN 0 AND 1)) = 4 AS valid FROM s WHERE cw > 0 AND ch > 0"""
+)
+def d5_pose_labels(spark, sf):
+    return wf.pose_labels(crop_rows(spark, sf).filter("cw > 0 AND ch > 0"))
+
+
+@query(f"WITH {PAIRS} SELECT q.sighting AS query, count(*) AS n FROM pairs q JOIN pairs r ON q.name = r.name AND q.sighting <> r.sighting GROUP BY 1")
+def u1_catalog_minus_query(spark, sf):
+    from sightline.operators.retrieval import candidate_pairs
 
+    p = inputs.pairs(spark, sf)
+    rest = candidate_pairs(p.select("name", F.col("sighting").alias("query")), p.select("name", F.col("sighting").alias("other")), ["name"], "query", "other")
+    return rest.groupBy("query").agg(F.count("*").alias("n"))
