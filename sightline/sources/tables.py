@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def photo_bytes(photos: DataFrame, root: str) -> DataFrame:
     """photos with content and status: ok, unmapped (no path) or missing (no such file)."""
     files = photos.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inner = F.element_at(F.split("path", root.rstrip("/") + "/"), -1)
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root.rstrip("/")) + "/"  # paths of files have a scheme, whatever root has
+    inner = F.substring(F.col("path"), F.locate(folder, F.col("path")) + len(folder), F.length("path"))
     found = photos.join(files.select(inner.alias("image_path"), "content"), "image_path", "left")
     status = F.when(F.col("image_path").isNull(), "unmapped").when(F.col("content").isNull(), "missing").otherwise("ok")
     return found.withColumn("status", status)
