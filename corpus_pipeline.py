@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  A stage works on all that
 the one before it kept, and is written and read again between the two.
+
+Defined results.  A null or empty text has no letter and goes in the first stage.  Rows are told apart by a key of their own, whatever their doc_ids: of rows
+that repeat a text, or that share or lack a doc_id, exactly one of each group of copies stays.  Ties of equal or near texts go to the smaller
+doc_id, null last.  Texts of any length are read whole.  Extra columns, whatever their names, come through all stages but the last.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations

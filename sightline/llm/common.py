@@ -9,6 +9,7 @@ that their number grows with the input far more slowly.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -67,7 +68,13 @@ def worker_model(key: str, build: Callable):
 
 
 def forget_model() -> None:
+    """For workers that turn to other work: drops the model and gives free memory back, which idle workers would keep."""
     _MODEL.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def crc_bucket(column, modulus: int):

@@ -38,6 +38,7 @@ from sightline.llm.common import (
     counts_packed,
     counts_unpacked,
     expanded,
+    forget_model,
     golomb_decode,
     golomb_encode,
     merged,
@@ -507,6 +508,7 @@ def removed_spans(docs: DataFrame, text: str = "text", length: int = 50, k: int
         return batch_of(_WIRE_ARROW, keys, kinds, [me] * len(keys), blobs)
 
     def sort_bucket(key, table):
+        forget_model()
         column = parts_of(table)
         kinds, chunks, blobs = column("kind").to_numpy(), column("chunk").to_numpy(), column("blob")
         keys, out_kinds, out = [], [], []

@@ -1,15 +1,17 @@
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import katz
-from sightline.llm.language_id import CrossParser, SuffixAutomaton, keep_identified, language_id
+from sightline.llm.language_id import CrossParser, SuffixAutomaton, held_out, keep_identified, labelled_samples, language_id
 from sightline.llm.sharding import deal, read_map, rebalance, shard, slot_totals, store_map, with_slots
-from sightline.llm.topk_search import quantised, top_k, top_k_of_every
+from sightline.llm.topk_search import ImpactIndex, quantised, top_k, top_k_of_every
 from tests.llm.helpers import sample_texts, table
 
 
@@ -48,52 +50,103 @@ def test_language_id_on_held_out_documents(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts)))
 
 
+def brute_language(text, samples):
+    """Language, and its phrases for each code point, by the definition: the longest substrings of the sample, word by word."""
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    if not words or not samples:
+        return "und", 1.0
+    best = []
+    for lang, sample in samples:
+        n = 0
+        for word in words:
+            rest = " " + word
+            while rest:
+                m = 1
+                while m < len(rest) and rest[: m + 1] in sample:
+                    m += 1
+                rest, n = rest[m:], n + 1
+        best.append((n, lang))
+    return min(best)[1], min(best)[0] / sum(len(w) + 1 for w in words)
+
+
+def test_language_id_query_against_the_definition(spark):
+    langs = ["aa", "bb", "cc"] * 12
+    texts = [invented(lang, 20, i) for i, lang in enumerate(langs)] + ["½ ²", "Ⅷ ①", "x½y ver", "ver² sch", None, "", "12 _ !", "漢字 ñ", "ein " * 30_000]
+    docs = table(spark, texts, langs=langs + [None] * 9)
+    samples = labelled_samples(docs.filter(~held_out()))
+    got = {r.doc_id: r for r in language_id(docs).collect()}
+    assert {i: r.lang_pred for i, r in got.items()} == {i: brute_language(t, samples)[0] for i, t in enumerate(texts)}
+    assert [got[36 + k].lang_pred for k in (0, 1, 4, 5, 6)] == ["und"] * 5 and [got[36 + k].score for k in (0, 1)] == [0, 0]
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    import sightline.llm.language_id as module
+
+    monkeypatch.setattr(module, "ALL_CHARS", 3000)
+    rows = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}rd " * 4 for i in range(300)]
+    got = labelled_samples(table(spark, rows, langs=[f"l{i:03}" for i in range(300)]))
+    assert len(got) == 300 and all(0 < len(t) <= 10 for _, t in got)
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    docs = table(spark, ["aber die eine", "the one"], langs=["de", "en"]).withColumn("found", F.lit("mine")).withColumn("FOUND_", F.lit(3))
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns and {(r["found"], r["FOUND_"]) for r in kept.collect()} == {("mine", 3)}
+
+
 def test_language_id_without_labels(spark):
     assert {r.lang_pred for r in language_id(table(spark, ["abc", "d"], langs=[None, None])).collect()} == {"und"}
     assert language_id(table(spark, []).limit(0)).count() == 0
     assert CrossParser([]).predict("abc")[0] == "und"
 
 
-def brute_katz(docs):
+def brute_katz(docs, order=3):
+    """Scores by the definition, over dictionaries of n-grams; checks that distributions sum to one."""
+    k = katz.K
     tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t in docs}
     train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip([None, *t], t))
-    n, types, k = sum(one.values()), len(one), katz.K
-    of = lambda counts: np.array([sum(c == r for c in counts.values()) for r in range(1, k + 2)], float)
-    d1, d2 = katz.discounts(of(one), n), katz.discounts(of(two), n)
-    left = sum((1 - d1[r]) * r * of(one)[r - 1] for r in range(1, k + 1))
+    grams = lambda t, n: list(zip(*([None] * (n - 1 - j) + t for j in range(n))))
+    counts = {n: Counter(g for t in train for g in grams(t, n)) for n in range(1, order + 1)}
+    one = Counter({g[0]: c for g, c in counts[1].items()})
+    n, types = sum(one.values()), len(one)
+    of = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, k + 2)], float)
+    d = {j: katz.discounts(of(c), n) for j, c in counts.items()}
+    paid = lambda j, c: (d[j][c] if c <= k else 1) * c
+    left = sum(c - paid(1, c) for c in one.values())
     extra = 0 if left > 0 else 1
     unknown = (left + extra) / (n + extra)
-    p1 = lambda w: (d1[one[w]] if one[w] <= k else 1) * one[w] / (n + extra) if one[w] else unknown
     contexts = defaultdict(dict)
-    for (a, b), c in two.items():
-        contexts[a][b] = c
+    for j in range(2, order + 1):
+        for g, c in counts[j].items():
+            contexts[g[:-1]][g[-1]] = c
+
+    def p(context, w):
+        if not context:
+            return paid(1, one[w]) / (n + extra) if one[w] else unknown
+        seen = contexts.get(context)
+        if not seen:
+            return p(context[1:], w)
+        total, j = sum(seen.values()) + all(c > k for c in seen.values()), len(context) + 1
+        if w in seen:
+            return paid(j, seen[w]) / total
+        if context not in weights:
+            weights[context] = (total - sum(paid(j, c) for c in seen.values())) / total / (1 - sum(p(context[1:], v) for v in seen))
+        return weights[context] * p(context[1:], w)
+
     weights = {}
-    for a, seen in contexts.items():
-        kept, total = sum((d2[c] if c <= k else 1) * c for c in seen.values()), sum(seen.values())
-        more = 1 if all(c > k for c in seen.values()) else 0
-        weights[a] = (total + more, (total + more - kept) / (total + more) / (1 - sum(map(p1, seen))))
-
-    def p(a, b):
-        if a not in contexts:
-            return p1(b)
-        c = contexts[a].get(b, 0)
-        return (d2[c] if c <= k else 1) * c / weights[a][0] if c else weights[a][1] * p1(b)
-
-    for a in list(contexts)[:20]:
-        assert abs(sum(p(a, b) for b in one) + weights[a][1] * unknown - 1) < 1e-9
-    return {i: (len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + types + 1)) for w in t), sum(math.log10(p(a, b)) for a, b in zip([None, *t], t))) for i, t in tokens.items()}
-
-
-@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 23])
-def test_katz_against_brute_force(spark, monkeypatch, chunk_bytes):
-    from sightline.llm import common
-
-    monkeypatch.setattr(katz, "chunked", lambda docs, text: common.chunked(docs, text, chunk_bytes=chunk_bytes))
-    texts = sample_texts(120) + ["the of and"] * 30
-    want = brute_katz(list(enumerate(texts)))
-    got = katz.katz_scores(table(spark, texts)).collect()
+    for context in list(contexts)[:: max(1, len(contexts) // 40)]:
+        assert abs(sum(p(context, w) for w in one) + p(context, b"unknown token") - 1) < 1e-9
+    score = lambda t: sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order))
+    return {i: (len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + types + 1)) for w in t), score(t)) for i, t in tokens.items()}
+
+
+@pytest.mark.parametrize("order, chunk_bytes, hot", [(3, 2000, 2.0), (3, 1 << 23, 2.0), (3, 3000, 0.0), (2, 2000, 1.0)])
+def test_katz_against_brute_force(spark, monkeypatch, order, chunk_bytes, hot):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "LEAST_OWNERS", 3)
+    texts = sample_texts(120) + ["the of and"] * 30 + ["x1 re-do x1 re-do A"] * 25
+    want = brute_katz(list(enumerate(texts)), order)
+    got = katz.katz_scores(table(spark, texts), order=order, chunk_bytes=chunk_bytes, range_bytes=4000).collect()
     assert len(got) == len(texts)
     for r in got:
         n, known, total, base, score = want[r.doc_id]
@@ -145,6 +198,23 @@ def test_rebalancing_edits_few_slots(spark, tmp_path):
     assert {r.slot: r.shard for r in read_map(spark, str(tmp_path / "m"), 0).collect()} == old
 
 
+def test_shards_of_repeated_and_missing_ids_are_balanced(spark):
+    docs = table(spark, [f"text number {i} " * 9 for i in range(900)], ids=[None] * 450 + [7] * 450)
+    sizes = Counter()
+    for r in shard(docs, 10).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 10 and max(sizes.values()) < 1.3 * min(sizes.values())
+
+
+def test_storing_a_map_again_changes_nothing(spark, tmp_path):
+    totals = [(0, 10, 1), (5, 20, 2), (9, 5, 1)]
+    for _ in range(2):
+        store_map(spark, str(tmp_path / "map"), 0, totals, deal(totals, 2))
+    assert read_map(spark, str(tmp_path / "map")).count() == 3
+    store_map(spark, str(tmp_path / "map"), 1, totals, deal(totals, 3))
+    assert {r.version for r in read_map(spark, str(tmp_path / "map")).collect()} == {1}
+
+
 def test_top_k_against_all_pairs(spark):
     r = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in r.normal(size=12) / 3], 0) for i in range(160)]
@@ -165,3 +235,24 @@ def test_top_k_against_all_pairs(spark):
             assert [(-s, j) for s, j in best] == [(s, j) for _, j, s in sorted(got[i])]
     assert top_k_of_every(df.limit(0)).count() == 0
     assert top_k_of_every(df.filter("vec_id in (20, 21)")).count() == 1
+
+
+def test_top_k_of_large_components(spark):
+    vectors = [(0, [1e9, -3e12, 2.0]), (1, [1e9, 5e11, -1.0]), (2, [-1e9, 1e12, 3.5]), (3, [1e300, 0.0, 0.0]), (4, [float(2**56), 1.0, 0.5]), (20, [1.0, -1e9, 7.0])]
+    rows = top_k_of_every(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=4).collect()
+    longs = {i: [min(max(math.floor(64 * x), -(2**63)), 2**63 - 1) for x in v] for i, v in vectors}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    for i in (0, 20):
+        best = sorted((-sum(a * b for a, b in zip(longs[i], c)), j) for j, c in longs.items() if j != i)[:4]
+        assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == i] == [(j, clip(-s)) for s, j in best]
+
+
+def test_search_stops_on_proof():
+    r = np.random.default_rng(9)
+    rows = np.floor(64 * r.normal(size=(6000, 16)) / 4).astype(np.int64)
+    index = ImpactIndex(np.arange(6000), rows)
+    for i in range(0, 6000, 300):
+        ids, score = index.best(i, rows[i], 10)
+        want = sorted(((-int(s), j) for j, s in enumerate(rows @ rows[i]) if j != i))[:10]
+        assert [(-int(s), int(j)) for j, s in zip(ids, score)] == want
+    assert index.read < 0.8 * 20 * rows.size and index.scored < 0.2 * 20 * len(rows)

@@ -2,7 +2,9 @@ import random
 
 import corpus_pipeline
 from sightline.llm import near_texts
+from sightline.llm.language_id import REJECT_RATE, held_out, labelled_samples
 from tests.llm.helpers import sample_texts, table
+from tests.llm.test_models import brute_language, invented
 
 
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
@@ -33,6 +35,24 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_language_stage_against_the_definition(spark, tmp_path):
+    r = random.Random(5)
+    texts = [invented(lang, 25, i) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9000)) + " " for _ in range(40)) for _ in range(6)] + [None, "", "½ ² 77", "xqzj kvwp jjqx", "wh er", texts[0], texts[0]]
+    docs = table(spark, texts, langs=["aa", "bb", "cc"] * 10 + [None] * 13)
+    samples = labelled_samples(docs.filter(~held_out()))
+    found = {i: brute_language(t, samples) for i, t in enumerate(texts)}
+    want = [i for i, (lang, rate) in found.items() if lang != "und" and rate <= REJECT_RATE]
+    got = dict(corpus_pipeline.STAGES)["language"](spark, docs, str(tmp_path))
+    assert sorted(x.doc_id for x in got.collect()) == want and got.columns == docs.columns
+    assert 30 <= len(want) < len(texts) - 6
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    table(spark, []).limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def five_words(text):
     w = text.lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
