@@ -162,7 +162,8 @@ def c2_match_by_votes(spark, sf):
 
 # ---- aligned series ----------------------------------------------------------------------------------------------------
 
-SMALL = rt.Comparison(bins=24, shift_fraction=2 / 24, stretch_steps=1, stretch_base=1.2**8)
+#: The whole grid of 17 stretches, at the resolution of the series: 24 bins, so that a tenth of them are two shifts either way.
+HOURLY = rt.Comparison(bins=24)
 
 _ALIGNED = (
     inputs.EARS_SQL
@@ -171,7 +172,7 @@ ch AS (
   SELECT ear, user_id, week, side, i, sqrt(greatest(d, 0)) AS depth,
     CASE WHEN i = 0 OR i = 23 THEN 0.0 ELSE sign(g) * sqrt(abs(g)) END AS grad
   FROM (SELECT *, CASE WHEN i = 1 THEN lead(d) OVER w - d WHEN i = 22 THEN d - lag(d) OVER w ELSE (lead(d) OVER w - lag(d) OVER w) / 2 END AS g FROM depths WINDOW w AS (PARTITION BY ear ORDER BY i))),
-al AS (SELECT s.k, pow(1.2::DOUBLE, s.k) AS t, b.b FROM (SELECT unnest([-1, 0, 1]) AS k) s CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS b) b),
+al AS (SELECT s.k, pow(1.2::DOUBLE, s.k / 8.0) AS t, b.b FROM (SELECT unnest(range(-8, 9)) AS k) s CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS b) b),
 pos AS (SELECT k, t, b, j, ((j - b) / 23.0::DOUBLE - 0.5) / t * 23 + 11.5 AS p, j - b AS src FROM al CROSS JOIN (SELECT unnest(range(24))::INT AS j)),
 ok AS (SELECT *, floor(p)::INT AS lo, least(floor(p)::INT + 1, 23) AS hi FROM pos WHERE src BETWEEN 0 AND 23 AND p BETWEEN 0 AND 23),
 q AS (
@@ -202,10 +203,10 @@ def ear_table(spark, sf) -> DataFrame:
 
 def ear_similarities(spark, sf) -> DataFrame:
     e = ear_table(spark, sf)
-    return rt.block_similarities(e, e, SMALL)
+    return rt.block_similarities(e, e, HOURLY)
 
 
-@query(f"WITH {_ALIGNED} SELECT ear AS query_ear, other AS ear, round(similarity, 6) AS similarity FROM best")
+@query(slow_sql=f"WITH {_ALIGNED} SELECT ear AS query_ear, other AS ear, round(similarity, 6) AS similarity FROM best")
 def a8_aligned_similarity(spark, sf):
     return rounded(ear_similarities(spark, sf).select("query_ear", "ear", "similarity"))
 
@@ -227,13 +228,13 @@ def profile_scores(spark, sf) -> DataFrame:
     return rt.candidate_scores(rt.side_scores(sims, ["query", "side", "candidate"]), ["query", "candidate"])
 
 
-@query(f"WITH {_C1} SELECT query, candidate, round(score, 6) AS score FROM scores")
+@query(slow_sql=f"WITH {_C1} SELECT query, candidate, round(score, 6) AS score FROM scores")
 def c1_match_profiles(spark, sf):
     return rounded(profile_scores(spark, sf))
 
 
 @query(
-    f"""WITH {_ALIGNED}, best_side AS (
+    slow_sql=f"""WITH {_ALIGNED}, best_side AS (
   SELECT split_part(ear, '-', 1)::BIGINT AS query, split_part(ear, '-', 3) AS side, split_part(other, '-', 1)::BIGINT AS candidate, max(similarity) AS s FROM best GROUP BY 1, 2, 3)
 SELECT query, candidate, round(avg(s), 6) AS score FROM best_side GROUP BY 1, 2"""
 )

@@ -11,8 +11,7 @@ from sightline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-#: Heavy even on the smallest tables; test_retrieval has their kernels against brute force.
-SLOW = {"a8_aligned_similarity", "c1_match_profiles", "g5_available_side_scores"}
+SQL = catalog.ORACLE_SQL | catalog.SLOW_SQL
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +42,10 @@ def rows(df):
     return sorted(tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
-    want = duck.sql(catalog.ORACLE_SQL[name]).df()
+    want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
