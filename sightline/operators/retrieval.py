@@ -45,6 +45,10 @@ def candidate_pairs(queries: DataFrame, catalog: DataFrame, on: list[str], query
     return queries.join(catalog, on).filter(F.col(query_key) != F.col(catalog_key))
 
 
+#: Numbers that a part of the comparison holds at a time.
+CACHED = 1 << 16
+
+
 # ---- the block kernel ------------------------------------------------------------------------------------------------
 
 
@@ -94,9 +98,16 @@ def block_similarities(queries: DataFrame, catalog: DataFrame, settings: Compari
         return [(r[f"{prefix}_ear"], r[f"{prefix}_sighting"], [_channels(np.array(p["depths"], float), p["start"], p["end"], settings.bins) for p in r[f"{prefix}_profiles"]]) for r in rows]
 
     def jaccard(a: np.ndarray, norm_a: np.ndarray, b: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
-        """(alignments, references); the references come in groups that keep the difference tensor small."""
-        step = max(1, (1 << 21) // max(1, a.size))
-        apart = np.concatenate([np.abs(a[:, None, :] - b[None, i : i + step, :]) @ weight for i in range(0, len(b), step)], axis=1)
+        """(alignments, references); differences are taken in parts that stay in a processor's cache."""
+        bins = a.shape[1]
+        more = max(1, min(len(b), CACHED // (32 * bins)))
+        few = max(1, CACHED // (more * bins))
+        apart, buffer = np.empty((len(a), len(b))), np.empty((few, more, bins))
+        for i in range(0, len(a), few):
+            for j in range(0, len(b), more):
+                part = buffer[: min(few, len(a) - i), : min(more, len(b) - j)]
+                np.subtract(a[i : i + few, None, :], b[None, j : j + more, :], out=part)
+                apart[i : i + few, j : j + more] = np.abs(part, out=part) @ weight
         both = norm_a[:, None] + norm_b[None, :]
         total = both + apart
         return np.where(total > 0, (both - apart) / np.where(total > 0, total, 1.0), 0.0)
