@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,10 +70,15 @@ def turning_angles(contour: DataFrame, span: int, n: int, key: str = "ear") -> D
 def hull_depths(contour: DataFrame, directions: int = 32, key: str = "ear") -> DataFrame:
     """key, i, depth: distance inward from the support lines of `directions` sampled directions; it tends to the depth below the
     convex hull as these grow."""
-    angle = F.col("k") * (2.0 * 3.141592653589793 / directions)
-    along = contour.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(directions - 1)))).withColumn("p", F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle))
-    support = along.groupBy(key, "k").agg(F.max("p").alias("h"))
-    return along.join(support, [key, "k"]).groupBy(key, "i").agg(F.min(F.col("h") - F.col("p")).alias("depth"))
+
+    w = Window.partitionBy(key)
+    depths = []
+    for k in range(directions):
+        angle = k * (2.0 * math.pi / directions)
+        along = F.col("x") * math.cos(angle) + F.col("y") * math.sin(angle)
+        depths.append(F.max(along).over(w) - along)
+    # all directions share one window: a contour's points are shuffled once and not multiplied
+    return contour.select(key, "i", F.least(*depths).alias("depth"))
 
 
 def ray_crossings(rays: DataFrame, contour: DataFrame, key: str = "ear") -> DataFrame:

@@ -79,15 +79,23 @@ def analysis_package(candidates: DataFrame) -> DataFrame:
 
 
 def prepare_ears(photos: DataFrame, detections: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """photo, side, detection, stage, message: the largest detection of each photo that has landmarks for the declared side; else the stage that failed.
-
-    photos: photo, side; detections: photo, id, size; landmarks: id, side."""
-    w = Window.partitionBy("photo").orderBy(F.col("size").desc(), "id")
-    one = detections.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("photo", F.col("id").alias("detection"))
-    marks = landmarks.select(F.col("id").alias("detection"), F.col("side").alias("seen"))
-    joined = photos.join(one, "photo", "left").join(marks, "detection", "left")
-    stage = F.when(F.col("detection").isNull(), "segmentation").when(F.col("seen").isNull(), "landmarks").when(F.col("seen") != F.col("side"), "side")
-    message = F.when(stage == "segmentation", "no detection").when(stage == "landmarks", "no landmark").when(stage == "side", F.concat(F.lit("declared "), "side", F.lit(", found "), "seen"))
+    """photo, side, detection, stage, message: for each declared side of a photo the largest of its detections whose landmarks show that side; else the
+    stage that failed.
+
+    photos: photo, side, readable; detections: photo, id, size, valid (its box lies in the image); landmarks: id, side.  Each photo's detections are looked at once,
+    whichever sides are declared; those without landmarks are passed over."""
+    marks = landmarks.select("id", F.col("side").alias("seen"))
+    found = detections.join(marks, "id", "left")
+    broken = detections.groupBy("photo").agg(F.bool_or(~F.col("valid")).alias("broken"))
+    best = found.filter(F.col("seen").isNotNull()).groupBy("photo", F.col("seen").alias("side")).agg(F.min_by("id", F.struct(-F.col("size"), "id")).alias("detection"))
+    joined = photos.join(broken, "photo", "left").join(best, ["photo", "side"], "left")
+    stage = (
+        F.when(~F.col("readable"), "photo_retrieval").when(F.col("broken"), "ear_segmentation").when(F.col("detection").isNull(), "declared_ear_resolution")
+    )
+    message = (
+        F.when(stage == "photo_retrieval", "photo cannot be read").when(stage == "ear_segmentation", "a detection's box is not in the image")
+        .when(stage == "declared_ear_resolution", F.concat(F.lit("no prepared ear matches inferred side "), "side"))
+    )
     return joined.select("photo", "side", F.when(stage.isNull(), F.col("detection")).alias("detection"), stage.alias("stage"), message.alias("message"))
 
 

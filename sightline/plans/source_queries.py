@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sightline.operators.shared import shared_folder
+from sightline.operators.shared import dense_ids, shared_folder
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 from sightline.sources import tables as src
@@ -111,6 +111,30 @@ def s15_stored_profiles(spark, sf):
     return src.read_profiles(spark, path).select("ear", "side", F.size("geometry").alias("n_geometry"))
 
 
+@query(f"WITH {inputs.PAIRS_SQL} SELECT row_number() OVER (ORDER BY name, sighting) AS place, name, sighting, left_line FROM pairs")
+def s10_approved_manifest(spark, sf):
+    """The written file's own order: it is one file, read as one partition."""
+    path = scratch(spark, "manifest")
+    src.write_manifest(inputs.pairs(spark, sf).select("name", "sighting", "left_line"), path)
+    rows = spark.read.schema("name string, sighting long, left_line int").option("header", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
+    return dense_ids(rows, ["_at"], "place").select("place", "name", "sighting", "left_line")
+
+
+@query("SELECT unnest(['mean', 'most', 'n']) AS key, unnest([round(avg(value), 6), round(max(value), 6), count(*)::DOUBLE]) AS value FROM events")
+def s14_metrics_json(spark, sf):
+    e = table(spark, sf, "events").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    return src.metrics_json(e).select(F.explode(F.from_json("json", "map<string,double>"))).select("key", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {inputs.BOXES_SQL} SELECT 'images' AS part, count(DISTINCT sighting) AS n, max(sighting) AS top FROM boxes UNION ALL SELECT 'annotations', count(*), max(sighting * 10 + line) FROM boxes UNION ALL SELECT 'categories', count(DISTINCT line % 3), max(line % 3) FROM boxes")
+def s17_coco_tables(spark, sf):
+    path, b = scratch(spark, "coco"), inputs.boxes(spark, sf)
+    ids = {"images": F.col("sighting"), "annotations": F.col("sighting") * 10 + F.col("line"), "categories": (F.col("line") % 3).cast("long")}
+    src.write_coco(*[b.select(c.alias("id")).distinct() for c in ids.values()], path)
+    parts = [spark.read.schema("id long").json(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.max("id").alias("top")) for name in ids]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations")
 def l2_newest_first(spark, sf):
     return src.newest_first(table(spark, sf, "conversations").select("conv_id", "turn"), "turn", "conv_id")

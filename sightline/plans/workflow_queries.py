@@ -361,15 +361,17 @@ def c7_analysis_packages(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT l_orderkey AS photo, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS id FROM lineitem GROUP BY 1),
-j AS (SELECT o_orderkey AS photo, CASE WHEN o_orderkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'left' ELSE 'right' END AS seen FROM orders LEFT JOIN d ON photo = o_orderkey)
-SELECT photo, side, CASE WHEN seen = side THEN id END AS detection, CASE WHEN id IS NULL THEN 'segmentation' WHEN seen IS NULL THEN 'landmarks' WHEN seen <> side THEN 'side' END AS stage FROM j"""
+    """WITH d AS (SELECT l_orderkey AS photo, l_partkey AS id, l_extendedprice AS size, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 3 = 0 THEN 'left' ELSE 'right' END AS seen FROM lineitem),
+bad AS (SELECT photo, bool_or(id % 23 = 0) AS bad FROM d GROUP BY 1), best AS (SELECT photo, seen, arg_min(id, (-size, id)) AS id FROM d WHERE seen IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT o_orderkey AS photo, unnest(['left', 'right']) AS side FROM orders),
+j AS (SELECT p.photo, side, id, CASE WHEN p.photo % 17 = 0 THEN 'photo_retrieval' WHEN bad THEN 'ear_segmentation' WHEN id IS NULL THEN 'declared_ear_resolution' END AS stage FROM p LEFT JOIN bad ON bad.photo = p.photo LEFT JOIN best ON best.photo = p.photo AND seen = side)
+SELECT photo, side, CASE WHEN stage IS NULL THEN id END AS detection, stage FROM j"""
 )
 def c9_prepared_ears(spark, sf):
-    photos = table(spark, sf, "orders").select(F.col("o_orderkey").alias("photo"), F.when(F.col("o_orderkey") % 2 == 0, "left").otherwise("right").alias("side"))
-    det = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("size"))
-    ids = det.select("id").distinct().filter("id % 7 <> 0")
-    marks = ids.select("id", F.when(F.col("id") % 3 == 0, "left").otherwise("right").alias("side"))
+    o = F.col("o_orderkey")
+    photos = table(spark, sf, "orders").select(o.alias("photo"), F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"), (o % 17 != 0).alias("readable"))
+    det = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("size"), (F.col("l_partkey") % 23 != 0).alias("valid"))
+    marks = det.select("id").distinct().filter("id % 7 <> 0").select("id", F.when(F.col("id") % 3 == 0, "left").otherwise("right").alias("side"))
     return wf.prepare_ears(photos, det, marks).select("photo", "side", "detection", "stage")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sightline.operators.evaluation import checked
+
 
 def running_decisions(log: DataFrame) -> DataFrame:
     """sighting, action, seq of the newest decision; the aggregate's state is one row for each sighting."""
@@ -42,9 +44,14 @@ def windowed_counts(events: DataFrame, time: str, lateness: str, width: str, *ke
 
 
 def match_arrivals(arrivals: DataFrame, catalog: DataFrame, match: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of new sightings is matched with the catalog; its scores replace what an earlier try of the batch wrote."""
+    """Each batch of new sightings is matched with the catalog; its scores replace what an earlier try of the batch wrote.
+
+    A batch with the columns of queries (query) and a catalog of candidates (candidate, sighting) are held to the score contract: a matcher that breaks it fails the
+    query before anything of the batch is written."""
+    contract = "query" in arrivals.columns and "candidate" in catalog.columns
 
     def write(batch: DataFrame, epoch: int) -> None:
-        match(batch, catalog).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        scores = checked(match, batch, catalog) if contract and batch.limit(1).count() else match(batch, catalog)
+        scores.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -68,3 +68,24 @@ def test_match_arrivals(spark, tmp_path):
     assert {(r.sighting, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(10, 0.5), (20, 0.7)}
     counted = folds.windowed_counts(spark.createDataFrame([("2024-01-01 00:00:10", 1), ("2024-01-01 00:00:50", 1)], "ts string, k int").withColumn("ts", F.to_timestamp("ts")), "ts", "1 minute", "1 minute", "k")
     assert counted.first().n == 2
+
+
+def test_arrivals_are_held_to_the_score_contract(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_batches(spark, path, [(1, 10, 1, "accept")], [(2, 20, 5, "accept")])
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(path).withColumnRenamed("sighting", "query")
+    catalog = spark.createDataFrame([("a", 5), ("b", 6)], "candidate string, sighting long")
+    whole = lambda q, c: q.select("query").join(c.select("candidate").hint("broadcast")).withColumn("score", F.lit(0.5))
+    folds.match_arrivals(stream, catalog, whole, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    partial = lambda q, c: whole(q, c).filter("candidate = 'a'")
+    with pytest.raises(Exception, match="one finite score"):
+        folds.match_arrivals(stream, catalog, partial, str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination(120)
+
+
+def test_photo_bytes_below_an_odd_folder(spark, tmp_path):
+    folder = tmp_path / "a+b (1)"
+    (folder / "x").mkdir(parents=True)
+    (folder / "x" / "one.jpg").write_bytes(b"123")
+    photos = spark.createDataFrame([(1, "x/one.jpg"), (2, "x/two.jpg"), (3, None)], "photo_id int, image_path string")
+    assert {r.photo_id: r.status for r in src.photo_bytes(photos, str(folder)).collect()} == {1: "ok", 2: "missing", 3: "unmapped"}
