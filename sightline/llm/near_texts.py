@@ -123,6 +123,7 @@ def _verified(members: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["root", "lo", "hi", "block", "others", "row", "found"])
 
     def solve(rows):
+        rows.sort(key=lambda r: r[0])  # the trees do not depend on the order of delivery
         ids = np.array([r[0] for r in rows], np.int64)
         block = np.array([r[1] for r in rows])
         lo, hi = rows[0][2], rows[0][3]

@@ -175,7 +175,9 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of hooking (a root goes below the least root next to its part) and pointer jumping, each cut off by a
     checkpoint; a logarithmic number of rounds is usual.  Nodes with very many neighbours, and roots of very many nodes, are looked up
     by broadcast, so that a large star is no task of its own."""
-    both = checkpoint(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"))
+    # both directions come from one reading of the edges, which may be other trees of the same parts when they are read again
+    ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = checkpoint(edges.select(ways.alias("w")).select("w.u", "w.v").distinct())
     parent = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("p"), "n", F.lit(True).alias("moved")))
     while True:
         there = join_groups(both, parent.select(F.col("u").alias("v"), "p", "n"), "v", "n", F.col("u"))

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sightline.llm import near_texts
 from sightline.llm.language_id import REJECT_RATE, held_out, labelled_samples
 from tests.llm.helpers import sample_texts, table
@@ -139,3 +141,14 @@ def test_passages_of_rows_that_share_an_id_are_cut(spark, tmp_path):
         docs = table(spark, [f"first text {shared} its end", f"another one {shared} and so on"], ids=ids)
         got = dict(corpus_pipeline.STAGES)["passages"](spark, docs, str(tmp_path)).collect()
         assert [x.doc_id for x in got] == ids and sum(shared in x.text for x in got) == 1
+
+
+def test_components_of_edges_that_change_between_readings(spark):
+    """Each reading of the edges is another tree of the same part."""
+    from sightline.llm.simhash import components
+
+    salt = F.rand()
+    star = spark.range(1, 40).withColumn("_r", salt)
+    edges = star.select(F.col("id").alias("a"), F.when(F.col("_r") < 0.5, F.lit(0)).otherwise(F.col("id") - 1).cast("long").alias("b"))
+    found = {r.node: r.root for r in components(edges).collect()}
+    assert found == dict.fromkeys(range(40), 0)
