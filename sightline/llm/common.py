@@ -25,7 +25,7 @@ CHUNK_BYTES = 8 << 20
 #: Bytes of text behind one owner of a key range, and the owners that small inputs get, so that they work side by side.
 OWNER_BYTES, LEAST_OWNERS = 64 << 20, 64
 #: Packed rows that a task gathers before it merges those for one owner.
-MERGE_BYTES = 16 << 20
+MERGE_BYTES = 8 << 20
 #: The largest groups that a join takes out of its shuffle.
 HOT_GROUPS = 1024
 #: Stands for a null doc_id inside the operators: larger than every other one.

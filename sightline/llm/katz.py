@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import NULL_ID, batch_of, checkpoint, counts_packed, counts_unpacked, expanded, forget_model, merged, one_array, owners_for, pack, parts_of, squeezed, unpack
+from sightline.llm.common import NULL_ID, batch_of, checkpoint, expanded, forget_model, merged, one_array, owners_for, pack, parts_of, squeezed, unpack
 
 #: Counts above this one are not discounted.
 K = 5
@@ -42,9 +42,9 @@ K = 5
 END = b"\n"
 #: Bytes of text behind one range of middle words, ranges that one owner has at most (it counts them one by one), owners that even small inputs
 #: get, and the share of a range's mean load from which a middle word is split.
-RANGE_BYTES, RANGES, LEAST_OWNERS, HOT = 6 << 20, 8, 32, 2.0
+RANGE_BYTES, RANGES, LEAST_OWNERS, HOT = 6 << 20, 8, 64, 2.0
 #: Bytes of text that one chunk aims at.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 STATE, WORDS, KNOWN, STATS, ANSWERS, PARTS, ASKED, CONTEXTS = range(8)
 _WIRE = "key long, kind int, chunk long, blob binary"
 _WIRE_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
@@ -132,6 +132,16 @@ def _walked(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[at] - steps[at], sizes)
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours as non-negative numbers; small where x changes little."""
+    d = np.diff(x, prepend=0)
+    return (d << 1) ^ (d >> 63)
+
+
+def _unfolded(z: np.ndarray) -> np.ndarray:
+    return np.cumsum((z >> 1) ^ -(z & 1))
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     words = text.lower().split()
     words.append(END)
@@ -167,7 +177,7 @@ def _read(rows: list[tuple], owners: int, modulus: int, remainder: int) -> tuple
     out = []
     for to, a, b in _edges(owner[order]):
         mine = [words[i] for i in order[a:b].tolist()]
-        out.append((to, pack(pa.compress(b" ".join(mine), "zstd", asbytes=True), np.array([sum(map(len, mine)) + b - a - 1], np.int64), counts_packed(learned[order[a:b]]))))
+        out.append((to, pack(pa.compress(b" ".join(mine), "zstd", asbytes=True), np.array([sum(map(len, mine)) + b - a - 1], np.int64), squeezed(learned[order[a:b]]))))
     return state, out
 
 
@@ -184,7 +194,7 @@ class Grams:
         for owner, blob in known:
             number, count = unpack(blob)
             numbers.append(expanded(number.tobytes()) * owners + owner + 1)
-            counts.append(counts_unpacked(count.tobytes()))
+            counts.append(expanded(count.tobytes()))
         numbers, counts = np.concatenate(numbers), np.concatenate(counts)
         order = np.argsort(numbers)
         rank = np.empty(order.size, np.int64)
@@ -228,8 +238,9 @@ class Grams:
         first, triples = _runs(self.of[c:d])
         w3, w1 = np.searchsorted(words, w3), np.searchsorted(words, w1)
         named = np.searchsorted(words, w2[lead])
-        ints = (self.owner[a:b][at], size, np.diff(self.number[words], prepend=0), self.count[words], named, pairs, _steps(w3, lead), triples, _steps(w1, first))
-        return pack(*map(squeezed, ints), np.packbits(self.parts[w2[lead]] > 1), counts_packed(self.learned[c:d]))
+        # numbers follow counts, so that the counts of words in order hardly change from one to the next
+        ints = (self.owner[a:b][at], size, np.diff(self.number[words], prepend=0), _folded(self.count[words]), named, pairs, _steps(w3, lead), triples, _steps(w1, first))
+        return pack(*map(squeezed, ints), np.packbits(self.parts[w2[lead]] > 1), squeezed(self.learned[c:d]))
 
 
 def _wanted(count: np.ndarray) -> np.ndarray:
@@ -272,8 +283,8 @@ class Requests:
         for blob in blobs:
             got = unpack(blob)
             ranges, sizes, steps, count, lead, pairs, w3, triples, w1 = (expanded(x.tobytes()) for x in got[:9])
-            w2, learned = np.repeat(lead, pairs), counts_unpacked(got[10].tobytes())
-            named.append((np.cumsum(steps), count, lead[np.unpackbits(got[9], count=lead.size).astype(bool)]))
+            w2, learned = np.repeat(lead, pairs), expanded(got[10].tobytes())
+            named.append((np.cumsum(steps), _unfolded(count), lead[np.unpackbits(got[9], count=lead.size).astype(bool)]))
             cut = np.append(0, np.cumsum(sizes))
             self.parts.append((ranges, cut, np.append(0, np.cumsum(triples))[cut], [x.astype(np.int32) for x in (w2, _walked(w3, pairs), triples, _walked(w1, triples), learned)]))
         self.numbers, place = np.unique(np.concatenate([x[0] for x in named]), return_inverse=True)
@@ -328,7 +339,7 @@ def _count_triples(requests: Requests, one: int, owners: int):
         two, three = c2[own2], c3[own3]
         lead = np.unique(lead_of[own2[_wanted(two)]])
         back = np.unique(context[own3[_wanted(three)]])
-        asks.append((counts_packed(two), counts_packed(three), lead[count1[lead] > 0], back))
+        asks.append((squeezed(two), squeezed(three), lead[count1[lead] > 0], back))
         needed2.append(asks[-1][2])
         needed3.append(back)
     del pair_of, triple_of, learned
@@ -396,7 +407,7 @@ def _scores(grams: Grams, unigrams: Unigrams, answers: list, contexts: list, fre
     sums2 = np.zeros((m, 2 * K + 1))
     for to, a, b, c, d in grams.blocks():
         blob = unpack(got[to].tobytes())
-        c2[a:b], c3[c:d] = counts_unpacked(blob[0].tobytes()), counts_unpacked(blob[1].tobytes())
+        c2[a:b], c3[c:d] = expanded(blob[0].tobytes()), expanded(blob[1].tobytes())
         got[to] = blob[2:]
     # c(u v) of each triple: the count of the pair before it in a text, or of the starts
     before = np.zeros_like(grams.pair)
@@ -496,7 +507,7 @@ def katz_scores(docs: DataFrame, text: str = "text", modulus: int = 7, remainder
             words, size, counts = unpack(blob.as_buffer())
             words = pa.decompress(words.tobytes(), int(size[0]), "zstd", asbytes=True).split(b" ")
             parts.append((chunk, words))
-            for w, c in zip(words, counts_unpacked(counts.tobytes()).tolist()):
+            for w, c in zip(words, expanded(counts.tobytes()).tolist()):
                 total[w] = total.get(w, 0) + c
         number = {w: i for i, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}  # frequent words have small numbers
         c = np.fromiter(total.values(), np.int64, len(total))
@@ -504,7 +515,7 @@ def katz_scores(docs: DataFrame, text: str = "text", modulus: int = 7, remainder
         for chunk, words in parts:
             keys.append(chunk)
             kinds.append(KNOWN)
-            blobs.append(pack(squeezed(np.fromiter(map(number.__getitem__, words), np.int64, len(words))), counts_packed(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))))
+            blobs.append(pack(squeezed(np.fromiter(map(number.__getitem__, words), np.int64, len(words))), squeezed(np.fromiter(map(total.__getitem__, words), np.int64, len(words)))))
         return batch_of(_WIRE_ARROW, keys, kinds, [me] * len(keys), blobs)
 
     def statistics(batches):
