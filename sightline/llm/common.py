@@ -224,7 +224,9 @@ def unpack(blob) -> list[np.ndarray]:
 
 
 def small(a: np.ndarray) -> np.ndarray:
-    """The same non-negative integers in the narrowest unsigned type."""
+    """The same integers in the narrowest unsigned type, or as signed 64-bit ones where any is negative."""
+    if a.size and a.dtype.kind == "i" and int(a.min()) < 0:
+        return a.astype(np.int64)
     top = int(a.max()) if a.size else 0
     for t in (np.uint8, np.uint16, np.uint32):
         if top <= np.iinfo(t).max:

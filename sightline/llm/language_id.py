@@ -4,12 +4,13 @@ For each language a suffix automaton of labelled text is built.  A text is parse
 in that text; the language that needs the fewest phrases for each code point wins.  Words (runs of letters in lower case) are parsed
 one by one, each with a blank before it, so that a word's phrase counts can be kept and summed up.
 
-The labelled text of a language is a bounded sample, SAMPLE_CHARS code points of documents in the order of a hash of doc_id; it
-is chosen in two steps, so that no language's documents meet in one task, and it is the only thing that reaches the driver.
+The labelled text of a language is a bounded sample, SAMPLE_CHARS code points of distinct documents in the order of a hash of doc_id and text, and
+one document at least; it is chosen in two steps, so that no language's documents meet in one task, and it is the only thing that reaches the
+driver.  More than MOST_LANGUAGES different labels are refused: each one has an automaton of its own, and they share ALL_CHARS.
 
 Defined results.  A text that is null or has no letter (Unicode's categories L) is `und` with score 0.  Ties go to the language that sorts first.
 With no labelled text at all every text is `und`.  Documents with a null lang are not learned from; those with a null doc_id are
-not held out.  Rows that repeat a doc_id are predicted each on its own.  An empty table gives no rows.  A text of any length is parsed
+not held out.  Rows that share a doc_id, or have none, are learned from by their texts, and predicted each on its own.  An empty table gives no rows.  A text of any length is parsed
 whole.  Columns of the caller keep their names and values, whatever these are.
 """
 
@@ -28,6 +29,7 @@ from sightline.llm.common import crc_bucket, worker_model
 SAMPLE_CHARS = 60_000
 DOCUMENT_CHARS = 2_000
 ALL_CHARS = 6_000_000
+MOST_LANGUAGES = 2000
 #: A text is rejected if even the best language needs more phrases than this for each code point.
 REJECT_RATE = 0.55
 MEMO_WORDS = 200_000
@@ -131,16 +133,19 @@ class CrossParser(dict):
 def labelled_samples(docs: DataFrame, text: str = "text", label: str = "lang", chars: int = SAMPLE_CHARS, per_document: int = DOCUMENT_CHARS) -> list[tuple[str, str]]:
     """(language, sample) in the order of languages.  docs: the rows that may be learned from."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = {r["label"]: (r["n"], r["chars"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(per_document))).alias("chars")).collect()}
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)))
+    per_label = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(per_document))).alias("chars"), F.min("at").alias("least"))
+    counts = {r["label"]: (r["n"], r["chars"], r["least"]) for r in per_label.limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels in {label}")
     chars = min(chars, max(1, ALL_CHARS // len(counts)))
     # a share of the hash range that holds about four times what is needed, then the first of those in order
-    share = {lang: min(1.0, 4.0 * chars / total + 64.0 / n) for lang, (n, total) in counts.items()}
-    limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    where = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
-    near = rows.withColumn("at", where).filter(F.col("at") < limits[F.col("label")] * F.lit(float(1 << 30)))
-    near = near.select("label", "doc_id", "at", F.substring("text", 1, per_document).alias("text"))
+    upto = {lang: max(least, int(min(1.0, 4.0 * chars / total + 64.0 / n) * (1 << 30))) for lang, (n, total, least) in counts.items()}
+    limits = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
+    near = rows.filter(F.col("at") <= limits[F.col("label")])
+    near = near.select("label", "doc_id", "at", F.substring("text", 1, per_document).alias("text")).distinct()
     w = Window.partitionBy("label").orderBy("at", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     got = near.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("before") < chars).collect()
     out: dict[str, list] = {}

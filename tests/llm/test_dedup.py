@@ -93,6 +93,14 @@ def test_suffix_dedup_against_brute_force(spark, chunk_bytes, hot_runs):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(list(enumerate(texts)), 50)
 
 
+def test_suffix_dedup_of_negative_ids(spark):
+    texts = sample_texts()
+    ids = [i - 40 for i in range(len(texts))][::-1]
+    for hot_runs in (0, None):
+        got = removed_spans(table(spark, texts, ids), chunk_bytes=1 << 10, hot_runs=hot_runs).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(list(zip(ids, texts)), 50)
+
+
 def test_windows_that_share_a_hash_stay_apart(monkeypatch):
     import sightline.llm.suffix_dedup as module
     from sightline.llm.common import Chunk
@@ -113,10 +121,11 @@ def test_windows_that_share_a_hash_stay_apart(monkeypatch):
 
 def test_suffix_dedup_edge_cases(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(120))
-    rows = [(3, text), (None, text), (3, text), (9, text[:49]), (9, "é" * 40 + text[10:70])]
-    got = removed_spans(table(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
     inf = float("inf")
-    assert sorted((inf if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(rows, 50)
+    for ids in ([3, None, 3, 9, 9], [-5, 3, -5, -300, 7], [-1, -(2**62), -3, 2**61, None]):
+        rows = list(zip(ids, [text, text, text, text[:49], "é" * 40 + text[10:70]]))
+        got = removed_spans(table(spark, [t for _, t in rows], ids=ids)).collect()
+        assert sorted((inf if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(rows, 50)
     assert removed_spans(table(spark, []).limit(0)).count() == 0
     assert removed_spans(table(spark, [None, ""])).count() == 2
 

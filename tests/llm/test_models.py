@@ -88,6 +88,23 @@ def test_many_languages_are_all_learned(spark, monkeypatch):
     assert len(got) == 300 and all(0 < len(t) <= 10 for _, t in got)
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: 12345, lambda i: 1, lambda i: -i % 3])
+def test_labels_are_learned_whatever_the_ids(spark, ids):
+    texts = [invented(lang, 30, i) for i, lang in enumerate(["aa", "bb", "cc"] * 12)] + ["zkwy qqpv jjux " * 20] * 40
+    langs = ["aa", "bb", "cc"] * 12 + ["dd"] * 40
+    docs = table(spark, texts, [ids(i) for i in range(len(texts))], langs)
+    samples = labelled_samples(docs.filter(~held_out()))
+    assert [lang for lang, text in samples if text] == ["aa", "bb", "cc", "dd"]
+    got = language_id(docs).collect()
+    assert {r.lang_pred for r in got} == {"aa", "bb", "cc", "dd"} and len(got) == len(texts)
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("sightline.llm.language_id.MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="labels"):
+        labelled_samples(table(spark, ["ab"] * 4, langs=list("abcd")))
+
+
 def test_language_stage_keeps_clashing_columns(spark):
     docs = table(spark, ["aber die eine", "the one"], langs=["de", "en"]).withColumn("found", F.lit("mine")).withColumn("FOUND_", F.lit(3))
     kept = keep_identified(docs)

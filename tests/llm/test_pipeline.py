@@ -143,6 +143,18 @@ def test_passages_of_rows_that_share_an_id_are_cut(spark, tmp_path):
         assert [x.doc_id for x in got] == ids and sum(shared in x.text for x in got) == 1
 
 
+def test_columns_of_any_name_come_through(spark, tmp_path):
+    extra = ["row", "row_", "id", "_row", "_id", "chunk", "rest", "found", "kept", "node", "ID_"]
+    texts = [f"{w} text with words of its own, of which there are {i}" for i, w in enumerate(["an old", "a new", "one more"])]
+    for ids in ([1, 2, 3], [4, 4, None]):
+        rows = [(i, t, "en", "s", len(t), *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(zip(ids, texts))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == docs.columns
+            assert sorted(map(repr, (tuple(x) for x in got.collect()))) == sorted(map(repr, rows)), name
+
+
 def test_components_of_edges_that_change_between_readings(spark):
     """Each reading of the edges is another tree of the same part."""
     from sightline.llm.simhash import components
