@@ -23,22 +23,26 @@ from sightline.llm.packing import pack_documents
 from sightline.llm.suffix_dedup import removed_spans
 
 
-#: Names one row, whatever its doc_id.
-_ROW = "_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a number _row, distinct for each row and in the order of doc_id, null last: doc_id itself where that is distinct.
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number, and that column's name: distinct for each row and in the order of doc_id, null last, and doc_id itself where that is distinct.
 
     Rows that share a doc_id are in the order of a hash of the text; the rows are then written, so that their numbers stay."""
-    key = F.col("doc_id").cast("long")
+    key, name = F.col("doc_id").cast("long"), _free(docs, "row")
     if not docs.groupBy(key.alias("id")).count().filter(F.col("id").isNull() | (F.col("count") > 1)).limit(1).count():
-        return docs.withColumn(_ROW, key)
+        return docs.withColumn(name, key), name
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [key.asc_nulls_last(), F.xxhash64("text")]
     path = fresh_path(spark, "pipeline-rows")
-    docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").withColumn(_ROW, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path), name
 
 
 def _columns(docs: DataFrame) -> list:
@@ -54,27 +58,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, whatever their doc_ids."""
-    rows = _numbered(spark, docs)
-    kept = exact_dedup(rows.select(F.col(_ROW).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(_ROW))
-    return rows.join(kept, _ROW, "left_semi").select(*_columns(docs))
+    rows, row = _numbered(spark, docs)
+    kept = exact_dedup(rows.select(F.col(row).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each component of texts whose five-word shingles have a similarity of 0.8 or more.  A text
     without words has no near copy."""
-    rows = _numbered(spark, docs)
-    found = near_texts(rows.select(F.col(_ROW).alias("row"), "text"))
-    copies = found.filter("node <> root").select(F.col("node").alias(_ROW))
-    return rows.join(copies, _ROW, "left_anti").select(*_columns(docs))
+    rows, row = _numbered(spark, docs)
+    found = near_texts(rows.select(F.col(row).alias("row"), "text"))
+    copies = found.filter("node <> root").select(F.col("node").alias(row))
+    return rows.join(copies, row, "left_anti").select(*_columns(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a row before it in the order of doc_id holds; documents of which nothing is left go."""
-    rows = _numbered(spark, docs).withColumnRenamed("doc_id", "_id").withColumnRenamed(_ROW, "doc_id")
+    rows, row = _numbered(spark, docs)
+    own = _free(rows, "id")
+    rows = rows.withColumnRenamed("doc_id", own).withColumnRenamed(row, "doc_id")
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = removed_spans(rows, carry=["_id", *rest], keep_bytes=True, whole_points=True)
+    cut = removed_spans(rows, carry=[own, *rest], keep_bytes=True, whole_points=True)
     text = F.col("kept").cast("string")
-    values = {"doc_id": F.col("rest._id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    values = {"doc_id": F.col(f"rest.`{own}`"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
     return cut.filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).select(*[values[c].alias(c) for c in docs.columns])
 
 
