@@ -176,11 +176,13 @@ def nearest(pairs: DataFrame, query: str, distance: str, tie: str, k: int) -> Da
     return pairs.withColumn("nn", F.row_number().over(w)).filter(F.col("nn") <= k)
 
 
-def neighbour_votes(neighbours: DataFrame, query: str, candidate: str, distance: str, k: int = 2) -> DataFrame:
-    """Margin votes: each candidate among the first k neighbours adds, once, its closest distance less the last neighbour's."""
-    last = neighbours.groupBy(query).agg(F.max(distance).alias("_last"), F.max("nn").alias("_n"))
-    first = neighbours.join(last, query).filter((F.col("nn") <= k) & (F.col("nn") < F.col("_n")))
-    return first.groupBy(query, candidate).agg((F.min(distance) - F.first("_last")).alias("vote"))
+def neighbour_votes(neighbours: DataFrame, query: str | list[str], candidate: str, distance: str, k: int = 2) -> DataFrame:
+    """Margin votes: each candidate among the first k neighbours adds, once, its closest distance less the last neighbour's.  query: the query's column, and any that follow from it."""
+    query = [query] if isinstance(query, str) else query
+    w = Window.partitionBy(query[0])  # the neighbours are numbered by query, so that nothing moves
+    last = neighbours.withColumns({"_last": F.max(distance).over(w), "_n": F.max("nn").over(w)})
+    first = last.filter((F.col("nn") <= k) & (F.col("nn") < F.col("_n")))
+    return first.groupBy(*query, candidate).agg((F.min(distance) - F.first("_last")).alias("vote"))
 
 
 def vote_scores(votes: DataFrame, catalog: DataFrame, queries: DataFrame, query: str, candidate: str) -> DataFrame:

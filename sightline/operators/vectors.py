@@ -107,6 +107,34 @@ def nearest_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return nearest(block_join(v, v, [], compare, schema, "query long, other long, distance double"), "query", "distance", "other", k)
 
 
+def nearest_between(queries: DataFrame, catalog: DataFrame, on: list[str], k: int) -> DataFrame:
+    """query, sighting, other, candidate, distance, nn: for each vector of queries (id, sighting, e and the columns `on`) the exact k nearest ones of catalog (id, sighting,
+    candidate, e, on) that agree on `on` and are of another sighting; ties go to the smaller id.  A pair of blocks sends k rows for each query at most."""
+    schema = pa.schema([("query", pa.int64()), ("sighting", pa.string()), ("other", pa.int64()), ("candidate", pa.string()), ("distance", pa.float64())])
+
+    def compare(q, r):
+        order = np.argsort(r["id"], kind="stable")
+        ids, e, names = r["id"][order], r["e"][order], r["candidate"][order]
+        square = (q["e"] ** 2).sum(axis=1)[:, None] + (e**2).sum(axis=1)[None, :] - 2 * (q["e"] @ e.T)
+        d = np.round(np.sqrt(np.maximum(0.0, square)), 9)
+        own, codes = np.unique(np.concatenate([q["sighting"], r["sighting"]]).astype(str), return_inverse=True)
+        d[codes[: len(d)][:, None] == codes[len(d) :][order][None, :]] = np.inf
+        row, near, far = np.arange(len(d)), [], []
+        for _ in range(min(k, d.shape[1])):  # the first of equal ones, which has the smaller id
+            near.append(d.argmin(axis=1))
+            far.append(d[row, near[-1]].copy())
+            d[row, near[-1]] = np.inf
+        i, j, distance = np.tile(row, len(near)), np.concatenate(near), np.concatenate(far)
+        ok = np.isfinite(distance)
+        return q["id"][i[ok]], q["sighting"][i[ok]], ids[j[ok]], names[j[ok]], distance[ok]
+
+    text = lambda df, *names: df.withColumns({c: F.col(c).cast("string") for c in names})
+    q = text(queries, "sighting").select("id", "sighting", "e", *on)
+    c = text(catalog, "sighting", "candidate").select("id", "sighting", "candidate", "e", *on)
+    pairs = block_join(q, c, on, compare, schema, "query long, sighting string, other long, candidate string, distance double")
+    return nearest(pairs, "query", "distance", "other", k)
+
+
 def pair_scores(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """i, j, score: inner products of all pairs of different ids of left and right (id, e and the columns `on`) that agree on `on`."""
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("score", pa.float64())])

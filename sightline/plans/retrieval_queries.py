@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import evaluation as ev
-from sightline.operators import matchers as ma  # noqa: F401 (registers the matchers)
+from sightline.operators import matchers as mt  # registers the matchers
 from sightline.operators import retrieval as rt
 from sightline.operators import vectors as ve
-from sightline.operators.shared import exact_quantiles
+from sightline.operators.outlines import outline_descriptors
+from sightline.operators.shared import exact_quantiles, materialise
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 
@@ -160,6 +161,65 @@ def c2_match_by_votes(spark, sf):
     return rounded(scores)
 
 
+_DESCRIPTORS = """d AS (SELECT vec_id * 2 + s AS id, vec_id // 4 AS sighting, vec_id % 2 AS side, s AS scale, embedding[s * 32 + 1:s * 32 + 32]::DOUBLE[32] AS e FROM embeddings, (SELECT unnest([0, 1]) AS s)),
+own AS (SELECT vec_id // 4 AS sighting, arg_min(label, vec_id) AS candidate FROM embeddings GROUP BY 1),
+near AS (
+  SELECT q.id AS query, q.sighting, r.id AS other, candidate, q.side, q.scale,
+    round(sqrt(greatest(0.0, list_dot_product(q.e, q.e) + list_dot_product(r.e, r.e) - 2 * list_dot_product(q.e, r.e))), 9) AS distance
+  FROM d q JOIN d r ON q.side = r.side AND q.scale = r.scale AND q.sighting <> r.sighting JOIN own ON own.sighting = r.sighting),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, other) AS nn FROM near) WHERE nn <= 3)"""
+
+
+def descriptor_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Four vectors are a sighting, of the individual of the first one: its descriptors are their halves, by side (odd or even) and scale (first or second half)."""
+    e = table(spark, sf, "embeddings").withColumn("sighting", F.expr("vec_id div 4"))
+    half = lambda s: F.struct(F.lit(s).alias("scale"), F.slice(F.col("embedding").cast("array<double>"), s * 32 + 1, 32).alias("e"))
+    d = e.select("vec_id", "sighting", (F.col("vec_id") % 2).alias("side"), F.explode(F.array(half(0), half(1))).alias("h"))
+    owners = e.groupBy("sighting").agg(F.min_by("label", "vec_id").alias("candidate"))
+    return d.select((F.col("vec_id") * 2 + F.col("h.scale")).alias("id"), "sighting", "side", "h.scale", "h.e"), owners
+
+
+@query(f"WITH {_DESCRIPTORS} SELECT query, other, candidate, round(distance, 6) AS distance, nn FROM knn")
+def j7_descriptor_neighbours(spark, sf):
+    d, owners = descriptor_tables(spark, sf)
+    near = ve.nearest_between(d, d.join(owners, "sighting"), ["side", "scale"], 3)
+    return near.select("query", "other", F.col("candidate").cast("long").alias("candidate"), F.round("distance", 6).alias("distance"), F.col("nn").cast("long").alias("nn"))
+
+
+@query(
+    f"""WITH {_DESCRIPTORS}, last AS (SELECT query, max(distance) AS l, max(nn) AS n FROM knn GROUP BY 1),
+votes AS (SELECT query, sighting, candidate, min(distance) - min(l) AS vote FROM knn JOIN last USING (query) WHERE nn <= 2 AND nn < n GROUP BY 1, 2, 3),
+total AS (SELECT sighting, candidate, sum(vote) AS vote FROM votes GROUP BY 1, 2)
+SELECT q.sighting AS query, c.candidate, round(0.0 - coalesce(vote, 0.0) + 0.0, 6) AS score
+FROM own q CROSS JOIN (SELECT DISTINCT candidate FROM own) c LEFT JOIN total t ON t.sighting = q.sighting AND t.candidate = c.candidate"""
+)
+def c2_match_descriptors(spark, sf):
+    d, owners = descriptor_tables(spark, sf)
+    return rounded(mt.descriptor_scores(d, d.join(owners, "sighting"), owners.select(F.col("sighting").alias("query")), owners.select("candidate").distinct()))
+
+
+def outlines(spark, sf) -> DataFrame:
+    """Descriptors of one outline for each vector, in crops of 96 pixels: two radii and eight key points, so that the test tables have as many descriptors as vectors have numbers."""
+    c = inputs.contour(spark, sf)
+    side = F.when(F.col("vec_id") % 2 == 0, "left").otherwise("right")
+    crop = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ear"), F.lit(-2.0).alias("x0"), F.lit(-2.0).alias("y0"), F.lit(2.0).alias("x1"), side.alias("side"))
+    return outline_descriptors(c, crop, scales=(0.04, 0.08), width=96, samples=128, sigma=2.0, most=8)
+
+
+@query()
+def c8_outline_descriptors(spark, sf):
+    return rounded(outlines(spark, sf).select("ear", "side", "scale", "i", "j", F.transform("vec", lambda x: F.round(x, 6)).alias("vec")))
+
+
+@query()
+def c2_match_outlines(spark, sf):
+    """Sightings of two outlines, one of each side; the individual is the label of the first."""
+    e = table(spark, sf, "embeddings").withColumn("sighting", F.expr("vec_id div 2"))
+    owners = e.groupBy("sighting").agg(F.min_by("label", "vec_id").alias("candidate"))
+    d = materialise(outlines(spark, sf)).select(F.xxhash64("ear", "scale", "i", "j").alias("id"), F.expr("ear div 2").alias("sighting"), "side", "scale", F.col("vec").alias("e"))
+    return rounded(mt.descriptor_scores(d, d.join(owners, "sighting"), owners.select(F.col("sighting").alias("query")), owners.select("candidate").distinct()))
+
+
 # ---- aligned series ----------------------------------------------------------------------------------------------------
 
 #: The whole grid of 17 stretches, at the resolution of the series: 24 bins, so that a tenth of them are two shifts either way.
