@@ -87,6 +87,12 @@ def shift(arr: Column, bins) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(arr) - 1), lambda i: F.when((i - b >= 0) & (i - b < F.size(arr)), F.get(arr, i - b)).otherwise(F.lit(0.0)))
 
 
+def aligned(arr: Column, factor: Column, bins: Column) -> Column:
+    """Stretched, then shifted by whole bins; null where the stretch is not above 0 or not finite."""
+    good = (factor > 0) & ~F.isnan(factor) & (factor < float("inf"))
+    return F.when(good, let(let(F.struct(arr.alias("a"), factor.alias("f")), lambda p: stretch(p["a"], p["f"])), lambda s: shift(s, bins)))
+
+
 def weighted_l1(arr: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(arr, weights, lambda x, w: F.abs(x) * w), F.lit(0.0), lambda s, x: s + x)
 

@@ -31,7 +31,9 @@ def arc_lengths(contour: DataFrame, key: str = "ear") -> DataFrame:
 
 
 def resample_polyline(contour: DataFrame, n: int, key: str = "ear") -> DataFrame:
-    """key, k, x, y: n points at even arc length.  Each sample falls into one segment: a join on the key with a range."""
+    """key, k, x, y: n points at even arc length.  Each sample falls into one segment: a join on the key with a range.
+
+    Outlines of no length have no such points; `zero_length` reports them."""
     w = Window.partitionBy(key).orderBy("i")
     seg = arc_lengths(contour, key).withColumns({"s2": F.lead("s").over(w), "x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "total": F.max("s").over(Window.partitionBy(key))})
     seg = seg.filter(F.col("total") > 0)
@@ -43,6 +45,12 @@ def resample_polyline(contour: DataFrame, n: int, key: str = "ear") -> DataFrame
     return made.select(key, "k", (F.col("x") + (F.col("x2") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * t).alias("y"))
 
 
+def zero_length(contour: DataFrame, key: str = "ear") -> DataFrame:
+    """key, reason: outlines without length, which cannot be resampled: one point, or points that are all the same."""
+    box = contour.groupBy(key).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    return box.filter("w = 0 AND h = 0").select(key, F.lit("an outline of no length cannot be resampled").alias("reason"))
+
+
 def densify(contour: DataFrame, spacing: float, key: str = "ear") -> DataFrame:
     """Points added until neighbours are at most `spacing` apart; the given points stay."""
     w = Window.partitionBy(key).orderBy("i")

@@ -46,6 +46,17 @@ depths AS MATERIALIZED (
   SELECT k.ear, k.user_id, k.week, k.side, g.i, coalesce(h.v, 0.0) AS d
   FROM keys k CROSS JOIN (SELECT unnest(range(24))::INT AS i) g LEFT JOIN hours h ON h.user_id = k.user_id AND h.week = k.week AND h.side = k.side AND h.h = g.i)"""
 
+#: The same series as one list for each ear.
+LISTS_SQL = (
+    """hours AS (
+  SELECT user_id, CAST(date_part('day', ts) - 1 AS INT) // 7 AS week, CASE event_type WHEN 'click' THEN 'left' ELSE 'right' END AS side,
+    CAST(date_part('hour', ts) AS INT) AS h, sum(value) AS v
+  FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3, 4),
+lists AS (SELECT concat(user_id, '-', week, '-', side) AS ear, ["""
+    + ", ".join(f"coalesce(max(v) FILTER (WHERE h = {h}), 0.0)" for h in range(24))
+    + "] AS v FROM hours GROUP BY user_id, week, side)"
+)
+
 #: One closed 64-gon for each vector.
 CONTOUR_SQL = """pts AS (
   SELECT vec_id AS ear, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS e FROM embeddings),

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from sightline.functions import scalar as sc
 from sightline.functions import series as se
+from sightline.operators import depths as dp
 from sightline.operators import geometry as ge
 from sightline.operators import workflow as wf
 from sightline.operators.shared import exact_quantiles
 from sightline.operators.training import anchors
+from sightline.operators.workflow import landmark_rays
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 from sightline.plans.retrieval_queries import rounded
 
-E, C = inputs.EARS_SQL, inputs.CONTOUR_SQL
+E, C, L = inputs.EARS_SQL, inputs.CONTOUR_SQL, inputs.LISTS_SQL
 
 
 def long(df, key="ear", arr="v", name="v"):
@@ -24,22 +26,28 @@ def long(df, key="ear", arr="v", name="v"):
     return df.select(key, F.posexplode(arr).alias("i", "x")).select(key, "i", F.round("x", 6).alias(name))
 
 
+def between_sql(values: str, position: str, n: int) -> str:
+    """n values of each list at fractional positions, without a join of the series with itself."""
+    return f"""SELECT ear, i, round(w[floor(p)::INT + 1] + (w[least(floor(p)::INT + 1, 23) + 1] - w[floor(p)::INT + 1]) * (p - floor(p)), 6) AS v
+FROM (SELECT ear, {values} AS w FROM lists), (SELECT i, {position} AS p FROM (SELECT unnest(range({n}))::INT AS i))"""
+
+
 def at_sql(source: str, position: str, n: int, prefix: str = "") -> str:
     return f"""SELECT a.ear, s.i, a.d + (b.d - a.d) * (s.p - floor(s.p)) AS v FROM (SELECT i, {position} AS p FROM (SELECT unnest(range({n}))::INT AS i)) s
 JOIN {source} a ON a.i = floor(s.p)::INT JOIN {source} b ON b.ear = a.ear AND b.i = least(floor(s.p)::INT + 1, 23)"""
 
 
-@query(f"WITH {E}, r AS ({at_sql('depths', 'i * 23 / 39.0::DOUBLE', 40)}) SELECT ear, i, round(v, 6) AS v FROM r")
+@query(f"WITH {L} {between_sql('v', 'i * 23 / 39.0::DOUBLE', 40)}")
 def a1_resample(spark, sf):
     return long(inputs.ears(spark, sf).select("ear", se.resample(F.col("depths"), 40).alias("v")))
 
 
-@query(f"WITH {E}, r AS ({at_sql('depths', 'i * 23 / 16.0::DOUBLE', 16)}) SELECT ear, i, round(v, 6) AS v FROM r")
+@query(f"WITH {L} {between_sql('v', 'i * 23 / 16.0::DOUBLE', 16)}")
 def a2_resample_span(spark, sf):
     return long(inputs.ears(spark, sf).select("ear", se.resample_span(F.col("depths"), 16).alias("v")))
 
 
-@query(f"WITH {E}, s AS (SELECT ear, i, sqrt(greatest(d - 5, 0)) AS d FROM depths), r AS ({at_sql('s', 'i * 23 / 39.0::DOUBLE', 40)}) SELECT ear, i, round(v, 6) AS v FROM r")
+@query(f"WITH {L} {between_sql('list_transform(v, lambda d: sqrt(greatest(d - 5, 0)))', 'i * 23 / 39.0::DOUBLE', 40)}")
 def a3_depth_channel(spark, sf):
     d = F.transform("depths", lambda x: x - 5)
     return long(inputs.ears(spark, sf).select("ear", se.depth_channel(d, 40).alias("v")))
@@ -62,7 +70,7 @@ def a5_stretch(spark, sf):
     return long(inputs.ears(spark, sf).select("ear", se.stretch(F.col("depths"), 0.8).alias("v")))
 
 
-@query(f"WITH {E} SELECT d.ear, d.i, round(coalesce(s.d, 0.0), 6) AS v FROM depths d LEFT JOIN depths s ON s.ear = d.ear AND s.i = d.i + 3")
+@query(f"WITH {L} SELECT ear, i, round(coalesce(v[i + 4], 0.0), 6) AS v FROM lists, (SELECT unnest(range(24))::INT AS i)")
 def a6_shift(spark, sf):
     return long(inputs.ears(spark, sf).select("ear", se.shift(F.col("depths"), -3).alias("v")))
 
@@ -217,6 +225,60 @@ def j12_nearest_crossing(spark, sf):
     return rounded(ge.nearest_crossing(rays(spark, sf), inputs.contour(spark, sf)))
 
 
+#: A reference polygon of every fourth point, a little larger and shifted; half of them turn the other way.
+_POLYGON = """poly AS (SELECT ear, CASE WHEN ear % 2 = 0 THEN i // 4 ELSE 15 - i // 4 END AS i, 1.2 * x + 0.01 AS x, 1.2 * y AS y FROM contour WHERE i % 4 = 0),
+pn AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) - x AS ex, coalesce(lead(y) OVER w, first(y) OVER w) - y AS ey FROM poly WINDOW w AS (PARTITION BY ear ORDER BY i)),
+turn AS (SELECT ear, CASE WHEN sum(x * (y + ey) - (x + ex) * y) < 0 THEN -1.0 ELSE 1.0 END AS winding FROM pn GROUP BY 1),
+met AS (SELECT r.*, i, ex, ey, ((x - ox) * ey - (y - oy) * ex) / (dx * ey - dy * ex) AS t, ((x - ox) * dy - (y - oy) * dx) / (dx * ey - dy * ex) AS u
+  FROM rays r JOIN pn USING (ear) WHERE abs(dx * ey - dy * ex) > 1e-12),
+best AS (SELECT ear, ray, arg_max((t, ex, ey), (t, -i)) AS h FROM met WHERE t >= 0 AND u BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY 1, 2),
+hits AS (SELECT r.ear, r.ray, h[1] AS t, ox + h[1] * dx AS cx, oy + h[1] * dy AS cy, -winding * h[3] / sqrt(h[2] * h[2] + h[3] * h[3]) AS nx, winding * h[2] / sqrt(h[2] * h[2] + h[3] * h[3]) AS ny
+  FROM rays r LEFT JOIN best b ON b.ear = r.ear AND b.ray = r.ray JOIN turn ON turn.ear = r.ear)"""
+
+
+def polygons(spark, sf):
+    i = F.floor(F.col("i") / 4).cast("int")
+    return inputs.contour(spark, sf).filter("i % 4 = 0").select("ear", F.when(F.col("ear") % 2 == 0, i).otherwise(15 - i).alias("i"), (F.col("x") * 1.2 + 0.01).alias("x"), (F.col("y") * 1.2).alias("y"))
+
+
+@query(f"WITH {C}, {_RAYS}, {_POLYGON} SELECT ear, ray, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('t', 'cx', 'cy', 'nx', 'ny'))} FROM hits")
+def j11_crossing_normals(spark, sf):
+    hits = dp.ray_hits(rays(spark, sf), polygons(spark, sf), ["ear"])
+    return hits.select("ear", "ray", *[(F.round(c, 6) + 0.0).alias(c) for c in ("t", "cx", "cy", "nx", "ny")])
+
+
+#: Rays every five degrees from the middle of two points of the outline.
+_LANDMARKS = """ends AS (SELECT ear, max(CASE WHEN i = 60 THEN x END) AS ux, max(CASE WHEN i = 60 THEN y END) AS uy, max(CASE WHEN i = 28 THEN x END) AS lx, max(CASE WHEN i = 28 THEN y END) AS ly FROM contour GROUP BY 1),
+base AS (SELECT ear, CASE WHEN ear % 2 = 0 THEN 1.0 ELSE -1.0 END AS f, (ux + lx) / 2 AS ox, (uy + ly) / 2 AS oy, ux - (ux + lx) / 2 AS vx, uy - (uy + ly) / 2 AS vy FROM ends),
+unit AS (SELECT ear, f, ox, oy, vx / sqrt(vx * vx + vy * vy) AS vx, vy / sqrt(vx * vx + vy * vy) AS vy FROM base),
+rays AS (SELECT ear, r AS ray, ox, oy, cos(radians(5.0 * (r + 2))) * vx - f * sin(radians(5.0 * (r + 2))) * vy AS dx, cos(radians(5.0 * (r + 2))) * vy + f * sin(radians(5.0 * (r + 2))) * vx AS dy
+  FROM unit, (SELECT unnest(range(33))::INT AS r))"""
+
+
+@query(
+    f"""WITH {C}, {_LANDMARKS}, {_POLYGON},
+line AS (SELECT *, lead(x) OVER w - x AS ex, lead(y) OVER w - y AS ey FROM contour WINDOW w AS (PARTITION BY ear ORDER BY i)),
+cross_ AS (SELECT h.ear, h.ray, l.i, ((l.x - cx) * l.ey - (l.y - cy) * l.ex) / (h.nx * l.ey - h.ny * l.ex) AS t, ((l.x - cx) * h.ny - (l.y - cy) * h.nx) / (h.nx * l.ey - h.ny * l.ex) AS u
+  FROM hits h JOIN line l ON l.ear = h.ear WHERE h.t IS NOT NULL AND l.ex IS NOT NULL AND abs(h.nx * l.ey - h.ny * l.ex) > 1e-12),
+near AS (SELECT ear, ray, arg_min(t, (abs(t), i)) AS t FROM cross_ WHERE u BETWEEN 0 AND 1 GROUP BY 1, 2),
+area AS (SELECT ear, sqrt(abs(sum(x * (y + ey) - (x + ex) * y)) / pi()) AS r FROM pn GROUP BY 1),
+depth AS (SELECT h.ear, h.ray, h.t IS NOT NULL AS crossed, coalesce(n.t, 0.0) / r AS d FROM hits h JOIN area a ON a.ear = h.ear LEFT JOIN near n ON n.ear = h.ear AND n.ray = h.ray),
+taps AS (SELECT o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS o)),
+smooth AS (SELECT c.ear, c.ray, sum(w * d.d) AS v FROM depth c CROSS JOIN taps JOIN depth d ON d.ear = c.ear AND d.ray = CASE WHEN (c.ray + o + 66) % 66 < 33 THEN (c.ray + o + 66) % 66 ELSE 65 - (c.ray + o + 66) % 66 END GROUP BY 1, 2)
+SELECT d.ear, d.ray + 2 AS bin, round(CASE WHEN crossed THEN v ELSE 0.0 END, 6) + 0.0 AS depth FROM depth d JOIN smooth s ON s.ear = d.ear AND s.ray = d.ray"""
+)
+def j13_depth_profiles(spark, sf):
+    c = inputs.contour(spark, sf)
+    at = lambda i, v: F.max(F.when(F.col("i") == i, F.col(v)))
+    ends = c.groupBy("ear").agg(at(60, "x").alias("ux"), at(60, "y").alias("uy"), at(28, "x").alias("lx"), at(28, "y").alias("ly"))
+    marks = ends.withColumn("side", F.when(F.col("ear") % 2 == 0, "left").otherwise("right"))
+    p = polygons(spark, sf)
+    radius = ge.polygon_areas(p).select("ear", F.sqrt(2 * F.col("area") / F.pi()).alias("r"))
+    found = dp.line_distances(dp.ray_hits(landmark_rays(marks, [5.0 * (r + 2) for r in range(33)]), p, ["ear"]), c, ["ear"]).join(radius, "ear")
+    whole = dp.profiles_of(found.withColumn("distance", F.col("distance") / F.col("r")), ["ear"], 37, 2, 1.0)
+    return whole.select("ear", F.posexplode("depths").alias("bin", "d")).filter(F.col("bin").between(2, 34)).select("ear", "bin", (F.round("d", 6) + 0.0).alias("depth"))
+
+
 @query(f"WITH {C}, q AS (SELECT DISTINCT ear, p AS point, p / 4.0::DOUBLE - 0.5 AS px, 0.3 AS py FROM contour, (SELECT unnest(range(4))::INT AS p)) SELECT q.ear, point, arg_min(i, (round(pow(px - x, 2) + pow(py - y, 2), 12), i))::INT AS i FROM q JOIN contour c ON c.ear = q.ear GROUP BY 1, 2")
 def j14_snapped_points(spark, sf):
     k = F.explode(F.sequence(F.lit(0), F.lit(3)))

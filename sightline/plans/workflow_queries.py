@@ -157,9 +157,12 @@ def a16_integral_curvature(spark, sf):
     return rounded(wf.curvature(inputs.contour(spark, sf), 0.3))
 
 
-@query(f"WITH {E} SELECT d.ear, d.i, round(coalesce(s.d, 0.0), 6) + 0.0 AS v FROM depths d LEFT JOIN depths s ON s.ear = d.ear AND s.i = d.i - round_even(0.1 * 24, 0)::INT")
+@query(
+    f"""WITH {inputs.LISTS_SQL}, k AS (SELECT i, p, floor(p)::INT AS lo FROM (SELECT i, ((i - round_even(0.1 * 24, 0)) / 23.0 - 0.5) / 1.1 * 23 + 11.5 AS p, i - round_even(0.1 * 24, 0)::INT AS src FROM (SELECT unnest(range(24))::INT AS i)) WHERE src BETWEEN 0 AND 23 AND p BETWEEN 0 AND 23)
+SELECT ear, g.i, round(coalesce(v[lo + 1] + (v[least(lo + 1, 23) + 1] - v[lo + 1]) * (p - lo), 0.0), 6) + 0.0 AS v FROM lists CROSS JOIN (SELECT unnest(range(24))::INT AS i) g LEFT JOIN k ON k.i = g.i"""
+)
 def a20_aligned_profiles(spark, sf):
-    e = inputs.ears(spark, sf).select("ear", F.posexplode(se.shift(F.col("depths"), F.bround(F.lit(0.1 * 24), 0).cast("int"))).alias("i", "x"))
+    e = inputs.ears(spark, sf).select("ear", F.posexplode(se.aligned(F.col("depths"), F.lit(1.1), F.bround(F.lit(0.1 * 24), 0).cast("int"))).alias("i", "x"))
     return e.select("ear", "i", (F.round("x", 6) + 0.0).alias("v"))
 
 
