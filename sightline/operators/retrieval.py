@@ -202,14 +202,18 @@ def top_n(scores: DataFrame, query: str, candidate: str, n: int = 12, score: str
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+def symmetric(pairs: DataFrame) -> DataFrame:
+    """i, j, s in every direction of pairs (i, j, score) that have both: the mean of the two, which meet under their unordered pair in one shuffle."""
+    both = pairs.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.avg("score").alias("s"), F.count("*").alias("n")).filter("n = 2")
+    return both.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"), "s").select("p.i", "p.j", "s")
+
+
 def symmetrised_z(pairs: DataFrame) -> DataFrame:
     """i, j, z: scores averaged over both directions, then standardised within each row, then averaged over both directions."""
-    back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("score").alias("back"))
-    both = pairs.join(back, ["i", "j"]).select("i", "j", ((F.col("score") + F.col("back")) / 2).alias("s"))
-    row = both.groupBy("i").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
-    z = both.join(row, "i").select("i", "j", F.when(F.col("sd") > 0, (F.col("s") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
-    other = z.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("z").alias("z2"))
-    return z.join(other, ["i", "j"]).select("i", "j", ((F.col("z") + F.col("z2")) / 2).alias("z"))
+    w = Window.partitionBy("i")
+    row = symmetric(pairs).withColumns({"m": F.avg("s").over(w), "sd": F.stddev_pop("s").over(w)})
+    z = row.select("i", "j", F.when(F.col("sd") > 0, (F.col("s") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("score"))
+    return symmetric(z).withColumnRenamed("s", "z")
 
 
 def fused(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
