@@ -13,11 +13,19 @@ def corners(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
 
 
 def clip_box(x1: Column, y1: Column, x2: Column, y2: Column, w, h) -> Column:
-    """Whole pixels around the box inside the image, or null if that is empty."""
+    """Whole pixels around the box inside the image, or null if that is empty or `box_fault` finds a fault."""
     low = lambda v: F.floor(F.greatest(v, F.lit(0.0))).cast("int")
     high = lambda v, m: F.ceil(F.least(v, F.lit(float(m)))).cast("int")
     box = F.struct(low(x1).alias("x1"), low(y1).alias("y1"), high(x2, w).alias("x2"), high(y2, h).alias("y2"))
-    return F.when((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]) & (x2 > x1) & (y2 > y1), box)
+    return F.when(box_fault(x1, y1, x2, y2).isNull() & (box["x2"] > box["x1"]) & (box["y2"] > box["y1"]), box)
+
+
+def box_fault(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """What is wrong with a box: a coordinate that is missing or not finite, or sides that do not grow; null for a good one."""
+    bad = F.lit(False)
+    for v in (x1, y1, x2, y2):
+        bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad, "coordinates must be finite").when(~((x2 > x1) & (y2 > y1)), "a box must have a positive width and height")
 
 
 def pad_box(x1: Column, y1: Column, x2: Column, y2: Column, share: float) -> list[Column]:

@@ -58,7 +58,22 @@ def lowest(scores: DataFrame, columns: list[str], key: str, n: int) -> DataFrame
 # ---- sightings and review ---------------------------------------------------------------------------------------------------
 
 
-def sighting_tiers(candidates: DataFrame, usable: int = 8) -> DataFrame:
+#: The least score of a usable photo.
+USABLE = 8
+
+
+def photo_weight(score: str = "score") -> Column:
+    """10: 1, 9: 1/2, 8: 1/4, 7: 1/8, else 0."""
+    s = F.col(score)
+    return F.when(s == 10, 1.0).when(s == 9, 0.5).when(s == 8, 0.25).when(s == 7, 0.125).otherwise(0.0)
+
+
+def combined_strength(left: str, right: str) -> Column:
+    """Nine parts of the weaker side and one of the stronger."""
+    return 0.9 * F.least(left, right) + 0.1 * F.greatest(left, right)
+
+
+def sighting_tiers(candidates: DataFrame, usable: int = USABLE) -> DataFrame:
     """name, sighting, tier: the weaker of the best scores of the two sides; only sightings whose both sides are usable."""
     best = lambda side: F.max(F.when(F.col("side") == side, F.col("score")))
     both = candidates.groupBy("name", "sighting").agg(best("left").alias("l"), best("right").alias("r"))
@@ -72,10 +87,10 @@ def usable_individuals(tiers: DataFrame, least: int = 3) -> DataFrame:
 def sighting_strength(candidates: DataFrame) -> DataFrame:
     """name, sighting, strength: weights of the photos' scores (10: 1, 9: 1/2, 8: 1/4, 7: 1/8), summed for each side, then nine parts of the
     weaker side and one of the stronger."""
-    weight = F.when(F.col("score") == 10, 1.0).when(F.col("score") == 9, 0.5).when(F.col("score") == 8, 0.25).when(F.col("score") == 7, 0.125).otherwise(0.0)
+    weight = photo_weight()
     photos = candidates.groupBy("name", "sighting", "side", "photo").agg(F.max("score").alias("score"))
     sides = photos.groupBy("name", "sighting").agg(F.sum(F.when(F.col("side") == "left", weight).otherwise(0.0)).alias("l"), F.sum(F.when(F.col("side") == "right", weight).otherwise(0.0)).alias("r"))
-    return sides.select("name", "sighting", (0.9 * F.least("l", "r") + 0.1 * F.greatest("l", "r")).alias("strength"))
+    return sides.select("name", "sighting", combined_strength("l", "r").alias("strength"))
 
 
 def nth_best(rows: DataFrame, group: str, value: str, n: int, missing) -> DataFrame:
@@ -90,37 +105,48 @@ def review_state(decisions: DataFrame) -> DataFrame:
     return newest.select("sighting", "r.name", "r.action").filter(F.col("action").isin("accept", "reject"))
 
 
-def review_queue(candidates: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
-    """tier, place, name, sighting: the sightings still to be reviewed, in order.
+def eligible_sightings(candidates: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
+    """name, sighting, tier, key: the sightings still to be reviewed; smaller keys come first.
 
     candidates: name, sighting, side, photo, score; decisions: sighting, name, action, seq.  Individuals need `least` usable sightings, fewer than `cap`
     accepted ones, and enough that are not rejected to reach the least.  Better tiers come first; in a tier, individuals by their fifth and then their third best
     sighting (tier, then the better side's best score), by their number of sightings of this tier, by up to three accepted ones, and by name; of an
-    individual the stronger sighting first.  Rows are numbered in range partitions, and the few tiers' first numbers are taken off."""
-    better = candidates.filter(F.col("side").isin("left", "right")).groupBy("name", "sighting").agg(F.max("score").alias("stronger"))
-    tiers = sighting_tiers(candidates).join(sighting_strength(candidates), ["name", "sighting"]).join(better, ["name", "sighting"])
-    by_rank = Window.partitionBy("name").orderBy(F.col("tier").desc(), F.col("stronger").desc())
-    nth = lambda n, c: F.coalesce(F.max(F.when(F.col("_n") == n, F.col(c))), F.lit(-1))
-    own = tiers.withColumn("_n", F.row_number().over(by_rank)).groupBy("name")
-    people = own.agg(F.count("*").alias("usable"), nth(5, "tier").alias("t5"), nth(5, "stronger").alias("s5"), nth(3, "tier").alias("t3"), nth(3, "stronger").alias("s3")).filter(F.col("usable") >= least)
+    individual the stronger sighting first.
+
+    Photos are read once: one aggregate gives a sighting its tier, strength and better side, and windows over its individual all the rest."""
+    photos = candidates.groupBy("name", "sighting", "side", "photo").agg(F.max("score").alias("score"))
+    on = lambda side, v: F.when(F.col("side") == side, v)
+    best = {s: F.max(on(s, F.col("score"))).alias(s) for s in ("left", "right")}
+    weights = {s: F.sum(on(s, photo_weight()).otherwise(0.0)).alias(f"{s}_w") for s in ("left", "right")}
+    each = photos.groupBy("name", "sighting").agg(*best.values(), *weights.values()).filter((F.col("left") >= USABLE) & (F.col("right") >= USABLE))
+    tiers = each.select("name", "sighting", F.least("left", "right").alias("tier"), F.greatest("left", "right").alias("stronger"), combined_strength("left_w", "right_w").alias("strength"))
+    own = Window.partitionBy("name")
+    ranked = tiers.withColumn("_n", F.row_number().over(own.orderBy(F.col("tier").desc(), F.col("stronger").desc())))
+    nth = lambda n, c: F.coalesce(F.max(F.when(F.col("_n") == n, F.col(c))).over(own), F.lit(-1))
+    told = ranked.withColumns({f"{c[0]}{n}": nth(n, c) for n in (5, 3) for c in ("tier", "stronger")} | {"usable": F.count("*").over(own), "here": F.count("*").over(Window.partitionBy("name", "tier"))})
     state = review_state(decisions)
     done = state.groupBy("name").agg(F.count_if(F.col("action") == "accept").alias("accepted"), F.count_if(F.col("action") == "reject").alias("rejected"))
-    people = people.join(done, "name", "left").fillna(0, ["accepted", "rejected"])
-    people = people.filter((F.col("accepted") < cap) & (F.col("usable") - F.col("rejected") >= least))
-    here = tiers.groupBy("name", "tier").agg(F.count("*").alias("here"))
-    left = tiers.join(state.select("sighting"), "sighting", "left_anti").join(people, "name").join(here, ["name", "tier"])
-    down = lambda *names: [F.col(n).desc() for n in names]
-    order = [*down("tier", "t5", "s5", "t3", "s3", "here"), F.least("accepted", F.lit(3)).desc(), F.col("name"), F.col("strength").desc(), F.col("sighting")]
-    numbered = dense_ids(left.select("name", "sighting", "tier", "strength", "t5", "s5", "t3", "s3", "here", "accepted"), order, "_at")
+    people = told.filter(F.col("usable") >= least).join(done, "name", "left").fillna(0, ["accepted", "rejected"])
+    left = people.filter((F.col("accepted") < cap) & (F.col("usable") - F.col("rejected") >= least)).join(state.select("sighting"), "sighting", "left_anti")
+    down = lambda *names: [(-F.col(n)).alias(n) for n in names]
+    key = F.struct(*down("tier", "t5", "s5", "t3", "s3", "here"), (-F.least("accepted", F.lit(3))).alias("accepted"), "name", *down("strength"), "sighting")
+    return left.select("name", "sighting", "tier", key.alias("key"))
+
+
+def review_queue(candidates: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
+    """tier, place, name, sighting: the whole queue of `eligible_sightings`.  Rows are numbered in range partitions, and the few tiers' first numbers are taken off."""
+    numbered = dense_ids(eligible_sightings(candidates, decisions, cap, least), ["key"], "_at")
     first = numbered.groupBy("tier").agg(F.min("_at").alias("_first"))  # one row for each tier
     return numbered.join(F.broadcast(first), "tier").select("tier", (F.col("_at") - F.col("_first") + 1).alias("place"), "name", "sighting")
 
 
-def next_sighting(queue: DataFrame, current: DataFrame) -> DataFrame:
-    """The one row of a queue that is reviewed next: of the best tier that has any, of the individual under review there (current: tier, name) if it still has
-    sightings, else of the first."""
-    marked = queue.join(current.select("tier", F.col("name").alias("_active")), "tier", "left")
-    return marked.orderBy(F.col("tier").desc(), F.coalesce(F.col("name") == F.col("_active"), F.lit(False)).desc(), "place").limit(1).drop("_active")
+def next_sighting(eligible: DataFrame, current: DataFrame) -> DataFrame:
+    """tier, place, name, sighting: the one row of `eligible_sightings` that is reviewed next: of the best tier that has any, of the individual under review there (current: tier, name)
+    if it still has sightings, else of the first.  Every task keeps its best row alone, and the winner's place in the queue is a count: nothing is sorted or numbered."""
+    marked = eligible.join(F.broadcast(current.select("tier", F.col("name").alias("_active"))), "tier", "left")  # one row for each tier
+    won = marked.orderBy(F.col("tier").desc(), F.coalesce(F.col("name") == F.col("_active"), F.lit(False)).desc(), "key").limit(1)
+    before = eligible.join(F.broadcast(won.select("tier", F.col("key").alias("_key"))), "tier").filter(F.col("key") <= F.col("_key"))
+    return before.groupBy("tier").agg(F.count("*").alias("place"), F.max_by("name", "key").alias("name"), F.max_by("sighting", "key").alias("sighting"))
 
 
 def shown_order(items: DataFrame, key: str, names: list[str], seed: int | None = None) -> DataFrame:
@@ -172,12 +198,11 @@ def approved_rows(profiles: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def sample_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, nearest-rank median and 95th percentile, extremes, population deviation and rate of the finite samples."""
+    """Mean, nearest-rank median and 95th percentile, extremes, population deviation and rate of the finite samples.  Percentiles come from ranked ranges, however few groups there are."""
     finite = samples.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    return finite.groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
-        F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_pop(value).alias("sd"), (1000.0 / F.avg(value)).alias("per_second"),
-    )
+    stats = finite.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_pop(value).alias("sd"), (1000.0 / F.avg(value)).alias("per_second"))
+    cuts = exact_quantiles(finite, [group], value, {"p50": 0.5, "p95": 0.95}, nearest_rank=True)
+    return stats.join(cuts, group).select(group, "n", "mean", "p50", "p95", "low", "high", "sd", "per_second")
 
 
 def reason_counts(messages: DataFrame, column: str) -> DataFrame:
@@ -186,12 +211,17 @@ def reason_counts(messages: DataFrame, column: str) -> DataFrame:
 
 
 def round_robin(items: DataFrame, key: str, n: int, within: list[str]) -> DataFrame:
-    return items.withColumn("part", ((F.row_number().over(Window.partitionBy(*within).orderBy(key)) - 1) % n).cast("int"))
+    """items with part: in the order of key, those of each group `within` go in turn to parts 0 to n - 1.  Rows are numbered in range partitions, so that a few groups are no few tasks."""
+    numbered = dense_ids(items, [*within, key], "_at")
+    first = numbered.groupBy(*within).agg(F.min("_at").alias("_first"))
+    return numbered.join(first, within).withColumn("part", ((F.col("_at") - F.col("_first")) % n).cast("int")).select(*items.columns, "part")
 
 
-def systematic_sample(items: DataFrame, group: str, order: str, step: int = 5) -> DataFrame:
-    """Every step-th row of each group, from the first."""
-    return items.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter((F.col("_n") - 1) % step == 0).drop("_n")
+def systematic_sample(items: DataFrame, group: str, order: str, step: int = 5, most: int | None = None) -> DataFrame:
+    """Every step-th row of each group, from the first, and of those the first `most`."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    wanted = F.col("_n") % step == 0
+    return items.withColumn("_n", n).filter(wanted if most is None else wanted & (F.col("_n") < step * most)).drop("_n")
 
 
 def runs(df: DataFrame, group: str, order: str, flag: Column) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a cell in which runs meet.
+RUN_CELL = 256
+
+
 def next_point(contour: DataFrame, key: str = "ear") -> DataFrame:
     """Adds nx, ny: the next point of the closed contour."""
     w = Window.partitionBy(key).orderBy("i")
@@ -141,14 +145,37 @@ def disk_pairs(contour: DataFrame, radius: float, key: str = "ear") -> DataFrame
     return left.join(right, [key, "cx", "cy"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select(key, "i", "j", "d2")
 
 
-def run_overlaps(runs: DataFrame, mask: str = "mask", group: str = "photo") -> DataFrame:
-    """a, b, pixels: pixels shared by the masks of one photo, from runs (start, length)."""
-    left = runs.select(group, F.col(mask).alias("a"), F.col("start").alias("s1"), (F.col("start") + F.col("length")).alias("e1"))
-    right = runs.select(group, F.col(mask).alias("b"), F.col("start").alias("s2"), (F.col("start") + F.col("length")).alias("e2"))
-    both = left.join(right, group).filter((F.col("a") < F.col("b")) & (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
+def run_pieces(runs: DataFrame, cell: int = RUN_CELL) -> DataFrame:
+    """runs (start, length) cut at multiples of `cell`, with the number of the cell as _cell and the pieces' start and end (behind the last pixel) as _s and _e.  Empty runs go."""
+    end = F.col("start") + F.col("length")
+    cut = runs.filter(F.col("length") > 0).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((end - 1) / cell))))
+    return cut.withColumns({"_s": F.greatest("start", F.col("_cell") * cell), "_e": F.least(end, (F.col("_cell") + 1) * cell)})
+
+
+def run_overlaps(runs: DataFrame, mask: str = "mask", group: str = "photo", cell: int = RUN_CELL) -> DataFrame:
+    """a, b, pixels: pixels shared by the masks of one photo, from runs (start, length) that do not overlap within a mask.
+
+    Runs are cut into cells of positions and meet in those alone, so that the work follows the overlaps and not the pairs of runs of a photo."""
+    pieces = run_pieces(runs, cell)
+    left = pieces.select(group, "_cell", F.col(mask).alias("a"), F.col("_s").alias("s1"), F.col("_e").alias("e1"))
+    right = pieces.select(group, "_cell", F.col(mask).alias("b"), F.col("_s").alias("s2"), F.col("_e").alias("e2"))
+    both = left.join(right, [group, "_cell"]).filter((F.col("a") < F.col("b")) & (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
     return both.groupBy("a", "b").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("pixels"))
 
 
+def shares_on(features: DataFrame, bodies: DataFrame, least: float = 0.25, mask: str = "mask", group: str = "photo", cell: int = RUN_CELL) -> DataFrame:
+    """mask, body, share: features of which more than `least` lies on a body of their photo, the body with the largest share (the smallest name on ties).
+
+    features and bodies: runs (mask, photo, start, length)."""
+    size = features.groupBy(group, mask).agg(F.sum("length").alias("_n"))
+    a = run_pieces(features, cell).select(group, "_cell", mask, F.col("_s").alias("s1"), F.col("_e").alias("e1"))
+    b = run_pieces(bodies, cell).select(group, "_cell", F.col(mask).alias("body"), F.col("_s").alias("s2"), F.col("_e").alias("e2"))
+    both = a.join(b, [group, "_cell"]).filter((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
+    shared = both.groupBy(group, mask, "body").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("_p")).join(size, [group, mask])
+    best = shared.withColumn("share", F.col("_p") / F.col("_n")).groupBy(group, mask).agg(F.min_by(F.struct("body", "share"), F.struct(-F.col("_p"), "body")).alias("b"))
+    return best.select(mask, "b.body", "b.share").filter(F.col("share") > least)
+
+
 def mask_bounds(runs: DataFrame, height: str = "h", mask: str = "mask") -> DataFrame:
     """mask, pixels, top, bottom, left, right of column-major runs; a run that spans columns reaches from top to bottom."""
     first, last = F.col("start"), F.col("start") + F.col("length") - 1

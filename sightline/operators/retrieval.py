@@ -81,12 +81,22 @@ def _aligned(channel: np.ndarray, alignments: list[tuple[float, int]]) -> np.nda
     return out
 
 
+def _alike(queries: DataFrame, catalog: DataFrame) -> None:
+    """Fails unless all ears hold as many series as each other, of the same lengths."""
+    shape = lambda d: d.select(F.transform("profiles", lambda p: F.size(p["depths"])).alias("lengths")).groupBy("lengths").count()
+    shapes = [r["lengths"] for r in shape(queries).unionByName(shape(catalog)).select("lengths").distinct().limit(3).collect()]
+    if len(shapes) > 1 or any(not s or min(s) < 2 for s in shapes):
+        raise ValueError(f"all ears need the same scales, with series of equal lengths, of two values or more: found lengths {shapes}")
+
+
 def block_similarities(queries: DataFrame, catalog: DataFrame, settings: Comparison = Comparison(), block: int = 256) -> DataFrame:
     """query_ear, ear, similarity, stretch, shift: the best alignment of each query series with each series of the same side and
     another sighting.
 
     queries, catalog: ear, sighting, side, profiles ARRAY<STRUCT<depths, start, end>> (one for each scale).  Both sides are dealt
-    into blocks, and each pair of blocks is one task's group, so a task holds two blocks however large a side is."""
+    into blocks, and each pair of blocks is one task's group, so a task holds two blocks however large a side is.  Fails if ears have different numbers of scales, no scale, or at one
+    scale series of different lengths: what is compared was extracted alike."""
+    _alike(queries, catalog)
     alignments = settings.alignments()
     weight = np.exp(-0.5 * ((np.arange(settings.bins) * 180.0 / (settings.bins - 1) - settings.weight_centre) / settings.weight_width) ** 2)
     penalty = np.array([math.exp(-((abs(b) / settings.bins / settings.shift_scale) ** 4)) * math.exp(-((abs(math.log(t)) / settings.stretch_scale) ** 4)) for t, b in alignments])

@@ -43,8 +43,9 @@ def dense_ids(df: DataFrame, order: list, name: str) -> DataFrame:
     return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")
 
 
-def exact_quantiles(rows: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """groups, one column for each quantile: linear interpolation between the two nearest ranks of the values that are not null.
+def exact_quantiles(rows: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], nearest_rank: bool = False) -> DataFrame:
+    """groups, one column for each quantile: linear interpolation between the two nearest ranks of the values that are not null, or with nearest_rank the least value
+    that at least this share of them does not exceed.
 
     Values are ranged over all partitions and ranked by the partitions' sizes, so that a few large groups are no few large tasks."""
     order = [*groups, value]
@@ -53,7 +54,8 @@ def exact_quantiles(rows: DataFrame, groups: list[str], value: str, quantiles: d
     w = Window.partitionBy(*groups).orderBy("_p")
     places = sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*groups)))
     rank = F.col("_before") + F.col("_r") - 1
-    at = {name: F.lit(float(q)) * (F.col("_all") - 1) for name, q in quantiles.items()}
+    place = (lambda q: F.greatest(F.ceil(F.lit(float(q)) * F.col("_all")) - 1, F.lit(0)).cast("double")) if nearest_rank else (lambda q: F.lit(float(q)) * (F.col("_all") - 1))
+    at = {name: place(q) for name, q in quantiles.items()}
     ranked = local.join(places, [*groups, "_p"])
     wanted = F.lit(False)
     for x in at.values():

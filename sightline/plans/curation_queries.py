@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import curation as cu
 from sightline.operators import evaluation as ev
 from sightline.operators import training as tr
-from sightline.operators.shared import exact_quantiles
+from sightline.operators.shared import exact_quantiles, materialise
 from sightline.plans import inputs
 from sightline.plans.registry import query, table
 from sightline.plans.retrieval_queries import rounded
@@ -97,8 +97,8 @@ def l5_review_queue(spark, sf):
 
 @query(f"WITH {_QUEUE}, cur AS (SELECT tier, max(name) AS active FROM q GROUP BY 1) SELECT q.tier, place, name, sighting FROM q JOIN cur ON cur.tier = q.tier ORDER BY q.tier DESC, (name = active) DESC, place LIMIT 1")
 def l4_next_sighting(spark, sf):
-    queue = cu.review_queue(*review(spark, sf))
-    return cu.next_sighting(queue, queue.groupBy("tier").agg(F.max("name").alias("name")))
+    eligible = materialise(cu.eligible_sightings(*review(spark, sf)))
+    return cu.next_sighting(eligible, eligible.groupBy("tier").agg(F.max("name").alias("name")))
 
 
 @query(f"WITH {P} SELECT photo, row_number() OVER (ORDER BY md5(concat(photo, '-7')), photo) AS shuffled FROM photos WHERE score >= 5")
@@ -171,9 +171,9 @@ def w9_round_robin(spark, sf):
     return cu.round_robin(o, "id", 4, ["o_orderstatus"]).select("id", "part")
 
 
-@query(f"WITH {P}, n AS (SELECT photo, name, row_number() OVER (PARTITION BY name ORDER BY photo) AS n FROM photos) SELECT photo, name FROM n WHERE (n - 1) % 5 = 0")
+@query(f"WITH {P}, n AS (SELECT photo, name, row_number() OVER (PARTITION BY name ORDER BY photo) AS n FROM photos) SELECT photo, name FROM n WHERE (n - 1) % 5 = 0 AND (n - 1) // 5 < 250")
 def w5_systematic_sample(spark, sf):
-    return cu.systematic_sample(inputs.photos(spark, sf).select("photo", "name"), "name", "photo")
+    return cu.systematic_sample(inputs.photos(spark, sf).select("photo", "name"), "name", "photo", 5, 250)
 
 
 @query(

@@ -315,6 +315,16 @@ def a31_mask_overlaps(spark, sf):
     return ge.run_overlaps(runs(spark, sf))
 
 
+@query(
+    f"""WITH {_RUNS}, f AS (SELECT * FROM runs WHERE mask NOT LIKE '%-1'), b AS (SELECT * FROM runs WHERE mask LIKE '%-1'),
+o AS (SELECT f.mask, b.mask AS body, f.length, greatest(0, least(f.start + f.length, b.start + b.length) - greatest(f.start, b.start)) AS p FROM f JOIN b ON b.photo = f.photo)
+SELECT mask, body, round(p / length::DOUBLE, 6) AS share FROM o WHERE p / length::DOUBLE > 0.25"""
+)
+def j15_runs_on_body(spark, sf):
+    r = runs(spark, sf)
+    return rounded(ge.shares_on(r.filter("mask NOT LIKE '%-1'"), r.filter("mask LIKE '%-1'"), 0.25))
+
+
 @query(
     f"""WITH {_RUNS} SELECT mask, sum(length)::BIGINT AS pixels, min(CASE WHEN start // 100 <> (start + length - 1) // 100 THEN 0 ELSE start % 100 END)::BIGINT AS top, max(CASE WHEN start // 100 <> (start + length - 1) // 100 THEN 99 ELSE (start + length - 1) % 100 END)::BIGINT AS bottom,
   min(start // 100)::BIGINT AS "left", max((start + length - 1) // 100)::BIGINT AS "right" FROM runs WHERE length > 0 GROUP BY 1"""

@@ -53,6 +53,36 @@ def d2_mirrored_annotations(spark, sf):
     return tr.with_flips(a, F.lit(200)).select("id", "x", "w", F.get("keypoints", F.lit(0)).alias("k1"), F.get("keypoints", F.lit(3)).alias("k4"))
 
 
+_FLIPS = (
+    B
+    + """, im AS (SELECT DISTINCT sighting AS image_id, concat(sighting, '.crop.jpg') AS file_name, 200 AS width, CASE sighting % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM boxes),
+new AS (SELECT *, max(image_id) OVER (PARTITION BY split) + row_number() OVER (PARTITION BY split ORDER BY image_id) AS new_id FROM im WHERE split <> 'test')"""
+)
+
+
+def flip_tables(spark, sf):
+    b = inputs.boxes(spark, sf)
+    split = F.when(F.col("sighting") % 3 == 0, "train").when(F.col("sighting") % 3 == 1, "valid").otherwise("test")
+    images = b.select(F.col("sighting").alias("image_id"), F.concat(F.col("sighting"), F.lit(".crop.jpg")).alias("file_name"), F.lit(200).alias("width"), split.alias("split")).distinct()
+    k = F.array("x1", "y1", (F.col("line") % 2).cast("double"))
+    notes = b.select((F.col("sighting") * 10 + F.col("line")).alias("id"), F.col("sighting").alias("image_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), k.alias("keypoints"))
+    return tr.flip_images(images, notes, ["train", "valid"])
+
+
+@query(f"WITH {_FLIPS} SELECT image_id, file_name, split FROM im UNION ALL SELECT new_id, replace(file_name, '.jpg', '_flip.jpg'), split FROM new")
+def d2_flipped_images(spark, sf):
+    return flip_tables(spark, sf)[0].select("image_id", "file_name", "split")
+
+
+@query(
+    f"""WITH {_FLIPS}, a AS (SELECT sighting * 10 + line AS id, sighting AS image_id, x1 AS x, x2 - x1 AS w, x1 AS k, line % 2 AS v FROM boxes)
+SELECT id, image_id, x, k FROM a UNION ALL
+SELECT max(id) OVER (PARTITION BY split) + row_number() OVER (PARTITION BY split ORDER BY id), new_id, greatest(0.0, 199 - x - w), CASE WHEN v > 0 THEN 199 - k ELSE k END FROM a JOIN new USING (image_id)"""
+)
+def d2_flipped_annotations(spark, sf):
+    return flip_tables(spark, sf)[1].select("id", "image_id", "x", F.get("keypoints", F.lit(0)).alias("k"))
+
+
 @query(f"WITH {inputs.PAIRS_SQL}, n AS (SELECT name, count(*) AS n FROM pairs GROUP BY 1) SELECT name, n, ((row_number() OVER (PARTITION BY n ORDER BY name) - 1) % 2)::INT AS part FROM n")
 def d6_group_split(spark, sf):
     return tr.group_split(inputs.pairs(spark, sf), "name")
