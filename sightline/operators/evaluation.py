@@ -13,6 +13,8 @@ from sightline.operators import checks
 from sightline.operators.shared import dense_ids, materialise
 
 TOP = (1, 3, 5, 10, 15)
+#: Groups whose sums are looked up together by the bootstrap, and the ranges that its samples are dealt into.
+BLOCK_GROUPS, SAMPLE_RANGES = 1 << 16, 256
 
 
 def eligible(pairs: DataFrame, name: str) -> DataFrame:
@@ -62,11 +64,25 @@ def bootstrap(ranks: DataFrame, group: str, samples: int = 100_000, seed: int =
     total = numbered.count()
     if not total:
         raise ValueError("no group to draw from")
-    draws = ranks.sparkSession.range(samples).withColumnRenamed("id", "sample")
-    draws = draws.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).select("sample", draw(F.col("sample"), F.col("place"), seed, F.lit(total)).alias("g"))
-    # how often a sample has a group is summed up before the groups' sums are looked up
-    often = draws.groupBy("sample", "g").agg(F.count("*").alias("w")).join(numbered, "g")
-    drawn = often.groupBy("sample").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("micro"), (F.sum(F.col("w") * F.col("s") / F.col("n")) / F.sum("w")).alias("macro"))
+    # a task draws for a range of samples and looks up a block of groups, whose sums are arrays in the order of their numbers; it sends one row for each sample
+    blocks, ranges = -(-total // BLOCK_GROUPS), max(1, min(samples, SAMPLE_RANGES))
+    lists = numbered.withColumn("block", F.floor(F.col("g") / BLOCK_GROUPS)).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("g", "s", "n"))).alias("_r"))
+    lists = lists.select("block", F.transform("_r", lambda r: r["s"]).alias("s"), F.transform("_r", lambda r: r["n"]).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
+    wanted = ranks.sparkSession.range(samples).select(F.col("id").alias("sample"), (F.col("id") % ranges).cast("int").alias("range"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def add(acc, place):
+        at = (draw(F.col("sample"), place, seed, F.lit(total)) - F.col("block") * BLOCK_GROUPS).cast("int")
+
+        def looked(i):
+            s, n = F.get("s", i), F.get("n", i)
+            outside = (i < 0) | (i >= F.size("s"))
+            return F.when(outside, acc).otherwise(F.struct((acc["s"] + s).alias("s"), (acc["n"] + n).alias("n"), (acc["m"] + s / n).alias("m")))
+
+        return F.get(F.transform(F.array(at), looked), F.lit(0))  # the draw is made once
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"))
+    parts = wanted.join(lists, ["range", "block"]).select("sample", F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, add).alias("a"))
+    drawn = parts.groupBy("sample").agg((F.sum("a.s") / F.sum("a.n")).alias("micro"), (F.sum("a.m") / total).alias("macro"))
     return drawn.agg(*[F.percentile(k, q).alias(f"{k}_{name}") for k in ("micro", "macro") for q, name in ((0.025, "low"), (0.975, "high"))])
 
 

@@ -135,6 +135,42 @@ def nearest_between(queries: DataFrame, catalog: DataFrame, on: list[str], k: in
     return nearest(pairs, "query", "distance", "other", k)
 
 
+def best_correlations(series: DataFrame, window: int, trim: int) -> DataFrame:
+    """id, other, corr, lag: of each series (id, e, all of one length) the other one with the largest Pearson correlation with it, without `trim` values at either end, of the other turned by
+    -window to window places.  Ties go to the smaller other, then the smaller lag.  Series that do not vary there have none.
+
+    A pair of blocks is a product of matrices for each lag, and sends the best other of each row alone."""
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("corr", pa.float64()), ("lag", pa.int32())])
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        d = x - x.mean(axis=1, keepdims=True)
+        size = np.sqrt((d * d).sum(axis=1, keepdims=True))
+        return np.where(size > 1e-12 * np.sqrt(x.shape[1]), d / np.where(size > 0, size, 1.0), np.nan)
+
+    def compare(q, r):
+        n = q["e"].shape[1]
+        if r["e"].shape[1] != n or n <= 2 * trim + 1:
+            raise ValueError("series need one length, of more than twice the trim")
+        order = np.argsort(r["id"], kind="stable")
+        ids, e = r["id"][order], r["e"][order]
+        a, rows = unit(q["e"][:, trim : n - trim]), np.arange(len(q["id"]))
+        same = q["id"][:, None] == ids[None, :]
+        best, at, lag = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32)
+        for shift in range(-window, window + 1):
+            c = np.round(a @ unit(np.roll(e, -shift, axis=1)[:, trim : n - trim]).T, 9)
+            c[same | ~np.isfinite(c)] = -np.inf
+            j = c.argmax(axis=1)
+            top = c[rows, j]
+            better = (top > best) | ((top == best) & (ids[j] < ids[at]))
+            best, at, lag = np.where(better, top, best), np.where(better, j, at), np.where(better, shift, lag).astype(np.int32)
+        ok = np.isfinite(best)
+        return q["id"][ok], ids[at[ok]], best[ok], lag[ok]
+
+    v = series.select("id", "e")
+    parts = block_join(v, v, [], compare, schema, "id long, other long, corr double, lag int")
+    return parts.groupBy("id").agg(F.min_by(F.struct("other", "corr", "lag"), F.struct(-F.col("corr"), "other", "lag")).alias("b")).select("id", "b.*")
+
+
 def pair_scores(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """i, j, score: inner products of all pairs of different ids of left and right (id, e and the columns `on`) that agree on `on`."""
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("score", pa.float64())])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import series as se
 from sightline.operators.retrieval import logistic, strength, symmetrised_z, top_n
 from sightline.operators.shared import exact_quantiles
+from sightline.operators.vectors import best_correlations
 
 
 def calibration_sample(pairs: DataFrame, query: str, label: str, key: list[str], per_positive: int = 5, seed: int = 42) -> DataFrame:
@@ -57,6 +59,22 @@ def nearest_identification(pairs: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("rate"))
 
 
+def correlation_identification(series: DataFrame, window: int, trim: int, floor: float) -> DataFrame:
+    """n, hits, rate, n_above, hits_above, rate_above: how often the series most correlated with one is of the same individual, over individuals with several series, and over those of their
+    series alone whose root mean square without the trimmed ends is at least floor.
+
+    series: id, individual, e."""
+    owners = series.select("id", "individual", (se.trimmed_rms(F.col("e"), trim, floor).isNotNull()).alias("above"), (F.count("*").over(Window.partitionBy("individual")) > 1).alias("several"))
+    best = best_correlations(series, window, trim)
+    named = owners.filter("several").join(best, "id", "left").join(owners.select(F.col("id").alias("other"), F.col("individual").alias("found")), "other", "left")
+    hit = F.coalesce(F.col("found") == F.col("individual"), F.lit(False))
+    both = named.select(hit.alias("hit"), "above").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("rate"),
+        F.count_if("above").alias("n_above"), F.count_if(F.col("hit") & F.col("above")).alias("hits_above"), F.avg(F.when(F.col("above"), F.col("hit").cast("double"))).alias("rate_above"),
+    )
+    return both
+
+
 def select_holdouts(evidence: DataFrame, ranks: DataFrame, most_rank: int = 2) -> DataFrame:
     """individual, sighting: the first sighting of each individual with both sides, at least two other sightings that cover both sides, and a truth rank of
     at most most_rank.  evidence: individual, sighting, side; ranks: sighting, rank."""

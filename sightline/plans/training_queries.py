@@ -105,6 +105,23 @@ def d7_suppressed_boxes(spark, sf):
     return tr.suppressed(b, "sighting", 0.3, 5)
 
 
+@query(
+    f"""WITH RECURSIVE {B}, s AS (SELECT sighting, line AS id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * (y2 - y1) AS area FROM boxes),
+n AS (SELECT *, row_number() OVER (PARTITION BY sighting ORDER BY area DESC, id) AS r FROM s WHERE area > 0),
+walk AS (
+  SELECT sighting, r, [{{'id': id, 'cx': cx, 'cy': cy}}] AS kept FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.sighting, n.r, CASE WHEN len(list_filter(kept, lambda k: sqrt(pow(k.cx - n.cx, 2) + pow(k.cy - n.cy, 2)) < 25)) > 0 THEN kept ELSE list_append(kept, {{'id': n.id, 'cx': n.cx, 'cy': n.cy}}) END
+  FROM walk JOIN n ON n.sighting = walk.sighting AND n.r = walk.r + 1)
+SELECT sighting, unnest(list_transform(arg_max(kept, r), lambda k: k.id)) AS id FROM walk GROUP BY 1"""
+)
+def d7_shapes_apart(spark, sf):
+    b = inputs.boxes(spark, sf)
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    shapes = b.select("sighting", F.col("line").alias("id"), area.alias("area"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    return tr.apart(shapes, "sighting", 25.0).select("sighting", "id")
+
+
 _LOG = "log AS (SELECT conv_id AS sighting, conv_id % 9 AS individual, turn AS seq, CASE role WHEN 'user' THEN 'accept' WHEN 'assistant' THEN 'reject' ELSE 'skip' END AS action FROM conversations)"
 
 

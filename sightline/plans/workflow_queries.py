@@ -282,6 +282,23 @@ def g40_nearest_identification(spark, sf):
     return rounded(wf.nearest_identification(p))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+w AS (SELECT vec_id, label, l AS lag, list_transform(range(3, 61), lambda i: e[(i + l + 64) % 64 + 1]) AS x FROM v, (SELECT unnest(range(-6, 7)) AS l)),
+c AS (SELECT vec_id, label, lag, list_transform(x, lambda y: y - list_avg(x)) AS d FROM w),
+u AS (SELECT vec_id, label, lag, list_transform(d, lambda y: y / sqrt(list_dot_product(d, d)))::DOUBLE[58] AS z FROM c),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, b.lag, round(list_dot_product(a.z, b.z), 9) AS corr, a.label = b.label AS same FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.lag = 0),
+best AS (SELECT id, arg_min(same, (-corr, other, lag)) AS hit FROM p GROUP BY 1),
+o AS (SELECT vec_id, sqrt(list_avg(list_transform(e[4:61], lambda y: y * y))) >= 0.12 AS above, count(*) OVER (PARTITION BY label) AS k FROM v),
+j AS (SELECT hit, above FROM best JOIN o ON o.vec_id = best.id WHERE k > 1)
+SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(avg(hit::INT::DOUBLE), 6) AS rate, count(*) FILTER (WHERE above) AS n_above, count(*) FILTER (WHERE hit AND above) AS hits_above,
+  round(avg(CASE WHEN above THEN hit::INT::DOUBLE END), 6) AS rate_above FROM j"""
+)
+def g40_correlated_identification(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(wf.correlation_identification(v.select("id", F.col("label").alias("individual"), "e"), 6, 3, 0.12))
+
+
 @query("SELECT p_brand AS base, arg_min(p_partkey, (p_type, p_partkey)) AS winner FROM part GROUP BY 1")
 def g39_winner_per_name(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_brand").alias("base")).agg(F.min_by("p_partkey", F.struct("p_type", "p_partkey")).alias("winner"))

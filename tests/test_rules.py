@@ -92,3 +92,54 @@ def test_samples_in_turn_and_capped(spark):
     assert {(r.k, r.part) for r in curation.round_robin(items, "k", 4, ["g"]).collect()} == {(k, k // 2 % 4) for k in range(100)}
     q = exact_quantiles(items, ["g"], "k", {"lo": 0.0, "mid": 0.5, "hi": 0.95, "top": 1.0}, nearest_rank=True).collect()
     assert {(r.g, r.lo, r.mid, r.hi, r.top) for r in q} == {("a", 0, 48, 94, 98), ("b", 1, 49, 95, 99)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shapes_apart_equal_the_greedy_choice(spark, seed):
+    r = random.Random(seed)
+    rows = [(g, k, float(r.choice([0, 5, 5, 7, r.randrange(1, 50)])), r.uniform(-30, 30), r.uniform(-30, 30)) for g in range(3) for k in range(60)] + [(9, 1, 5.0, None, 1.0)]
+    rows += [(7, k, 100.0 - k, 7.0 * k, 0.0) for k in range(12)]  # a chain, where each is near the one before
+    kept = {}
+    for g, k, area, x, y in sorted(rows, key=lambda t: (-t[2], t[1])):
+        if area > 0 and x is not None and all(math.hypot(x - a, y - b) >= 8.0 for _, a, b in kept.setdefault(g, [])):
+            kept[g].append((k, x, y))
+    got = training.apart(spark.createDataFrame(rows, "photo long, id long, area double, cx double, cy double"), "photo", 8.0).collect()
+    assert sorted((x.photo, x.id) for x in got) == sorted((g, k) for g, v in kept.items() for k, _, _ in v)
+
+
+def test_best_correlations_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from sightline.operators import vectors, workflow
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 4)
+    r = np.random.default_rng(1)
+    e = r.normal(size=(11, 20))
+    e[3] = np.roll(e[8], 2)
+    e[5] = 1.0
+    e[9] = e[8]
+    df = spark.createDataFrame([(i, f"n{i % 4}", [float(x) for x in v]) for i, v in enumerate(e)], "id long, individual string, e array<double>")
+    got = {x.id: (x.other, x.corr, x.lag) for x in vectors.best_correlations(df, 3, 2).collect()}
+    hits = {}
+    for i in range(11):
+        found = [(-round(float(np.corrcoef(e[i][2:-2], np.roll(e[j], -s)[2:-2])[0, 1]), 9), j, s) for j in range(11) for s in range(-3, 4) if i != j and 5 not in (i, j)]
+        if found:
+            c, j, s = min(found)
+            assert got[i] == (j, pytest.approx(-c, abs=1e-9), s)
+        hits[i] = bool(found) and min(found)[1] % 4 == i % 4
+    assert 5 not in got
+    rms = [math.sqrt(float((v[2:-2] ** 2).mean())) for v in e]
+    x = workflow.correlation_identification(df, 3, 2, 1.0).first()
+    above = [i for i in range(11) if rms[i] >= 1.0]
+    assert (x.n, x.hits, x.n_above, x.hits_above) == (11, sum(hits.values()), len(above), sum(hits[i] for i in above))
+
+
+def test_bootstrap_in_blocks_draws_the_same(spark, monkeypatch):
+    from sightline.operators import evaluation
+
+    ranks = spark.createDataFrame([(f"n{k % 13}", 1 + k * 7 % 5) for k in range(50)], "truth string, rank long")
+    one = evaluation.bootstrap(ranks, "truth", samples=300).first()
+    monkeypatch.setattr(evaluation, "BLOCK_GROUPS", 3)
+    monkeypatch.setattr(evaluation, "SAMPLE_RANGES", 7)
+    two = evaluation.bootstrap(ranks, "truth", samples=300).first()
+    assert tuple(one) == pytest.approx(tuple(two)) and one.micro_low < one.micro_high
