@@ -205,6 +205,13 @@ def sample_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     return stats.join(cuts, group).select(group, "n", "mean", "p50", "p95", "low", "high", "sd", "per_second")
 
 
+def attribute_summary(rows: DataFrame, name: str, order: str, attribute: Column, listed: dict[str, Column]) -> DataFrame:
+    """name, first (the attribute of the first row, in order, that has one; an empty text is none) and for each of `listed` the sorted distinct values that are not null."""
+    value = F.nullif(attribute, F.lit(""))
+    first = F.min_by(value, F.when(value.isNotNull(), F.col(order)))
+    return rows.groupBy(name).agg(first.alias("first"), *[F.sort_array(F.collect_set(c)).alias(n) for n, c in listed.items()])
+
+
 def reason_counts(messages: DataFrame, column: str) -> DataFrame:
     """reason (the text before the first colon), n."""
     return messages.groupBy(F.get(F.split(column, ":"), F.lit(0)).alias("reason")).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.series import log_mean_exp
+from sightline.functions.series import log_mean_exp, weighted_jaccard
 from sightline.operators.shared import every_pair
 
 
@@ -160,6 +160,19 @@ def block_similarities(queries: DataFrame, catalog: DataFrame, settings: Compari
     return q.groupBy("q_side", "q_qb", "q_rb").cogroup(r.groupBy("r_side", "r_qb", "r_rb")).applyInArrow(compare, "query_ear string, ear string, similarity double, stretch double, shift int")
 
 
+def shared_sides(uploads: DataFrame, pairs: DataFrame, weights: Column) -> DataFrame:
+    """a, b, side, similarity, fault of pairs (a, b) of uploads: for each side that both show, the weighted Jaccard similarity of their first series of it; a pair that shares none has
+    one row with a fault.
+
+    uploads: upload, side, place, depths; the first series is that of the least place."""
+    first = uploads.groupBy("upload", "side").agg(F.min_by("depths", "place").alias("d"))
+    a = pairs.join(first.select(F.col("upload").alias("a"), "side", F.col("d").alias("x")), "a")
+    met = a.join(first.select(F.col("upload").alias("b"), "side", F.col("d").alias("y")), ["b", "side"])
+    compared = met.select("a", "b", "side", weighted_jaccard(F.col("x"), F.col("y"), weights).alias("similarity"))
+    every = pairs.select("a", "b").join(compared, ["a", "b"], "left")
+    return every.withColumn("fault", F.when(F.col("side").isNull(), F.lit("the uploads share no side")))
+
+
 # ---- aggregation to candidates ----------------------------------------------------------------------------------------
 
 

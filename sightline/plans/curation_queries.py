@@ -265,6 +265,15 @@ def g33_first_attributes(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.min_by(lang, F.when(lang.isNotNull(), F.col("doc_id"))).alias("first_lang"), F.count_distinct("lang").alias("n_langs"))
 
 
+@query(
+    """SELECT source, arg_min(lang, doc_id) FILTER (WHERE lang <> '') AS first, array_to_string(list_sort(list(DISTINCT lang) FILTER (WHERE lang IS NOT NULL)), ',') AS langs,
+  array_to_string(list_sort(list(DISTINCT n_chars // 1000)), ',') AS sizes FROM documents GROUP BY 1"""
+)
+def g33_attribute_lists(spark, sf):
+    d = cu.attribute_summary(table(spark, sf, "documents"), "source", "doc_id", F.col("lang"), {"langs": F.col("lang"), "sizes": F.expr("n_chars div 1000")})
+    return d.select("source", "first", F.array_join("langs", ",").alias("langs"), F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
 @query(f"WITH {inputs.EARS_SQL}, p AS (SELECT side, ear, max(d) AS peak FROM depths GROUP BY 1, 2) SELECT side, round(greatest(0.08, 1.1 * quantile_cont(peak, 0.95)), 6) AS robust, round(1.08 * max(peak), 6) AS whole FROM p GROUP BY 1")
 def g34_plot_limits(spark, sf):
     e = inputs.ears(spark, sf).select("side", F.array_max("depths").alias("peak"))

@@ -10,6 +10,7 @@ from sightline.functions import series as se
 from sightline.operators import checks
 from sightline.operators import descriptors as de
 from sightline.operators import geometry as ge
+from sightline.operators import retrieval as rt
 from sightline.operators import vectors as ve
 from sightline.operators import workflow as wf
 from sightline.plans import inputs
@@ -235,6 +236,21 @@ def j21_shared_sides(spark, sf):
     return f.join(other, ["user_id", "side"]).select(F.col("user_id").alias("a"), "side")
 
 
+@query(
+    f"""WITH {inputs.EARS_SQL}, f AS (SELECT user_id, side, min(week) AS week FROM keys GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM keys), p AS (SELECT a.user_id AS a, b.user_id AS b FROM u a JOIN u b ON b.user_id = a.user_id + 1),
+s AS (SELECT f.user_id, f.side, d.i, d.d FROM f JOIN depths d ON d.user_id = f.user_id AND d.side = f.side AND d.week = f.week),
+wt AS (SELECT i, exp(-0.5 * pow((i * 180.0::DOUBLE / 23 - 120) / 35, 2)) AS w FROM (SELECT unnest(range(24))::INT AS i)),
+c AS (SELECT p.a, p.b, x.side, sum(w * abs(x.d)) + sum(w * abs(y.d)) AS total, sum(w * abs(x.d - y.d)) AS apart FROM p JOIN s x ON x.user_id = p.a JOIN s y ON y.user_id = p.b AND y.side = x.side AND y.i = x.i JOIN wt ON wt.i = x.i GROUP BY 1, 2, 3)
+SELECT p.a, p.b, side, round(CASE WHEN total + apart > 0 THEN (total - apart) / (total + apart) ELSE 0 END, 6) + 0.0 AS similarity, CASE WHEN side IS NULL THEN 'the uploads share no side' END AS fault FROM p LEFT JOIN c ON c.a = p.a AND c.b = p.b"""
+)
+def j21_compared_sides(spark, sf):
+    e = inputs.ears(spark, sf).select(F.col("user_id").alias("upload"), "side", F.col("week").alias("place"), "depths")
+    u = e.select("upload").distinct()
+    pairs = u.select(F.col("upload").alias("a")).join(u.select((F.col("upload") - 1).alias("a"), F.col("upload").alias("b")), "a")
+    got = rt.shared_sides(e, pairs, se.angle_weights(24))
+    return got.select("a", "b", "side", F.when(F.col("side").isNotNull(), F.round("similarity", 6) + 0.0).alias("similarity"), "fault")
+
+
 @query(f"WITH {P}, r AS (SELECT photo, sighting, price, row_number() OVER (PARTITION BY sighting ORDER BY price DESC, photo) AS place, max(price) OVER (PARTITION BY sighting) AS top FROM photos) SELECT photo FROM r WHERE place = 1 OR (place = 2 AND price * 1.5 >= top)")
 def g15_two_largest(spark, sf):
     w = Window.partitionBy("sighting")

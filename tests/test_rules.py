@@ -143,3 +143,20 @@ def test_bootstrap_in_blocks_draws_the_same(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "SAMPLE_RANGES", 7)
     two = evaluation.bootstrap(ranks, "truth", samples=300).first()
     assert tuple(one) == pytest.approx(tuple(two)) and one.micro_low < one.micro_high
+
+
+def test_uploads_that_share_no_side_are_a_fault(spark):
+    from sightline.functions import series as se
+
+    rows = [(1, "left", 2, [9.0] * 4), (1, "left", 1, [1.0, 0.0, 2.0, 0.0]), (2, "left", 5, [1.0, 0.0, 2.0, 0.0]), (2, "right", 1, [0.0] * 4), (3, "right", 1, [1.0] * 4)]
+    uploads = spark.createDataFrame(rows, "upload long, side string, place int, depths array<double>")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")
+    got = {(r.a, r.b): (r.side, r.similarity, r.fault) for r in retrieval.shared_sides(uploads, pairs, se.angle_weights(4)).collect()}
+    assert got[1, 2] == ("left", pytest.approx(1.0), None) and got[2, 3] == ("right", 0.0, None)
+    assert got[1, 3][:2] == (None, None) and "share no side" in got[1, 3][2]
+
+
+def test_first_attribute_and_lists(spark):
+    rows = spark.createDataFrame([("a", 1, "", 3), ("a", 2, None, 1), ("a", 3, "f", 3), ("b", 1, None, None)], "name string, k int, code string, year int")
+    got = {r.name: (r.first, r.years) for r in curation.attribute_summary(rows, "name", "k", F.col("code"), {"years": F.col("year")}).collect()}
+    assert got == {"a": ("f", [1, 3]), "b": (None, [])}
