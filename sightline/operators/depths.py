@@ -81,7 +81,7 @@ def profiles_of(depths: DataFrame, keys: list[str], bins: int, first: int, sigma
     Rays without a crossing count as 0 and are 0 again after the smoothing; bins without a ray are 0."""
     whole = depths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ray", "distance", "crossed"))).alias("rows"))
     raw = F.transform("rows", lambda r: F.coalesce(r["distance"], F.lit(0.0)))
-    smooth = whole.select(*keys, "rows", (se.smooth(raw, sigma) if sigma > 0 else raw).alias("v"))
+    smooth = whole.select(*keys, "rows", (se.let(raw, lambda v: se.smooth(v, sigma)) if sigma > 0 else raw).alias("v"))
     kept = F.zip_with("v", "rows", lambda v, r: F.when(r["crossed"], v).otherwise(F.lit(0.0)))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     return smooth.select(*keys, F.concat(zeros(F.lit(first)), kept, zeros(bins - first - F.size("rows"))).alias("depths"))
