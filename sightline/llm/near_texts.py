@@ -3,22 +3,26 @@
 1. Each text becomes PRINTS fingerprints of 64 bits: DIGITS minima each of hashes of its word shingles, 8 bits of every minimum.
 2. In each of the fingerprints the trie self-join of simhash finds those that differ in at most `errors` bits.  Equal and close
    fingerprints make candidate components; every pair inside one is a candidate, so that nothing a chain holds is left out.
-3. A candidate component is dealt into blocks, and a pair of blocks is one bounded task.  It counts the shingles that two texts share,
-   keeps the pairs with a Jaccard similarity of 0.8 or more, and sends one tree for each part that they connect.
+3. A candidate component is dealt into blocks by a hash, and a pair of blocks is one bounded task.  It counts the shingles that two texts
+   share, keeps the pairs with a Jaccard similarity of 0.8 or more, and sends one tree for each part that they connect.  First every block
+   meets one block only, the component's representatives.  Texts that these links already connect need no further comparison with one
+   another: parts of a block's size or more get blocks of their own, the rest is pooled, and only blocks of different parts, and the
+   pooled ones, meet.  So a large group of near copies costs work in proportion to its texts.
 4. Components are built from these verified links only.
 
 Defined results.  A text without words, or null, has no near copy.  Texts with fewer words than a shingle have one shingle of them all.
-Pairs of similar texts that no chain of close fingerprints connects are missed; the README has the measured share.
+Pairs of similar texts that no chain of close fingerprints connects are missed; the README has the measured share.  Rows that repeat a `row` are one
+node, linked if any of them is; a null `row` has no links.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batch_of, checkpoint, one_array
+from sightline.llm.common import batch_of, checkpoint, join_groups, one_array
 from sightline.llm.simhash import Forest, components, group_keys, trie_pairs
 
 PRINTS, DIGITS = 8, 8
@@ -113,14 +117,16 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
             yield i, np.flatnonzero(ok)
 
 
-def _verified(members: DataFrame, words: int) -> DataFrame:
-    """a, b: trees of the links of similarity 0.8 or more within each part (root) of members (root, row, text)."""
+def _met(rows: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
+    """a, b: trees of the links of similarity 0.8 or more between the blocks of a root that meet.
+
+    dealt: root, row, block, and the blocks to meet: 0 to total - 1 but for those from `since` to before `until`."""
 
     def cut(batches):
         for batch in batches:
             blobs = [shingles(t.as_py(), words).tobytes() for t in one_array(batch.column("text"))]
-            out = [*(batch.column(c) for c in ("root", "lo", "hi", "block", "others", "row")), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["root", "lo", "hi", "block", "others", "row", "found"])
+            out = [*(batch.column(c) for c in ("root", "row", "block", "since", "until", "total")), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["root", "row", "block", "since", "until", "total", "found"])
 
     def solve(rows):
         rows.sort(key=lambda r: r[0])  # the trees do not depend on the order of delivery
@@ -148,16 +154,68 @@ def _verified(members: DataFrame, words: int) -> DataFrame:
         if len(rows) > 1:
             yield from batch_of(_LINKS, *solve(rows)).to_batches()
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    dealt = dealt.select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "block", F.sequence(F.lit(0), F.col("blocks") - 1).alias("others"), "row", "text")
-    cuts = dealt.mapInArrow(cut, "root long, lo int, hi int, block int, others array<int>, row long, found binary")
-    pairs = cuts.select("root", "block", F.explode("others").alias("other"), "row", "found")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rows.join(dealt, "row").select("root", "row", "block", "since", "until", "total", "text")
+    cuts = whole.mapInArrow(cut, "root long, row long, block int, since int, until int, total int, found binary")
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.concat(span(F.lit(0), F.col("since")), span(F.col("until"), F.col("total")))
+    pairs = cuts.select("root", "block", F.explode(others).alias("other"), "row", "found")
     pairs = pairs.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "found")
     return pairs.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
+def _blocks(size) -> Column:
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def _of(blocks) -> Column:
+    """The block of a row among so many."""
+    return F.pmod(F.xxhash64("row"), blocks).cast("int")
+
+
+def _with_representatives(members: DataFrame) -> DataFrame:
+    """What _met needs for every block of a root to meet its first one; members: root, row, n (rows of the root)."""
+    block = members.select("root", "row", _of(_blocks("n")).alias("block"), _blocks("n").alias("blocks"))
+    return block.select("root", "row", "block", F.lit(0).alias("since"), F.lit(0).alias("until"), F.when(F.col("block") == 0, F.col("blocks")).otherwise(1).alias("total"))
+
+
+def _with_other_parts(members: DataFrame) -> DataFrame:
+    """What _met needs for all pairs of rows of a root to meet whose parts differ; members: root, row, part (of one root)."""
+    large = F.col("size") >= BLOCK
+    parts = members.groupBy("part").agg(F.min("root").alias("root"), F.count("*").alias("size"))
+    before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for BLOCK texts at least
+    start = F.coalesce(F.sum(_blocks("size")).over(before), F.lit(0)).cast("int")
+    apart = parts.filter(large).select("part", "size", start.alias("since"))
+    own = F.coalesce(F.sum(F.when(large, _blocks("size"))), F.lit(0)).cast("int")
+    totals = parts.groupBy("root").agg(own.alias("own"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("pooled"), F.sum("size").alias("n"))
+    placed = join_groups(members, totals, "root", "n", F.col("row"))
+    placed = join_groups(placed, apart, "part", "size", F.col("row"))
+    total = F.col("own") + _blocks("pooled")
+    alone = F.col("since").isNotNull()
+    placed = placed.select(
+        "root",
+        "row",
+        F.when(alone, F.col("since") + _of(_blocks("size"))).otherwise(F.col("own") + _of(_blocks("pooled"))).alias("block"),
+        F.coalesce("since", total).alias("since"),
+        F.when(alone, F.col("since") + _blocks("size")).otherwise(total).alias("until"),
+        total.alias("total"),
+    )
+    return placed.filter("until - since < total")
+
+
+def _verified(rows: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """a, b: trees of the links of similarity 0.8 or more within each root of candidates (root, row)."""
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("n"))
+    members = checkpoint(join_groups(candidates, sizes, "root", "n", F.col("row")))
+    found = checkpoint(_met(rows, _with_representatives(members), words))
+    more = members.filter(_blocks("n") > 1).select("root", "row")
+    if not more.limit(1).count():
+        return found
+    parts = components(found).select(F.col("node").alias("row"), F.col("root").alias("part"))
+    more = checkpoint(more.join(parts, "row", "left").select("root", "row", F.coalesce("part", "row").alias("part")))
+    return found.union(_met(rows, _with_other_parts(more), words))
+
+
 def near_texts(rows: DataFrame, words: int = 5, errors: int = 4) -> DataFrame:
     """node, root for each row with a near copy; rows: row (a distinct long) and text, which must not change between reads."""
     rows = rows.select(F.col("row").cast("long").alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -169,9 +227,8 @@ def near_texts(rows: DataFrame, words: int = 5, errors: int = 4) -> DataFrame:
             yield from batch_of(_SKETCHED, batch.column("row"), prints).to_batches()
 
     sketches = checkpoint(rows.mapInArrow(sketched, "row long, prints array<long>"))
-    flat = sketches.select("row", F.posexplode("prints").alias("number", "print"))
-    firsts = checkpoint(flat.groupBy("number", "print").agg(F.min("row").alias("first")))
-    equal = flat.join(firsts, ["number", "print"]).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    candidates = components(_close(firsts, errors).union(equal))
-    members = rows.join(candidates.withColumnRenamed("node", "row"), "row").select("root", "row", "text")
-    return components(_verified(members, words))
+    flat = sketches.filter("row IS NOT NULL").select("row", F.posexplode("prints").alias("number", "print")).select("row", F.struct("number", "print").alias("key"))
+    firsts = checkpoint(flat.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")))
+    equal = join_groups(flat, firsts, "key", "n", F.col("row")).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    candidates = components(_close(firsts.select("key.number", "key.print", "first"), errors).union(equal))
+    return components(_verified(rows, candidates.withColumnRenamed("node", "row"), words))

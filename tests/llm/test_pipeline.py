@@ -94,6 +94,48 @@ def test_blocks_of_a_large_component_give_the_same_links(spark, monkeypatch):
     assert {(x.node, x.root) for x in found} == {(i, 0) for i in range(90)}
 
 
+def test_parts_of_a_candidate_component_meet_all_others(spark, monkeypatch):
+    """One candidate component of chains of near copies: large parts, small ones and single texts, which drift apart and are found whatever block they are in."""
+    monkeypatch.setattr(near_texts, "BLOCK", 5)
+    for seed in range(3):
+        r = random.Random(seed)
+        word = lambda: f"w{r.randrange(10**7)}"  # noqa: E731, B023
+        texts = []
+        for size in (40, 23, 12, 6, 3, 1, 1, 1):
+            base = [word() for _ in range(80)]
+            for _ in range(size):
+                base = [word() if r.random() < 0.012 else w for w in base]
+                texts.append(" ".join(base))
+        r.shuffle(texts)
+        texts += ["", None]
+        sets = [five_words(t or "") for t in texts]
+        root = list(range(len(texts)))
+        for b in range(len(texts)):
+            for a in range(b):
+                if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    x, y = root[a], root[b]
+                    root = [min(x, y) if v in (x, y) else v for v in root]
+        rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "coalesce(cast(text AS binary), X'') AS text")
+        candidates = rows.selectExpr("0L AS root", "row")
+        found = {x.node: x.root for x in near_texts.components(near_texts._verified(rows, candidates, 5)).collect()}
+        assert [found.get(i, i) for i in range(len(texts))] == root and 8 <= len(set(root)) < 60
+
+
+def test_connected_texts_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "BLOCK", 10)
+    one = spark.range(1000).selectExpr("0L AS root", "id AS row", "0L AS part")
+    assert near_texts._with_other_parts(one).count() == 0
+    two = spark.range(1000).selectExpr("0L AS root", "id AS row", "CASE WHEN id % 100 = 7 THEN id ELSE 0L END AS part")
+    met = near_texts._with_other_parts(two).selectExpr("sum(total - (until - since)) AS n", "max(total) AS total").first()
+    assert met.total == 100 and met.n == 990 * 1 + 10 * 100
+
+
+def test_null_and_repeated_rows_of_near_texts(spark):
+    text = "a text of seven words or more than that"
+    rows = spark.createDataFrame([(1, text), (2, text + " "), (2, text), (None, text), (None, text), (3, "quite another one of many more words")], "row long, text string")
+    assert {(x.node, x.root) for x in near_texts.near_texts(rows).collect()} == {(1, 1), (2, 1)}
+
+
 def brute_rows(rows):
     """What the stages before packing leave of (doc_id, text), one row for each that stays."""
     order = lambda r: (r[0] is None, r[0] or 0)
