@@ -5,7 +5,10 @@ import random
 import pytest
 
 from sightline.operators import incremental as inc
-from sightline.streaming import states
+
+pytest.importorskip("google.protobuf")  # the state's protocol
+
+from sightline.streaming import states  # noqa: E402
 
 
 @pytest.fixture
