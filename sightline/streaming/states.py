@@ -1,7 +1,7 @@
 """Folds of decision logs as streams with typed state.
 
 The session's state store must be the RocksDB one (spark.sql.streaming.stateStore.providerClass).  A stream may begin where a batch fold of older events ends: give
-that log as `past`.  Its events are then neither read nor applied again, whatever the stream redelivers of them.
+that log as `past`.  Its events change nothing when the stream delivers them again.
 
 Order.  `lifecycle` gives what the batch fold of all events gives, in whatever order and batches they come.  Capping and toggling depend on the order: within a
 batch events are applied in the order of seq; one that is not newer than the newest applied to its key comes too late, changes nothing but the count `late`,

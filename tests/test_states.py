@@ -25,7 +25,7 @@ STEPS = "key string, seq long, action string"
 
 
 class Stream:
-    """A fold over a folder to which batches are written; every call of `newest` starts the query anew from its checkpoint."""
+    """A fold over a folder to which batches are written; every call of `run` starts the query anew from its checkpoint."""
 
     def __init__(self, spark, folder, ddl, fold):
         self.spark, self.folder, self.ddl, self.fold = spark, folder, ddl, fold
