@@ -272,13 +272,18 @@ def profile_key(photo: Column, segmentation: Column, landmarks: Column, side: Co
 
 
 def grown_label(box: list[Column], points: list[tuple[Column, Column]], share: float = 0.15) -> Column:
-    """x, y, w, h (three decimals) of the smallest box around a box and its key points, relative to the crop that pads the box by `share` to the
-    left and top, but not past the image."""
+    """x, y, w, h, area (three decimals) of the smallest box around a box and its key points, relative to the crop that pads the box by `share` to the
+    left and top, but not past the image.  Noise of the product beyond six decimals is rounded off before the area is."""
     left, top = box[0] - F.greatest(F.lit(0.0), box[0] - (box[2] - box[0]) * share), box[1] - F.greatest(F.lit(0.0), box[1] - (box[3] - box[1]) * share)
     xs, ys = [x for x, _ in points], [y for _, y in points]
     x1, y1 = F.least(left, *xs), F.least(top, *ys)
-    x2, y2 = F.greatest(box[2] - box[0] + left, *xs), F.greatest(box[3] - box[1] + top, *ys)
-    return F.struct(F.round(x1, 3).alias("x"), F.round(y1, 3).alias("y"), F.round(x2 - x1, 3).alias("w"), F.round(y2 - y1, 3).alias("h"))
+    w, h = F.greatest(box[2] - box[0] + left, *xs) - x1, F.greatest(box[3] - box[1] + top, *ys) - y1
+    return F.struct(*[F.round(value, 3).alias(name) for name, value in (("x", x1), ("y", y1), ("w", w), ("h", h), ("area", F.round(w * h, 6)))])
+
+
+def by_height(a: Column, b: Column) -> Column:
+    """An array of two key points (structs with y): the one with the greater y, then the one with the smaller y.  Of two at one height b stands in both places."""
+    return F.array(F.when(a["y"] > b["y"], a).otherwise(b), F.when(a["y"] < b["y"], a).otherwise(b))
 
 
 def alignment_penalty(shift: Column, stretch: Column, bins: int, shift_scale: float = 0.16, stretch_scale: float = 0.32) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import series as se
 from sightline.operators.retrieval import logistic, strength, symmetrised_z, top_n
-from sightline.operators.shared import exact_quantiles
+from sightline.operators.shared import dense_ids, exact_quantiles
 from sightline.operators.vectors import best_correlations
 
 
@@ -220,3 +220,27 @@ def pose_labels(annotations: DataFrame) -> DataFrame:
     points = [p for i in (0, 3) for p in (part(k[i] / w), part(k[i + 1] / h), k[i + 2].cast("string"))]
     ok = (F.col("category") - 1 >= 0) & F.forall(F.array(*box), lambda v: v.between(0, 1))
     return annotations.select("id", F.concat_ws(" ", (F.col("category") - 1).cast("string"), *map(part, box), *points).alias("label"), F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def run_totals(photos: DataFrame, results: DataFrame, presets: int) -> DataFrame:
+    """run, photos, completed, runs, succeeded, failed, interrupted: a row for each run of a batch job over (run, photo) with so many presets.
+
+    results: run, photo, preset, message (null: it succeeded).  A photo is complete when each preset has a result, whatever it says; a run with
+    incomplete photos was interrupted.  Repeated results all count; results of photos that the run does not list do not."""
+    done = results.groupBy("run", "photo").agg(
+        F.count_distinct("preset").alias("presets"), F.count_if(F.col("message").isNull()).alias("good"), F.count_if(F.col("message").isNotNull()).alias("bad")
+    )
+    got = photos.select("run", "photo").distinct().join(done, ["run", "photo"], "left").groupBy("run")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = got.agg(F.count("*").alias("photos"), F.count_if(F.col("presets") == presets).alias("completed"), total("good").alias("succeeded"), total("bad").alias("failed"))
+    return out.withColumns({"runs": F.col("photos") * presets, "interrupted": F.col("completed") < F.col("photos")})
+
+
+def run_failures(results: DataFrame) -> DataFrame:
+    """run, place (from 1), photo, preset, message: the failed results of each run in the order of photo, preset and message.
+
+    Failures are numbered in range partitions, and a run's numbers start after those of the runs before it, so that a run of very many failures is no task of its own."""
+    columns = ["run", "photo", "preset", "message"]
+    n = dense_ids(results.filter("message IS NOT NULL").select(*columns), columns, "_at")
+    first = n.groupBy("run").agg(F.min("_at").alias("_first")).withColumnRenamed("run", "_run")
+    return n.join(first, F.col("run").eqNullSafe(F.col("_run"))).select("run", (F.col("_at") - F.col("_first") + 1).alias("place"), "photo", "preset", "message")

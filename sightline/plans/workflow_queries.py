@@ -136,7 +136,21 @@ SELECT photo, round(gx, 3) AS x, round(gy, 3) AS y, round(hx - gx, 3) AS w, roun
 def p30_grown_labels(spark, sf):
     points = [(F.col("line") * 9.0 - 4, F.col("score") * 8.0), (F.lit(2.5), F.col("line") * 14.0)]
     label = sc.grown_label([F.col(c) for c in ("x1", "y1", "x2", "y2")], points)
-    return inputs.boxes(spark, sf).select("photo", label.alias("g")).select("photo", "g.*")
+    return inputs.boxes(spark, sf).select("photo", label.alias("g")).select("photo", "g.x", "g.y", "g.w", "g.h")
+
+
+@query(
+    f"""WITH {B}, m AS (SELECT *, x1 - greatest(0.0, x1 - (x2 - x1) * 0.15) AS l, y1 - greatest(0.0, y1 - (y2 - y1) * 0.15) AS t, line * 9.0 - 4 AS ax, score * 8.0 AS ay, line * 2.5 AS bx, line * 16.0 AS by_ FROM boxes),
+g AS (SELECT *, least(l, ax, bx) AS gx, least(t, ay, by_) AS gy, greatest(x2 - x1 + l, ax, bx) AS hx, greatest(y2 - y1 + t, ay, by_) AS hy FROM m)
+SELECT photo, round(((hx - gx) * (hy - gy))::DECIMAL(18, 6), 3)::DOUBLE AS area, (CASE WHEN ay > by_ THEN ax ELSE bx END)::DOUBLE AS upper_x, greatest(ay, by_)::DOUBLE AS upper_y, CASE WHEN ay > by_ THEN 2 ELSE 1 END AS upper_seen,
+    (CASE WHEN ay < by_ THEN ax ELSE bx END)::DOUBLE AS lower_x, least(ay, by_)::DOUBLE AS lower_y, CASE WHEN ay < by_ THEN 2 ELSE 1 END AS lower_seen FROM g"""
+)
+def p30_grown_annotations(spark, sf):
+    point = lambda x, y, seen: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(seen).alias("seen"))
+    b = inputs.boxes(spark, sf).withColumns({"a": point(F.col("line") * 9.0 - 4, F.col("score") * 8.0, 2), "b": point(F.col("line") * 2.5, F.col("line") * 16.0, 1)})
+    label = sc.grown_label([F.col(c) for c in ("x1", "y1", "x2", "y2")], [(F.col(f"{p}.x"), F.col(f"{p}.y")) for p in "ab"])
+    two = b.select("photo", label["area"].alias("area"), sc.by_height(F.col("a"), F.col("b")).alias("k"))
+    return two.select("photo", "area", *[F.col("k")[i][c].alias(f"{name}_{c}") for i, name in enumerate(("upper", "lower")) for c in ("x", "y", "seen")])
 
 
 @query(f"WITH {B} SELECT photo, round(exp(-pow(abs(line - 3) * 9 / 240.0::DOUBLE / 0.16, 4)) * exp(-pow(abs(ln(0.7 + score / 20.0::DOUBLE)) / 0.32, 4)), 9) AS penalty, round(pow(0.7 + score / 20.0::DOUBLE, -0.5), 9) AS slope FROM boxes")
@@ -271,6 +285,29 @@ def g25_run_summary(spark, sf):
     return o.agg(F.count("*").alias("done"), F.count_if(F.col("o_orderstatus") != "P").alias("succeeded"), F.count_if(F.col("o_orderstatus") == "P").alias("failed"))
 
 
+_RUNS = "photos AS (SELECT o_orderpriority AS run, o_orderkey AS photo FROM orders), results AS (SELECT run, photo, l_linenumber % 2 AS preset, CASE WHEN l_returnflag = 'R' THEN concat('refused: ', l_linestatus) END AS message FROM lineitem JOIN photos ON l_orderkey = photo)"
+
+
+def _runs(spark, sf):
+    photos = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_orderkey").alias("photo"))
+    message = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("refused: "), "l_linestatus"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), (F.col("l_linenumber") % 2).alias("preset"), message.alias("message"))
+    return photos, lines.join(photos, "photo")
+
+
+@query(
+    f"""WITH {_RUNS}, d AS (SELECT run, photo, count(DISTINCT preset) AS presets, count(*) FILTER (WHERE message IS NULL) AS good, count(message) AS bad FROM results GROUP BY 1, 2)
+SELECT run, count(*) AS photos, count(*) FILTER (WHERE presets = 2) AS completed, sum(good)::BIGINT AS succeeded, sum(bad)::BIGINT AS failed, count(*) * 2 AS runs, count(*) FILTER (WHERE presets = 2) < count(*) AS interrupted FROM photos LEFT JOIN d USING (run, photo) GROUP BY 1"""
+)
+def g25_run_totals(spark, sf):
+    return wf.run_totals(*_runs(spark, sf), presets=2)
+
+
+@query(f"WITH {_RUNS} SELECT run, row_number() OVER (PARTITION BY run ORDER BY photo, preset, message) AS place, photo, preset, message FROM results WHERE message IS NOT NULL")
+def g25_run_failures(spark, sf):
+    return wf.run_failures(_runs(spark, sf)[1])
+
+
 _LAB = _PAIR_TABLE + ", lab AS (SELECT i, j, score, i % 5 = j % 5 AS same FROM p)"
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import scalar as sc
-from sightline.operators import curation, geometry, retrieval, training
+from sightline.operators import curation, geometry, retrieval, training, workflow
 from sightline.operators.shared import exact_quantiles
 
 
@@ -160,3 +160,29 @@ def test_first_attribute_and_lists(spark):
     rows = spark.createDataFrame([("a", 1, "", 3), ("a", 2, None, 1), ("a", 3, "f", 3), ("b", 1, None, None)], "name string, k int, code string, year int")
     got = {r.name: (r.first, r.years) for r in curation.attribute_summary(rows, "name", "k", F.col("code"), {"years": F.col("year")}).collect()}
     assert got == {"a": ("f", [1, 3]), "b": (None, [])}
+
+
+def test_grown_labels_have_areas_and_points_by_height(spark):
+    rows = [(100.0, 50.0, 300.0, 250.0, (20.0, 10.0, 2), (260.0, 240.0, 1)), (10.0, 8.0, 110.0, 58.0, (5.0, 90.0, 2), (-3.0, 4.0, 0)), (0.0, 0.0, 4.0, 4.0, (1.0, 2.0, 2), (3.0, 2.0, 1))]
+    point = "struct<x: double, y: double, seen: int>"
+    df = spark.createDataFrame(rows, f"x1 double, y1 double, x2 double, y2 double, a {point}, b {point}").coalesce(1)
+    label = sc.grown_label([F.col(c) for c in ("x1", "y1", "x2", "y2")], [(F.col(f"{p}.x"), F.col(f"{p}.y")) for p in "ab"])
+    got = df.select(label.alias("g"), sc.by_height(F.col("a"), F.col("b")).alias("k")).collect()
+    for (x1, y1, x2, y2, a, b), r in zip(rows, got):
+        left, top = min(x1, (x2 - x1) * 0.15), min(y1, (y2 - y1) * 0.15)
+        w = max(x2 - x1 + left, a[0], b[0]) - min(left, a[0], b[0])
+        h = max(y2 - y1 + top, a[1], b[1]) - min(top, a[1], b[1])
+        assert (r.g.w, r.g.h, r.g.area) == pytest.approx((w, h, w * h), abs=1e-3)
+    assert [[tuple(p) for p in r.k] for r in got] == [[rows[0][5], rows[0][4]], [rows[1][4], rows[1][5]], [rows[2][5], rows[2][5]]]
+
+
+def test_runs_are_summed_up_with_their_failures_in_order(spark):
+    photos = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 4), ("c", 5)], "run string, photo long")
+    log = [("a", 1, "x", None), ("a", 1, "y", "late"), ("a", 2, "x", "gone"), ("a", 2, "x", "gone"), ("b", 4, "x", None), ("b", 4, "y", None), ("a", 9, "x", "odd"), (None, 1, "x", "lost")]
+    results = spark.createDataFrame(log, "run string, photo long, preset string, message string")
+    columns = ("photos", "completed", "runs", "succeeded", "failed", "interrupted")
+    totals = {r.run: tuple(r[c] for c in columns) for r in workflow.run_totals(photos, results, 2).collect()}
+    assert totals == {"a": (3, 1, 6, 1, 3, True), "b": (1, 1, 2, 2, 0, False), "c": (1, 0, 2, 0, 0, True)}
+    failures = sorted(map(tuple, workflow.run_failures(results).collect()), key=lambda r: (r[0] or "", r[1]))
+    assert failures == [(None, 1, 1, "x", "lost"), ("a", 1, 1, "y", "late"), ("a", 2, 2, "x", "gone"), ("a", 3, 2, "x", "gone"), ("a", 4, 9, "x", "odd")]
+    assert workflow.run_failures(results.limit(0)).count() == 0 and workflow.run_totals(photos.limit(0), results, 2).count() == 0
