@@ -97,6 +97,21 @@ def s11_provenance(spark, sf):
     return src.provenance(inputs.pairs(spark, sf), candidates)
 
 
+@query(
+    f"""WITH {inputs.PAIRS_SQL}, a AS (SELECT p.name, p.sighting, concat('{{"left":{{"score":', l.score, ',"box":[', l.part % 90, ']}},"right":{{"score":', r.score, ',"box":[', r.part % 90, ']}}}}') AS record
+FROM pairs p JOIN crops l ON l.sighting = p.sighting AND l.line = p.left_line JOIN crops r ON r.sighting = p.sighting AND r.line = p.right_line),
+h AS (SELECT sha256(sum(('0x' || substr(md5(concat('{{"sighting":', sighting, ',"line":', line, ',"part":', part, ',"score":', score, '}}')), 1, 15))::HUGEINT)::HUGEINT::VARCHAR) AS hash FROM crops)
+SELECT 'pair' AS section, name, sighting::VARCHAR AS sighting, NULL::VARCHAR AS photo, record FROM a UNION ALL SELECT DISTINCT 'selected', name, NULL, NULL, NULL FROM a UNION ALL SELECT 'excluded', name, sighting::VARCHAR, photo, NULL FROM photos WHERE name IN (SELECT name FROM a)
+UNION ALL SELECT 'review', NULL, NULL, NULL, concat('{{"schema_version":1,"fingerprint":"', hash, '","revision":', (SELECT count(*) FROM orders), '}}') FROM h"""
+)
+def s11_review_export(spark, sf):
+    crops = inputs.crops(spark, sf)
+    parts = [src.table_fingerprint(crops.select("sighting", "line", "part", "score")), table(spark, sf, "orders").agg(F.count("*").alias("revision"))]
+    state = parts[0].unionByName(parts[1], allowMissingColumns=True).agg(F.max("fingerprint").alias("fingerprint"), F.max("revision").alias("revision"))
+    out = src.review_export(inputs.pairs(spark, sf), crops.withColumn("box", F.array(F.col("part") % 90)), inputs.photos(spark, sf), state)
+    return out.withColumn("sighting", F.col("sighting").cast("string"))
+
+
 @query("SELECT doc_id, printf('%.6f', n_chars / 7.0::DOUBLE) AS score FROM documents")
 def s12_quality_file(spark, sf):
     path = scratch(spark, "quality")

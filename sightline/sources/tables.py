@@ -97,6 +97,30 @@ def provenance(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.join(left, ["sighting", "left_line"]).join(right, ["sighting", "right_line"]).select("name", "sighting", "left_crop", "right_crop")
 
 
+def table_fingerprint(rows: DataFrame) -> DataFrame:
+    """fingerprint, in one row: the same for the same rows in any order, repeats counted; SHA-256 of the sum of 60 bits of each row's MD5."""
+    bits = F.conv(F.substring(F.md5(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.sha2(F.coalesce(F.sum(bits), F.lit(0)).cast("string"), 256).alias("fingerprint"))
+
+
+def review_export(pairs: DataFrame, candidates: DataFrame, photos: DataFrame, state: DataFrame, version: int = 1) -> DataFrame:
+    """section, name, sighting, photo, record (JSON): a finished review as rows, so that no part of it is gathered.
+
+    `review`: version, fingerprint and revision, as state (one row) has them; `pair`: crops of every approved pair; `selected`: each individual with a pair;
+    `excluded`: every photo of a selected individual, which training must not use.  Pairs whose crops are unknown are left out, and select nobody."""
+    empty = lambda of: F.lit(None).cast(of)
+    approved = provenance(pairs, candidates)
+    selected = approved.select("name").distinct()
+    crops = F.concat(F.lit('{"left":'), "left_crop", F.lit(',"right":'), "right_crop", F.lit("}"))
+    head = F.to_json(F.struct(F.lit(version).alias("schema_version"), "fingerprint", "revision"))
+    columns = [F.col("name"), F.col("sighting"), empty("string").alias("photo")]
+    none = [empty("string").alias("name"), empty(dict(photos.dtypes)["sighting"]).alias("sighting"), empty("string").alias("photo")]
+    out = approved.select(F.lit("pair").alias("section"), *columns, crops.alias("record"))
+    out = out.union(selected.select(F.lit("selected"), "name", none[1], none[2], empty("string")))
+    out = out.union(photos.join(selected, "name", "left_semi").select(F.lit("excluded"), "name", "sighting", F.col("photo").cast("string"), empty("string")))
+    return out.union(state.select(F.lit("review"), *none, head))
+
+
 def write_quality(scores: DataFrame, path: str) -> None:
     """Scores as CSV, fractions with six decimals."""
     text = [F.format_string("%.6f", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes]

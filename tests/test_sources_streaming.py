@@ -89,3 +89,18 @@ def test_photo_bytes_below_an_odd_folder(spark, tmp_path):
     (folder / "x" / "one.jpg").write_bytes(b"123")
     photos = spark.createDataFrame([(1, "x/one.jpg"), (2, "x/two.jpg"), (3, None)], "photo_id int, image_path string")
     assert {r.photo_id: r.status for r in src.photo_bytes(photos, str(folder)).collect()} == {1: "ok", 2: "missing", 3: "unmapped"}
+
+
+def test_review_export_protects_photos_of_selected_individuals(spark):
+    pairs = spark.createDataFrame([("a", 1, 1, 2), ("a", 2, 1, 2), ("c", 4, 1, 9)], "name string, sighting long, left_line int, right_line int")
+    crops = spark.createDataFrame([(s, k, 0.5 * k, [s, k]) for s in (1, 2, 3, 4) for k in (1, 2)], "sighting long, line int, score double, box array<long>")
+    photos = spark.createDataFrame([("a", 1, "p1"), ("a", 3, "p3"), ("b", 3, "p4"), ("c", 4, "p5"), (None, 5, "p6")], "name string, sighting long, photo string")
+    print_of = lambda df: src.table_fingerprint(df).first()[0]
+    state = src.table_fingerprint(crops).withColumn("revision", F.lit(7))
+    got = sorted(map(tuple, src.review_export(pairs, crops, photos, state).collect()), key=str)
+    pair = lambda s: '{"left":{"score":0.5,"box":[%d,1]},"right":{"score":1.0,"box":[%d,2]}}' % (s, s)
+    head = '{"schema_version":1,"fingerprint":"%s","revision":7}' % print_of(crops)
+    want = [("pair", "a", 1, None, pair(1)), ("pair", "a", 2, None, pair(2)), ("selected", "a", None, None, None), ("excluded", "a", 1, "p1", None), ("excluded", "a", 3, "p3", None), ("review", None, None, None, head)]
+    assert got == sorted(want, key=str)
+    assert print_of(crops) == print_of(crops.repartition(5).orderBy("score")) != print_of(crops.union(crops.limit(1)))
+    assert print_of(crops.limit(0)) == print_of(crops.filter("line > 5")) and src.review_export(pairs.limit(0), crops, photos, state).count() == 1
