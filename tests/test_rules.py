@@ -186,3 +186,35 @@ def test_runs_are_summed_up_with_their_failures_in_order(spark):
     failures = sorted(map(tuple, workflow.run_failures(results).collect()), key=lambda r: (r[0] or "", r[1]))
     assert failures == [(None, 1, 1, "x", "lost"), ("a", 1, 1, "y", "late"), ("a", 2, 2, "x", "gone"), ("a", 3, 2, "x", "gone"), ("a", 4, 9, "x", "odd")]
     assert workflow.run_failures(results.limit(0)).count() == 0 and workflow.run_totals(photos.limit(0), results, 2).count() == 0
+
+
+def test_rows_are_copied_for_few_blocks_however_many_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(vectors, "GROUPS", 9)
+    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(60)], "id long, g int, e array<double>")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
+
+    def prepare(r):
+        return lambda q: ([len(q["id"])], [len(r["id"])], [float((q["e"] @ r["e"].T).sum())])
+
+    for on, total, most in (([], sum(i * j + 1.0 for i in range(60) for j in range(60)), 9), (["g"], sum(i * j + 1.0 for i in range(60) for j in range(60) if (i - j) % 2 == 0), 18)):
+        got = vectors.block_join(df, df, on, prepare, schema, "a long, b long, s double", sent=1).collect()
+        assert len(got) <= most and sum(x.a * x.b for x in got) == (3600 if not on else 1800) and sum(x.s for x in got) == pytest.approx(total)
+
+
+def test_nearest_vectors_with_copies_and_small_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE_PAIRS", 20)
+    e = np.random.default_rng(5).integers(0, 3, (31, 3)).astype(float)
+    got = {(x.query, x.nn): (x.other, x.distance) for x in vectors.nearest_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "id long, e array<double>"), 4).collect()}
+    for i in range(31):
+        near = sorted((round(float(np.sqrt(((e[i] - e[j]) ** 2).sum())), 9), j) for j in range(31) if j != i)[:4]
+        assert [got[i, n + 1] for n in range(4)] == [(j, d) for d, j in near]
