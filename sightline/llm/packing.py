@@ -33,8 +33,8 @@ MAX_LOSS = 4096
 #: Examples that wait for the best place in a partition, and bytes of text behind one packing partition.
 POOL = 512
 PARTITION_BYTES = 10 << 20
-#: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 500_000
+#: Distinct words whose ids a worker keeps, and distinct pieces of words, which more words share and which cost more.
+MEMO_WORDS, MEMO_PIECES = 100_000, 400_000
 END_ID = 2
 _LETTER_OF = {b: c for c, b in byte_letters().items()}
 _PIECES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment"]
@@ -51,7 +51,8 @@ class WordIds(dict):
 
     Texts are cut at ASCII white space and each word is encoded once.  That is exact because neither the normaliser nor the splitting
     pattern joins what white space parts.  Plain words are split here, and the library's merges are applied to each piece, which
-    is kept; other words, and those that may hold an added token, go through the whole library."""
+    is kept; other words, and those that may hold an added token, go through the whole library.  MEMO_WORDS are kept in two generations: where the younger one is full it becomes
+    the older one, from which words that come again return, so that frequent words stay however many rare ones pass."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -62,11 +63,19 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
         last = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.four = [i.to_bytes(4, "little") for i in range(last + 1)]
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(word)
+        if got is not None:
+            self[word] = got
+            return got
         text = word.decode("utf-8", "replace")
         pieces = self.pieces
         if text.isascii() and text.isalpha():
@@ -86,9 +95,7 @@ class WordIds(dict):
         return got
 
     def encode(self, text: bytes) -> bytes:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        if len(self.pieces) > MEMO_WORDS:
+        if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
         return b"".join(map(self.__getitem__, text.split()))
 

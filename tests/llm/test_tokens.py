@@ -199,3 +199,18 @@ def test_loss_limit_binds_on_instruction_data_and_not_on_documents():
     assert sum(b == 1500 and a < 4096 for a, b in held) > 0
     documents = [(n, n - 1) for n in (r.randrange(2, 9000) for _ in range(300))]
     assert all(b <= a <= 4096 for a, b in loss_by_sequence(documents, 4096))
+
+
+def test_frequent_words_stay_while_rare_ones_pass(monkeypatch):
+    import public_tokenizers
+
+    from sightline.llm import packing
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(packing, "MEMO_WORDS", 20)
+    words, whole = packing.WordIds(spec), packing.WordIds(spec)
+    for i in range(100):
+        text = f"often rare{i} thing".encode()
+        assert words.encode(text) == b"".join(np.array(whole.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() for _ in range(1))
+        assert len(words) + len(words.older) <= 21 and (b"often" in words or b"often" in words.older)
