@@ -45,8 +45,8 @@ def g38_split_precondition(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT sighting, 'left' AS side, left_line AS line FROM pairs UNION ALL SELECT sighting, 'right', right_line FROM pairs")
 def u2_long_evidence(spark, sf):
-    p = inputs.pairs(spark, sf)
-    return p.select("sighting", F.lit("left").alias("side"), F.col("left_line").alias("line")).unionByName(p.select("sighting", F.lit("right").alias("side"), F.col("right_line").alias("line")))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_line").alias("line")) for side in ("left", "right")])
+    return inputs.pairs(spark, sf).select("sighting", F.explode(sides).alias("e")).select("sighting", "e.side", "e.line")
 
 
 @query(f"WITH {PAIRS} SELECT q.sighting AS query, r.sighting AS other FROM pairs q JOIN pairs r ON q.name = r.name AND q.sighting <> r.sighting")

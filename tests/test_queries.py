@@ -74,3 +74,8 @@ def test_measured_bins_of_every_event(spark, tmp_path):
     got = catalog.QUERIES["v22_measured_bins"](spark, str(tmp_path)).collect()
     want = {(e, i) for e, v in events for i in range(12) if v < i * 180 / 11 < v + 40}
     assert {(r.event_id, r.i) for r in got} == want and {e for e, _ in want} == {e for e, _ in events}
+
+
+def test_long_evidence_reads_each_table_once(spark):
+    plan = catalog.QUERIES["u2_long_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
