@@ -16,6 +16,8 @@ from sightline.operators.retrieval import nearest
 GROUPS, BLOCK_ROWS = 64, 2048
 #: Components that a block holds and rows that a pair of blocks sends, both at most; pairs whose numbers are in memory at a time.
 BLOCK_VALUES, SENT_ROWS, TILE_PAIRS = 1 << 22, 1 << 22, 1 << 22
+#: Rows whose least number stands for them in a search for the nearest, and pairs whose vectors are gathered at a time.
+STRIPE, EXACT_PAIRS = 64, 1 << 16
 
 
 def _most_rows(vectors: DataFrame, sent: int | None, copies: int) -> int:
@@ -154,15 +156,46 @@ def candidate_scores(queries: DataFrame, catalog: DataFrame, tau: float = 0.05)
 
 
 def _neighbours(e: np.ndarray, own: np.ndarray, k: int) -> Callable:
-    """A function of queries (e, own): (i, j, distance) of the k nearest rows j of e with another `own`, distances to nine decimals, ties to the smaller j."""
-    square, twice = (e**2).sum(axis=1), np.ascontiguousarray(2 * e.T)
+    """A function of queries (e, own): (i, j, distance) of the k nearest rows j of e with another `own`, distances to nine decimals, ties to the smaller j.
+
+    A product of single precision, whose error is bounded, tells which rows can be among them, by the least number of each STRIPE of rows; only those are compared exactly."""
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    square, width, rows = dot(e, e), e.shape[1], -(-len(e) // STRIPE) * STRIPE
+    longest = float(np.sqrt(square.max()))
+    rough = np.zeros((width + 1, rows), np.float32)
+    plain = longest < 1e15  # nothing overflows; not so where a number is not finite
+    if plain:
+        rough[:width, : len(e)], rough[width, : len(e)] = -2 * e.T, square
 
     def of(q: np.ndarray, q_own: np.ndarray):
-        s, mine = q @ twice, (q**2).sum(axis=1)
-        np.subtract(square, s, out=s)  # the squared distance less the query's own square
+        mine = dot(q, q)  # summed in one way, so that equal vectors are 0 apart
+        if not plain or not (mine < 1e30).all():
+            s = square - q @ (2 * e.T)
+            s[same(own, q_own)] = np.inf
+            limit = lambda top: (np.sqrt(np.maximum(0.0, top + mine)) + 2e-9) ** 2 - mine + 1e-15 * (1 + mine)
+            return least(s, k, limit, lambda i, j: np.round(np.sqrt(np.maximum(0.0, mine[i] + s[i, j])), 9))
+        s = np.column_stack([q, np.ones(len(q))]).astype(np.float32) @ rough  # the squared distance less the query's own square
+        s[:, len(e) :] = np.inf
         s[same(own, q_own)] = np.inf
-        limit = lambda top: (np.sqrt(np.maximum(0.0, top + mine)) + 2e-9) ** 2 - mine + 1e-15 * (1 + mine)
-        return least(s, k, limit, lambda i, j: np.round(np.sqrt(np.maximum(0.0, mine[i] + s[i, j])), 9))
+        striped = s.reshape(len(q), -1, STRIPE)
+        low = striped.min(axis=2)
+        # k stripes have a row each that is not farther than this
+        top = np.partition(low, k - 1, axis=1)[:, k - 1].astype(float) if low.shape[1] >= k else np.full(len(q), np.inf)
+        error = (width + 4) * 2.0**-23 * (2 * np.sqrt(mine) * longest + longest**2) + 1e-30
+        most = (np.sqrt(np.maximum(0.0, top + error + mine)) + 2e-9) ** 2 - mine + error + 1e-15 * (1 + mine)
+        most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+        i, stripe = np.nonzero((low <= most[:, None]) & (low < np.inf))
+        near = striped[i, stripe]
+        at, place = np.nonzero((near <= most[i][:, None]) & (near < np.inf))
+        i, j = i[at], stripe[at] * STRIPE + place
+        v = np.empty(len(i))
+        for a in range(0, len(i), EXACT_PAIRS):
+            x, y = i[a : a + EXACT_PAIRS], j[a : a + EXACT_PAIRS]
+            v[a : a + EXACT_PAIRS] = np.round(np.sqrt(np.maximum(0.0, mine[x] + square[y] - 2 * dot(q[x], e[y]))), 9)
+        order = np.lexsort((j, v, i))
+        i, j, v = i[order], j[order], v[order]
+        first = np.arange(i.size) - np.searchsorted(i, i) < k
+        return i[first], j[first], v[first]
 
     return of
 

@@ -218,3 +218,22 @@ def test_nearest_vectors_with_copies_and_small_tiles(spark, monkeypatch):
     for i in range(31):
         near = sorted((round(float(np.sqrt(((e[i] - e[j]) ** 2).sum())), 9), j) for j in range(31) if j != i)[:4]
         assert [got[i, n + 1] for n in range(4)] == [(j, d) for d, j in near]
+
+
+def test_equal_vectors_are_nothing_apart_and_no_pair_is_taken_for_nearer_by_rounding(spark, monkeypatch):
+    import numpy as np
+
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "STRIPE", 8)
+    monkeypatch.setattr(vectors, "EXACT_PAIRS", 5)
+    r = np.random.default_rng(7)
+    e = r.normal(size=(40, 64))
+    e = np.concatenate([e, e, e[:10] + 1e-7 * r.normal(size=(10, 64)), 1e20 * e[:1]])
+    for last in (90, 91):  # with a vector too long for single precision, and without
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e[:last])], "id long, e array<double>")
+        got = {(x.query, x.nn): (x.other, x.distance) for x in vectors.nearest_vectors(df, 2).collect()}
+        assert len(got) == 2 * last
+        if last == 90:
+            assert all(got[i, 1] == ((i + 40) % 80, 0.0) for i in range(80))
+            assert all(got[i, 2][0] == 80 + i % 40 for i in range(80) if i % 40 < 10)
