@@ -84,13 +84,26 @@ def usable_individuals(tiers: DataFrame, least: int = 3) -> DataFrame:
     return tiers.groupBy("name").agg(F.count("*").alias("usable")).filter(F.col("usable") >= least)
 
 
+def sighting_sides(photos: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, left, right (the best score of each side; null without a photo), left_w, right_w (the sums of its photos' weights).  photos: keys, side, photo, score.
+
+    Where the rows of a sighting are in one partition, as after a repartition by keys, nothing is shuffled again."""
+    each = photos.groupBy(*keys, "side", "photo").agg(F.max("score").alias("score"))
+    on = lambda side, v: F.when(F.col("side") == side, v)
+    best = [F.max(on(side, F.col("score"))).alias(side) for side in ("left", "right")]
+    weights = [F.sum(on(side, photo_weight()).otherwise(0.0)).alias(f"{side}_w") for side in ("left", "right")]
+    return each.groupBy(*keys).agg(*best, *weights)
+
+
 def sighting_strength(candidates: DataFrame) -> DataFrame:
     """name, sighting, strength: weights of the photos' scores (10: 1, 9: 1/2, 8: 1/4, 7: 1/8), summed for each side, then nine parts of the
     weaker side and one of the stronger."""
-    weight = photo_weight()
-    photos = candidates.groupBy("name", "sighting", "side", "photo").agg(F.max("score").alias("score"))
-    sides = photos.groupBy("name", "sighting").agg(F.sum(F.when(F.col("side") == "left", weight).otherwise(0.0)).alias("l"), F.sum(F.when(F.col("side") == "right", weight).otherwise(0.0)).alias("r"))
-    return sides.select("name", "sighting", combined_strength("l", "r").alias("strength"))
+    return strength_of_sides(sighting_sides(candidates, ["name", "sighting"]))
+
+
+def strength_of_sides(sides: DataFrame) -> DataFrame:
+    """name, sighting, strength of what `sighting_sides` gives."""
+    return sides.select("name", "sighting", combined_strength("left_w", "right_w").alias("strength"))
 
 
 def nth_best(rows: DataFrame, group: str, value: str, n: int, missing) -> DataFrame:
@@ -114,11 +127,12 @@ def eligible_sightings(candidates: DataFrame, decisions: DataFrame, cap: int = 1
     individual the stronger sighting first.
 
     Photos are read once: one aggregate gives a sighting its tier, strength and better side, and windows over its individual all the rest."""
-    photos = candidates.groupBy("name", "sighting", "side", "photo").agg(F.max("score").alias("score"))
-    on = lambda side, v: F.when(F.col("side") == side, v)
-    best = {s: F.max(on(s, F.col("score"))).alias(s) for s in ("left", "right")}
-    weights = {s: F.sum(on(s, photo_weight()).otherwise(0.0)).alias(f"{s}_w") for s in ("left", "right")}
-    each = photos.groupBy("name", "sighting").agg(*best.values(), *weights.values()).filter((F.col("left") >= USABLE) & (F.col("right") >= USABLE))
+    return eligible_of_sides(sighting_sides(candidates, ["name", "sighting"]), decisions, cap, least)
+
+
+def eligible_of_sides(sides: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
+    """`eligible_sightings` of what `sighting_sides` gives."""
+    each = sides.filter((F.col("left") >= USABLE) & (F.col("right") >= USABLE))
     tiers = each.select("name", "sighting", F.least("left", "right").alias("tier"), F.greatest("left", "right").alias("stronger"), combined_strength("left_w", "right_w").alias("strength"))
     own = Window.partitionBy("name")
     ranked = tiers.withColumn("_n", F.row_number().over(own.orderBy(F.col("tier").desc(), F.col("stronger").desc())))
@@ -134,8 +148,13 @@ def eligible_sightings(candidates: DataFrame, decisions: DataFrame, cap: int = 1
 
 
 def review_queue(candidates: DataFrame, decisions: DataFrame, cap: int = 10, least: int = 3) -> DataFrame:
-    """tier, place, name, sighting: the whole queue of `eligible_sightings`.  Rows are numbered in range partitions, and the few tiers' first numbers are taken off."""
-    numbered = dense_ids(eligible_sightings(candidates, decisions, cap, least), ["key"], "_at")
+    """tier, place, name, sighting: the whole queue of `eligible_sightings`."""
+    return queue_of(eligible_sightings(candidates, decisions, cap, least))
+
+
+def queue_of(eligible: DataFrame) -> DataFrame:
+    """The queue of what `eligible_sightings` gives.  Rows are numbered in range partitions, and the few tiers' first numbers are taken off."""
+    numbered = dense_ids(eligible, ["key"], "_at")
     first = numbered.groupBy("tier").agg(F.min("_at").alias("_first"))  # one row for each tier
     return numbered.join(F.broadcast(first), "tier").select("tier", (F.col("_at") - F.col("_first") + 1).alias("place"), "name", "sighting")
 

@@ -64,7 +64,7 @@ def g16_sighting_tiers(spark, sf):
 
 @query(f"WITH {P}, {_STRENGTH} SELECT name, sighting, round(strength, 6) AS strength FROM strength")
 def g17_sighting_strength(spark, sf):
-    return rounded(cu.sighting_strength(inputs.photos(spark, sf)))
+    return rounded(cu.strength_of_sides(inputs.sighting_sides(spark, sf)))
 
 
 @query(f"WITH {P}, r AS (SELECT name, score, row_number() OVER (PARTITION BY name ORDER BY score DESC) AS n FROM photos) SELECT name, coalesce(max(CASE WHEN n = 3 THEN score END), -1) AS best3 FROM r GROUP BY 1")
@@ -83,21 +83,21 @@ q AS (SELECT t.tier, row_number() OVER (PARTITION BY t.tier ORDER BY t5 DESC, s5
 
 
 def review(spark, sf):
-    """Crops and a log with two decisions for each sighting, of which the second one counts."""
-    p = inputs.photos(spark, sf)
-    each = p.select("sighting", "name").distinct().withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    """What is eligible of all sightings, by a log with two decisions for each, of which the second one counts."""
+    sides = materialise(inputs.sighting_sides(spark, sf))
+    each = sides.select("sighting", "name").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
     last = F.when(F.col("sighting") % 7 == 0, "accept").when(F.col("sighting") % 7 == 1, "reject").otherwise("skip")
-    return p, each.withColumn("action", F.when(F.col("seq") == 1, "accept").otherwise(last))
+    return cu.eligible_of_sides(sides, each.withColumn("action", F.when(F.col("seq") == 1, "accept").otherwise(last)))
 
 
 @query(f"WITH {_QUEUE} SELECT tier, place, name, sighting FROM q")
 def l5_review_queue(spark, sf):
-    return cu.review_queue(*review(spark, sf))
+    return cu.queue_of(review(spark, sf))
 
 
 @query(f"WITH {_QUEUE}, cur AS (SELECT tier, max(name) AS active FROM q GROUP BY 1) SELECT q.tier, place, name, sighting FROM q JOIN cur ON cur.tier = q.tier ORDER BY q.tier DESC, (name = active) DESC, place LIMIT 1")
 def l4_next_sighting(spark, sf):
-    eligible = materialise(cu.eligible_sightings(*review(spark, sf)))
+    eligible = materialise(review(spark, sf))
     return cu.next_sighting(eligible, eligible.groupBy("tier").agg(F.max("name").alias("name")))
 
 

@@ -79,3 +79,18 @@ def test_measured_bins_of_every_event(spark, tmp_path):
 def test_long_evidence_reads_each_table_once(spark):
     plan = catalog.QUERIES["u2_long_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3
+
+
+@pytest.mark.parametrize("name", ["g17_sighting_strength", "l5_review_queue", "l4_next_sighting"])
+def test_sightings_are_joined_as_one_row_each_in_tasks_of_bounded_size(spark, monkeypatch, name):
+    from sightline.operators import shared
+    from sightline.plans import inputs
+
+    monkeypatch.setattr(inputs, "TASK_LINES", 500)
+    before, sides = rows(catalog.QUERIES[name](spark, SF).toPandas()), inputs.sighting_sides(spark, SF)
+    monkeypatch.setattr(inputs, "TASK_LINES", 1 << 17)
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == before
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert shared.materialise(sides).count() == lines.select("l_orderkey").distinct().count()
+    plan = sides._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RepartitionByExpression [sighting" in plan and f", {-(-lines.count() // 500)}" in plan
