@@ -47,6 +47,49 @@ def test_shift_is_found_and_scale_free(spark):
     assert twice == pytest.approx(got)
 
 
+@pytest.mark.parametrize("size", [1.0, 1e-60, 1e60])
+def test_alignments_that_may_be_best_are_compared_exactly(spark, monkeypatch, size):
+    for name, value in {"ALIGNED": 1 << 11, "CHUNK": 3, "LEAST_BLOCK": 4, "MOST_BLOCK": 7}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    settings = retrieval.Comparison(bins=12, stretch_steps=3)
+    r = np.random.default_rng(3)
+    series = [[np.where(r.random(n) < 0.3, r.uniform(-1, 9, n), 0.0) * size for n in (12, 20)] for _ in range(20)]
+    series[3] = series[5] = [np.zeros(12), np.zeros(20)]
+    series[8] = series[9] = [np.ones(12) * size, np.ones(20) * size]
+    spans = [(float(k % 3 * 20), 180.0 - k % 2 * 30) for k in range(20)]
+    rows = [(str(k), str(k // 2), "left" if k % 5 else "right", [(d.tolist(), *spans[k]) for d in series[k]]) for k in range(20)]
+    frame = spark.createDataFrame(rows, "ear string, sighting string, side string, profiles array<struct<depths array<double>, start double, end double>>")
+    got = {(int(x.query_ear), int(x.ear)): (x.similarity, x.stretch, x.shift) for x in retrieval.block_similarities(frame, frame, settings).collect()}
+    line, weight = np.arange(12) / 11, np.exp(-0.5 * ((np.arange(12) * 180 / 11 - 120) / 35) ** 2)
+
+    def channels(d, start, end):
+        d, angle, g = np.maximum(d, 0), np.arange(len(d)) * 180 / (len(d) - 1), np.zeros(len(d))
+        inside = (angle > start) & (angle < end)
+        g[inside] = np.gradient(d[inside])
+        return [np.interp(line * (len(d) - 1), np.arange(len(d)), x) for x in (np.sqrt(d), np.sign(g) * np.sqrt(np.abs(g)))]
+
+    def moved(x, t, b):
+        p = ((line - 0.5) / t + 0.5) * 11
+        x = np.where((p < 0) | (p > 11), 0.0, np.interp(p, np.arange(12), x))
+        return np.array([x[i - b] if 0 <= i - b < 12 else 0.0 for i in range(12)])
+
+    def alike(x, y):
+        both, apart = weight @ (np.abs(x) + np.abs(y)), weight @ np.abs(x - y)
+        return (both - apart) / (both + apart) if both + apart > 0 else 0.0
+
+    c = [[channels(d, *spans[k]) for d in series[k]] for k in range(20)]
+    want = {(i, j) for i in range(20) for j in range(20) if i // 2 != j // 2 and (i % 5 > 0) == (j % 5 > 0)}
+    assert got.keys() == want
+    for i, j in want:
+        value = {
+            (t, b): np.mean([(alike(moved(x[0], t, b), y[0]) + alike(moved(x[1], t, b) * t**-0.5, y[1])) / 2 for x, y in zip(c[i], c[j])]) * math.exp(-((abs(b) / 12 / 0.16) ** 4)) * math.exp(-((abs(math.log(t)) / 0.32) ** 4))
+            for t, b in settings.alignments()
+        }
+        best = max(value.values())
+        top, t, b = got[i, j]
+        assert top == pytest.approx(best, abs=1e-12) and (value[t, b] == pytest.approx(best, abs=1e-12) if best > 1e-12 else (t, b) == (1.0, 0))
+
+
 def test_kernel_equals_columns(spark):
     r = np.random.default_rng(42)
     a, b = r.uniform(-0.02, 0.1, 73).tolist(), r.uniform(-0.03, 0.1, 73).tolist()
