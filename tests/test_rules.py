@@ -206,6 +206,32 @@ def test_rows_are_copied_for_few_blocks_however_many_rows(spark, monkeypatch):
         assert len(got) <= most and sum(x.a * x.b for x in got) == (3600 if not on else 1800) and sum(x.s for x in got) == pytest.approx(total)
 
 
+def test_rows_for_each_pair_are_sent_as_they_come_and_leave_blocks_large(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(vectors, "GROUPS", 9)
+    monkeypatch.setattr(vectors, "SENT_ROWS", 16)  # what a task may hold of its rows
+    monkeypatch.setattr(vectors, "TILE_PAIRS", 12)
+    monkeypatch.setattr(vectors, "BATCH_ROWS", 3)
+    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(60)], "id long, g int, e array<double>")
+    schema = pa.schema([("task", pa.int64()), ("rows", pa.int64()), ("g", pa.int32())])
+
+    def prepare(r):
+        return lambda q: ([int(r["_b"][0]) * 100 + int(q["_a"][0])], [len(r["id"]) * len(q["id"])], [int(r["g"][0])])
+
+    parts = vectors.block_join(df, df, ["g"], prepare, schema, "task long, rows long, g int").collect()
+    assert sum(x.rows for x in parts) == 1800 and len({(x.g, x.task) for x in parts}) <= 18 < len(parts)
+    for rows in (1, 7):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(vectors, "GROUPS", 9 if rows > 1 else 10_000)  # blocks of a row, and those that no row is in
+        for on in ([], ["g"]):
+            got = [tuple(x) for x in vectors.pair_scores(df, df.filter("id < 23"), on).collect()]
+            assert sorted(got) == [(i, j, i * j + 1.0) for i in range(60) for j in range(23) if i != j and (not on or (i - j) % 2 == 0)]
+
+
 def test_nearest_vectors_with_copies_and_small_tiles(spark, monkeypatch):
     import numpy as np
 
