@@ -53,3 +53,42 @@ def test_no_pair_is_shuffled_and_blocks_are_tasks_of_their_own(spark):
         assert not any(x in line for line in above for x in ("Aggregate", "Window", "Join", "Repartition"))
     plan = rt.block_similarities(e, e, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_sightings_rank_as_by_their_pairs(spark, monkeypatch, most):
+    from sightline.operators import ranking as rk
+    from sightline.operators import shared
+
+    e = ears(spark, 90).filter("who < 12")
+    rows = e.select(F.substring("ear", 2, 9).cast("long").alias("row"), "ear", F.col("who").alias("individual"), "sighting", "side", F.expr("concat('p', int(substring(ear, 2, 9)) % 31)").alias("photo"), F.lit("2024-01-01").alias("date"), F.col("profiles")[0]["depths"].alias("depths"))
+    rows = shared.materialise(rows.withColumn("mass", F.aggregate("depths", F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))) / 100))
+    asked = rows.filter("sighting LIKE '%-2'").select("sighting").distinct()
+    shaped = rows.select("ear", F.col("ear").alias("sighting"), "side", F.array(F.struct("depths", F.lit(0.0).alias("start"), F.lit(180.0).alias("end"))).alias("profiles"))
+    number = lambda c: F.substring(c, 2, 9).cast("long")
+    pairs = rt.block_similarities(shaped, shaped, SMALL).select(number("query_ear").alias("i"), number("ear").alias("j"), F.col("similarity").alias("score"), "stretch", (F.col("shift") / 12).alias("shift")).cache()
+    gallery = rows.join(asked, "sighting", "left_anti")
+    inside = pairs.join(gallery.select(F.col("row").alias("i")), "i", "left_semi").join(gallery.select(F.col("row").alias("j")), "j", "left_semi")
+    told = lambda d: {(x.query, x.candidate): x for x in d.collect()}
+    want = told(rk.rank_sightings(rk.query_z(pairs, rows, asked), rows, rk.fit(inside, gallery), 3, pairs))
+    monkeypatch.setattr(rk, "ALIGNED_BLOCK", (3, 5))
+    monkeypatch.setattr(rt, "LEAST_BLOCK", 2)
+    monkeypatch.setattr(rt, "MOST_BLOCK", most)  # with 2, individuals have more rows than a block may
+    got = told(rk.rank_aligned_sightings(rows, asked, SMALL, 3))
+    assert got.keys() == want.keys() and len(want) == 3 * asked.count()
+    for key, x in want.items():
+        assert (got[key].place, got[key].score) == (x.place, pytest.approx(x.score, abs=1e-4))
+        assert [(a.side, a.strength, a.i, a.j, a.query_photo, a.gallery_photo, a.stretch, a.shift) for a in got[key].evidence] == [(a.side, a.strength, a.i, a.j, a.query_photo, a.gallery_photo, a.stretch, a.shift) for a in x.evidence]
+
+
+def test_the_evidence_needs_no_table_of_pairs(spark, monkeypatch):
+    from sightline.operators import cohorts, ranking, shared
+    from sightline.plans import ranking_queries
+
+    made = []
+    kept = lambda f: lambda df: made.append(f(df)) or made[-1]
+    for module in (cohorts, ranking, ranking_queries):
+        monkeypatch.setattr(module, "materialise", kept(shared.materialise))
+    assert ranking_queries.c4_aligned_evidence(spark, "/root/testdata/sf0.001").count()
+    ears_ = made[0].count()
+    assert max(d.count() for d in made) < 30 * ears_  # five thousand and more pairs of some 130 ears
